@@ -1 +1,8 @@
 """Panel time-series analytics and forecast evaluation, written as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Grouped functions travel to the executors by value, so a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

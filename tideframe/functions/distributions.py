@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Chebyshev coefficients of the complementary error function
 # (Press et al., Numerical Recipes), relative error below 1.2e-7.
@@ -70,14 +71,11 @@ def beta_tail(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(flip, 1 - value, value)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(stat: pd.Series, df: pd.Series) -> pd.Series:
-    """P(|T| > |stat|)."""
-    ok = stat.notna() & df.notna() & (df > 0)
-    t2, nu = stat[ok].to_numpy(float) ** 2, df[ok].to_numpy(float)
-    out = pd.Series(np.nan, index=stat.index)
-    out[ok] = beta_tail(nu / 2, np.full_like(nu, 0.5), nu / (nu + t2)) if ok.any() else np.nan
-    return out.astype(object).where(ok, None).astype("Float64") if not ok.all() else out
+    """P(|T| > |stat|); null in, null out."""
+    t2, nu = stat.to_numpy(float) ** 2, df.to_numpy(float)
+    return pd.Series(beta_tail(nu / 2, np.full_like(nu, 0.5), nu / (nu + t2))).where(stat.notna().to_numpy())
 
 
 def f_tail(stat, df1, df2):

@@ -8,20 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.distributions import normal_tail, student_two_sided
 from tideframe.functions.scalars import guarded_ratio, is_finite
-from tideframe.panel import UNBOUNDED, with_position, PanelSpec
-
-
-def _bartlett(gammas: list[Column], h: Column) -> Column:
-    """Bartlett-weighted long-run variance from autocovariances of lag 0, 1, ..."""
-    total = gammas[0]
-    for k, g in enumerate(gammas[1:], start=1):
-        total = total + F.when(h > k, 2 * (1 - k / h) * g).otherwise(0.0)
-    return total
+from tideframe.panel import UNBOUNDED
+from tideframe.session import stored
 
 
 def model_pairs(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,42 +32,61 @@ def against_naive(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("pred").alias("pred_a"), F.col("naive").alias("pred_b"))
 
 
+MAX_LAGS = 64  # longest horizon the tests accept; rows look back at most this far
 LOSSES = {"squared": lambda e: e * e, "absolute": F.abs}
 
 
 def diebold_mariano(
-    pairs: DataFrame, groups: Sequence[str], max_h: int, alpha: float = 0.05,
+    pairs: DataFrame, groups: Sequence[str], horizons: Sequence[int], alpha: float = 0.05,
     losses=LOSSES, p_values: bool = True,
 ) -> DataFrame:
     """Equal-accuracy test per group, horizon and loss; a negative statistic favours model A.
 
-    Long-run variance truncated at h-1, Harvey small-sample factor, two-sided Student
-    tail. Groups with n <= h or no positive variance report ``insufficient_sample``.
+    Bartlett long-run variance truncated at h-1, Harvey small-sample factor, two-sided
+    Student tail. The Bartlett weights are a box folded with itself, so the weighted sum
+    of autocovariances is the mean square of all moving sums of h terms, those that
+    overhang either end included. Groups with n <= h or no positive variance report
+    ``insufficient_sample``.
     """
     groups = [*groups, "model_a", "model_b", "horizon"]
     part = Window.partitionBy(*groups)
     w = part.orderBy("origin_date")
     usable = pairs.filter(is_finite(F.col("actual")) & is_finite(F.col("pred_a")) & is_finite(F.col("pred_b")))
+    usable = usable.filter(F.col("horizon").isin(*horizons))
     ea, eb = F.col("actual") - F.col("pred_a"), F.col("actual") - F.col("pred_b")
     d = usable.withColumns({f"_d_{k}": f(ea) - f(eb) for k, f in losses.items()})
     d = d.withColumns({f"_z_{k}": F.col(f"_d_{k}") - F.avg(f"_d_{k}").over(part) for k in losses})
-    d = d.withColumns({f"_z_{k}_{i}": F.lag(f"_z_{k}", i).over(w) for k in losses for i in range(1, max_h)})
+
+    def by_horizon(make):
+        out = F.lit(None).cast("double")
+        for h in horizons:
+            out = F.when(F.col("horizon") == h, make(h)).otherwise(out)
+        return out
+
+    ahead = {h: w.rowsBetween(0, h - 1) for h in horizons}
+    d = d.withColumn("_full", by_horizon(lambda h: (F.count(F.lit(1)).over(ahead[h]) == h).cast("double")))
+    for k in losses:
+        z = f"_z_{k}"
+        d = d.withColumns({
+            f"_back_{k}": by_horizon(lambda h: F.sum(z).over(w.rowsBetween(-(h - 1), 0))),
+            f"_rest_{k}": by_horizon(lambda h: F.sum(z).over(ahead[h]))})
     sums = [F.count(F.lit(1)).alias("n_forecasts")]
     for k in losses:
-        z = F.col(f"_z_{k}")
-        sums += [F.avg(f"_d_{k}").alias(f"_mean_{k}"), F.sum(z * z).alias(f"_g_{k}_0")]
-        sums += [F.coalesce(F.sum(z * F.col(f"_z_{k}_{i}")), F.lit(0.0)).alias(f"_g_{k}_{i}") for i in range(1, max_h)]
+        back, rest = F.col(f"_back_{k}"), F.when(F.col("_full") == 0, F.col(f"_rest_{k}")).otherwise(0.0)
+        sums += [F.avg(f"_d_{k}").alias(f"_mean_{k}"), F.sum(back * back + rest * rest).alias(f"_box_{k}")]
     out = d.groupBy(*groups).agg(*sums)
     n, h = F.col("n_forecasts"), F.col("horizon")
     harvey = F.sqrt(F.greatest((n + 1 - 2 * h + h * (h - 1) / n) / n, F.lit(0.0)))
     for k in losses:
-        variance = _bartlett([F.col(f"_g_{k}_{i}") / n for i in range(max_h)], h) / n
-        stat = F.when((n > h) & (variance > 1e-30), F.col(f"_mean_{k}") / F.sqrt(variance) * harvey)
+        variance = F.col(f"_box_{k}") / h / n / n
+        stat = F.when((n > h) & (variance > 1e-20), F.col(f"_mean_{k}") / F.sqrt(variance) * harvey)
         out = out.withColumn(f"dm_{k}", stat)
-    out = out.withColumn("insufficient_sample", F.greatest(*[F.col(f"dm_{k}").isNull() for k in losses]) if len(losses) > 1 else F.col(f"dm_{next(iter(losses))}").isNull())
+    lacking = F.lit(False)
+    for k in losses:
+        lacking = lacking | F.col(f"dm_{k}").isNull()
+    out = out.withColumn("insufficient_sample", lacking)
     out = out.withColumns({f"dm_{k}": F.when(~F.col("insufficient_sample"), F.col(f"dm_{k}")) for k in losses})
-    kept = [*groups, "n_forecasts", "insufficient_sample", *[f"dm_{k}" for k in losses]]
-    out = out.select(*kept)
+    out = out.select(*groups, "n_forecasts", "insufficient_sample", *[f"dm_{k}" for k in losses])
     if not p_values:
         return out
     out = out.withColumns({f"p_{k}": student_two_sided(F.col(f"dm_{k}"), (n - 1).cast("double")) for k in losses})
@@ -95,7 +107,7 @@ def overall_winner(tests: DataFrame) -> DataFrame:
 
 
 def clark_west(
-    forecasts: DataFrame, groups: Sequence[str], max_h: int, alpha: float = 0.05, small_sample: bool = True
+    forecasts: DataFrame, groups: Sequence[str], alpha: float = 0.05, small_sample: bool = True
 ) -> DataFrame:
     """Nested-model test of ``pred`` against ``naive`` per group and horizon, one-sided.
 
@@ -106,24 +118,37 @@ def clark_west(
     groups = [*groups, "horizon"]
     part = Window.partitionBy(*groups)
     w = part.orderBy("origin_date")
+    too_far = F.raise_error(F.lit(f"horizons go up to {MAX_LAGS}")).cast("long")
+    forecasts = forecasts.withColumn("horizon", F.when(F.col("horizon") <= MAX_LAGS, F.col("horizon").cast("long")).otherwise(too_far))
     valid = is_finite(F.col("actual")) & is_finite(F.col("naive")) & is_finite(F.col("pred"))
     e1, e2 = F.col("actual") - F.col("naive"), F.col("actual") - F.col("pred")
     adj = F.pow(F.col("naive") - F.col("pred"), 2)
-    d = forecasts.withColumns({
-        "_sq1": F.when(valid, e1 * e1), "_sq2": F.when(valid, e2 * e2), "_adj": F.when(valid, adj)})
+    d = forecasts.select(*groups, "origin_date", *[
+        F.when(valid, c).alias(a) for a, c in (("_sq1", e1 * e1), ("_sq2", e2 * e2), ("_adj", adj))])
     d = d.withColumn("_f", F.col("_sq1") - (F.col("_sq2") - F.col("_adj")))
-    d = d.withColumn("_z", F.col("_f") - F.avg("_f").over(part))
-    d = d.withColumns({f"_z{k}": F.lag("_z", k).over(w) for k in range(1, max_h)})
-    sums = [
-        F.count("_f").alias("n_forecasts"), F.avg("_sq1").alias("mspe_naive"), F.avg("_sq2").alias("mspe_model"),
-        F.avg("_adj").alias("cw_adjustment"), F.avg("_f").alias("mean_f"), F.sum(F.col("_z") * F.col("_z")).alias("_g0")]
-    for k in range(1, max_h):
-        pair = F.col("_z") * F.col(f"_z{k}")
-        sums.append(F.coalesce(F.sum(pair) / F.nullif(F.count(pair), F.lit(0)), F.lit(0.0)).alias(f"_g{k}"))
-    out = d.groupBy(*groups).agg(*sums)
+    d = d.withColumns({"_z": F.col("_f") - F.avg("_f").over(part), "_at": F.row_number().over(w)})
+
+    # Lag products only up to h-1: each row meets its h-1 predecessors, gaps keep their place.
+    top = MAX_LAGS
+    past = F.collect_list(F.struct("_z")).over(w.rowsBetween(-(top - 1), 0))
+    near = F.reverse(F.col("_past"))
+    products = F.transform(F.slice(near, F.lit(1), F.least(F.size("_past"), F.col("horizon"))), lambda s: s["_z"] * F.col("_z"))
+    d = d.withColumn("_past", past).withColumn("_products", products)
+    lagged = d.select(*groups, "_sq1", "_sq2", "_adj", "_f", F.posexplode_outer("_products").alias("_k", "_zz"))
+    here = F.col("_k") == 0
+    own = lambda c: F.when(here, F.col(c))
+    per_lag = lagged.groupBy(*groups, "_k").agg(
+        F.sum("_zz").alias("_s"), F.count("_zz").alias("_pairs"),
+        *[F.sum(own(c)).alias(c) for c in ("_sq1", "_sq2", "_adj", "_f")])
+    n_lag0 = F.max(F.when(here, F.col("_pairs")))
+    gamma = F.coalesce(F.col("_s") / F.nullif(F.col("_pairs"), F.lit(0)), F.lit(0.0))
+    weight = F.when(here, 1.0).otherwise(2 * (1 - F.col("_k") / F.col("horizon")))
+    mean = lambda c: F.max(own(c)) / F.nullif(n_lag0, F.lit(0))
+    out = per_lag.groupBy(*groups).agg(
+        n_lag0.alias("n_forecasts"), mean("_sq1").alias("mspe_naive"), mean("_sq2").alias("mspe_model"),
+        mean("_adj").alias("cw_adjustment"), mean("_f").alias("mean_f"), F.sum(weight * gamma).alias("_omega"))
     n, h = F.col("n_forecasts"), F.col("horizon")
-    gammas = [F.col("_g0") / F.nullif(n, F.lit(0)), *[F.col(f"_g{k}") for k in range(1, max_h)]]
-    omega = F.greatest(_bartlett(gammas, h), F.lit(1e-14))
+    omega = F.greatest(F.col("_omega"), F.lit(1e-14))
     variance = omega / n / ((n - h) * (n - h + 1) / (n * n)) if small_sample else omega / n
     enough = (n > h) & (n >= 3)
     out = out.withColumns({"insufficient_sample": ~enough, "se_f": F.when(enough, F.sqrt(variance))})
@@ -174,8 +199,11 @@ def fdr_adjust(df: DataFrame, p: str, alias: str, groups: Sequence[str] = ()) ->
 
 
 def fdr_two_tiers(tests: DataFrame, family: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Adjust over the whole family and within each horizon; significance needs a positive statistic."""
-    out = tests.withColumn("_p", F.when(~F.col("insufficient_sample"), F.col("cw_p_value")))
+    """Adjust over the whole family and within each horizon; significance needs a positive statistic.
+
+    The result table is stored first, since both tiers read it several times.
+    """
+    out = stored(tests.withColumn("_p", F.when(~F.col("insufficient_sample"), F.col("cw_p_value"))), "tests")
     out = fdr_adjust(out, "_p", "p_adj_global", family)
     out = fdr_adjust(out, "_p", "p_adj_horizon", [*family, "horizon"])
     return out.drop("_p").withColumns({
@@ -184,10 +212,10 @@ def fdr_two_tiers(tests: DataFrame, family: Sequence[str] = (), alpha: float = 0
 
 
 def regime_report(
-    tagged: DataFrame, groups: Sequence[str], max_h: int, metrics: DataFrame, alpha: float = 0.05
+    tagged: DataFrame, groups: Sequence[str], metrics: DataFrame, alpha: float = 0.05
 ) -> DataFrame:
     """Metrics and test per regime; the test is shown only where n >= 5h, groups with n < 3 are dropped."""
-    tests = clark_west(tagged, groups, max_h, alpha)
+    tests = clark_west(tagged, groups, alpha)
     on = [*groups, "horizon"]
     shown = metrics.filter("n_forecasts >= 3").join(
         tests.drop("n_forecasts", "insufficient_sample"), on)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.panel import PanelSpec, Running, framed, keep_one, running, with_position
@@ -51,13 +51,17 @@ def asof_release(
         [F.col(c) for c in (tie or values)],
         keep="last",
     )
-    if not carry_in:
+    if not carry_in and spec.grain is not None:
         first = facts.groupBy(*on).agg(F.min(spec.time).alias("_first"))
         joined = newest.join(first, on) if on else newest.crossJoin(first)
         newest = joined.filter(F.col(spec.time) >= F.col("_first")).drop("_first")
     published = newest.select(*on, spec.time, *values, F.lit(0).alias("_fact"))
     held = facts.drop(*values)
     stacked = held.withColumn("_fact", F.lit(1)).unionByName(published, allowMissingColumns=True)
+    if not carry_in and spec.grain is None:
+        first = F.min(F.when(F.col("_fact") == 1, F.col(spec.time))).over(Window.partitionBy(*spec.key_columns))
+        stacked = stacked.withColumn("_first", first).withColumns(
+            {v: F.when(F.col(spec.time) >= F.col("_first"), F.col(v)) for v in values})
     items = [Running("last", v, f"_asof_{v}") for v in values]
     order = PanelSpec(spec.keys, spec.time, ("_fact", *spec.tie), spec.grain, spec.block_rows)
     carried = running(stacked, order, *items).filter("_fact = 1")

@@ -12,10 +12,6 @@ from tideframe.operators.features import forward_value
 from tideframe.operators.splits import is_origin
 from tideframe.panel import Framed, PanelSpec, Running, framed, running, series_length, with_position
 
-FORECAST_COLUMNS = (
-    "model", "origin_date", "horizon", "target_date", "actual", "naive", "pred",
-    "lo90", "hi90", "lo95", "hi95", "fit_ok",
-)
 Z90, Z95 = normal_quantile(0.95), normal_quantile(0.975)
 
 
@@ -73,26 +69,38 @@ def linear_forecasts(
     fitted = running(base.withColumns(cells), spec, *items)
     fitted = series_length(with_position(fitted, spec, "rn"), spec, "n_rows").filter(is_origin(min_train, step, top))
 
-    y, n = F.col(level), F.col("_d_n")
+    n = F.col("_d_n")
     mean = F.col("_d_s") / n
-    drift_var = (F.col("_dd_s") - F.col("_d_s") * mean) / (n - 1)
     a, phi, ar_var = _fit("ar")
-    rows = []
+    drift_var = F.greatest((F.col("_dd_s") - F.col("_d_s") * mean) / (n - 1), F.lit(0.0))
+    cells = {"_mean": mean, "_drift_var": drift_var, "_a": a, "_phi": phi, "_ar_var": ar_var}
+    per_horizon = []
     for h in horizons:
-        hl = F.lit(h)
-        base_cells = [hl.alias("horizon"), F.col(f"_target{h}").alias("target_date"), F.col(f"_actual{h}").alias("actual")]
-        mu = a / (1 - phi)
-        ar = y + h * mu + (F.col("_d") - mu) * phi * (1 - F.pow(phi, hl)) / (1 - phi)
         da, db, _ = _fit(f"dir{h}")
-        arms = {
-            "naive": (y, None), "drift": (y + h * mean, F.sqrt(F.greatest(drift_var, F.lit(0.0)) * h)),
-            "ar1": (ar, cumulative_level_sd(phi, ar_var, hl)), "direct": (y + da + db * F.col("_d"), None)}
-        for name, (pred, sd) in arms.items():
-            bands = [(F.lit(None).cast("double") if sd is None else pred + s * z * sd).alias(b)
-                     for b, s, z in (("lo90", -1, Z90), ("hi90", 1, Z90), ("lo95", -1, Z95), ("hi95", 1, Z95))]
-            rows.append(F.struct(F.lit(name).alias("model"), *base_cells, y.alias("naive"), pred.alias("pred"), *bands, pred.isNotNull().alias("fit_ok")))
-    long = fitted.select(*spec.keys, F.col(spec.time).alias("origin_date"), F.explode(F.array(*rows)).alias("_r"))
-    return long.select(*spec.keys, *[c if c == "origin_date" else F.col(f"_r.{c}").alias(c) for c in FORECAST_COLUMNS])
+        cells.update({f"_da{h}": da, f"_db{h}": db})
+        per_horizon.append(F.struct(
+            F.lit(h).alias("horizon"), F.col(f"_target{h}").alias("target_date"), F.col(f"_actual{h}").alias("actual"),
+            F.col(f"_da{h}").alias("a"), F.col(f"_db{h}").alias("b")))
+    shared = ["_d", "_mean", "_drift_var", "_a", "_phi", "_ar_var"]
+    rows = fitted.withColumns(cells).select(
+        *spec.keys, F.col(spec.time).alias("origin_date"), F.col(level).alias("naive"), *shared, F.explode(F.array(*per_horizon)).alias("_h"))
+    y, h, mu = F.col("naive"), F.col("_h.horizon"), F.col("_mu")
+    rows = rows.withColumn("_mu", F.col("_a") / (1 - F.col("_phi")))
+    phi = F.col("_phi")
+    none = F.lit(None).cast("double")
+    arms = {
+        "naive": (y, none),
+        "drift": (y + h * F.col("_mean"), F.sqrt(F.col("_drift_var") * h)),
+        "ar1": (y + h * mu + (F.col("_d") - mu) * phi * (1 - F.pow(phi, h)) / (1 - phi), cumulative_level_sd(phi, F.col("_ar_var"), h)),
+        "direct": (y + F.col("_h.a") + F.col("_h.b") * F.col("_d"), none)}
+    made = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("pred"), sd.alias("sd")) for m, (p, sd) in arms.items()])
+    long = rows.select(
+        *spec.keys, "origin_date", "naive", "_h.horizon", "_h.target_date", "_h.actual", F.explode(made).alias("_m"))
+    pred, sd = F.col("_m.pred"), F.col("_m.sd")
+    return long.select(
+        *spec.keys, F.col("_m.model").alias("model"), "origin_date", "horizon", "target_date", "actual", "naive", pred.alias("pred"),
+        (pred - Z90 * sd).alias("lo90"), (pred + Z90 * sd).alias("hi90"),
+        (pred - Z95 * sd).alias("lo95"), (pred + Z95 * sd).alias("hi95"), pred.isNotNull().alias("fit_ok"))
 
 
 def reconstruct_levels(df: DataFrame, level: str, change: str, bands: Sequence[str] = ()) -> DataFrame:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.functions.scalars import improvement_pct, is_close
 
-ERR = F.col
 
 
 def _rmse(e: Column) -> Column:
@@ -183,10 +182,10 @@ def join_regimes(df: DataFrame, regimes: DataFrame, time: str) -> DataFrame:
 def decision_summary(metrics: DataFrame, tests: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Per group: best RMSE, best MAE, strongest p and whether any test survives correction."""
     best = metrics.groupBy(*groups).agg(
-        F.min_by("model", F.struct("rmse", "model")).alias("best_rmse_model"), F.min("rmse").alias("best_rmse"),
-        F.min_by("model", F.struct("mae", "model")).alias("best_mae_model"), F.min("mae").alias("best_mae"))
+        F.min_by("model", F.struct(F.round("rmse", 9), "model")).alias("best_rmse_model"), F.min("rmse").alias("best_rmse"),
+        F.min_by("model", F.struct(F.round("mae", 9), "model")).alias("best_mae_model"), F.min("mae").alias("best_mae"))
     strongest = tests.filter(F.col("cw_p_value").isNotNull()).groupBy(*groups).agg(
-        F.min_by("model", F.struct("cw_p_value", "model")).alias("strongest_model"),
+        F.min_by("model", F.struct(F.round("cw_p_value", 9), "model")).alias("strongest_model"),
         F.min("cw_p_value").alias("strongest_p"),
         F.bool_or("significant_fdr_horizon").alias("any_significant"))
     return best.join(strongest, list(groups), "left")

@@ -85,7 +85,13 @@ def with_position(df: DataFrame, spec: PanelSpec, name: str = "pos") -> DataFram
 
 
 def series_length(df: DataFrame, spec: PanelSpec, name: str = "n_rows") -> DataFrame:
-    """Add the number of rows of the series, counted with a map-side combine."""
+    """Add the number of rows of the series.
+
+    A calendar-bounded series is counted in the partition its windows already use; a
+    longer one is counted apart with a map-side combine.
+    """
+    if spec.grain is None:
+        return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*spec.key_columns)))
     if not spec.keys:
         return df.crossJoin(df.agg(F.count(F.lit(1)).alias(name)))
     return df.join(df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias(name)), list(spec.keys))

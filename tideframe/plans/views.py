@@ -21,7 +21,7 @@ REGIMES = (
 )
 SPEC = PanelSpec()
 MONTHLY = PanelSpec(time="month")
-EVENTS = PanelSpec(keys=("event_type",), time="ts", tie=("event_id",), grain="hour", block_rows=4096)
+EVENTS = PanelSpec(keys=("event_type",), time="ts", tie=("event_id",), grain="hour", block_rows=1000)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,6 +66,20 @@ def daily_ship(spark: SparkSession, folder: str) -> DataFrame:
     ).agg(F.ln(F.sum(value).cast("double")).alias("y"), F.sum(money("l_quantity")).cast("double").alias("q"))
 
 
+def daily_supply(spark: SparkSession, folder: str) -> DataFrame:
+    """Shipped value and quantity per day and region of the supplier: a second calendar for the same keys."""
+    value = money("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
+    shipped = table(spark, folder, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
+        F.sum(value).alias("value"), F.sum(money("l_quantity")).alias("quantity"))
+    return (
+        shipped.join(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .groupBy(F.col("r_name").alias("series"), "date")
+        .agg(F.ln(F.sum("value").cast("double")).alias("s"), F.sum("quantity").cast("double").alias("q"))
+    )
+
+
 def monthly_region(spark: SparkSession, folder: str) -> DataFrame:
     """Geometric mean of order prices per region and month, published 19 days into the month after."""
     return _monthly(spark, folder, F.col("r_name"))
@@ -104,6 +118,12 @@ SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS date,
  ln(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))*(1-CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE)) AS y,
  CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q
 FROM lineitem GROUP BY 1,2"""),
+    "daily_supply": ((), """
+SELECT r_name AS series, CAST(l_shipdate AS DATE) AS date,
+ ln(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))*(1-CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE)) AS s,
+ CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q
+FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON s_nationkey=n_nationkey
+JOIN region ON n_regionkey=r_regionkey GROUP BY 1,2"""),
     "monthly_region": (("located",), """
 SELECT r_name AS series, CAST(date_trunc('month',date) AS DATE) AS month,
  exp(avg(ln(CAST(price AS DOUBLE))))/1000.0 AS v,
