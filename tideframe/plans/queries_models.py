@@ -1 +1,221 @@
-"""Queries."""
+"""Queries: collinearity, unit roots, lag order, vector models, cointegration, trees."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideframe.operators import cointegration as co
+from tideframe.operators import diagnostics as dg
+from tideframe.operators import vector_models as vm
+from tideframe.operators.scoring import error_metrics, interval_coverage
+from tideframe.panel import Running, running
+from tideframe.plans import views as v
+from tideframe.plans import walkforward as wf
+from tideframe.plans.catalogue import query, r, rounded
+from tideframe.plans.views import HORIZONS, MIN_TRAIN, SPEC, STEP, sql_with
+from tideframe.session import stored
+
+WALKS = ["walk_orders", "walk_linked", "walk_supply"]
+LAGS = 2
+
+
+def walks(spark, folder):
+    """Three integrated series per region: summed order and supply surprises, and a noisy double of the first.
+
+    The second moves with the first, so the system has one cointegrating relation by construction.
+    """
+    both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s"), ["series", "date"])
+    means = both.groupBy("series").agg(F.avg("y").alias("my"), F.avg("s").alias("ms"), F.avg("n").alias("mn"))
+    surprise = both.join(means, "series").select(
+        "series", "date", (F.col("y") - F.col("my")).alias("ey"), (F.col("s") - F.col("ms")).alias("es"), (F.col("n") / F.col("mn") - 1).alias("en"))
+    summed = running(surprise, SPEC, Running("sum", "ey", "walk_orders"), Running("sum", "es", "walk_supply"))
+    return summed.select("series", "date", (F.col("walk_orders") + F.col("en")).alias("walk_orders"),
+                         (2 * F.col("walk_orders") - F.col("en")).alias("walk_linked"), "walk_supply")
+
+
+_COR = "corr({a},{b})"
+
+
+@query("corr_levels_vs_diffs", sql_with("""
+SELECT series, form, 'n' AS column_a, 's' AS column_b, """ + r("corr(n,s)", "corr") + " FROM src WHERE y IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL GROUP BY 1,2 UNION ALL "
+    "SELECT series, form, 'y', 'n', " + r("corr(y,n)", "corr") + " FROM src WHERE y IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL GROUP BY 1,2 UNION ALL "
+    "SELECT series, form, 'y', 's', " + r("corr(y,s)", "corr") + " FROM src WHERE y IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL GROUP BY 1,2",
+    "daily_region", "daily_supply",
+    levels="SELECT series, date, y, CAST(n AS DOUBLE) AS n, s FROM daily_region JOIN daily_supply USING (series, date)",
+    src="SELECT 'level' AS form, series, y, n, s FROM levels UNION ALL SELECT 'diff', series, y-lag(y) OVER w, n-lag(n) OVER w, s-lag(s) OVER w FROM levels WINDOW w AS (PARTITION BY series ORDER BY date)"))
+def corr_levels_vs_diffs(spark, folder):
+    from tideframe.operators.features import difference
+    from tideframe.panel import framed
+
+    levels = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s"), ["series", "date"])
+    d = framed(levels, SPEC, difference("y", "n", "s"))
+    forms = F.explode(F.array(*[
+        F.struct(F.lit(form).alias("form"), *[F.col(f"{pre}{c}").cast("double").alias(c) for c in ("y", "n", "s")])
+        for form, pre in (("level", ""), ("diff", "d_"))])).alias("_f")
+    return rounded(dg.correlations(d.select("series", forms).select("series", "_f.*"), ["series", "form"], ["y", "n", "s"]))
+
+
+@query("vif_two_columns", f"""
+SELECT l_returnflag AS series, 'l_quantity' AS feature, {r('1/(1-pow(corr(l_quantity,l_extendedprice),2))','vif')} FROM lineitem GROUP BY 1
+UNION ALL SELECT l_returnflag, 'l_extendedprice', {r('1/(1-pow(corr(l_quantity,l_extendedprice),2))','vif')} FROM lineitem GROUP BY 1""")
+def vif_two_columns(spark, folder):
+    li = v.table(spark, folder, "lineitem").withColumnRenamed("l_returnflag", "series")
+    return rounded(dg.variance_inflation(li, ["series"], ["l_quantity", "l_extendedprice"]))
+
+
+@query("vif_many_columns")
+def vif_many_columns(spark, folder):
+    li = v.table(spark, folder, "lineitem").withColumn("l_net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    out = dg.variance_inflation(li, ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_net"])
+    return rounded(out, 4)
+
+
+@query("adf")
+def adf(spark, folder):
+    """Order levels are stationary around a mean, their running sums are not."""
+    return rounded(dg.integration_report(walks(spark, folder), SPEC, WALKS), 4)
+
+
+@query("lag_order")
+def lag_order(spark, folder):
+    return rounded(dg.lag_order(stored(walks(spark, folder), "walks"), SPEC, WALKS, 8), 6)
+
+
+@query("johansen")
+def johansen(spark, folder):
+    return rounded(co.johansen(stored(walks(spark, folder), "walks"), SPEC, WALKS, LAGS), 4)
+
+
+def ranked(spark, folder):
+    data = stored(walks(spark, folder), "walks")
+    return data, stored(co.primary_rank(co.johansen(data, SPEC, WALKS, LAGS), ["series"]), "ranks")
+
+
+@query("error_correction")
+def error_correction(spark, folder):
+    return rounded(co.error_correction(*_with_ranks(spark, folder)), 5)
+
+
+def _with_ranks(spark, folder):
+    data, ranks = ranked(spark, folder)
+    return data, SPEC, WALKS, LAGS, ranks
+
+
+@query("vecm")
+def vecm(spark, folder):
+    data, ranks = ranked(spark, folder)
+    return rounded(co.vecm_forecasts(data, SPEC, WALKS, "walk_orders", LAGS, ranks, HORIZONS, MIN_TRAIN, STEP), 5)
+
+
+@query("cointegration_job")
+def cointegration_job(spark, folder):
+    """Two systems through gate, rank and forecasts; the report names series without forecasts."""
+    data = stored(walks(spark, folder), "walks")
+    forecasts, report = wf.run_systems(
+        data, SPEC, {"three": WALKS, "two": WALKS[:2]}, "walk_orders", LAGS, HORIZONS, MIN_TRAIN, STEP)
+    scored = error_metrics(forecasts, ["system", "series", "horizon"]).select("system", "series", "horizon", "n_forecasts", "rmse", "naive_rmse")
+    return rounded(report.join(scored, ["system", "series"], "left"), 5)
+
+
+@query("granger")
+def granger(spark, folder):
+    return rounded(co.granger(stored(walks(spark, folder), "walks"), SPEC, WALKS, LAGS), 4)
+
+
+def irf_frame(spark, folder):
+    data, ranks = ranked(spark, folder)
+    return co.impulse_responses(data, SPEC, WALKS, LAGS, ranks)
+
+
+@query("irf")
+def irf(spark, folder):
+    return rounded(irf_frame(spark, folder))
+
+
+@query("fevd")
+def fevd(spark, folder):
+    return rounded(co.variance_shares(irf_frame(spark, folder), ["series"]))
+
+
+@query("irf_summary")
+def irf_summary(spark, folder):
+    return rounded(co.response_summary(irf_frame(spark, folder), ["series"]))
+
+
+@query("fevd_summary")
+def fevd_summary(spark, folder):
+    return rounded(co.top_contributors(co.variance_shares(irf_frame(spark, folder), ["series"]), ["series"], 20))
+
+
+# Quarterly counts of returned value by flag serve as a response table that SQL can build too.
+_RESP = """SELECT l_linestatus AS shock, l_returnflag AS response_variable, CAST(year(l_shipdate) - 1995 AS BIGINT) AS horizon,
+ avg(l_discount) - 0.05 AS response FROM lineitem GROUP BY 1,2,3"""
+
+
+def response_table(spark, folder):
+    li = v.table(spark, folder, "lineitem")
+    return li.groupBy(F.col("l_linestatus").alias("shock"), F.col("l_returnflag").alias("response_variable"), (F.year("l_shipdate") - 1995).cast("long").alias("horizon")).agg(
+        (F.avg("l_discount") - 0.05).alias("response"))
+
+
+@query("fevd_from_irf", sql_with(f"""
+SELECT horizon, response_variable, shock, {r('c / sum(c) OVER (PARTITION BY response_variable, horizon)','proportion')} FROM (
+ SELECT *, sum(response*response) OVER (PARTITION BY shock, response_variable ORDER BY horizon ROWS UNBOUNDED PRECEDING) AS c FROM resp)""", resp=_RESP))
+def fevd_from_irf(spark, folder):
+    """The variance-share windows over a response table made from line items."""
+    return rounded(co.variance_shares(response_table(spark, folder), []))
+
+
+@query("irf_peak_summary", sql_with(f"""
+SELECT shock, response_variable, {r('peak','peak')}, {r('final','final')}, CASE WHEN peak > 0 THEN 'rises' ELSE 'falls' END AS direction,
+ CASE WHEN abs(peak) < 1e-9 OR abs(final) < 0.25*abs(peak) THEN 'decays back toward zero' ELSE 'remains persistently displaced' END AS persistence FROM (
+ SELECT shock, response_variable, arg_max(response, (round(abs(response),12), -horizon)) AS peak, arg_max(response, horizon) AS final FROM resp GROUP BY 1,2)""", resp=_RESP))
+def irf_peak_summary(spark, folder):
+    return rounded(co.response_summary(response_table(spark, folder), []).drop("peak_horizon"))
+
+
+@query("running_response", sql_with(f"SELECT shock, response_variable, horizon, {r('sum(response) OVER (PARTITION BY shock, response_variable ORDER BY horizon ROWS UNBOUNDED PRECEDING)','cumulative_response')} FROM resp", resp=_RESP))
+def running_response(spark, folder):
+    return rounded(co.with_running_response(response_table(spark, folder), []).drop("response"))
+
+
+@query("var_forecast")
+def var_forecast(spark, folder):
+    """VAR(2) of order value and supply differences with the order count as exogenous path."""
+    both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s"), ["series", "date"])
+    out = vm.iterated_var(stored(both, "panel"), SPEC, ["y", "s"], "y", 2, HORIZONS, MIN_TRAIN, STEP, exogenous=["n"])
+    return rounded(out)
+
+
+@query("direct_regression_many")
+def direct_regression_many(spark, folder):
+    both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s"), ["series", "date"])
+    return rounded(vm.direct_regression(stored(both, "panel"), SPEC, ["y", "s"], "y", 2, HORIZONS, MIN_TRAIN, STEP))
+
+
+@query("feature_set_comparison")
+def feature_set_comparison(spark, folder):
+    from tideframe.operators.accuracy_tests import diebold_mariano, model_pairs
+
+    both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s"), ["series", "date"])
+    f = vm.feature_set_comparison(stored(both, "panel"), SPEC, ["y"], ["s"], "y", 2, HORIZONS, MIN_TRAIN, STEP)
+    return rounded(diebold_mariano(model_pairs(stored(f, "forecasts"), ["series"]), ["series"], HORIZONS), 4)
+
+
+@query("var_interval_coverage")
+def var_interval_coverage(spark, folder):
+    out = vm.iterated_var(stored(v.daily_region(spark, folder), "panel"), SPEC, ["y"], "y", 2, HORIZONS, MIN_TRAIN, STEP)
+    return rounded(interval_coverage(out, ["series", "horizon"], {90: "lo90", 95: "lo95"}, {90: "hi90", 95: "hi95"}), 4)
+
+
+@query("arma_hr")
+def arma_hr(spark, folder):
+    """Order by AIC per region, then walk-forward; unstable fits are flagged."""
+    data = stored(v.daily_region(spark, folder).select("series", "date", "y"), "panel")
+    best = stored(vm.arma_orders(data, SPEC, "y", widest=3).filter("best_aic"), "orders")
+    return rounded(vm.arma_forecasts(data, SPEC, "y", best, HORIZONS, MIN_TRAIN, STEP, widest=3))
+
+
+@query("arma_orders")
+def arma_orders(spark, folder):
+    return rounded(vm.arma_orders(v.daily_region(spark, folder).select("series", "date", "y"), SPEC, "y"), 4)
