@@ -219,3 +219,102 @@ def arma_hr(spark, folder):
 @query("arma_orders")
 def arma_orders(spark, folder):
     return rounded(vm.arma_orders(v.daily_region(spark, folder).select("series", "date", "y"), SPEC, "y"), 4)
+
+
+# ---- trees and sequence data -----------------------------------------------
+
+SMALL_TREES = {"maxDepth": 2, "stepSize": 0.1, "maxIter": 5, "subsamplingRate": 0.8}
+
+
+def tree_frame(spark, folder, horizons=(1, 5)):
+    from tideframe.operators.trees import tabular_features
+
+    both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s"), ["series", "date"])
+    data, names = tabular_features(both, SPEC, "y", ["n", "s"], [1, 2, 5], horizons)
+    return stored(data, "features"), names
+
+
+@query("tabular_features")
+def tabular_features(spark, folder):
+    return rounded(tree_frame(spark, folder)[0].drop("n", "s"))
+
+
+@query("gbt_walk_forward")
+def gbt_walk_forward(spark, folder):
+    from tideframe.operators.trees import walk_forward
+
+    data, names = tree_frame(spark, folder)
+    return rounded(walk_forward(data, names, SPEC, "y", (1, 5), MIN_TRAIN, 2, SMALL_TREES), 5)
+
+
+@query("gbt_search")
+def gbt_search(spark, folder):
+    """Three settings over two seeds, ranked, on rows before the first scored origin."""
+    from tideframe.operators.trees import search
+
+    data, names = tree_frame(spark, folder)
+    configs = [SMALL_TREES, {**SMALL_TREES, "maxDepth": 3}, {"maxDepth": 2, "stepSize": 0.1, "maxIter": 3}]
+    return rounded(search(data, names, SPEC, (1,), 150, configs, (42, 7), SMALL_TREES), 5)
+
+
+@query("permutation_importance")
+def permutation_importance(spark, folder):
+    from tideframe.operators import trees
+
+    data, names = tree_frame(spark, folder, (1, 5))
+    rows = trees.assemble(data, names)
+    return rounded(trees.permutation_importance(trees.fit(rows, "target_h1", SMALL_TREES), rows, names, "target_h1", SPEC))
+
+
+_SEQ = "PARTITION BY series ORDER BY date"
+
+
+@query("sequence_dataset", sql_with(f"""
+SELECT series, fold, role, count(*) AS n_windows, min(date) AS first_date, max(date) AS last_date, {r('avg(t1)','mean_target_h1')}, {r('avg(t5)','mean_target_h5')} FROM lab GROUP BY 1,2,3""",
+    "daily_region",
+    d=f"SELECT * FROM (SELECT series, date, y, y-lag(y) OVER ({_SEQ}) AS dy, n-lag(n) OVER ({_SEQ}) AS dn FROM daily_region) WHERE dy IS NOT NULL",
+    wn=f"SELECT *, count(*) OVER ({_SEQ} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS c, lead(dy) OVER ({_SEQ}) AS t1, CASE WHEN count(dy) OVER ({_SEQ} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)=5 THEN sum(dy) OVER ({_SEQ} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) END AS t5 FROM d",
+    num=f"SELECT *, row_number() OVER ({_SEQ}) AS rn, count(*) OVER (PARTITION BY series) AS n_rows FROM wn WHERE c=20 AND t5 IS NOT NULL",
+    fb="SELECT series, f.fold, 100+f.fold*((n_rows-100)//3) AS te, CASE WHEN f.fold=2 THEN n_rows ELSE 100+(f.fold+1)*((n_rows-100)//3) END AS stop FROM (SELECT DISTINCT series, n_rows FROM num), (SELECT unnest(range(3)) AS fold) f",
+    lab="SELECT num.series, fb.fold, date, t1, t5, CASE WHEN rn-1 >= te THEN 'test' WHEN rn-1 >= te - greatest(CAST(floor(te*0.15) AS BIGINT),50) THEN 'val' ELSE 'train' END AS role FROM num JOIN fb ON num.series=fb.series WHERE rn-1 < stop"))
+def sequence_dataset(spark, folder):
+    from tideframe.operators.trees import sequence_dataset as build
+
+    out = build(v.daily_region(spark, folder), SPEC, "y", ["n"], 20, (1, 5), 100, 3)
+    return rounded(out.groupBy("series", "fold", "role").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.avg("target_h1").alias("mean_target_h1"), F.avg("target_h5").alias("mean_target_h5")))
+
+
+@query("scaled_windows")
+def scaled_windows(spark, folder):
+    """The scaled windows themselves; nested arrays have no portable hash, so no SQL twin."""
+    from tideframe.operators.trees import sequence_dataset as build
+
+    return build(v.daily_region(spark, folder), SPEC, "y", ["n"], 20, (1, 5), 100, 3)
+
+
+@query("direct_regression", sql_with(f"""
+SELECT series, date AS origin_date, {r('y + a + b*d','pred')} FROM (
+ SELECT *, regr_slope(c5, x5) OVER e AS b, regr_intercept(c5, x5) OVER e AS a, row_number() OVER ({_SEQ}) AS rn, count(*) OVER (PARTITION BY series) AS n_rows FROM (
+  SELECT *, lag(d,5) OVER ({_SEQ}) AS x5 FROM (SELECT series, date, y, y-lag(y) OVER ({_SEQ}) AS d, y-lag(y,5) OVER ({_SEQ}) AS c5 FROM daily_region))
+ WINDOW e AS ({_SEQ} ROWS UNBOUNDED PRECEDING)) WHERE rn >= {MIN_TRAIN} AND (rn-{MIN_TRAIN}) % {STEP} = 0 AND rn < n_rows - 5""", "daily_region"))
+def direct_regression(spark, folder):
+    """The moment-matrix arm with one regressor against SQL's regression aggregates."""
+    data = stored(v.daily_region(spark, folder).select("series", "date", "y"), "panel")
+    out = vm.direct_regression(data, SPEC, ["y"], "y", 1, (5,), MIN_TRAIN, STEP)
+    return rounded(out.select("series", "origin_date", "pred"))
+
+
+@query("ar1_iterated", sql_with(f"""
+SELECT series, date AS origin_date, {r('y + 5*m + (d-m)*b*(1-pow(b,5))/(1-b)','pred')}, {r(f'{vm.Z90!r}*sqrt(s2*list_sum(list_transform(range(5), lambda q: pow((1-pow(b,q+1))/(1-b),2))))','half90')} FROM (
+ SELECT *, a/(1-b) AS m, (syy-b*sxy)/(rc-2) AS s2 FROM (
+ SELECT *, regr_slope(d, d1) OVER e AS b, regr_intercept(d, d1) OVER e AS a, regr_syy(d,d1) OVER e AS syy, regr_sxy(d,d1) OVER e AS sxy, regr_count(d,d1) OVER e AS rc,
+  row_number() OVER ({_SEQ}) AS rn, count(*) OVER (PARTITION BY series) AS n_rows FROM (
+  SELECT *, lag(d) OVER ({_SEQ}) AS d1 FROM (SELECT series, date, y, y-lag(y) OVER ({_SEQ}) AS d FROM daily_region))
+ WINDOW e AS ({_SEQ} ROWS UNBOUNDED PRECEDING))) WHERE rn >= {MIN_TRAIN} AND (rn-{MIN_TRAIN}) % {STEP} = 0 AND rn < n_rows - 5""", "daily_region"))
+def ar1_iterated(spark, folder):
+    """The vector arm with one variable and one lag, with its band, against SQL's regression aggregates."""
+    data = stored(v.daily_region(spark, folder).select("series", "date", "y"), "panel")
+    out = vm.iterated_var(data, SPEC, ["y"], "y", 1, (5,), MIN_TRAIN, STEP)
+    return rounded(out.select("series", "origin_date", "pred", (F.col("hi90") - F.col("pred")).alias("half90")))

@@ -88,7 +88,7 @@ def extreme_rows(spark, folder):
 
 @query("head_rows", sql_with(f"SELECT series, date, {r('y','y')} FROM daily_region ORDER BY series, date LIMIT 20", "daily_region"))
 def head_rows(spark, folder):
-    """The inspection view of the reference: the first rows in order. The limit is the feature."""
+    """The inspection view: the first rows in order. The limit is the feature."""
     return rounded(v.daily_region(spark, folder).orderBy("series", "date").limit(20).select("series", "date", "y"))
 
 
@@ -174,7 +174,7 @@ def best_vs_canonical(spark, folder):
     return rounded(pf.best_against_canonical(flagged, ["search"]))
 
 
-@query("param_grid", """SELECT n_name AS series, depth, rate FROM nation, (SELECT unnest([2,3,4]) AS depth), (SELECT unnest([0.01,0.03,0.1]) AS rate)""")
+@query("param_grid", """SELECT n_name AS series, depth, rate FROM nation, (SELECT unnest([2,3,4]) AS depth), (SELECT CAST(unnest([0.01,0.03,0.1]) AS DOUBLE) AS rate)""")
 def param_grid(spark, folder):
     """A grid of settings for every series; its size is fixed by the arguments."""
     grid = sp.parameter_grid(spark, depth=[2, 3, 4], rate=[0.01, 0.03, 0.1]).withColumn("depth", F.col("depth").cast("int"))

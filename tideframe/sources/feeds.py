@@ -119,5 +119,5 @@ def calendar_pairs(texts: DataFrame, keep: Sequence[str], text: str, heading: st
         F.regexp_extract_all("_s", F.lit(PAIR), F.lit(2)).alias("b"))
     rows = section.select(*keep, F.posexplode(both).alias("position", "p"))
     return rows.select(
-        *keep, "position", to_day(F.col("p")["0"], "MMMM d, yyyy").alias("release_date"),
-        to_day(F.col("p")["1"], "MMMM yyyy").alias("reference_month"))
+        *keep, "position", to_day(F.col("p")["a"], "MMMM d, yyyy").alias("release_date"),
+        to_day(F.col("p")["b"], "MMMM yyyy").alias("reference_month"))
