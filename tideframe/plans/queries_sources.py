@@ -122,10 +122,10 @@ def calendar_texts(spark, folder):
 WITH m AS (SELECT DISTINCT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders),
 k AS (SELECT o_custkey, count(*) AS c FROM m GROUP BY 1),
 pairs AS (SELECT o_custkey, month, CAST(month + INTERVAL 1 MONTH + INTERVAL 19 DAY AS DATE) AS release_date FROM m
- UNION ALL SELECT o_custkey, DATE '1989-12-01', DATE '1990-01-09' FROM k WHERE c < 3)
+ UNION ALL SELECT o_custkey, DATE '1989-12-01', DATE '1990-01-09' FROM k WHERE c < 2)
 SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY month) - 1 AS position, release_date, month AS reference_month FROM pairs""")
 def text_pair_extract(spark, folder):
-    """Tables with fewer than three pairs are not confirmed, so their text is read from the first heading on."""
+    """A heading needs three pairs within reach, the next table's pair counts; else the text is read from the first heading on."""
     out = fd.calendar_pairs(calendar_texts(spark, folder), ["o_custkey"], "text", "Consumer Price Index", "Employment Insurance")
     return out.withColumn("position", F.col("position").cast("long"))
 
