@@ -110,7 +110,7 @@ def expanding_solve(
     rows = df.select(*keys, "rn", "is_origin", column, *carried).withColumn("_chunk", F.floor((F.col("rn") - 1) / chunk_rows))
     sums_schema = T.StructType([*_fields(rows, on), T.StructField("g", T.ArrayType(T.DoubleType()))])
 
-    def one_chunk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_chunk(key, pdf):
         x = np.stack(pdf[column].to_numpy())
         return pd.DataFrame([(*key, (x.T @ x).ravel().tolist())], columns=[*on, "g"])
 
@@ -122,7 +122,7 @@ def expanding_solve(
     out_schema = T.StructType([*_fields(rows, keys), *schema.fields])
     names = out_schema.fieldNames()
 
-    def walk(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def walk(key, left, right):
         left = left.sort_values("rn")
         g = square(right["g"].iloc[0]) if len(right) else None
         pending: list[np.ndarray] = []

@@ -252,7 +252,9 @@ def arma_forecasts(
     smaller order works, that order's forecast.
     """
     rows = _arma_rows(df, spec, level, widest, ar_order, min_train)
-    rows = _origins(rows, spec, level, horizons, min_train + ar_order + 2 * widest, step)
+    rows = _origins(rows, spec, level, horizons, min_train, step)
+    warm = F.col("rn") >= min_train + ar_order + 2 * widest
+    rows = rows.withColumn("is_origin", F.col("is_origin") & warm)
     rows = rows.join(orders.select(*spec.keys, "p", "q"), list(spec.keys))
     top = max(horizons)
 

@@ -111,8 +111,9 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A run report; missing or corrupt reports give no rows."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    raw = spark.read.schema(f"{schema}, _corrupt STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return raw.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = F.from_json("value", f"{schema}, _corrupt STRING", options).alias("r")
+    return spark.read.text(path).select(parsed).select("r.*").filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
 def export_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
