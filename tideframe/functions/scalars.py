@@ -47,7 +47,9 @@ def year_month(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), F.lit(SECRET_PARAMETER), F.lit(f"$1{REDACTED}".replace("***", "***")))
+    """Hide the values of secret parameters; text without an equals sign skips the pattern."""
+    text = F.coalesce(c, F.lit(""))
+    return F.when(text.contains("="), F.regexp_replace(text, F.lit(SECRET_PARAMETER), F.lit(f"$1{REDACTED}"))).otherwise(text)
 
 
 def safe_id(c: Column) -> Column:

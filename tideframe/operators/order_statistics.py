@@ -8,19 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.panel import UNBOUNDED
+from tideframe.session import stored
 
 
 def _narrow(rows: DataFrame, targets: DataFrame, on: list[str], bin_of: Column, name: str) -> tuple[DataFrame, DataFrame]:
-    """Count rows per bin, find the bin of each target rank, keep only rows of such bins."""
+    """Count rows per bin, find the bin of each target rank, keep only rows of such bins.
+
+    The targets are stored: a few rows per group, whose file size lets the planner
+    decide whether the join that follows is a broadcast.
+    """
     binned = rows.withColumn(name, bin_of)
-    counts = binned.groupBy(*on, name).agg(
-        F.sum("_w").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    counts = binned.groupBy(*on, name).agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     before = Window.partitionBy(*on).orderBy(name).rowsBetween(UNBOUNDED, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
     hit = targets.join(counts, on).filter(
         (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_in")))
-    hit = hit.withColumn("_rank", F.col("_rank") - F.col("_before")).drop("_before", "_in")
-    wanted = hit.groupBy(*on, name).agg(F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    hit = stored(hit.withColumn("_rank", F.col("_rank") - F.col("_before")).drop("_before", "_in"), "ranks")
+    wanted = hit.select(*on, name, "_lo", "_hi").distinct()
     kept = binned.drop("_lo", "_hi").join(wanted, [*on, name])
     return kept, hit.drop("_lo", "_hi")
 
@@ -28,12 +32,13 @@ def _narrow(rows: DataFrame, targets: DataFrame, on: list[str], bin_of: Column,
 def pick_ranks(df: DataFrame, groups: Sequence[str], value: str, ranks: DataFrame) -> DataFrame:
     """The value at each 1-based rank. ``ranks`` holds the groups, a ``label`` and ``rank``.
 
-    Equal values are merged on the map side, then two rounds of counting per bin (by
-    magnitude, then linear inside the bin) shrink a group of any size to the few
-    distinct values that can hold the rank; only those are ordered.
+    Two rounds of counting per bin (by magnitude, then linear inside the bin) shrink a
+    group of any size to the few values that can hold the rank. The rows themselves are
+    scanned, never shuffled: only bin counts and the last candidates move, and equal
+    candidates are merged on the map side.
     """
     on = list(groups)
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*on, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+    rows = df.filter(F.col(value).isNotNull()).select(*on, F.col(value).cast("double").alias("_v"))
     targets = ranks.select(*on, "label", F.col("rank").alias("_rank"))
     magnitude = F.floor(F.log2(F.abs("_v") + 1e-9) * 64) + 2000
     coarse = F.when(F.col("_v") < 0, -magnitude).otherwise(magnitude)
@@ -41,9 +46,10 @@ def pick_ranks(df: DataFrame, groups: Sequence[str], value: str, ranks: DataFram
     width = F.col("_hi") - F.col("_lo")
     fine = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * 4095)).otherwise(0)
     rows, targets = _narrow(rows, targets, [*on, "_b1"], fine, "_b2")
-    inside = Window.partitionBy(*on, "_b1", "_b2").orderBy("_v").rowsBetween(UNBOUNDED, 0)
-    ordered = rows.withColumn("_upto", F.sum("_w").over(inside))
-    found = targets.join(ordered, [*on, "_b1", "_b2"]).filter(
+    bins = [*on, "_b1", "_b2"]
+    inside = Window.partitionBy(*bins).orderBy("_v").rowsBetween(UNBOUNDED, 0)
+    ordered = rows.groupBy(*bins, "_v").agg(F.count(F.lit(1)).alias("_w")).withColumn("_upto", F.sum("_w").over(inside))
+    found = targets.join(ordered, bins).filter(
         (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_w")))
     return found.select(*on, "label", F.col("_v").alias("value"))
 
@@ -53,6 +59,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, levels: Se
     on = list(groups)
     sizes = df.groupBy(*on).agg(F.count(value).alias("_n")).filter("_n > 0")
     wanted = sizes.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in levels])))
+    wanted = stored(wanted, "levels")
     at = wanted.withColumn("_at", (F.col("_n") - 1) * F.col("_p"))
     ends = F.explode(F.array(
         F.struct(F.lit("lo").alias("end"), (F.floor("_at") + 1).alias("rank")),

@@ -142,7 +142,7 @@ def redact_secrets(spark, folder):
     p = v.table(spark, folder, "pages").select(
         F.col("page_id").alias("id"), F.lit("pages").alias("origin"), F.concat("url", F.lit("&token="), F.md5("url"), F.lit(" "), "html").alias("text"))
     clean = F.md5(sc.redact(F.col("text")))
-    return d.unionByName(p).select("id", "origin", clean.alias("clean_md5"), F.col("text").rlike(sc.SECRET_PARAMETER).alias("had_secret"))
+    return d.unionByName(p).select("id", "origin", clean.alias("clean_md5"), (F.col("text").contains("=") & F.col("text").rlike(sc.SECRET_PARAMETER)).alias("had_secret"))
 
 
 @query("safe_series_ids", "SELECT DISTINCT replace(replace(url, '/', '_'), '.', '_') AS safe FROM pages")

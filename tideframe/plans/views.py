@@ -1,7 +1,7 @@
 """Panels over the star-schema tables, each with the same definition as SQL text.
 
-Money is summed as decimals, so a total does not depend on the order in which
-partitions are merged.
+Money is summed as whole cents, so a total does not depend on the order in which
+partitions are merged, and the sums stay in primitive longs.
 """
 
 from __future__ import annotations
@@ -28,14 +28,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def money(name: str) -> Column:
-    return F.col(name).cast("decimal(18,2)")
+def cents(name: str) -> Column:
+    """A two-decimal amount as a whole number of hundredths."""
+    return F.rint(F.col(name) * 100).cast("long")
+
+
+def net_value() -> Column:
+    """Discounted price of a line item in units of 1/10,000."""
+    return cents("l_extendedprice") * (100 - cents("l_discount"))
 
 
 def located_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with date, price and the nation and region of the customer."""
     orders = table(spark, folder, "orders").select(
-        "o_custkey", F.to_date("o_orderdate").alias("date"), money("o_totalprice").alias("price"))
+        "o_custkey", F.to_date("o_orderdate").alias("date"), cents("o_totalprice").alias("cents"))
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, folder, "nation")
     region = table(spark, folder, "region")
@@ -48,7 +54,7 @@ def located_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def _daily(spark: SparkSession, folder: str, key: str) -> DataFrame:
     return located_orders(spark, folder).groupBy(F.col(key).alias("series"), "date").agg(
-        F.ln(F.sum("price").cast("double")).alias("y"), F.count(F.lit(1)).alias("n"))
+        F.ln(F.sum("cents") / 100.0).alias("y"), F.count(F.lit(1)).alias("n"))
 
 
 def daily_region(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,23 +66,21 @@ def daily_nation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_ship(spark: SparkSession, folder: str) -> DataFrame:
-    value = money("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
     return table(spark, folder, "lineitem").groupBy(
         F.col("l_returnflag").alias("series"), F.to_date("l_shipdate").alias("date")
-    ).agg(F.ln(F.sum(value).cast("double")).alias("y"), F.sum(money("l_quantity")).cast("double").alias("q"))
+    ).agg(F.ln(F.sum(net_value()) / 10000.0).alias("y"), (F.sum(cents("l_quantity")) / 100.0).alias("q"))
 
 
 def daily_supply(spark: SparkSession, folder: str) -> DataFrame:
     """Shipped value and quantity per day and region of the supplier: a second calendar for the same keys."""
-    value = money("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
-    shipped = table(spark, folder, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(value).alias("value"), F.sum(money("l_quantity")).alias("quantity"))
+    shipped = table(spark, folder, "lineitem").select(
+        "l_suppkey", F.to_date("l_shipdate").alias("date"), net_value().alias("value"), cents("l_quantity").alias("quantity"))
     return (
         shipped.join(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .groupBy(F.col("r_name").alias("series"), "date")
-        .agg(F.ln(F.sum("value").cast("double")).alias("s"), F.sum("quantity").cast("double").alias("q"))
+        .agg(F.ln(F.sum("value") / 10000.0).alias("s"), (F.sum("quantity") / 100.0).alias("q"))
     )
 
 
@@ -93,7 +97,7 @@ def monthly_cell(spark: SparkSession, folder: str) -> DataFrame:
 def _monthly(spark: SparkSession, folder: str, key: Column) -> DataFrame:
     month = F.trunc("date", "month")
     return located_orders(spark, folder).groupBy(key.alias("series"), month.alias("month")).agg(
-        (F.exp(F.avg(F.ln(F.col("price").cast("double")))) / 1000.0).alias("v")
+        (F.exp(F.avg(F.ln(F.col("cents") / 100.0))) / 1000.0).alias("v")
     ).withColumn("release_date", F.date_add(F.add_months("month", 1), 19))
 
 

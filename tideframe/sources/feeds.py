@@ -89,31 +89,38 @@ def release_entries(feed: DataFrame, prefix: str, keep: Sequence[str] = ()) -> D
 PAIR = r"([A-Z][a-z]+ \d{1,2}, \d{4})\s+([A-Z][a-z]+ \d{4})"
 
 
-def section_text(text: Column, heading: str, stop: str, lookahead: int = 400, least: int = 3, fallback: int = 6000) -> Column:
-    """The section of a text that starts at the first heading followed by real date pairs.
+def with_section(
+    texts: DataFrame, text: str, heading: str, stop: str, alias: str = "section", lookahead: int = 400, least: int = 3, fallback: int = 6000
+) -> DataFrame:
+    """Add the section of each text that starts at the first heading followed by real date pairs.
 
     Headings are found by splitting the whole text on them; a heading counts when the
     ``lookahead`` characters from it hold at least ``least`` pairs, else the first one
     is used. The section ends at the next ``stop`` heading or after ``fallback``
-    characters. Texts without the heading give null.
+    characters. Texts without the heading are dropped.
     """
-    parts = F.split(text, F.concat(F.lit("\\Q"), F.lit(heading), F.lit("\\E")))
     size = len(heading)
-    lengths = F.transform(parts, lambda p: F.length(p) + size)
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(1), lambda acc, n: acc + n, lambda total: total - size))
-    confirmed = F.filter(
-        starts, lambda s: F.size(F.regexp_extract_all(F.substr(text, s, F.lit(lookahead)), F.lit(PAIR), F.lit(0))) >= least)
-    start = F.coalesce(F.get(confirmed, F.lit(0)), F.get(starts, F.lit(0)))
-    rest = F.substr(text, start)
-    end = F.instr(rest, stop)
-    return F.when(F.size(parts) > 1, F.when(end > 0, F.substr(rest, F.lit(1), end - 1)).otherwise(F.substr(rest, F.lit(1), F.lit(fallback))))
+    whole = F.col(text)
+    # The offset of each heading: every piece before it plus the headings between them.
+    starts = F.aggregate(
+        F.slice("_lengths", F.lit(1), F.size("_lengths") - 1), F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("seen")),
+        lambda s, n: F.struct((s["at"] + n + size).alias("at"), F.array_append(s["seen"], s["at"] + n).alias("seen")), lambda s: s["seen"])
+    pairs_near = lambda at: F.size(F.regexp_extract_all(F.substr(whole, at, F.lit(lookahead)), F.lit(PAIR), F.lit(0)))
+    confirmed = F.filter("_starts", lambda at: pairs_near(at) >= least)
+    found = texts.filter(whole.contains(heading))
+    lengths = F.transform(F.split(whole, F.lit("\\Q" + heading + "\\E")), lambda part: F.length(part))
+    staged = (
+        found.withColumn("_lengths", lengths).withColumn("_starts", starts)
+        .withColumn("_at", F.coalesce(F.get(confirmed, F.lit(0)), F.get("_starts", F.lit(0))))
+        .withColumn("_rest", F.substr(whole, F.col("_at")))
+        .withColumn("_end", F.instr("_rest", stop)))
+    length = F.when(F.col("_end") > 0, F.col("_end") - 1).otherwise(F.lit(fallback))
+    return staged.withColumn(alias, F.substr("_rest", F.lit(1), length)).drop("_lengths", "_starts", "_at", "_rest", "_end")
 
 
 def calendar_pairs(texts: DataFrame, keep: Sequence[str], text: str, heading: str, stop: str) -> DataFrame:
     """Release date and reference month pairs of each text's section, in text order."""
-    section = texts.select(*keep, section_text(F.col(text), heading, stop).alias("_s")).filter(F.col("_s").isNotNull())
+    section = with_section(texts, text, heading, stop, "_s").select(*keep, "_s")
     both = F.arrays_zip(
         F.regexp_extract_all("_s", F.lit(PAIR), F.lit(1)).alias("a"),
         F.regexp_extract_all("_s", F.lit(PAIR), F.lit(2)).alias("b"))
