@@ -312,3 +312,22 @@ def test_status_rules(spark):
     assert {r["source"]: r["status"] for r in status.collect()} == {"a": "success", "b": "warning", "c": "failed"}
     assert ct.run_status(status).first()["gold"] == "skipped"
     assert ct.run_status(status.filter("source <> 'c'")).first()["status"] == "warning"
+
+
+def test_silver_job_replay_and_refusal(spark, tmp_path):
+    from tideframe.plans.silver import run_silver
+    from tideframe.sources.tables import exists, read_archive
+
+    old, new = pull(spark, "p1", m202001=100.0, m202002=100.5), pull(spark, "p2", m202002=100.6, m202003=101.0)
+    mapping = spark.createDataFrame([(D(2020, m, 1), D(2020, m, 25)) for m in (1, 2)], "reference_month date, release_date date")
+    allowed = spark.createDataFrame([(D(2020, 3, 1),)], "reference_month date")
+    none = allowed.limit(0)
+    paths = dict(archive_path=str(tmp_path / "archive"), silver_path=str(tmp_path / "silver"))
+    job = lambda **kw: run_silver(spark, old, new, mapping, keys=KEYS, start="2020-01-01", end="2020-12-31", limit=1.0, **paths, **kw)
+    with pytest.raises(ct.ContractError, match="mapped_or_allowed"):
+        job(allowed=none, replay=False)
+    assert not exists(spark, paths["silver_path"]) and not exists(spark, paths["archive_path"])
+    assert job(allowed=allowed, replay=True).count() == 3
+    assert not exists(spark, paths["archive_path"])
+    job(allowed=allowed, replay=False)
+    assert read_archive(spark, paths["archive_path"]).count() == 3

@@ -53,8 +53,7 @@ def asof_release(
     )
     if not carry_in and spec.grain is not None:
         first = facts.groupBy(*on).agg(F.min(spec.time).alias("_first"))
-        joined = newest.join(first, on) if on else newest.crossJoin(first)
-        newest = joined.filter(F.col(spec.time) >= F.col("_first")).drop("_first")
+        newest = newest.join(first, on).filter(F.col(spec.time) >= F.col("_first")).drop("_first")
     published = newest.select(*on, spec.time, *values, F.lit(0).alias("_fact"))
     held = facts.drop(*values)
     stacked = held.withColumn("_fact", F.lit(1)).unionByName(published, allowMissingColumns=True)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.panel import Framed, PanelSpec, framed
+
 
 class ContractError(ValueError):
     """A contract does not hold."""
@@ -42,10 +44,10 @@ def enforce(checks: DataFrame) -> None:
         raise ContractError("; ".join(str(row.asDict()) for row in failed))
 
 
-def out_of_order(df: DataFrame, keys: Sequence[str], time: str, position: str) -> DataFrame:
-    """Rows whose time is not after the row before them in ingest position."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    return df.withColumn("_before", F.lag(time).over(w)).filter(F.col(time) <= F.col("_before")).drop("_before")
+def out_of_order(df: DataFrame, spec: PanelSpec, value: str) -> DataFrame:
+    """Rows whose ``value`` is not after the one of the row before them; ``spec.time`` is the ingest position."""
+    seen = framed(df, spec, Framed(1, 0, lambda w: {"_before": F.lag(value).over(w)}))
+    return seen.filter(F.col(value) <= F.col("_before")).drop("_before")
 
 
 def known_too_early(df: DataFrame, known: str, valid: str) -> DataFrame:

@@ -96,6 +96,19 @@ def observed_volatility(df: DataFrame, spec: PanelSpec, column: str, windows: Se
     return framed(df.filter(F.col(column).isNotNull()), spec, *items)
 
 
+def clamp(df: DataFrame, time: str, start: str, end: str) -> DataFrame:
+    """Closed date range; a frame without the column is refused."""
+    if time not in df.columns:
+        raise ValueError(f"no column {time!r} to clamp")
+    return df.filter(F.col(time).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def day_window(df: DataFrame, time: str, start: str, end: str) -> DataFrame:
+    """Half-open window in whole days: stamps within the last day stay."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    return df.filter((F.col(time) >= first) & (F.col(time) < F.date_add(last, 1)))
+
+
 def calendar_grid(df: DataFrame, spec: PanelSpec, unit: str = "day") -> DataFrame:
     """All days or months between the first and the last row of each series."""
     step = F.expr(f"interval 1 {unit}")

@@ -131,9 +131,9 @@ def dataset_metadata(forecasts: DataFrame, groups: Sequence[str]) -> DataFrame:
 def common_origins(forecasts: DataFrame, keys: Sequence[str], model: str = "model") -> DataFrame:
     """Keep the origins that every model covers."""
     have = forecasts.select(*keys, model, "origin_date").distinct()
-    models = have.groupBy(*keys).agg(F.count_distinct(model).alias("_all")) if keys else have.agg(F.count_distinct(model).alias("_all"))
+    models = have.groupBy(*keys).agg(F.count_distinct(model).alias("_all"))
     covered = have.groupBy(*keys, "origin_date").agg(F.count(F.lit(1)).alias("_have"))
-    full = covered.join(models, list(keys)) if keys else covered.crossJoin(models)
+    full = covered.join(models, list(keys))
     return forecasts.join(full.filter("_have = _all"), [*keys, "origin_date"], "left_semi")
 
 

@@ -131,10 +131,13 @@ def leakage_report(roles: DataFrame, groups: Sequence[str], target_position: str
     ).withColumn("leak_free", F.col("last_train_target") < F.col("first_test_row"))
 
 
-def parameter_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
-    """Cartesian product of parameter values."""
-    grid = None
+def with_parameters(df: DataFrame, **axes: Sequence) -> DataFrame:
+    """Repeat each row for every combination of parameter values, which are literals of the plan."""
     for name, values in axes.items():
-        axis = spark.createDataFrame([(v,) for v in values], [name])
-        grid = axis if grid is None else grid.crossJoin(axis)
-    return grid
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df
+
+
+def parameter_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
+    """All combinations of parameter values, one row each."""
+    return with_parameters(spark.range(1), **axes).drop("id")

@@ -5,8 +5,9 @@ physical forms of the same logical window:
 
 * ``grain=None``: the series is bounded by its calendar (daily or monthly rows,
   unique per key and date, so a century is 36,525 rows). One window per key.
-* ``grain="hour"`` and the like: rows per key have no bound and one key may hold a
-  large share of the table. Row positions are found by counting per time bucket,
+* ``grain="minute"`` and the like: rows per key have no bound and one key may hold a
+  large share of the table. Choose the grain so that one bucket of the largest series
+  sorts well in one task; the number of buckets may be large. Row positions are found by counting per time bucket,
   the series is cut into blocks of ``block_rows`` rows, each block carries the few
   neighbour rows its frames need, and running values carry a total per bucket.
   No task ever sees a whole series.
@@ -28,7 +29,7 @@ class PanelSpec:
     keys: tuple[str, ...] = ("series",)
     time: str = "date"
     tie: tuple[str, ...] = ()
-    grain: str | None = None
+    grain: str | int | None = None
     block_rows: int = 100_000
 
     @property
@@ -37,6 +38,7 @@ class PanelSpec:
 
     @property
     def key_columns(self) -> list[Column]:
+        """Partitioning columns; one calendar-bounded series without keys is one partition."""
         return [F.col(k) for k in self.keys] or [F.lit(0)]
 
     def window(self) -> WindowSpec:
@@ -46,6 +48,9 @@ class PanelSpec:
         return replace(self, keys=(*self.keys, *extra))
 
     def bucket(self) -> Column:
+        """Time bucket of a long series: a unit name for times, a width for numbers."""
+        if isinstance(self.grain, int):
+            return F.floor(F.col(self.time) / self.grain)
         return F.date_trunc(self.grain, F.col(self.time))
 
 
@@ -92,8 +97,6 @@ def series_length(df: DataFrame, spec: PanelSpec, name: str = "n_rows") -> DataF
     """
     if spec.grain is None:
         return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*spec.key_columns)))
-    if not spec.keys:
-        return df.crossJoin(df.agg(F.count(F.lit(1)).alias(name)))
     return df.join(df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias(name)), list(spec.keys))
 
 

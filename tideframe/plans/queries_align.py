@@ -45,18 +45,16 @@ def complete_cases(spark, folder):
 
 @query("range_clamp", sql_with(f"SELECT series, date, {r('y','y')} FROM daily_region WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'", "daily_region"))
 def range_clamp(spark, folder):
-    d = v.daily_region(spark, folder)
-    lo, hi = F.lit("1996-01-01").cast("date"), F.lit("1997-12-31").cast("date")
-    return rounded(d.filter(F.col("date").between(lo, hi)).select("series", "date", "y"))
+    """The range is sent to the scan and checked again on the result."""
+    d = v.daily_region(spark, folder, "1996-01-01", "1997-12-31")
+    return rounded(ft.clamp(d, "date", "1996-01-01", "1997-12-31").select("series", "date", "y"))
 
 
 @query("half_open_window", """
 SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-11'""")
 def half_open_window(spark, folder):
     """The last day counts in full although its stamps are intraday."""
-    first, last = F.lit("2024-01-05").cast("date"), F.lit("2024-01-10").cast("date")
-    inside = (F.col("ts") >= first) & (F.col("ts") < F.date_add(last, 1))
-    return v.table(spark, folder, "events").filter(inside).select("event_id", "event_type")
+    return ft.day_window(v.table(spark, folder, "events"), "ts", "2024-01-05", "2024-01-10").select("event_id", "event_type")
 
 
 @query("series_splice", sql_with(f"""
@@ -80,7 +78,7 @@ def stitched_scan(spark, folder):
 SELECT series, CASE WHEN date < DATE '1998-01-01' THEN 'legacy' ELSE 'current' END AS side, count(*) AS n_rows
 FROM daily_region WHERE date BETWEEN DATE '1997-12-01' AND DATE '1998-01-31' GROUP BY 1,2""", "daily_region"))
 def splice_transition(spark, folder):
-    d = v.daily_region(spark, folder).filter(F.col("date").between(F.lit("1997-12-01").cast("date"), F.lit("1998-01-31").cast("date")))
+    d = v.daily_region(spark, folder, "1997-12-01", "1998-01-31")
     side = F.when(F.col("date") < F.lit(BREAK).cast("date"), "legacy").otherwise("current")
     return d.groupBy("series", side.alias("side")).agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -132,7 +130,7 @@ def asof_release(spark, folder):
     f"SELECT series, date, {r('v','v')} FROM (SELECT f.series, f.date, a.v FROM late f ASOF LEFT JOIN monthly_region a ON f.series=a.series AND f.date >= a.release_date)",
     "daily_region", "monthly_region", late="SELECT * FROM daily_region WHERE date >= DATE '1997-01-01'"))
 def asof_release_carry_in(spark, folder):
-    facts = v.daily_region(spark, folder).filter(F.col("date") >= F.lit("1997-01-01").cast("date")).select("series", "date")
+    facts = v.daily_region(spark, folder, first="1997-01-01").select("series", "date")
     return rounded(al.asof_release(facts, v.monthly_region(spark, folder), SPEC, "release_date", ["v"], tie=["month"], carry_in=True))
 
 
@@ -143,7 +141,7 @@ def asof_long_series(spark, folder):
     """Every other event sees the newest error before it: one series of all events, run in time blocks."""
     from tideframe.panel import PanelSpec
 
-    whole = PanelSpec(keys=("feed",), time="ts", tie=("event_id",), grain="hour")
+    whole = PanelSpec(keys=("feed",), time="ts", tie=("event_id",), grain="minute")
     e = v.events(spark, folder).withColumn("feed", F.lit("all"))
     facts = e.filter("event_type <> 'error'").select("feed", "ts", "event_id")
     errors = e.filter("event_type = 'error'").select("feed", F.col("ts").alias("known"), "event_id", F.col("x").alias("last_error_x"))

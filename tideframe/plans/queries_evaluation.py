@@ -372,7 +372,7 @@ SELECT series, horizon, n_cal, {r('max(e) FILTER (i = ceil(round((n_cal+1)*0.90,
  SELECT series, horizon, abs(actual-pred) AS e, row_number() OVER (PARTITION BY series, horizon ORDER BY abs(actual-pred)) AS i, count(*) OVER (PARTITION BY series, horizon) AS n_cal
  FROM fc WHERE model='drift') GROUP BY 1,2,3"""))
 def conformal_quantile(spark, folder):
-    res = forecasts(spark, folder).filter("model = 'drift'").withColumn("e", F.col("actual") - F.col("pred"))
+    res = stored(forecasts(spark, folder).filter("model = 'drift'").select("series", "horizon", (F.col("actual") - F.col("pred")).alias("e")), "residuals")
     return rounded(iv.conformal_quantiles(res, ["series", "horizon"], "e", {"q90": 0.90, "q95": 0.95}))
 
 

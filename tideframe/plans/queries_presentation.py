@@ -177,8 +177,8 @@ def best_vs_canonical(spark, folder):
 @query("param_grid", """SELECT n_name AS series, depth, rate FROM nation, (SELECT unnest([2,3,4]) AS depth), (SELECT CAST(unnest([0.01,0.03,0.1]) AS DOUBLE) AS rate)""")
 def param_grid(spark, folder):
     """A grid of settings for every series; its size is fixed by the arguments."""
-    grid = sp.parameter_grid(spark, depth=[2, 3, 4], rate=[0.01, 0.03, 0.1]).withColumn("depth", F.col("depth").cast("int"))
-    return v.table(spark, folder, "nation").select(F.col("n_name").alias("series")).crossJoin(grid)
+    series = v.table(spark, folder, "nation").select(F.col("n_name").alias("series"))
+    return sp.with_parameters(series, depth=[2, 3, 4], rate=[0.01, 0.03, 0.1])
 
 
 # ---- the table behind each chart ------------------------------------------

@@ -21,7 +21,7 @@ REGIMES = (
 )
 SPEC = PanelSpec()
 MONTHLY = PanelSpec(time="month")
-EVENTS = PanelSpec(keys=("event_type",), time="ts", tie=("event_id",), grain="hour", block_rows=1000)
+EVENTS = PanelSpec(keys=("event_type",), time="ts", tie=("event_id",), grain="minute", block_rows=1000)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,9 +38,17 @@ def net_value() -> Column:
     return cents("l_extendedprice") * (100 - cents("l_discount"))
 
 
-def located_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with date, price and the nation and region of the customer."""
-    orders = table(spark, folder, "orders").select(
+def located_orders(spark: SparkSession, folder: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Orders with date, price and the nation and region of the customer.
+
+    A date range is applied to the stored timestamp, half-open, so it reaches the scan.
+    """
+    orders = table(spark, folder, "orders")
+    if first:
+        orders = orders.filter(F.col("o_orderdate") >= F.lit(first).cast("timestamp_ntz"))
+    if last:
+        orders = orders.filter(F.col("o_orderdate") < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz"))
+    orders = orders.select(
         "o_custkey", F.to_date("o_orderdate").alias("date"), cents("o_totalprice").alias("cents"))
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, folder, "nation")
@@ -52,13 +60,13 @@ def located_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _daily(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    return located_orders(spark, folder).groupBy(F.col(key).alias("series"), "date").agg(
+def _daily(spark: SparkSession, folder: str, key: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    return located_orders(spark, folder, first, last).groupBy(F.col(key).alias("series"), "date").agg(
         F.ln(F.sum("cents") / 100.0).alias("y"), F.count(F.lit(1)).alias("n"))
 
 
-def daily_region(spark: SparkSession, folder: str) -> DataFrame:
-    return _daily(spark, folder, "r_name")
+def daily_region(spark: SparkSession, folder: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    return _daily(spark, folder, "r_name", first, last)
 
 
 def daily_nation(spark: SparkSession, folder: str) -> DataFrame:

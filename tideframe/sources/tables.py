@@ -75,9 +75,9 @@ def write_mapping(mapping: DataFrame, path: str, start: str, end: str) -> int:
 
     ``end`` never cuts months that are already known beyond it.
     """
-    known = mapping.agg(F.max("reference_month").alias("_last"))
-    last = F.greatest(F.lit(end).cast("date"), F.col("_last"))
-    kept = mapping.join(known).filter(F.col("reference_month").between(F.lit(start).cast("date"), last)).drop("_last")
+    known = mapping.agg(F.max("reference_month").cast("string")).first()[0]
+    last = F.lit(max(end, known or end)).cast("date")
+    kept = mapping.filter(F.col("reference_month").between(F.lit(start).cast("date"), last))
     kept.orderBy("reference_month").write.mode("overwrite").parquet(path)
     return mapping.sparkSession.read.parquet(path).count()
 
