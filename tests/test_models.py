@@ -313,3 +313,13 @@ def test_chunk_size_does_not_matter(spark, two):
         mo.expanding_solve.__defaults__ = original
     np.testing.assert_allclose(base["pred"], small["pred"], rtol=1e-9)
     assert pd.Series(base["series"].unique()).tolist() == ["a", "b"]
+
+
+def test_order_zero_is_drift(spark, two, system):
+    out = vm.iterated_var(two, SPEC, ["x0", "x1"], "x0", 0, (1, 5), 100, 90).toPandas()
+    mine = out[(out["series"] == "a") & (out["horizon"] == 5)].set_index("origin_date")
+    for o in range(100, 395, 90):
+        d = np.diff(system[:o, 0])
+        row = mine.loc[DAY + dt.timedelta(days=o - 1)]
+        assert row["pred"] == pytest.approx(system[o - 1, 0] + 5 * d.mean(), rel=1e-9)
+        assert row["hi95"] - row["pred"] == pytest.approx(vm.Z95 * d.std(ddof=1) * np.sqrt(5), rel=1e-9)

@@ -76,14 +76,17 @@ def iterated_var(
 ) -> DataFrame:
     """Walk-forward VAR(p) on differences, cumulated back to the level of ``target``.
 
-    Exogenous columns are differenced too and held at their expanding mean over the
-    forecast path. Origins whose fit is singular give rows with ``fit_ok = false``.
+    Order 0 is the drift forecast. Exogenous columns are differenced too and held at
+    their expanding mean over the forecast path. Origins whose fit is singular give rows with ``fit_ok = false``.
     """
     k, e, at, top = len(columns), len(exogenous), list(columns).index(target), max(horizons)
     d = [f"d_{c}" for c in columns]
     dx = [f"d_{c}" for c in exogenous]
     rows = framed(df.select(*spec.keys, spec.time, *columns, *exogenous), spec, difference(*columns, *exogenous))
-    rows = framed(rows, spec, lag_block(d, p, "_past", shift=1), lag_block(d, p, "_now"))
+    if p:
+        rows = framed(rows, spec, lag_block(d, p, "_past", shift=1), lag_block(d, p, "_now"))
+    else:
+        rows = rows.withColumns({c: F.array().cast("array<double>") for c in ("_past", "_now")})
     if dx:
         rows = running(rows, spec, *[Running("mean", c, f"_m_{c}") for c in dx])
     as_array = lambda cols: F.array(*[F.col(c).cast("double") for c in cols]) if cols else F.array().cast("array<double>")
@@ -259,10 +262,12 @@ def arma_forecasts(
     top = max(horizons)
 
     def stable(ar: np.ndarray) -> bool:
+        if len(ar) == 0:
+            return True
         companion = np.zeros((len(ar), len(ar)))
         companion[0] = ar
         companion[1:, :-1] = np.eye(len(ar) - 1)
-        return len(ar) == 0 or bool(np.max(np.abs(np.linalg.eigvals(companion))) < 1)
+        return bool(np.max(np.abs(np.linalg.eigvals(companion))) < 1)
 
     def solve(g: np.ndarray, row: dict) -> list[dict]:
         p0, q0 = int(row["p"]), int(row["q"])
