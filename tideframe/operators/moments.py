@@ -108,6 +108,10 @@ def expanding_solve(
     keys = list(spec.keys)
     on = [*keys, "_chunk"]
     rows = df.select(*keys, "rn", "is_origin", column, *carried).withColumn("_chunk", F.floor((F.col("rn") - 1) / chunk_rows))
+    # The solves cost far more than their bytes tell, so the planner must not merge small partitions here.
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, *on)
     sums_schema = T.StructType([*_fields(rows, on), T.StructField("g", T.ArrayType(T.DoubleType()))])
 
     def one_chunk(key, pdf):
