@@ -394,7 +394,9 @@ def distribution_quantiles(spark, folder):
     return rounded(os_.exact_quantiles(li, ["series"], "x", (0.05, 0.25, 0.5, 0.75, 0.95)))
 
 
-@query("coverage_disclosure")
+@query("coverage_disclosure", fc_sql("""
+SELECT series, 'realized coverage is ' || string_agg(printf('%.1f', c), '/' ORDER BY horizon) || '% at h=' || string_agg(CAST(horizon AS VARCHAR), '/' ORDER BY horizon) || ' against a 90% nominal target' AS disclosure
+FROM (SELECT series, horizon, avg(CASE WHEN actual BETWEEN lo90 AND hi90 THEN 100.0 ELSE 0.0 END) FILTER (lo90 IS NOT NULL AND hi90 IS NOT NULL AND actual IS NOT NULL) AS c FROM fc WHERE model='drift' GROUP BY 1,2) GROUP BY 1"""))
 def coverage_disclosure(spark, folder):
     cov = sc.interval_coverage(forecasts(spark, folder).filter("model = 'drift'"), ["series", "horizon"], *_LEVELS)
     return sc.coverage_disclosure(cov, ["series"])

@@ -234,7 +234,29 @@ def tree_frame(spark, folder, horizons=(1, 5)):
     return stored(data, "features"), names
 
 
-@query("tabular_features")
+def _tabular_sql() -> str:
+    """The feature table of the tree arm: lags, momentum, deviation, targets, trimmed at both ends."""
+    part, changes = "PARTITION BY series ORDER BY date", ("d_y", "d_n", "d_s")
+    frame = lambda fn, c, n: f"CASE WHEN count({c}) OVER ({part} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) = {n} THEN {fn}({c}) OVER ({part} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END"
+    cells = {f"{c}_lag{k}": f"lag({c},{k}) OVER ({part})" for c in changes for k in (1, 2, 5)}
+    for n in (5, 20):
+        cells[f"mom_{n}"] = frame("sum", "d_y", n)
+        cells.update({f"vol_{c}_{n}": frame("stddev_samp", c, n) for c in changes})
+    names = list(cells)
+    for h in (1, 5):
+        ahead = f"OVER ({part} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+        cells[f"target_h{h}"] = f"CASE WHEN count(d_y) {ahead} = {h} THEN sum(d_y) {ahead} END"
+        cells[f"actual_h{h}"] = f"lead(y,{h}) OVER ({part})"
+    shown = ", ".join(r(c, c) for c in ("y", "d_y", "d_s", *cells) if c not in [f"d_n_lag{k}" for k in (1, 2, 5)])
+    return sql_with(
+        f"SELECT series, date, d_n, d_n_lag1, d_n_lag2, d_n_lag5, target_date_h1, target_date_h5, {shown} FROM f WHERE i > 21 AND i <= c - 5 AND {' AND '.join(f'{n} IS NOT NULL' for n in names)}",
+        "daily_region", "daily_supply",
+        d=f"SELECT series, date, y, y-lag(y) OVER ({part}) AS d_y, n-lag(n) OVER ({part}) AS d_n, s-lag(s) OVER ({part}) AS d_s FROM daily_region JOIN daily_supply USING (series, date)",
+        f=f"SELECT *, lead(date,1) OVER ({part}) AS target_date_h1, lead(date,5) OVER ({part}) AS target_date_h5, row_number() OVER ({part}) AS i, count(*) OVER (PARTITION BY series) AS c, "
+          + ", ".join(f"{e} AS {n}" for n, e in cells.items()) + " FROM d")
+
+
+@query("tabular_features", _tabular_sql())
 def tabular_features(spark, folder):
     return rounded(tree_frame(spark, folder)[0].drop("n", "s"))
 
