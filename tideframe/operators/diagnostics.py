@@ -41,7 +41,7 @@ def variance_inflation(df: DataFrame, groups: Sequence[str], columns: Sequence[s
     """
     groups, cols = list(groups), list(columns)
     complete = df.na.drop("any", subset=cols)
-    # Shift by the first mean estimate keeps the sums of squares small against rounding.
+    # Covariances are centred while they are summed, so large means do not cost digits.
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     cov = [F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")) for i, j in pairs]
     flat = complete.groupBy(*groups).agg(

@@ -161,7 +161,6 @@ def target_date(spark, folder):
     return al.attach_target_date(origins, days, SPEC).select("series", "origin_date", "horizon", "target_date")
 
 
-_FULLCAL = "SELECT DISTINCT series, date FROM daily_region"
 _OTHERCAL = "SELECT DISTINCT series, date FROM daily_region JOIN daily_supply USING (series, date)"
 
 

@@ -40,11 +40,6 @@ def lags_long_series(spark, folder):
     return rounded(out.drop("ts", "x"))
 
 
-def _rolling(col, n, fn):
-    frame = f"(w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-    return f"CASE WHEN count({col}) OVER {frame} = {n} THEN {fn}({col}) OVER {frame} END"
-
-
 def _rolling_sql(src, keys, col, part, fn, stem):
     cols = []
     for n in (5, 20):

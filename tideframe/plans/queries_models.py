@@ -33,9 +33,6 @@ def walks(spark, folder):
                          (2 * F.col("walk_orders") - F.col("en")).alias("walk_linked"), "walk_supply")
 
 
-_COR = "corr({a},{b})"
-
-
 @query("corr_levels_vs_diffs", sql_with("""
 SELECT series, form, 'n' AS column_a, 's' AS column_b, """ + r("corr(n,s)", "corr") + " FROM src WHERE y IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL GROUP BY 1,2 UNION ALL "
     "SELECT series, form, 'y', 'n', " + r("corr(y,n)", "corr") + " FROM src WHERE y IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL GROUP BY 1,2 UNION ALL "
@@ -147,7 +144,7 @@ def fevd_summary(spark, folder):
     return rounded(co.top_contributors(co.variance_shares(irf_frame(spark, folder), ["series"]), ["series"], 20))
 
 
-# Quarterly counts of returned value by flag serve as a response table that SQL can build too.
+# Yearly mean discounts by line status and return flag serve as a response table that SQL can build too.
 _RESP = """SELECT l_linestatus AS shock, l_returnflag AS response_variable, CAST(year(l_shipdate) - 1995 AS BIGINT) AS horizon,
  avg(l_discount) - 0.05 AS response FROM lineitem GROUP BY 1,2,3"""
 

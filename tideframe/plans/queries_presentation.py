@@ -92,7 +92,7 @@ def head_rows(spark, folder):
     return rounded(v.daily_region(spark, folder).orderBy("series", "date").limit(20).select("series", "date", "y"))
 
 
-# Attributions: contribution of each price component to a line item's charge, per ship mode month.
+# Attributions: contribution of each price component to a line item's charge.
 _ATTR = """SELECT l_returnflag AS series, l_extendedprice/1e4 AS price, -l_extendedprice*l_discount/1e4 AS discount, l_extendedprice*(1-l_discount)*l_tax/1e4 AS tax FROM lineitem"""
 
 
