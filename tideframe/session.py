@@ -29,16 +29,19 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a session that runs in one process (``local[...]``) may fall back to a
-    temporary folder of the machine; anywhere else a missing setting is an error.
+    A folder given to ``setCheckpointDir`` counts too. Only a session that runs in one process
+    (``local`` or ``local[...]``, not ``local-cluster[...]``) may fall back to a temporary
+    folder of the machine; anywhere else a missing setting is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tideframe-"))
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tideframe-")
+    return _LOCAL[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
