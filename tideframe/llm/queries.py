@@ -33,3 +33,10 @@ def op6_quality_rules(spark, folder):
 
     result = quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return result.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("anomaly"))
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, folder):
+    from tideframe.llm.packing import best_fit_packing
+
+    return best_fit_packing(table(spark, folder, "documents"))
