@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import map_batches, slices, starts_of
+from tideframe.llm.common import bounded_sample, map_batches, slices, starts_of
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -65,7 +65,7 @@ def held_out():
 def _sample(docs: DataFrame, sample_rows: int) -> list:
     """Language and subword counts of at most ``sample_rows`` labelled documents, whole texts."""
     chosen = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    chosen = chosen.select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(sample_rows).drop("doc_id")
+    chosen = bounded_sample(chosen.select("doc_id", "lang", "text", F.xxhash64("text").alias("mark")), sample_rows, "doc_id", "mark", "lang").drop("doc_id", "mark")
 
     def count(c: dict[str, list]) -> dict:
         letters, ids, counts = _letters(), [], []

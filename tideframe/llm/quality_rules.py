@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import SPACES, map_batches
+from tideframe.llm.common import SPACES, bounded_sample, map_batches
 from tideframe.session import stored
 
 SYMBOLS = "#*$%&|<>"
@@ -161,7 +161,7 @@ def fit(statistics: DataFrame, labels: DataFrame, sample_rows: int = 4096, trees
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = statistics.filter(~base_failed()).join(marks, "doc_id")
-    sample = {q: known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), *COUNTS).limit(sample_rows).toPandas() for q in (1, 0)}
+    sample = {q: bounded_sample(known.filter(F.col("quality") == q), sample_rows, "doc_id", *COUNTS).toPandas() for q in (1, 0)}
     if not len(sample[1]):
         return QualityModel(np.full((1, 3), -1, np.int32), np.zeros((1, 3)), np.zeros((1, 3)), 2.0)
     good, bad = (_features({k: sample[q][k].to_numpy(float) for k in COUNTS}) for q in (1, 0))

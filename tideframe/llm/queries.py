@@ -40,3 +40,11 @@ def op4_best_fit_packing(spark, folder):
     from tideframe.llm.packing import best_fit_packing
 
     return best_fit_packing(table(spark, folder, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, folder):
+    from tideframe.llm.suffix_dedup import dedup_suffixes
+
+    result = dedup_suffixes(table(spark, folder, "documents"))
+    return result.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
