@@ -163,3 +163,9 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 def language_id(docs: DataFrame, **options) -> DataFrame:
     """Fit on the labelled documents and predict every document; see ``identify`` for odd rows."""
     return identify(docs, fit(docs, **options))
+
+
+def in_known_language(docs: DataFrame, **options) -> DataFrame:
+    """The documents whose language is recognised with enough confidence, with all their columns."""
+    verdict = language_id(docs, **options).groupBy("doc_id").agg(F.bool_and("accepted").alias("_accepted")).withColumnRenamed("doc_id", "_id")
+    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_accepted").drop("_id", "_accepted")

@@ -190,7 +190,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(float(model.threshold))))
 
 
-def rejected_by_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def passing_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     verdict = quality_rules(docs, labels, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("_kept"))
     return docs.join(verdict.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_kept").drop("_id", "_kept")

@@ -48,3 +48,10 @@ def op2_suffix_dedup(spark, folder):
 
     result = dedup_suffixes(table(spark, folder, "documents"))
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark, folder):
+    from tideframe.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, folder, "documents"))
