@@ -14,7 +14,7 @@ from tideframe.session import stored
 #: Words are cut at these six ASCII characters and nothing else; ``bytes.split`` cuts at the same ones.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised step takes at a time, so that memory does not follow the batch.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -28,6 +28,10 @@ LENGTH = 100
 GRAM = 20
 #: A gram with more anchors than this is dealt by its single strings instead of as one group.
 HOT = 4_000
+#: Bytes of a text looked at in one step.
+SECTION = 1 << 20
+#: Suffixes that a task sorts into runs at a time.
+RUN_ROWS = 100_000
 #: Suffixes that one range holds on average.
 RANGE_ROWS = 30_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -61,8 +65,18 @@ def _gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, gram, anchor, first, last) of every reach: strings starting at ``first..last`` choose this anchor.
 
-    Positions count within each text; texts shorter than LENGTH have none.
+    Positions count within each text; texts shorter than LENGTH have none. A long text is read in sections that overlap
+    by all but one byte of LENGTH, so each string starts in one section; what it chooses depends on its bytes alone.
     """
+    sections = [(i, at) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - LENGTH + 1), SECTION)]
+    if len(sections) > len(texts):
+        text, gram, at, first, last = _anchors([texts[i][a : a + SECTION + LENGTH - 1] for i, a in sections])
+        owner, base = np.asarray(sections, np.int64)[text].T
+        return owner, gram, at + base, first + base, last + base
+    return _anchors(texts)
+
+
+def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     starts = starts_of(map(len, texts))
     if starts[-1] < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
@@ -210,14 +224,24 @@ def sorted_runs(docs: DataFrame, parts: int) -> DataFrame:
     """Front-coded sorted runs, one per batch and range; ``docs`` carry ``grams`` and their counts ``n``."""
 
     def run(c: dict[str, list]) -> dict:
+        out: dict[str, list] = {f: [] for f in ("part", *_RUN_FIELDS)}
         ranges: dict[int, list] = {}
+        held = 0
         raw = _encoded(c)
+
+        def flush() -> None:
+            for p in sorted(ranges):
+                out["part"].append(p)
+                for f, x in _pack_run(ranges[p]).items():
+                    out[f].append(x)
+            ranges.clear()
+
         for lo, hi in slices([len(t) for t in raw]):
             own = raw[lo:hi]
             text, gram, at, first, last = anchors(own)
-            hot = [dict(zip(g, n)) for g, n in zip(c["grams"][lo:hi], c["n"][lo:hi])]
+            repeated = [dict(zip(g, n)) for g, n in zip(c["grams"][lo:hi], c["n"][lo:hi])]
             for i, g, a, s, e in zip(text.tolist(), gram.view(np.int64).tolist(), at.tolist(), first.tolist(), last.tolist()):
-                n = hot[i].get(g)
+                n = repeated[i].get(g)
                 if n is None:
                     continue
                 t, spot = own[i], (c["doc_id"][lo + i], c["tie"][lo + i], c["doc_key"][lo + i], a)
@@ -225,13 +249,17 @@ def sorted_runs(docs: DataFrame, parts: int) -> DataFrame:
                     # The hashed gram leads the key, so ranges of keys are even without a sample of the suffixes.
                     key = (g & (2**64 - 1)).to_bytes(8, "big") + t[a : e + LENGTH]
                     ranges.setdefault((g & (2**64 - 1)) % parts, []).append((key, t[s:a][::-1], spot))
+                    held += 1
                     continue
                 whole = _gram_hashes(np.frombuffer(t[s : e + LENGTH], np.uint8), LENGTH)
+                held += len(whole)
                 for k, h in enumerate(whole.tolist()):
                     ranges.setdefault(h % parts, []).append((h.to_bytes(8, "big") + t[a : s + k + LENGTH], t[s + k : a][::-1], spot))
-        parted = sorted(ranges)
-        packed = [_pack_run(ranges[p]) for p in parted]
-        return {"part": parted, **{f: [x[f] for x in packed] for f in _RUN_FIELDS}}
+            if held > RUN_ROWS:
+                flush()
+                held = 0
+        flush()
+        return out
 
     chosen = docs.select("doc_key", "doc_id", "tie", "text", "grams", "n")
     return map_batches(chosen, run, _RUN_SCHEMA)
