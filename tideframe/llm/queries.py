@@ -55,3 +55,43 @@ def op9_jaccard_join(spark, folder):
     from tideframe.llm.jaccard_join import jaccard_join
 
     return jaccard_join(table(spark, folder, "documents"))
+
+
+_OP8 = """
+WITH RECURSIVE scaled AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), sound AS (
+  SELECT vec_id, e FROM scaled
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), low AS (SELECT u, min(v) AS v FROM reach GROUP BY u), n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low.v, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low.v, vec_id)) AS kept
+FROM embeddings LEFT JOIN low ON low.u = vec_id LEFT JOIN n ON n.u = vec_id
+"""
+
+
+@query("op8_embedding_dedup", _OP8)
+def op8_embedding_dedup(spark, folder):
+    from tideframe.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, folder, "embeddings"))
+
+
+_OP7 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+
+@query("op7_warc", _OP7)
+def op7_warc(spark, folder):
+    from tideframe.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, folder, "pages"))
