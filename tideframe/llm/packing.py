@@ -7,6 +7,8 @@ their rank among pieces of equal length.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable
@@ -19,8 +21,8 @@ from tideframe.llm.common import map_batches, slices
 from tideframe.session import stored
 
 CAPACITY = 2048
-#: Chunks whose ids a task remembers before it starts afresh.
-REMEMBERED = 1_000_000
+#: Words whose ids a task remembers, in each of two generations.
+REMEMBERED = 150_000
 #: Marks that end a word and never join with it; the apostrophe may, so it is not among them.
 MARKS = ".,;:!?#*$%&|<>"
 #: Rows that one ranking group holds on average, at most.
@@ -40,49 +42,58 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     The tokenizer never joins across a single space between two words, so a text is cut there and every
     distinct chunk is tokenised once. A text with a space after other white space is tokenised whole.
     """
-    from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     blanks = [chr(i) for i in range(0x3001) if chr(i).isspace()]
     ascii_odd, odd = ([b + " " for b in blanks if b < limit] for limit in ("\x80", "\uffff"))
-    spaced = np.zeros(tokenizer.get_vocab_size() + 1, bool)
-    spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    direct = isinstance(tokenizer.model, models.BPE) and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.normalizer is None
     firsts: dict[str, bytes] = {}
     others: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
+
+    def as_binary(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def tokens(texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [as_binary(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def spaced(words: list[str]) -> list[bytes]:
+        """Ids of words after a space. A word of letters is one pre-token, so the merges run on it without the rest."""
+        plain = [w for w in words if w.isalpha()] if direct else []
+        known: dict[str, bytes] = {}
+        if plain:
+            mapped = as_bytes.pre_tokenize_str("\n".join([" " + w for w in plain]))[0][0].split(as_bytes.pre_tokenize_str("\n")[0][0])
+            known = {w: as_binary([t.id for t in tokenizer.model.tokenize(m)]) for w, m in zip(plain, mapped)}
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, tokens([" " + w for w in rest])))
+        return [known[w] for w in words]
 
     def learn(chunks: set[str]) -> None:
-        """Ids of words that follow a space, many words to a call: only the first id of each starts with the space.
-
-        Closing marks after a letter or digit are tokens of their own, so words are learnt without them.
-        """
+        """Closing marks after a letter or digit are tokens of their own, so words are learnt without them."""
         missing = chunks.difference(others)
+        again = missing.intersection(older)
+        others.update((c, older[c]) for c in again)
+        missing -= again
         stems = {c: s for c in missing if (s := c.rstrip(MARKS)) and s is not c and s[-1].isalnum()}
         marks = sorted({c[len(s) :] for c, s in stems.items()}.difference(firsts))
         firsts.update(zip(marks, tokens(marks)))
         bare = sorted({stems.get(c, c) for c in missing}.difference(others))
-        plain = [c for c in bare if c.split() == [c]]
-        for lo in range(0, len(plain), 2000):
-            own = plain[lo : lo + 2000]
-            ids = np.asarray(tokenizer.encode(" " + " ".join(own), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(spaced[ids])
-            if len(starts) == len(own):
-                raw, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                others.update(zip(own, map(raw.__getitem__, map(slice, ends, ends[1:]))))
-        rest = [c for c in bare if c not in others]
-        others.update(zip(rest, tokens([" " + c for c in rest])))
+        others.update(zip(bare, spaced(bare)))
         others.update((c, others[s] + firsts[c[len(s) :]]) for c, s in stems.items())
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal others, older
         out: list[bytes] = []
         for lo, hi in slices([len(t) for t in texts]):
             own = texts[lo:hi]
-            if len(firsts) + len(others) > REMEMBERED:
+            if len(firsts) > REMEMBERED:
                 firsts.clear()
-                others.clear()
+            if len(others) > REMEMBERED:  # words not seen again while as many others came are forgotten
+                others, older = {}, others
             whole = {i for i, t in enumerate(own) if any(map(t.__contains__, ascii_odd if t.isascii() else odd))}
             apart = dict(zip(sorted(whole), tokens([own[i] for i in sorted(whole)])))
             split = [[] if i in whole else t.split(" ") for i, t in enumerate(own)]
