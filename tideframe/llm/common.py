@@ -15,6 +15,10 @@ from tideframe.session import stored
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised step takes at a time, so that memory does not follow the batch.
 SLICE_BYTES = 1_000_000
+HASH_BASE = 0xD6E8FEB86659FD93
+HASH_MIX = np.uint64(0x9E3779B97F4A7C15)
+# ASCII marks and control characters separate words, as blanks do.
+_TO_BLANK = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +68,38 @@ def starts_of(sizes: Iterable[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64))])
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(31))) * HASH_MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def plain_bytes(text: str) -> bytes:
+    """Lower case, with a blank for every ASCII mark and control character; length and offsets are those of the bytes."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_TO_BLANK)
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, bounds, start, stop) of all words; words of text i are ``bounds[i]:bounds[i + 1]``.
+
+    Words are lower-case runs of anything but blanks and ASCII marks; start and stop count the bytes of ``plain_bytes``.
+    """
+    raw = [plain_bytes(t) for t in texts]
+    offsets = starts_of(len(r) + 1 for r in raw)
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    word = np.pad(data != 32, (1, 0))
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, stop = edge[::2], edge[1::2]
+    bounds = np.searchsorted(start, offsets)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    # Hash of bytes i..j from running sums of byte * base ** position, moved back by base ** -i.
+    n = len(data)
+    powers, inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (np.uint64(HASH_BASE), np.uint64(pow(HASH_BASE, -1, 2**64))))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n])])
+    words = mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * HASH_MIX)
+    return words, owner, bounds, start - offsets[owner], stop - offsets[owner]
+
+
 def components(edges: DataFrame, label: str = "links") -> DataFrame:
     """Connected components of the undirected edges ``(u, v)`` of longs: rows ``(node, component)``.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import block_pairs, components, map_batches, roots, slices, starts_of
+from tideframe.llm.common import HASH_BASE, HASH_MIX, block_pairs, components, hashed_words, map_batches, mixed, roots, slices
 from tideframe.session import stored
 
 SHINGLE = 5
@@ -29,15 +29,6 @@ MAX_DEPTH = 4
 NODE_BLOCK, GROUP_BLOCK = 4096, 512
 #: Rows compared at a time in one task.
 CHUNK = 20_000
-_BASE = 0xD6E8FEB86659FD93
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-# ASCII marks, digits aside, and control characters separate words, as blanks do.
-_TO_BLANK = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _MIX
-    return h ^ (h >> np.uint64(29))
 
 
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,21 +37,9 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     Words are lower-case runs of anything but blanks and ASCII marks; a shingle is five in a row, a text of one to four
     words is one shingle of all. A text without words has no shingle and fingerprint 0.
     """
-    raw = b" ".join(t.lower().encode("utf-8", "surrogatepass").translate(_TO_BLANK) for t in texts) + b" "
-    sizes = [len(t.lower().encode("utf-8", "surrogatepass")) + 1 for t in texts]
-    data = np.frombuffer(raw, np.uint8)
-    word = np.pad(data != 32, (1, 0))
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    start, stop = edge[::2], edge[1::2]
-    if not len(start):
+    words, owner, bounds, _, _ = hashed_words(texts)
+    if not len(words):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.uint64)
-    # Hash of bytes i..j from running sums of byte * base ** position, moved back by base ** -i.
-    n = len(data)
-    powers, inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 2**64))))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n])])
-    words = _mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * _MIX)
-    bounds = np.searchsorted(start, starts_of(sizes))
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     m = len(words)
     chain = words.copy()
     lengths = np.diff(bounds)[owner]
@@ -68,17 +47,18 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for k in range(1, SHINGLE):
         has = place + k < lengths
         nxt = np.where(has, np.concatenate([words[k:], np.zeros(min(k, m), np.uint64)])[:m], np.uint64(0))
-        chain = _mixed(chain * np.uint64(_BASE) + nxt + np.uint64(k))
+        chain = mixed(chain * np.uint64(HASH_BASE) + nxt + np.uint64(k))
     full = (place + SHINGLE <= lengths) | ((lengths < SHINGLE) & (place == 0))
     filled = np.diff(bounds) > 0
     prints = np.zeros(len(texts), np.uint64)
-    weighted = words * _mixed(place.astype(np.uint64) * _MIX + np.uint64(7)) + _mixed(words + place.astype(np.uint64))
-    prints[filled] = _mixed(np.add.reduceat(weighted, bounds[:-1][filled]) + lengths[bounds[:-1][filled]].astype(np.uint64)) | np.uint64(1)
+    weighted = words * mixed(place.astype(np.uint64) * HASH_MIX + np.uint64(7)) + mixed(words + place.astype(np.uint64))
+    prints[filled] = mixed(np.add.reduceat(weighted, bounds[:-1][filled]) + lengths[bounds[:-1][filled]].astype(np.uint64)) | np.uint64(1)
     return chain[full], owner[full], prints
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, sketch`` per row: node is the fingerprint of the words (null without words), the sketch 64 minima.
+    """``doc_id, node, sketch, brief`` per row: node is the fingerprint of the words (null without words), the sketch 64
+    minima, the brief their low bytes (chance agreement of one is 1 in 256, enough to compare candidates).
 
     Texts with the same words are one node from here on. Two different texts share a 64-bit fingerprint with
     probability of about n^2 / 2^64.
@@ -86,9 +66,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(c: dict[str, list]) -> dict:
         texts = [t or "" for t in c["text"]]
-        factors = _mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+        factors = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(HASH_BASE)) | np.uint64(1)
         nodes: list[int | None] = [None] * len(texts)
         made: list[bytes | None] = [None] * len(texts)
+        brief: list[bytes | None] = [None] * len(texts)
         for lo, hi in slices([len(t) for t in texts]):
             hashes, owner, prints = shingle_hashes(texts[lo:hi])
             first = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -96,15 +77,15 @@ def sketches(docs: DataFrame) -> DataFrame:
                 continue
             minima = np.stack([(np.minimum.reduceat(hashes * f, first) >> np.uint64(32)).astype("<u4") for f in factors], axis=1)
             for k, i in enumerate(owner[first].tolist()):
-                nodes[lo + i], made[lo + i] = int(prints[i].astype(np.int64)), minima[k].tobytes()
-        return {"doc_id": c["doc_id"], "node": nodes, "sketch": made}
+                nodes[lo + i], made[lo + i], brief[lo + i] = int(prints[i].astype(np.int64)), minima[k].tobytes(), minima[k].astype(np.uint8).tobytes()
+        return {"doc_id": c["doc_id"], "node": nodes, "sketch": made, "brief": brief}
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(chosen, run, "doc_id long, node long, sketch binary")
+    return map_batches(chosen, run, "doc_id long, node long, sketch binary, brief binary")
 
 
 def _children(nodes: DataFrame, runs: range | None, threshold: float) -> DataFrame:
-    """``path, node, sketch``: the children of each row's path, or those of the roots of ``runs``."""
+    """``path, node``: the children of each row's path, or those of the roots of ``runs``."""
     below = np.uint64(int(2**64 / (COORDINATES * threshold)))
 
     def run(c: dict[str, list]) -> dict:
@@ -112,15 +93,15 @@ def _children(nodes: DataFrame, runs: range | None, threshold: float) -> DataFra
         coordinate = np.arange(1, COORDINATES + 1, dtype=np.uint64)[None, :]
         rows, paths = [], []
         for r in runs if runs is not None else (None,):
-            path = np.full(len(minima), r + 1, np.uint64) * _MIX if r is not None else np.asarray(c["path"], np.int64).view(np.uint64)
-            drawn = _mixed(_mixed(path[:, None] + coordinate * np.uint64(_BASE))) < below
+            path = np.full(len(minima), r + 1, np.uint64) * HASH_MIX if r is not None else np.asarray(c["path"], np.int64).view(np.uint64)
+            drawn = mixed(mixed(path[:, None] + coordinate * np.uint64(HASH_BASE))) < below
             row, at = np.nonzero(drawn)
             rows.append(row)
-            paths.append(_mixed(_mixed(path[row] + coordinate[0, at]) ^ (minima[row, at] * _MIX)).view(np.int64))
+            paths.append(mixed(mixed(path[row] + coordinate[0, at]) ^ (minima[row, at] * HASH_MIX)).view(np.int64))
         row = np.concatenate(rows)
-        return {"path": np.concatenate(paths), **{k: [c[k][i] for i in row.tolist()] for k in ("node", "sketch")}}
+        return {"path": np.concatenate(paths), "node": np.asarray(c["node"], np.int64)[row]}
 
-    return map_batches(nodes, run, "path long, node long, sketch binary")
+    return map_batches(nodes, run, "path long, node long")
 
 
 def _windows(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int = CHUNK) -> Iterator[pa.Table]:
@@ -154,7 +135,7 @@ def _candidate_links(buckets: DataFrame, least: int, keys: list[str]) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _windows(batches, keys):
             node = t.column("node").to_numpy()
-            small = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            small = np.frombuffer(b"".join(t.column("brief").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             ids = [t.column(k).to_numpy() for k in keys]
             new = np.ones(len(node), bool)
             new[1:] = np.any([c[1:] != c[:-1] for c in ids], axis=0)
@@ -178,45 +159,38 @@ def _candidate_links(buckets: DataFrame, least: int, keys: list[str]) -> DataFra
 
 
 def candidate_groups(nodes: DataFrame, threshold: float, target: float) -> DataFrame:
-    """``node, component`` of all nodes that some run links with another; ``nodes`` holds distinct ``node, sketch``."""
-    short = lambda c: F.col(c)
-    # One byte of each minimum suffices to compare: chance agreement is one in 256.
+    """``node, component`` of all nodes that some run links with another; ``nodes`` holds distinct ``node, sketch, brief``."""
     least = math.floor(COORDINATES * threshold - 3 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
-    links, missed, done = None, 1.0, 0
+    links, missed, done, deepest = None, 1.0, 0, 2
+    # Probability that one run brings a pair at the threshold together in a node of depth 1, 2, ...
     depths = [1.0 - math.exp(-1.0)]
     while len(depths) < MAX_DEPTH:
         depths.append(1.0 - math.exp(-depths[-1]))
+    sketched, brief = nodes.select("node", "sketch"), nodes.select("node", "brief")
     while missed > 1.0 - target:
-        batch = math.ceil(math.log((1.0 - target) / missed) / math.log(1.0 - depths[min(1, MAX_DEPTH - 1)]))
-        level, depth, deepest = stored(_children(nodes, range(done, done + batch), threshold), "paths"), 1, 1
+        batch = math.ceil(math.log((1.0 - target) / missed) / math.log(1.0 - depths[min(deepest, MAX_DEPTH) - 1]) - 1e-9)
+        level, depth = stored(_children(sketched, range(done, done + batch), threshold), "paths"), 1
         while True:
-            sizes = stored(level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path-sizes")
-            sized = level.join(sizes, "path")
+            # Counted with map-side sums; most paths hold one node and end here, before any sketch moves.
+            sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+            sized = stored(level.join(sizes, "path"), "shared-paths")
             last = depth == MAX_DEPTH
-            ready = sized if last else sized.filter(F.col("n") <= SMALL)
-            dealt = block_pairs(ready.select(short("path"), "node", "sketch"), "path", F.xxhash64("node"), NODE_BLOCK) if last else ready.select("path", "node", "sketch")
-            found = _candidate_links(_low_bytes(dealt), least, ["path", "bi", "bj"] if last else ["path"])
+            ready = (sized if last else sized.filter(F.col("n") <= SMALL)).select("path", "node")
+            if last:
+                ready = block_pairs(ready, "path", F.xxhash64("node"), NODE_BLOCK)
+            found = _candidate_links(ready.join(brief, "node"), least, ["path", "bi", "bj"] if last else ["path"])
             found = stored(found.distinct(), "links")
             links = found if links is None else links.union(found)
-            if last or not sizes.filter(F.col("n") > SMALL).limit(1).count():
+            large = sized.filter(F.col("n") > SMALL).select("path", "node")
+            if last or large.isEmpty():
                 break
-            level = stored(_children(sized.filter(F.col("n") > SMALL).select("path", "node", "sketch"), None, threshold), "paths")
-            depth += 1
-            deepest = depth
-        # A pair may sit in the deepest nodes of every run of this batch.
-        missed *= (1.0 - depths[deepest - 1]) ** batch
-        done += batch
+            level, depth = stored(_children(large.join(sketched, "node"), None, threshold), "paths"), depth + 1
+        # A pair may have been in the deepest node of every run of this batch.
+        missed *= (1.0 - depths[depth - 1]) ** batch
+        done, deepest = done + batch, depth
     return components(links.distinct(), "candidates")
 
 
-def _low_bytes(df: DataFrame) -> DataFrame:
-    def run(c: dict[str, list]) -> dict:
-        minima = np.frombuffer(b"".join(c["sketch"]), np.uint8).reshape(-1, COORDINATES, 4)[:, :, 0]
-        return {**c, "sketch": [m.tobytes() for m in minima]}
-
-    return map_batches(df, run, ", ".join(f"{n} {t}" for n, t in df.dtypes))
-
-
 def exact_links(members: DataFrame, threshold: float) -> DataFrame:
     """``u, v, n_u`` rows from comparing all pairs of each ``component``'s members (``node, copies, text``) exactly.
 
@@ -287,9 +261,9 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.999)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(sketches(base), "sketches")
     worded = rows.filter("node is not null")
-    nodes = stored(worded.groupBy("node").agg(F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("lead")), "nodes")
-    groups = stored(candidate_groups(nodes.select("node", "sketch"), threshold, target), "groups")
-    wanted = groups.join(nodes.drop("sketch"), "node").withColumnRenamed("lead", "lead_id")
+    nodes = stored(worded.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("lead")), "nodes")
+    groups = stored(candidate_groups(nodes, threshold, target), "groups")
+    wanted = groups.join(nodes.drop("sketch", "brief"), "node").withColumnRenamed("lead", "lead_id")
     # The text of a node is that of its first document; another text under the same id is told apart by its fingerprint.
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("lead_id"))).select("component", "node", "copies", "text")
     members = _own_texts(texts)
