@@ -95,3 +95,10 @@ def op7_warc(spark, folder):
     from tideframe.llm.warc import archive_and_read
 
     return archive_and_read(table(spark, folder, "pages"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark, folder):
+    from tideframe.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, folder, "documents"))
