@@ -102,3 +102,10 @@ def op10_license_scan(spark, folder):
     from tideframe.llm.license_scan import scan_licenses
 
     return scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op5_sentence_pieces")
+def op5_sentence_pieces(spark, folder):
+    from tideframe.llm.sentence_pieces import round_trip
+
+    return round_trip(table(spark, folder, "documents"))
