@@ -109,3 +109,10 @@ def op5_sentence_pieces(spark, folder):
     from tideframe.llm.sentence_pieces import round_trip
 
     return round_trip(table(spark, folder, "documents"))
+
+
+@query("op3_importance_sampling")
+def op3_importance_sampling(spark, folder):
+    from tideframe.llm.importance_sampling import importance_sample
+
+    return importance_sample(table(spark, folder, "documents"), table(spark, folder, "labels"))
