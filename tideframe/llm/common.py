@@ -132,7 +132,8 @@ def block_pairs(df: DataFrame, group: str, spread: Column, size: int) -> DataFra
     that holds its block, with ``side`` 0 or 1 (0 where both blocks are the same). Columns added:
     ``bi``, ``bj``, ``side``. A group of one block is not copied.
     """
-    counts = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("n_blocks"))
+    # Written down, so that the join is one that adaptive execution splits at a large group.
+    counts = stored(df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("n_blocks")), "blocks")
     own = df.join(counts, group).withColumn("own", F.pmod(spread, F.col("n_blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     return dealt.select(

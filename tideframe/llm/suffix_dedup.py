@@ -119,8 +119,8 @@ def repeated_grams(docs: DataFrame) -> DataFrame:
         return {"doc_key": np.concatenate(keys), "gram": np.concatenate(grams)}
 
     found = map_batches(docs.select("doc_key", "text"), run, "doc_key long, gram long")
-    # Map-side sums first, then a join that adaptive execution can split: no gram's anchors sit in one task.
-    counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Map-side sums, written down: a join of two plain exchanges is one that adaptive execution splits at a hot gram.
+    counts = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "gram-counts")
     return found.join(counts, "gram").select("doc_key", "gram", "n")
 
 
