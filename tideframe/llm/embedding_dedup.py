@@ -1,7 +1,8 @@
 """Near-duplicate embeddings: spherical k-means deals vectors to cells, blocks of cosines link them.
 
-Cells are exact for the threshold: a vector also visits every later cell whose border is nearer than the largest angle
-that two linked vectors may have between them. So every linked pair meets in exactly one cell.
+A vector belongs to its nearest cell and also visits every cell whose border lies within ``slack`` degrees of it. Two
+vectors meet if either visits the other's cell. A pair at an angle a surely meets if slack >= a / 2, so a slack of half the
+threshold's angle makes the join exact; the default finds nearer pairs surely and most of the others.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from tideframe.llm.common import block_pairs, bounded_sample, components, roots
 from tideframe.session import stored
 
 #: Rows of a block; a task holds two blocks.
-BLOCK = 2048
+BLOCK = 8192
+#: Vectors per cell, and the most cells that are fitted; larger cells are compared in more blocks.
+CELL_ROWS, MAX_CELLS = 1000, 2048
 
 
 def unit_vectors(embeddings: DataFrame) -> DataFrame:
@@ -48,77 +51,87 @@ def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = 12, seed: int
     return centres
 
 
-def _assigned(nodes: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
-    """``cell, home, node, copies, unit``: each vector in its own cell, and as a visitor in the later cells it may link to."""
-    angle = math.acos(threshold) + 1e-9
-    gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
+def _visits(unit: np.ndarray, centres: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell, whether each cell is visited); the own cell is not among those visited."""
+    near = unit @ centres.T
+    home = near.argmax(1)
+    gaps = np.linalg.norm(centres[home][:, None, :] - centres[None, :, :], axis=2) if len(unit) * centres.size < 4_000_000 else np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (centres[home] @ centres.T)))
+    # Sine of the angle between a vector and the border of its own and another cell.
+    visits = near[np.arange(len(unit)), home][:, None] - near <= np.sin(slack) * gaps + 1e-12
+    visits[np.arange(len(unit)), home] = False
+    return home, visits
+
+
+def _assigned(nodes: DataFrame, centres: np.ndarray, slack: float) -> DataFrame:
+    """``cell, node, copies, unit``: each vector in its own cell and in those it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = np.stack(batch.column("unit").to_numpy(zero_copy_only=False))
-            near = unit @ centres.T
-            home = near.argmax(1)
-            rows = np.arange(len(unit))
-            # Sine of the angle to the border between the own and another cell.
-            lead = near[rows, home][:, None] - near
-            visits = lead <= math.sin(angle) * gaps[home] + 1e-12
-            visits &= np.arange(len(centres))[None, :] > home[:, None]
-            row, cell = np.nonzero(visits)
-            row, cell = np.concatenate([rows, row]), np.concatenate([home, cell])
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), pa.array(np.arange(len(row)) < len(rows)), *(out.column(n) for n in ("node", "copies", "unit"))], names=["cell", "home", "node", "copies", "unit"])
-
-    return nodes.mapInArrow(run, "cell int, home boolean, node long, copies long, unit array<double>")
-
-
-def _links(assigned: DataFrame, threshold: float) -> DataFrame:
-    """Per block: ``u`` with ``n_u`` other vectors linked, and a link ``u - v`` to the root of its part."""
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                home, visits = _visits(np.stack(batch.column("unit").to_numpy(zero_copy_only=False)), centres, slack)
+                visits[np.arange(len(home)), home] = True
+                row, cell = np.nonzero(visits)
+                out = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(out.column(n) for n in ("node", "copies", "unit"))], names=["cell", "node", "copies", "unit"])
+
+    return nodes.mapInArrow(run, "cell int, node long, copies long, unit array<double>")
+
+
+def _links(assigned: DataFrame, centres: np.ndarray, slack: float, threshold: float) -> DataFrame:
+    """Per block: ``u`` with ``n_u`` other vectors linked, and a link ``u - v`` to the root of its part.
+
+    A pair that meets in both its cells counts in the one of the smaller number.
+    """
     dealt = block_pairs(assigned, "cell", F.xxhash64("node"), BLOCK)
 
     def compare(group: pa.Table) -> pa.Table:
         unit = np.stack(group.column("unit").to_numpy())
-        home, side, node, copies = (group.column(n).to_numpy() for n in ("home", "side", "node", "copies"))
-        one_block = group.column("bi")[0].as_py() == group.column("bj")[0].as_py()
+        side, node, copies = (group.column(n).to_numpy() for n in ("side", "node", "copies"))
+        cell, one_block = group.column("cell")[0].as_py(), group.column("bi")[0].as_py() == group.column("bj")[0].as_py()
+        home, visits = _visits(unit, centres, slack)
+        at_home = home == cell
         left, right = [], []
-        for lo in range(0, len(unit), 512):
-            own = slice(lo, lo + 512)
+        for lo in range(0, len(unit), 256):
+            own = np.arange(lo, min(lo + 256, len(unit)))
             like = unit[own] @ unit.T >= threshold
-            like &= home[own, None] | home[None, :]
-            like &= np.arange(len(unit))[None, :] > np.arange(lo, min(lo + 512, len(unit)))[:, None]
+            like &= at_home[own, None] | at_home[None, :]
+            like &= np.arange(len(unit))[None, :] > own[:, None]
             if not one_block:
                 like &= side[own, None] != side[None, :]
             a, b = np.nonzero(like)
-            left.append(a + lo)
-            right.append(b)
+            a += lo
+            stranger, host = np.where(at_home[a], b, a), np.where(at_home[a], a, b)
+            once = at_home[stranger] | (cell < home[stranger]) | ~visits[host, home[stranger]]
+            left.append(a[once])
+            right.append(b[once])
         a, b = np.concatenate(left), np.concatenate(right)
         count = np.bincount(a, copies[b], len(unit)) + np.bincount(b, copies[a], len(unit))
         root = roots(len(unit), a, b)
-        own = np.flatnonzero(count)
-        return pa.table({"u": node[own], "v": node[root[own]], "n_u": count[own].astype(np.int64)})
+        linked = np.flatnonzero(count)
+        return pa.table({"u": node[linked], "v": node[root[linked]], "n_u": count[linked].astype(np.int64)})
 
     return dealt.groupBy("cell", "bi", "bj").applyInArrow(compare, "u long, v long, n_u long")
 
 
-def embedding_dedup(embeddings: DataFrame, threshold: float = 0.9, cells: int = 32, sample_rows: int = 4096) -> DataFrame:
+def embedding_dedup(embeddings: DataFrame, threshold: float = 0.9, slack_degrees: float = 4.0, cells: int | None = None, sample_rows: int = 16384) -> DataFrame:
     """Per row: ``vec_id, n_links, component_id, kept``.
 
     Equal directions are one node with its number of copies, so a group of copies is never compared with itself. Vectors
     that are null, empty, zero or hold null or non-finite components link with nothing and are their own component.
-    ``cells`` centres are fitted on at most ``sample_rows`` vectors. Vectors of other lengths than the most
-    frequent one are compared among themselves only. Rows that repeat an id count as separate vectors. Labels are not read.
+    The centres (a thousand vectors to a cell, ``MAX_CELLS`` at most) are fitted on at most ``sample_rows`` vectors. Vectors of different
+    lengths are never compared. Rows that repeat an id count as separate vectors. Labels are not read.
     """
     units = stored(unit_vectors(embeddings).withColumn("node", F.xxhash64("unit")), "units")
     sound = units.filter("unit is not null")
     nodes = stored(sound.groupBy("node").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("lead")), "vector-nodes")
     links = None
-    for width in [r[0] for r in nodes.groupBy(F.size("unit").alias("width")).count().orderBy(F.desc("count"), "width").collect()]:
+    slack = min(math.radians(slack_degrees), math.acos(threshold) / 2)
+    for width, rows in [tuple(r) for r in nodes.groupBy(F.size("unit").alias("width")).count().orderBy(F.desc("count"), "width").collect()]:
         own = nodes.filter(F.size("unit") == width)
         sample = bounded_sample(own.select("unit", "node"), sample_rows, "node").toPandas()
-        centres = spherical_kmeans(np.stack(sample["unit"].to_numpy()), cells)
-        found = _links(_assigned(own.select("node", "copies", "unit"), centres, threshold), threshold)
+        centres = spherical_kmeans(np.stack(sample["unit"].to_numpy()), cells or max(1, min(MAX_CELLS, rows // CELL_ROWS)))
+        found = _links(_assigned(own.select("node", "copies", "unit"), centres, slack), centres, slack, threshold)
         links = found if links is None else links.union(found)
     if links is None:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
