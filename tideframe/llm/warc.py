@@ -2,7 +2,7 @@
 
 Reading plans one partition per archive file. Record types and header values that a query asks for (options, or filters
 where ``spark.sql.python.filterPushdown.enabled`` is set) are tested on the parsed headers; the block of a record that fails them, or
-whose payload the schema leaves out, is skipped without being read. Writing rolls to a new file when one is full;
+whose payload the schema leaves out, is skipped without being read or inflated. Writing packs every record on its own and rolls to a new file when one is full;
 files carry a task's own name until the driver commits them, so a lost executor leaves nothing that readers see.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import gzip
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,6 +89,10 @@ class WarcReader(DataSourceReader):
             return
         system, _ = _filesystem(self.path)
         with system.open_input_file(partition.path) as raw:
+            if partition.path.endswith(".gz") and Member(raw).size:
+                yield from self._members(raw)
+                return
+            raw.seek(0)
             stream = gzip.GzipFile(fileobj=raw) if partition.path.endswith(".gz") else raw
             while headers := read_headers(stream):
                 length = int(headers.get("content-length", 0))
@@ -96,6 +102,17 @@ class WarcReader(DataSourceReader):
                 yield self._row(stream, headers, length)
                 stream.seek(4, 1)
 
+    def _members(self, raw) -> Iterator[tuple]:
+        """Records that are gzip members of known size: of an unwanted one only the first bytes are inflated."""
+        at = 0
+        raw.seek(0)
+        while (member := Member(raw, at)).size:
+            headers = read_headers(member)
+            if all(headers.get(k) in v for k, v in self.wanted.items()):
+                yield self._row(member, headers, int(headers.get("content-length", 0)))
+            at += member.size
+            raw.seek(at)
+
     def _row(self, stream, headers: dict[str, str], length: int) -> tuple:
         end = stream.tell() + length
         size = payload = None
@@ -114,6 +131,45 @@ class WarcReader(DataSourceReader):
         return tuple(plain.get(c) for c in self.columns)
 
 
+class Member:
+    """One gzip member, inflated as far as it is read. Its size stands in the ``sl`` extra field, as in web archives of old.
+
+    ``size`` is 0 at the end of the file, and for members of other writers, which do not tell their size.
+    """
+
+    def __init__(self, raw, start: int = 0):
+        self.raw, self.start, self.size = raw, start, 0
+        head = raw.read(24)
+        if len(head) == 24 and head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"sl":
+            self.size = struct.unpack("<I", head[16:20])[0]
+        self.inflate, self.held, self.at = zlib.decompressobj(-zlib.MAX_WBITS), bytearray(), 0
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) < self.at + n and not self.inflate.eof:
+            more = self.raw.read(min(1 << 16, max(1024, n)))
+            if not more:
+                break
+            self.held += self.inflate.decompress(more)
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += len(out)
+        return out
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, n: int, whence: int = 0) -> None:
+        self.at = n + whence * self.at
+
+
+def member(data: bytes) -> bytes:
+    """``data`` as a gzip member with its packed and plain sizes in the extra field."""
+    deflate = zlib.compressobj(4, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = deflate.compress(data) + deflate.flush()
+    size = 24 + len(body) + 8
+    head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size, len(data) % 2**32)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) % 2**32)
+
+
 class PushingWarcReader(WarcReader):
     """Also takes filters from the optimiser; Spark refuses such a reader where pushdown to Python sources is off."""
 
@@ -160,22 +216,24 @@ class WarcWriter(DataSourceWriter):
     def __init__(self, schema, options):
         self.path = options["path"]
         self.limit = int(options.get("fileBytes", FILE_BYTES))
+        self.packed = options.get("compression", "gzip") == "gzip"
 
     def write(self, rows: Iterator) -> _Written:
         system, root = _filesystem(self.path)
         system.create_dir(root, recursive=True)
         files: list[tuple[str, str]] = []
         out, size = None, 0
+        pack = member if self.packed else bytes
         try:
             for row in rows:
                 if out is None or size >= self.limit:
                     if out is not None:
                         out.close()
-                    name = f"{uuid.uuid4().hex}.warc"
+                    name = f"{uuid.uuid4().hex}.warc{'.gz' * self.packed}"
                     files.append((f"{root}/_{name}", f"{root}/{name}"))
-                    out = system.open_output_stream(files[-1][0])
-                    size = out.write(warcinfo(name))
-                size += out.write(record(row.asDict()))
+                    out = system.open_output_stream(files[-1][0], compression=None)  # records are packed one by one
+                    size = out.write(pack(warcinfo(name)))
+                size += out.write(pack(record(row.asDict())))
         finally:
             if out is not None:
                 out.close()
@@ -241,9 +299,9 @@ def page_records(pages: DataFrame) -> DataFrame:
         "payload_digest", F.when(again, urn("first")).alias("refers_to"), "payload_bytes", F.when(~again, F.col("payload")).alias("payload"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
+def write_archives(records: DataFrame, path: str, compression: str = "gzip") -> None:
     records.sparkSession.dataSource.register(WarcSource)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").option("compression", compression).mode("append").save(path)
 
 
 def read_archives(spark: SparkSession, path: str, columns: list[str] | None = None, record_types: tuple[str, ...] = (), headers: dict[str, str] | None = None) -> DataFrame:
