@@ -103,24 +103,21 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def components(edges: DataFrame, label: str = "links") -> DataFrame:
     """Connected components of the undirected edges ``(u, v)`` of longs: rows ``(node, component)``.
 
-    Large star and small star in turn, until an edge list no longer changes; each node
-    then hangs on the smallest node of its component. The minimum of a node's neighbours
-    is a pre-aggregated group, and it meets the edges in a join that adaptive execution can
-    split, so one node may hold a third of all edges. Nodes without an edge are absent.
+    Large star and small star in turn, until each node hangs on the smallest node of its component. The
+    minimum of a node's neighbours is a pre-aggregated group. Nodes without an edge are absent.
     """
     stars = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
-    seen = None
     while True:
+        # Done when every node hangs on one other and none of those hangs on a third.
+        roles = stars.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(stars.select("v", F.lit(0), F.lit(1)))
+        if roles.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs + holds > 1 and hangs > 0").isEmpty():
+            break
         both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
         stars = stored(small.distinct(), label)
-        sums = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == seen:
-            break
-        seen = sums
     centres = stars.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)
 

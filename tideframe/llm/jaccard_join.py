@@ -3,7 +3,8 @@
 Each distinct text becomes a set of ``COORDINATES`` tokens (a coordinate and the smallest hash of its shingles there).
 A *run* splits the texts recursively: at every node some coordinates are drawn, 1 / threshold on average, and texts that
 share the token of a drawn coordinate stay together in a child. Small nodes are compared by brute force on short
-sketches; runs repeat until a pair at the threshold is found with the target probability. What the runs link forms
+sketches; runs repeat until a pair at the threshold is found with the target
+probability. What the runs link forms
 candidate groups, and inside each group all pairs are compared exactly on their whole shingle sets.
 """
 
@@ -158,37 +159,37 @@ def _candidate_links(buckets: DataFrame, least: int, keys: list[str]) -> DataFra
     return buckets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
+def runs_needed(threshold: float, target: float) -> int:
+    """Runs after which a pair at the threshold has met with probability ``target``, even in nodes of the largest depth.
+
+    A pair meets in a node of depth 1 with probability 1 - 1/e, of depth d + 1 with 1 - exp(-that of depth d).
+    """
+    meets = 1.0 - math.exp(-1.0)
+    for _ in range(MAX_DEPTH - 1):
+        meets = 1.0 - math.exp(-meets)
+    return math.ceil(math.log(1.0 - target) / math.log(1.0 - meets))
+
+
 def candidate_groups(nodes: DataFrame, threshold: float, target: float) -> DataFrame:
     """``node, component`` of all nodes that some run links with another; ``nodes`` holds distinct ``node, sketch, brief``."""
     least = math.floor(COORDINATES * threshold - 3 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
-    links, missed, done, deepest = None, 1.0, 0, 2
-    # Probability that one run brings a pair at the threshold together in a node of depth 1, 2, ...
-    depths = [1.0 - math.exp(-1.0)]
-    while len(depths) < MAX_DEPTH:
-        depths.append(1.0 - math.exp(-depths[-1]))
-    sketched, brief = nodes.select("node", "sketch"), nodes.select("node", "brief")
-    while missed > 1.0 - target:
-        batch = math.ceil(math.log((1.0 - target) / missed) / math.log(1.0 - depths[min(deepest, MAX_DEPTH) - 1]) - 1e-9)
-        level, depth = stored(_children(sketched, range(done, done + batch), threshold), "paths"), 1
-        while True:
-            # Counted with map-side sums; most paths hold one node and end here, before any sketch moves.
-            sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-            sized = stored(level.join(sizes, "path"), "shared-paths")
-            last = depth == MAX_DEPTH
-            ready = (sized if last else sized.filter(F.col("n") <= SMALL)).select("path", "node")
-            if last:
-                ready = block_pairs(ready, "path", F.xxhash64("node"), NODE_BLOCK)
-            found = _candidate_links(ready.join(brief, "node"), least, ["path", "bi", "bj"] if last else ["path"])
-            found = stored(found.distinct(), "links")
-            links = found if links is None else links.union(found)
-            large = sized.filter(F.col("n") > SMALL).select("path", "node")
-            if last or large.isEmpty():
-                break
-            level, depth = stored(_children(large.join(sketched, "node"), None, threshold), "paths"), depth + 1
-        # A pair may have been in the deepest node of every run of this batch.
-        missed *= (1.0 - depths[depth - 1]) ** batch
-        done, deepest = done + batch, depth
-    return components(links.distinct(), "candidates")
+    sketched = nodes.select("node", "sketch")
+    level, ready = stored(_children(sketched, range(runs_needed(threshold, target)), threshold), "paths"), None
+    for depth in range(1, MAX_DEPTH + 1):
+        # Counted with map-side sums; most paths hold one node and end here, before any sketch moves.
+        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sized = stored(level.join(sizes, "path"), "shared-paths")
+        small, large = sized.filter(F.col("n") <= SMALL).select("path", "node"), sized.filter(F.col("n") > SMALL).select("path", "node")
+        whole = small.select("path", "node", F.lit(0).alias("bi"), F.lit(0).alias("bj"))
+        ready = whole if ready is None else ready.union(whole)
+        if large.isEmpty():
+            break
+        if depth == MAX_DEPTH:
+            ready = ready.union(block_pairs(large, "path", F.xxhash64("node"), NODE_BLOCK).select("path", "node", "bi", "bj"))
+            break
+        level = stored(_children(large.join(sketched, "node"), None, threshold), "paths")
+    found = _candidate_links(ready.join(nodes.select("node", "brief"), "node"), least, ["path", "bi", "bj"])
+    return components(found, "candidates")
 
 
 def exact_links(members: DataFrame, threshold: float) -> DataFrame:
