@@ -22,7 +22,7 @@ from tideframe.session import stored
 
 CAPACITY = 2048
 #: Words whose ids a task remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Marks that end a word and never join with it; the apostrophe may, so it is not among them.
 MARKS = ".,;:!?#*$%&|<>"
 #: Rows that one ranking group holds on average, at most.
@@ -55,21 +55,27 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     others: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
 
+    packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
+    space, line = (as_bytes.pre_tokenize_str(x)[0][0] for x in " \n")
+
     def as_binary(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return packers[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def tokens(texts: list[str]) -> list[bytes]:
         return [as_binary(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def spaced(words: list[str]) -> list[bytes]:
-        """Ids of words after a space. A word of letters is one pre-token, so the merges run on it without the rest."""
-        plain = [w for w in words if w.isalpha()] if direct else []
+    def words_to_ids(words: list[str], lead: str) -> list[bytes]:
+        """Ids of words after ``lead``, a space or nothing. A word of letters is one pre-token: the merges run on it alone."""
         known: dict[str, bytes] = {}
-        if plain:
-            mapped = as_bytes.pre_tokenize_str("\n".join([" " + w for w in plain]))[0][0].split(as_bytes.pre_tokenize_str("\n")[0][0])
-            known = {w: as_binary([t.id for t in tokenizer.model.tokenize(m)]) for w, m in zip(plain, mapped)}
+        if direct:
+            merge, front = tokenizer.model.tokenize, space if lead else ""
+            plain = [w for w in words if w.isalpha()]
+            known = {w: as_binary([t.id for t in merge(front + w)]) for w in plain if w.isascii()}
+            wide = [w for w in plain if w not in known]
+            mapped = as_bytes.pre_tokenize_str("\n".join(wide))[0][0].split(line) if wide else []
+            known.update((w, as_binary([t.id for t in merge(front + m)])) for w, m in zip(wide, mapped))
         rest = [w for w in words if w not in known]
-        known.update(zip(rest, tokens([" " + w for w in rest])))
+        known.update(zip(rest, tokens([lead + w for w in rest])))
         return [known[w] for w in words]
 
     def learn(chunks: set[str]) -> None:
@@ -82,7 +88,7 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         marks = sorted({c[len(s) :] for c, s in stems.items()}.difference(firsts))
         firsts.update(zip(marks, tokens(marks)))
         bare = sorted({stems.get(c, c) for c in missing}.difference(others))
-        others.update(zip(bare, spaced(bare)))
+        others.update(zip(bare, words_to_ids(bare, " ")))
         others.update((c, others[s] + firsts[c[len(s) :]]) for c, s in stems.items())
 
     def encode(texts: list[str]) -> list[bytes]:
@@ -98,7 +104,7 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             apart = dict(zip(sorted(whole), tokens([own[i] for i in sorted(whole)])))
             split = [[] if i in whole else t.split(" ") for i, t in enumerate(own)]
             heads = sorted({x[0] for x in split if x}.difference(firsts))
-            firsts.update(zip(heads, tokens(heads)))
+            firsts.update(zip(heads, words_to_ids(heads, "")))
             learn(set().union(*(x[1:] for x in split)))
             out += [b"".join([firsts[x[0]], *map(others.__getitem__, x[1:])]) if x else apart[i] for i, x in enumerate(split)]
         return out
