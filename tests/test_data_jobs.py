@@ -171,9 +171,23 @@ def test_stream_late_pulls_quarantine_and_restart(spark, tmp_path):
     land("20240301_000000", ("2024-01-01", 180.0), ("2024-03-01", 190.0))
     run()
     run()
-    got = as_dict(st.latest_archive(spark, root, KEYS, 2))
+    got = as_dict(st.latest_archive(spark, root, KEYS))
     assert got == {D(2024, 1, 1): (100.0, "20240201_000000"), D(2024, 2, 1): (101.0, "20240201_000000"), D(2023, 12, 1): (98.0, "20240101_000000")}
-    assert spark.read.parquet(f"{root}/quarantine/version=2").count() == 2
+    assert spark.read.parquet(f"{root}/quarantine/pull=20240301_000000").count() == 2
+
+
+@pytest.mark.parametrize("per_trigger", [1, 1000])
+def test_stream_does_not_depend_on_batches(spark, tmp_path, per_trigger):
+    landed, root = tmp_path / "landed", str(tmp_path / "archive")
+    landed.mkdir()
+    pulls = {"20240101_000000": [10.0, 20.0, 30.0], "20240201_000000": [10.5, 99.0, 30.5], "20240301_000000": [11.0, 20.5, 31.0]}
+    for stamp, values in pulls.items():
+        for k, value in enumerate(values):
+            (landed / f"part{k}_{stamp}.json").write_text(json.dumps({"reference_month": f"2024-0{k + 1}-01", "value": value}))
+    rows = st.read_pulls(spark, str(landed), "reference_month DATE, value DOUBLE", per_trigger)
+    st.run_archive_stream(spark, rows, root, KEYS, 5.0).awaitTermination()
+    assert as_dict(st.latest_archive(spark, root, KEYS)) == {D(2024, k + 1, 1): (v, "20240301_000000") for k, v in enumerate(pulls["20240301_000000"])}
+    assert spark.read.parquet(f"{root}/quarantine/pull=20240201_000000").count() == 3
 
 
 # ---- feature table -----------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tideframe.functions.distributions import normal_tail, student_two_sided
 from tideframe.functions.scalars import guarded_ratio, is_finite
-from tideframe.panel import UNBOUNDED
+from tideframe.panel import UNBOUNDED, null_safe_join
 from tideframe.session import stored
 
 
@@ -32,7 +32,6 @@ def against_naive(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("pred").alias("pred_a"), F.col("naive").alias("pred_b"))
 
 
-MAX_LAGS = 64  # longest horizon the tests accept; rows look back at most this far
 LOSSES = {"squared": lambda e: e * e, "absolute": F.abs}
 
 
@@ -107,10 +106,12 @@ def overall_winner(tests: DataFrame) -> DataFrame:
 
 
 def clark_west(
-    forecasts: DataFrame, groups: Sequence[str], alpha: float = 0.05, small_sample: bool = True
+    forecasts: DataFrame, groups: Sequence[str], alpha: float = 0.05, small_sample: bool = True, longest: int | None = None
 ) -> DataFrame:
     """Nested-model test of ``pred`` against ``naive`` per group and horizon, one-sided.
 
+    Rows look back as far as the longest horizon needs; ``longest`` tells it, else the forecasts are asked (one more job).
+
     Rows keep their position: a row with a missing value takes no part, but the lag
     distance across it stays, and each autocovariance is divided by its own number of
     valid pairs. Null results where n <= h or n < 3.
@@ -118,8 +119,9 @@ def clark_west(
     groups = [*groups, "horizon"]
     part = Window.partitionBy(*groups)
     w = part.orderBy("origin_date")
-    too_far = F.raise_error(F.lit(f"horizons go up to {MAX_LAGS}")).cast("long")
-    forecasts = forecasts.withColumn("horizon", F.when(F.col("horizon") <= MAX_LAGS, F.col("horizon").cast("long")).otherwise(too_far))
+    top = max(1, int(longest if longest is not None else forecasts.agg(F.max("horizon")).first()[0] or 1))
+    too_far = F.raise_error(F.lit(f"a horizon is longer than {top}")).cast("long")
+    forecasts = forecasts.withColumn("horizon", F.when(F.col("horizon") <= top, F.col("horizon").cast("long")).otherwise(too_far))
     valid = is_finite(F.col("actual")) & is_finite(F.col("naive")) & is_finite(F.col("pred"))
     e1, e2 = F.col("actual") - F.col("naive"), F.col("actual") - F.col("pred")
     adj = F.pow(F.col("naive") - F.col("pred"), 2)
@@ -129,7 +131,6 @@ def clark_west(
     d = d.withColumns({"_z": F.col("_f") - F.avg("_f").over(part), "_at": F.row_number().over(w)})
 
     # Lag products only up to h-1: each row meets its h-1 predecessors, gaps keep their place.
-    top = MAX_LAGS
     past = F.collect_list(F.struct("_z")).over(w.rowsBetween(-(top - 1), 0))
     near = F.reverse(F.col("_past"))
     products = F.transform(F.slice(near, F.lit(1), F.least(F.size("_past"), F.col("horizon"))), lambda s: s["_z"] * F.col("_z"))
@@ -183,18 +184,18 @@ def fdr_adjust(df: DataFrame, p: str, alias: str, groups: Sequence[str] = ()) ->
     bins = bins.select(
         *on, F.coalesce(F.sum("_rows").over(smaller), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_m"))
     up = Window.partitionBy(*on).orderBy(p)
-    ranked = distinct.join(bins, on).withColumn("_rank", F.col("_before") + F.sum("_ties").over(up))
+    ranked = null_safe_join(distinct, bins, on).withColumn("_rank", F.col("_before") + F.sum("_ties").over(up))
     ranked = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
     larger = Window.partitionBy(*key).orderBy("_bin").rowsBetween(UNBOUNDED, -1)
     floors = ranked.groupBy(*on).agg(F.min("_raw").alias("_low"))
     floors = floors.select(*on, F.min("_low").over(larger).alias("_later"))
     down = Window.partitionBy(*on).orderBy(F.col(p).desc())
-    adjusted = ranked.join(floors, on).select(
+    adjusted = null_safe_join(ranked, floors, on).select(
         *groups, F.col(p).alias("_p"),
         F.least(F.min("_raw").over(down), F.coalesce(F.col("_later"), F.lit(1.0)), F.lit(1.0)).alias(alias))
     match = F.col("_l." + p) == F.col("_r._p")
     for g in groups:
-        match = match & (F.col("_l." + g) == F.col("_r." + g))
+        match = match & F.col("_l." + g).eqNullSafe(F.col("_r." + g))
     return df.alias("_l").join(adjusted.alias("_r"), match, "left").select("_l.*", f"_r.{alias}")
 
 

@@ -55,12 +55,25 @@ def revision_log(pulls: DataFrame, keys: Sequence[str], limit: float) -> DataFra
         "change", (F.abs("change") > limit).alias("rejected"))
 
 
-def rebuild(pulls: DataFrame, keys: Sequence[str], seed: DataFrame | None = None) -> DataFrame:
+def accept_pull(before: DataFrame, pull: DataFrame, keys: Sequence[str], limit: float) -> tuple[DataFrame, DataFrame]:
+    """(rows to take in, rows set aside) of one whole pull, given the accepted rows of older pulls.
+
+    One value further than ``limit`` from the archived one sets the whole pull aside.
+    """
+    refused = not revisions(rebuild(before, keys), pull, keys).filter(F.abs("change") > limit).isEmpty()
+    return pull.filter(F.lit(not refused)), pull.filter(F.lit(refused))
+
+
+def rebuild(pulls: DataFrame, keys: Sequence[str], seed: DataFrame | None = None, limit: float | None = None) -> DataFrame:
     """The archive from all pulls at once: per key the value of the newest pull that had one.
 
     Equal to folding the pulls oldest to newest, in one aggregate. ``seed`` is an
-    existing archive that any pull overrides.
+    existing archive that any pull overrides. With ``limit`` each pull must pass the revision guard against
+    the pulls before it, as if they were merged one by one; one that does not stops the job.
     """
+    if limit is not None:
+        steps = pulls if seed is None else pulls.select(*keys, "value", "source_pull").unionByName(seed.select(*keys, "value", F.lit("").alias("source_pull")))
+        guard(revision_log(steps, keys, limit), limit)
     columns = [*keys, "value", "source_pull"]
     rows = pulls.filter(F.col("value").isNotNull()).select(*columns, F.lit(1).alias("_rank"))
     if seed is not None:

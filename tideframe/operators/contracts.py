@@ -38,10 +38,31 @@ def check_table(df: DataFrame, checks: Mapping[str, Column], groups: Sequence[st
 
 
 def enforce(checks: DataFrame) -> None:
-    """Stop the job when a check failed; the table holds one row per check, not per data row."""
-    failed = checks.filter(~F.col("passed")).limit(20).collect()
-    if failed:
-        raise ContractError("; ".join(str(row.asDict()) for row in failed))
+    """Stop the job when a check failed; the message counts all failures and shows the first of them.
+
+    The table holds one row per check and group, not per data row; callers that need every failure filter it.
+    """
+    failed = checks.filter(~F.coalesce(F.col("passed"), F.lit(False)))
+    n = failed.count()
+    if n:
+        shown = failed.orderBy(*checks.columns).limit(20).collect()
+        raise ContractError(f"{n} failed: " + "; ".join(str(row.asDict()) for row in shown))
+
+
+def missing_months(df: DataFrame, keys: Sequence[str], month: str = "reference_month") -> DataFrame:
+    """Series whose months are not contiguous, with how many are missing between the first and the last."""
+    at = F.year(month) * 12 + F.month(month)
+    spans = df.filter(F.col(month).isNotNull()).groupBy(*keys).agg((F.max(at) - F.min(at) + 1 - F.countDistinct(at)).alias("n_missing"))
+    return spans.filter("n_missing > 0")
+
+
+def archive_checks(archive: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per rule of an archive: not empty, keys and values present, keys unique, months contiguous per series."""
+    series = [k for k in keys if k != "reference_month"]
+    present = check_table(archive, {"key_present": F.col("reference_month").isNotNull(), "value_present": F.col("value").isNotNull()})
+    counted = lambda name, df: df.agg(F.count(F.lit(1)).alias("n_bad")).select(
+        F.lit(name).alias("check"), F.lit(None).cast("long").alias("n_rows"), "n_bad", (F.col("n_bad") == 0).alias("passed"))
+    return present.unionByName(counted("key_unique", duplicate_keys(archive, keys))).unionByName(counted("months_contiguous", missing_months(archive, series)))
 
 
 def out_of_order(df: DataFrame, spec: PanelSpec, value: str) -> DataFrame:

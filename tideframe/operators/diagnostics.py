@@ -85,9 +85,6 @@ def unit_root_p(tau: float) -> float:
     return NormalDist().cdf(sum(c * tau**i for i, c in enumerate(coefs)))
 
 
-WIDEST = 64  # most lagged differences a unit-root regression may use
-
-
 def max_lag(n: int) -> int:
     return max(min(n // 2 - 2, int(ceil(12 * (n / 100) ** 0.25))), 0)
 
@@ -127,9 +124,11 @@ def unit_root_tests(df: DataFrame, spec: PanelSpec, value: str) -> DataFrame:
     keys = list(spec.keys)
     rows = series_length(with_position(df.filter(F.col(value).isNotNull()), spec, "rn"), spec, "n_rows")
     quarter = F.ceil(12 * F.pow(F.col("n_rows") / 100, F.lit(0.25)))
-    rows = rows.withColumn("_top", F.greatest(F.least(F.floor(F.col("n_rows") / 2) - 2, quarter, F.lit(WIDEST)), F.lit(0)).cast("int"))
+    rows = rows.withColumn("_top", F.greatest(F.least(F.floor(F.col("n_rows") / 2) - 2, quarter), F.lit(0)).cast("int"))
     rows = framed(rows, spec, _differences(value))
-    rows = framed(rows, spec, _past(WIDEST))
+    # The longest series sets how far rows look back: one number, from row counts.
+    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = framed(rows, spec, _past(max(1, max_lag(sizes.agg(F.max("n")).first()[0] or 0))))
     rows = rows.withColumn("_near", F.reverse("_past"))
     gaps = F.array_repeat(F.lit(None).cast("double"), F.greatest(F.col("_top") - F.size("_near"), F.lit(0)))
     lags = F.concat(F.slice("_near", F.lit(1), F.col("_top")), gaps)

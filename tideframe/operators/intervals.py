@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.functions.scalars import is_finite
 from tideframe.operators.order_statistics import pick_ranks
+from tideframe.panel import null_safe_join
 
 
 def conformal_quantiles(
@@ -19,7 +21,7 @@ def conformal_quantiles(
     cell is null. Wider levels never get narrower bands.
     """
     on = list(groups)
-    sizes = residuals.groupBy(*on).agg(F.count(residual).alias("n_cal"))
+    sizes = residuals.groupBy(*on).agg(F.count_if(is_finite(F.col(residual).cast("double"))).alias("n_cal"))
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(q).alias("q")) for k, q in levels.items()]))
     wanted = sizes.withColumn("_c", cells).select(*on, "n_cal", F.col("_c.label").alias("label"), F.col("_c.q").alias("q"))
     rank = F.ceil(F.round((F.col("n_cal") + 1) * F.col("q"), 9))
@@ -28,7 +30,7 @@ def conformal_quantiles(
     wanted = wanted.withColumn("rank", F.when(rank <= F.col("n_cal"), rank).otherwise(beyond))
     absolute = residuals.withColumn("_abs", F.abs(residual))
     picked = pick_ranks(absolute, on, "_abs", wanted.select(*on, "label", "rank"))
-    wide = wanted.join(picked, [*on, "label"], "left").groupBy(*on, "n_cal").agg(
+    wide = null_safe_join(wanted, picked, [*on, "label"], "left").groupBy(*on, "n_cal").agg(
         *[F.max(F.when(F.col("label") == k, F.col("value"))).alias(k) for k in levels])
     ordered = sorted(levels, key=levels.get)
     return wide.withColumns({

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.operators.order_statistics import exact_quantiles
+from tideframe.panel import null_safe_join
 
 
 def _unpivot(wide: DataFrame, groups: Sequence[str], columns: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -57,10 +58,10 @@ def box_statistics(df: DataFrame, groups: Sequence[str], value: str) -> DataFram
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     x = F.col(value)
     inside = x.between(F.col("q25") - reach, F.col("q75") + reach)
-    spread = df.join(quartiles, on).groupBy(*on).agg(
+    spread = null_safe_join(df, quartiles, on).groupBy(*on).agg(
         F.avg(x).alias("mean"), F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outside"))
-    return quartiles.join(spread, on)
+    return null_safe_join(quartiles, spread, on)
 
 
 def top_n(df: DataFrame, groups: Sequence[str], score: str, tie: str, n: int) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.functions.scalars import improvement_pct, is_close
+from tideframe.functions.scalars import improvement_pct, is_close, is_finite
 
 
 
@@ -46,14 +46,14 @@ def interval_coverage(
 ) -> DataFrame:
     """Empirical coverage in percent and mean width per nominal level.
 
-    A row with a missing bound is left out of that level, not counted as a miss.
+    A row with a missing, NaN or infinite bound or value is left out of that level, not counted as a miss.
     """
     if set(lower) != set(upper):
         raise ValueError(f"levels differ: {sorted(lower)} and {sorted(upper)}")
     measures = [F.count(F.lit(1)).alias("n_forecasts")]
     for level in sorted(lower):
         lo, hi = F.col(lower[level]), F.col(upper[level])
-        usable = lo.isNotNull() & hi.isNotNull() & F.col("actual").isNotNull()
+        usable = is_finite(lo) & is_finite(hi) & is_finite(F.col("actual"))
         inside = F.when(F.col("actual").between(lo, hi), 100.0).otherwise(0.0)
         measures += [
             F.avg(F.when(usable, inside)).alias(f"coverage_{level}"),
@@ -157,12 +157,6 @@ def assert_rows_kept(joined: DataFrame, expected: DataFrame, keys: Sequence[str]
     return expected.select(*keys).join(joined.select(*keys), list(keys), "left_anti")
 
 
-def regimes_frame(spark: SparkSession, regimes: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Named closed date intervals as a table."""
-    raw = spark.createDataFrame(list(regimes), "regime string, start string, stop string")
-    return raw.select("regime", F.col("start").cast("date").alias("start"), F.col("stop").cast("date").alias("stop"))
-
-
 def tag_regime(df: DataFrame, regimes: Sequence[tuple[str, str, str]], time: str) -> DataFrame:
     """Label rows by the closed interval that holds their date; rows in none are dropped.
 
@@ -174,9 +168,13 @@ def tag_regime(df: DataFrame, regimes: Sequence[tuple[str, str, str]], time: str
     return df.withColumn("regime", label).filter(F.col("regime").isNotNull())
 
 
-def join_regimes(df: DataFrame, regimes: DataFrame, time: str) -> DataFrame:
-    """The same with intervals in a table that may overlap or vary per run."""
-    return df.join(regimes, F.col(time).between(F.col("start"), F.col("stop"))).drop("start", "stop")
+def join_regimes(df: DataFrame, regimes: Sequence[tuple[str, str, str]], time: str) -> DataFrame:
+    """The same with intervals that may overlap: a row counts for each that holds its date.
+
+    The intervals are an array of literals and the rows are filtered and exploded in place: no join, nothing to broadcast.
+    """
+    held = F.array(*[F.when(F.col(time).between(F.lit(start).cast("date"), F.lit(stop).cast("date")), F.lit(name)) for name, start, stop in regimes])
+    return df.withColumn("regime", F.explode(F.array_compact(held)))
 
 
 def decision_summary(metrics: DataFrame, tests: DataFrame, groups: Sequence[str]) -> DataFrame:

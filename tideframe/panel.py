@@ -72,6 +72,15 @@ class Running:
     alias: str
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name where null meets null; the result has the columns of ``left``, then the rest."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(renamed, match, how).drop(*[f"_right_{c}" for c in on])
+
+
 def with_position(df: DataFrame, spec: PanelSpec, name: str = "pos") -> DataFrame:
     """1-based position of each row within its series."""
     if spec.grain is None:
@@ -83,7 +92,7 @@ def with_position(df: DataFrame, spec: PanelSpec, name: str = "pos") -> DataFram
     starts = counts.select(*on, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*on).orderBy(*spec.order)
     return (
-        keyed.join(starts, on)
+        null_safe_join(keyed, starts, on)
         .withColumn(name, F.col("_start") + F.row_number().over(inside))
         .drop("_bucket", "_start")
     )
@@ -97,7 +106,7 @@ def series_length(df: DataFrame, spec: PanelSpec, name: str = "n_rows") -> DataF
     """
     if spec.grain is None:
         return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*spec.key_columns)))
-    return df.join(df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias(name)), list(spec.keys))
+    return null_safe_join(df, df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias(name)), list(spec.keys))
 
 
 def framed(df: DataFrame, spec: PanelSpec, *items: Framed) -> DataFrame:
@@ -172,7 +181,7 @@ def running(df: DataFrame, spec: PanelSpec, *items: Running) -> DataFrame:
     carry = keyed.groupBy(*on).agg(*totals).withColumns(carries).select(*on, *carries)
     kept = df.columns
     return (
-        keyed.join(carry, on)
+        null_safe_join(keyed, carry, on)
         .withColumns(local)
         .withColumns(final)
         .select(*[c for c in kept if c not in final], *final)

@@ -94,17 +94,26 @@ def snapshot_latest(spark, folder):
     return rounded(newest.select("series", F.col("reference_month").cast("date").alias("reference_month"), "value"))
 
 
-@query("archive_stream", sql_with(f"SELECT series, reference_month, {r('arg_max(value, source_pull)','value')}, max(source_pull) AS source_pull FROM p GROUP BY 1,2", p=_PULLS))
+# Each pull against the accepted ones before it, as a whole.
+_GUARDED = {
+    "a1": f"SELECT * FROM p WHERE source_pull='{PULLS[0][0]}'",
+    "n2": f"SELECT count(*) AS n FROM p JOIN a1 USING (series, reference_month) WHERE p.source_pull='{PULLS[1][0]}' AND abs(p.value-a1.value) > {LIMIT}",
+    "a2": f"SELECT * FROM a1 UNION ALL SELECT * FROM p WHERE source_pull='{PULLS[1][0]}' AND (SELECT n FROM n2) = 0",
+    "l2": "SELECT series, reference_month, arg_max(value, source_pull) AS value FROM a2 GROUP BY 1,2",
+    "n3": f"SELECT count(*) AS n FROM p JOIN l2 USING (series, reference_month) WHERE p.source_pull='{PULLS[2][0]}' AND abs(p.value-l2.value) > {LIMIT}",
+    "a3": f"SELECT * FROM a2 UNION ALL SELECT * FROM p WHERE source_pull='{PULLS[2][0]}' AND (SELECT n FROM n3) = 0",
+}
+
+
+@query("archive_stream", sql_with(f"SELECT series, reference_month, {r('arg_max(value, source_pull)','value')}, max(source_pull) AS source_pull FROM a3 GROUP BY 1,2", p=_PULLS, **_GUARDED))
 def archive_stream(spark, folder):
-    """The landed pulls as a file stream folded into the archive; equals the rebuild when nothing breaks the guard."""
+    """The landed pulls as a file stream folded into the archive under the revision guard."""
     landed, root = _land(spark, folder), fresh_path(spark, "archive")
     stream = st.read_pulls(spark, landed, _LANDED + ", source STRING, series STRING, ingest_ts STRING")
     series = F.regexp_extract(F.col("_metadata.file_path"), "series=([^/]+)/", 1)
     rows = stream.select(series.alias("series"), F.col("reference_month").cast("date").alias("reference_month"), "value", "source_pull")
-    job = st.run_archive_stream(spark, rows, root, KEYS, limit=1e6)
-    job.awaitTermination()
-    last = max([p["batchId"] for p in job.recentProgress], default=0)
-    return rounded(st.latest_archive(spark, root, KEYS, last))
+    st.run_archive_stream(spark, rows, root, KEYS, limit=LIMIT).awaitTermination()
+    return rounded(st.latest_archive(spark, root, KEYS))
 
 
 @query("archive_contracts", sql_with("""
@@ -169,10 +178,10 @@ def union_distinct_newest(spark, folder):
     return rounded(ar.rebuild(pulls(spark, folder), KEYS).drop("source_pull"))
 
 
-@query("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def set_difference(spark, folder):
-    have = v.table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return v.table(spark, folder, "customer").select("c_custkey").join(have, "c_custkey", "left_anti")
+    """Documents that nobody labelled."""
+    return v.table(spark, folder, "documents").select("doc_id").distinct().join(v.table(spark, folder, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query("set_intersection", sql_with("SELECT DISTINCT series, date FROM daily_region INTERSECT SELECT DISTINCT series, date FROM daily_supply", "daily_region", "daily_supply"))

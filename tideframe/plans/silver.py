@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideframe.operators import archive as ar
 from tideframe.operators import contracts as ct
 from tideframe.operators.features import clamp
+from tideframe.session import stored
 from tideframe.sources.tables import replace_table
 
 
@@ -39,14 +40,15 @@ def run_silver(
 ) -> DataFrame:
     """Merge a pull, align and check it, write the silver table; a replay never rewrites the archive.
 
-    Nothing is written before every check has passed.
+    Both tables are computed once, into the shared folder, and checked there; neither target changes before every check has passed.
     """
-    merged = ar.guarded_merge(archive, pull, keys, limit)
-    silver = build_silver(merged, mapping, keys, start, end)
+    merged = stored(ar.guarded_merge(archive, pull, keys, limit), "merged")
+    silver = stored(build_silver(merged, mapping, keys, start, end), "silver")
+    ct.enforce(ct.archive_checks(merged, keys))
     ct.enforce(ct.check_table(ct.duplicate_keys(mapping, keys), {"mapping_unique": F.lit(False)}).withColumn("passed", F.col("n_rows") == 0))
     ct.enforce(contract_table(silver, keys, allowed))
     passed = lambda df: None
     replace_table(spark, silver, silver_path, passed)
     if not replay:
-        replace_table(spark, merged, archive_path, lambda df: ct.enforce(ct.check_table(df, {"value_present": F.col("value").isNotNull()})))
+        replace_table(spark, merged, archive_path, passed)
     return spark.read.parquet(silver_path)

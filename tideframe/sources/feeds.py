@@ -90,14 +90,14 @@ PAIR = r"([A-Z][a-z]+ \d{1,2}, \d{4})\s+([A-Z][a-z]+ \d{4})"
 
 
 def with_section(
-    texts: DataFrame, text: str, heading: str, stop: str, alias: str = "section", lookahead: int = 400, least: int = 3, fallback: int = 6000
+    texts: DataFrame, text: str, heading: str, stop: str, alias: str = "section", lookahead: int = 400, least: int = 3, fallback: int | None = None
 ) -> DataFrame:
     """Add the section of each text that starts at the first heading followed by real date pairs.
 
     Headings are found by splitting the whole text on them; a heading counts when the
     ``lookahead`` characters from it hold at least ``least`` pairs, else the first one
-    is used. The section ends at the next ``stop`` heading or after ``fallback``
-    characters. Texts without the heading are dropped.
+    is used. The section ends at the next ``stop`` heading; without one it goes on to the end
+    of the text, or for ``fallback`` characters if that is given. Texts without the heading are dropped.
     """
     size = len(heading)
     whole = F.col(text)
@@ -114,7 +114,7 @@ def with_section(
         .withColumn("_at", F.coalesce(F.get(confirmed, F.lit(0)), F.get("_starts", F.lit(0))))
         .withColumn("_rest", F.substr(whole, F.col("_at")))
         .withColumn("_end", F.instr("_rest", stop)))
-    length = F.when(F.col("_end") > 0, F.col("_end") - 1).otherwise(F.lit(fallback))
+    length = F.when(F.col("_end") > 0, F.col("_end") - 1).otherwise(F.length("_rest") if fallback is None else F.lit(fallback))
     return staged.withColumn(alias, F.substr("_rest", F.lit(1), length)).drop("_lengths", "_starts", "_at", "_rest", "_end")
 
 

@@ -53,8 +53,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: Seque
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str, check: Callable[[DataFrame], None]) -> None:
-    """Write beside the target, check what was written, then swap; bad data never replaces good."""
+    """Write beside the target, check what was written, then swap; bad data never replaces good.
+
+    A job that died between its two renames left the table under ``.old``; it is put back before anything else.
+    """
     staged, old = f"{path}.staged", f"{path}.old"
+    restore_table(spark, path)
     df.write.mode("overwrite").parquet(staged)
     check(spark.read.parquet(staged))
     fs, target = _fs(spark, path)
@@ -70,6 +74,14 @@ def replace_table(spark: SparkSession, df: DataFrame, path: str, check: Callable
     fs.delete(old_path, True)
 
 
+def restore_table(spark: SparkSession, path: str) -> None:
+    """Put back a table that an interrupted swap had set aside."""
+    fs, target = _fs(spark, path)
+    _, old_path = _fs(spark, f"{path}.old")
+    if not fs.exists(target) and fs.exists(old_path):
+        fs.rename(old_path, target)
+
+
 def write_mapping(mapping: DataFrame, path: str, start: str, end: str) -> int:
     """Write the release calendar in month order and return its row count.
 

@@ -8,35 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tideframe.panel import keep_one
+from tideframe.operators.archive import accept_pull, rebuild
 from tideframe.sources.snapshots import pull_stamp
 from tideframe.sources.tables import exists, read_archive
 
-TOLERANCE = 1e-9
-
 
 def read_pulls(spark: SparkSession, root: str, schema: str, per_trigger: int = 1000) -> DataFrame:
-    """Stream of landed pull rows with the pull stamp of their path as ``source_pull``."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", True).json(root)
-    return raw.withColumn("source_pull", pull_stamp(F.col("_metadata.file_path")))
+    """Stream of landed pull rows with the pull stamp of their path as ``source_pull``.
 
-
-def fold_batch(archive: DataFrame, batch: DataFrame, keys: Sequence[str], limit: float) -> tuple[DataFrame, DataFrame]:
-    """Archive after the batch, and the rows set aside.
-
-    The order key is the pull stamp, not arrival: a late, older pull fills gaps but
-    never overwrites a newer value. A pull with one value further than ``limit`` from
-    the archived one is set aside whole. Repeating a batch changes nothing.
+    ``per_trigger`` bounds the files of one batch; what the archive holds in the end does not depend on it.
     """
-    columns = [*keys, "value", "source_pull"]
-    fresh = batch.filter(F.col("value").isNotNull() & F.col("source_pull").isNotNull()).select(*columns)
-    known = archive.select(*keys, F.col("value").alias("_old"))
-    bad = (fresh.join(known, list(keys)).filter(F.abs(F.col("value") - F.col("_old")) > limit)
-           .select("source_pull").distinct())
-    accepted = fresh.join(bad, "source_pull", "left_anti")
-    rejected = fresh.join(bad, "source_pull", "left_semi")
-    merged = keep_one(archive.select(*columns).unionByName(accepted), keys, [F.col("source_pull"), F.col("value")], "last")
-    return merged, rejected
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", True).json(root)
+    return raw.withColumn("source_pull", pull_stamp(F.col("_metadata.file_path")))
 
 
 def run_archive_stream(
@@ -44,20 +27,31 @@ def run_archive_stream(
 ) -> StreamingQuery:
     """Keep the archive below ``root`` up to date; drains what is available and stops.
 
-    Each batch writes a new version folder and then a pointer to it, so a lost driver
-    or executor repeats the batch from the last complete version.
+    A batch stages its rows under its own number, so repeating it changes nothing. Then the pulls it touched and all
+    newer ones are judged anew, oldest first, each as a whole from the staged rows of every batch: a pull with one
+    value further than ``limit`` from the archive before it is set aside, the rest become that pull's accepted
+    rows. So neither the cut of a pull into batches nor the order of arrival decides anything, only changed
+    pulls are rewritten, and a late, older pull fills gaps without overwriting newer values.
     """
-
-    def versioned(n: int) -> str:
-        return f"{root}/archive/version={n}"
+    columns = [*keys, "value", "source_pull"]
 
     def fold(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        previous = versioned(number - 1)
-        archive = read_archive(session, previous, keys_of(keys)) if number else read_archive(session, f"{root}/none", keys_of(keys))
-        merged, rejected = fold_batch(archive, batch, keys, limit)
-        merged.write.mode("overwrite").parquet(versioned(number))
-        rejected.write.mode("overwrite").parquet(f"{root}/quarantine/version={number}")
+        rows = batch.filter(F.col("value").isNotNull() & F.col("source_pull").isNotNull()).select(*columns)
+        staged = f"{root}/staged/batch={number}"
+        rows.write.mode("overwrite").parquet(staged)
+        first = session.read.parquet(staged).agg(F.min("source_pull")).first()[0]
+        if first is None:
+            return
+        everything = session.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{root}/staged").select(*columns)
+        # One row per pull, not per data row.
+        stamps = sorted(r[0] for r in everything.filter(F.col("source_pull") >= first).select("source_pull").distinct().collect())
+        for stamp in stamps:
+            own = everything.filter(F.col("source_pull") == stamp).distinct()
+            good, bad = accept_pull(accepted(session, root, keys).filter(F.col("source_pull") < stamp), own, keys, limit)
+            good.write.mode("overwrite").parquet(f"{root}/next/pull={stamp}")
+            bad.write.mode("overwrite").parquet(f"{root}/quarantine/pull={stamp}")
+            session.read.parquet(f"{root}/next/pull={stamp}").write.mode("overwrite").parquet(f"{root}/accepted/pull={stamp}")
 
     return (
         pulls.writeStream.foreachBatch(fold)
@@ -70,6 +64,15 @@ def keys_of(keys: Sequence[str]) -> list[str]:
     return [k for k in keys if k != "reference_month"]
 
 
-def latest_archive(spark: SparkSession, root: str, keys: Sequence[str], last_batch: int) -> DataFrame:
-    path = f"{root}/archive/version={last_batch}"
-    return read_archive(spark, path if exists(spark, path) else f"{root}/none", keys_of(keys))
+def accepted(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
+    """Accepted rows of all pulls; the folders themselves say what the archive holds, no batch number is needed."""
+    path = f"{root}/accepted"
+    if not exists(spark, path):
+        return read_archive(spark, path, keys_of(keys))
+    typed = ", ".join([*[f"{k} STRING" for k in keys_of(keys)], "reference_month DATE", "value DOUBLE", "source_pull STRING"])
+    return spark.read.schema(typed).option("recursiveFileLookup", True).parquet(path).select(*keys, "value", "source_pull")
+
+
+def latest_archive(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
+    """The archive as of the last finished batch: per key the accepted value of the newest pull."""
+    return rebuild(accepted(spark, root, keys), keys)
