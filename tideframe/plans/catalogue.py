@@ -39,5 +39,5 @@ def r(expr: str, alias: str, digits: int = 6) -> str:
 
 def load_all() -> None:
     from tideframe.plans import (  # noqa: F401
-        queries_align, queries_archive, queries_evaluation, queries_features, queries_gaps, queries_models, queries_presentation, queries_sources,
+        queries_align, queries_archive, queries_evaluation, queries_features, queries_gaps, queries_models, queries_presentation, queries_sources, queries_tables,
     )
