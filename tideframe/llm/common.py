@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,6 +27,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def once_per_worker(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept for as long as the Python worker lives, so that its later tasks find it ready.
+
+    Functions travel to the workers by value, so a module variable would not outlive a task.
+    """
+    held = sys.modules.setdefault("_tideframe_worker", types.ModuleType("_tideframe_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]], schema: str) -> DataFrame:
     """Run ``fn`` on the columns of each Arrow batch; it returns the columns of the result."""
     from pyspark.sql.pandas.types import to_arrow_schema

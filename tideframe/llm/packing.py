@@ -17,12 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import map_batches, slices
+from tideframe.llm.common import map_batches, once_per_worker, slices
 from tideframe.session import stored
 
 CAPACITY = 2048
-#: Words whose ids a task remembers, in each of two generations.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 400_000
 #: Marks that end a word and never join with it; the apostrophe may, so it is not among them.
 MARKS = ".,;:!?#*$%&|<>"
 #: Rows that one ranking group holds on average, at most.
@@ -78,18 +78,29 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         known.update(zip(rest, tokens([lead + w for w in rest])))
         return [known[w] for w in words]
 
+    def learn_first(words: set[str]) -> None:
+        new = list(words.difference(firsts))
+        firsts.update(zip(new, words_to_ids(new, "")))
+
     def learn(chunks: set[str]) -> None:
-        """Closing marks after a letter or digit are tokens of their own, so words are learnt without them."""
+        """Ids of chunks that follow a space.
+
+        Closing marks after a letter or digit are tokens of their own, and so is a line's end between two other
+        characters: chunks are learnt from their words, marks and lines.
+        """
         missing = chunks.difference(others)
         again = missing.intersection(older)
         others.update((c, older[c]) for c in again)
         missing -= again
-        stems = {c: s for c in missing if (s := c.rstrip(MARKS)) and s is not c and s[-1].isalnum()}
-        marks = sorted({c[len(s) :] for c, s in stems.items()}.difference(firsts))
-        firsts.update(zip(marks, tokens(marks)))
-        bare = sorted({stems.get(c, c) for c in missing}.difference(others))
+        lines = {c: p for c in missing if "\n" in c and all(p := c.split("\n")) and c.split() == p}
+        heads = {p[0] for p in lines.values()}.union(c for c in missing if c not in lines).difference(others)
+        stems = {c: s for c in heads if (s := c.rstrip(MARKS)) and s is not c and s[-1].isalnum()}
+        learn_first({c[len(s) :] for c, s in stems.items()}.union(*(p[1:] for p in lines.values()), ("\n",)))
+        bare = list({stems.get(c, c) for c in heads}.difference(others))
         others.update(zip(bare, words_to_ids(bare, " ")))
         others.update((c, others[s] + firsts[c[len(s) :]]) for c, s in stems.items())
+        end = firsts["\n"]
+        others.update((c, end.join([others[p[0]], *map(firsts.__getitem__, p[1:])])) for c, p in lines.items())
 
     def encode(texts: list[str]) -> list[bytes]:
         nonlocal others, older
@@ -100,13 +111,13 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 firsts.clear()
             if len(others) > REMEMBERED:  # words not seen again while as many others came are forgotten
                 others, older = {}, others
-            whole = {i for i, t in enumerate(own) if any(map(t.__contains__, ascii_odd if t.isascii() else odd))}
-            apart = dict(zip(sorted(whole), tokens([own[i] for i in sorted(whole)])))
-            split = [[] if i in whole else t.split(" ") for i, t in enumerate(own)]
-            heads = sorted({x[0] for x in split if x}.difference(firsts))
-            firsts.update(zip(heads, words_to_ids(heads, "")))
-            learn(set().union(*(x[1:] for x in split)))
-            out += [b"".join([firsts[x[0]], *map(others.__getitem__, x[1:])]) if x else apart[i] for i, x in enumerate(split)]
+            whole = [i for i, t in enumerate(own) if any(map(t.__contains__, ascii_odd if t.isascii() else odd))]
+            apart = dict(zip(whole, tokens([own[i] for i in whole])))
+            split = [None if i in apart else t.partition(" ") for i, t in enumerate(own)]
+            tails = [x[2].split(" ") if x and x[1] else () for x in split]
+            learn_first({x[0] for x in split if x})
+            learn(set().union(*tails))
+            out += [apart[i] if x is None else firsts[x[0]] + b"".join(map(others.__getitem__, y)) for i, (x, y) in enumerate(zip(split, tails))]
         return out
 
     return encode
@@ -127,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, with_
     closing = np.asarray([end_id], "<u4").tobytes()
 
     def run(c: dict[str, list]) -> dict:
-        encode = token_encoder(path)
+        encode = once_per_worker(f"token-encoder {path}", lambda: token_encoder(path))
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
         for doc, raw in zip(c["doc_id"], encode([t or "" for t in c["text"]])):
             raw += closing

@@ -16,11 +16,11 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import map_batches, slices
+from tideframe.llm.common import map_batches, once_per_worker, slices
 
 MARK = "▁"
 SLICE = 8_000_000
-#: Words, and pairs of pieces, that a task remembers in each of two generations.
+#: Words, and pairs of pieces, that a worker remembers in each of two generations.
 REMEMBERED = 200_000
 
 
@@ -163,12 +163,16 @@ class PieceModel:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def piece_model(path: str) -> PieceModel:
+    return once_per_worker(f"pieces {path}", lambda: PieceModel(path))
+
+
 def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of each whole text; null texts have null ids, empty ones none."""
     path = model or default_model()
 
     def run(c: dict[str, list]) -> dict:
-        encoded = PieceModel(path).encode([t or "" for t in c["text"]])
+        encoded = piece_model(path).encode([t or "" for t in c["text"]])
         return {"doc_id": c["doc_id"], "ids": [None if t is None else e for t, e in zip(c["text"], encoded)]}
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>")
@@ -179,7 +183,7 @@ def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
     path = model or default_model()
 
     def run(c: dict[str, list]) -> dict:
-        own = PieceModel(path)
+        own = piece_model(path)
         return {"doc_id": c["doc_id"], "text": [None if x is None else own.decode(x) for x in c["ids"]]}
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
@@ -194,7 +198,7 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     path = model or default_model()
 
     def run(c: dict[str, list]) -> dict:
-        own = PieceModel(path)
+        own = piece_model(path)
         out: dict[str, list] = {k: [] for k in ("n_ids", "ids_crc32", "decoded_crc32", "same")}
         texts = c["text"]
         for lo, hi in slices([len(t or "") for t in texts], SLICE):
