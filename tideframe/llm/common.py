@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -56,6 +57,13 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterabl
     return df.mapInArrow(run, schema)
 
 
+def rows_with(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key is among ``ids`` (null meets null), with just their own columns."""
+    own = f"_{uuid.uuid4().hex}"
+    wanted = ids.select(F.col(key).alias(own))
+    return docs.join(wanted, F.col(key).eqNullSafe(F.col(own)), "left_semi")
+
+
 def bounded_sample(df: DataFrame, rows: int, *order: Column | str) -> DataFrame:
     """At most ``rows`` rows, the same ones each time, for fitting. Tasks pass on about twice as many in all, not each."""
     n = df.count()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import HASH_BASE, HASH_MIX, block_pairs, components, hashed_words, map_batches, mixed, roots, slices
+from tideframe.llm.common import HASH_BASE, HASH_MIX, block_pairs, components, hashed_words, map_batches, mixed, roots, rows_with, slices
 from tideframe.session import stored
 
 SHINGLE = 5
@@ -296,5 +296,5 @@ def _own_texts(texts: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, threshold: float = 0.8, target: float = 0.999) -> DataFrame:
     """The documents that the join keeps, with all their columns."""
-    verdict = jaccard_join(docs, threshold, target).groupBy("doc_id").agg(F.bool_or("kept").alias("_kept")).withColumnRenamed("doc_id", "_id")
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_kept").drop("_id", "_kept")
+    verdict = jaccard_join(docs, threshold, target).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    return rows_with(docs, verdict.filter("kept"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import bounded_sample, map_batches, slices, starts_of
+from tideframe.llm.common import bounded_sample, map_batches, rows_with, slices, starts_of
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -167,5 +167,5 @@ def language_id(docs: DataFrame, **options) -> DataFrame:
 
 def in_known_language(docs: DataFrame, **options) -> DataFrame:
     """The documents whose language is recognised with enough confidence, with all their columns."""
-    verdict = language_id(docs, **options).groupBy("doc_id").agg(F.bool_and("accepted").alias("_accepted")).withColumnRenamed("doc_id", "_id")
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_accepted").drop("_id", "_accepted")
+    verdict = language_id(docs, **options).groupBy("doc_id").agg(F.bool_and("accepted").alias("accepted"))
+    return rows_with(docs, verdict.filter("accepted"))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import SPACES, bounded_sample, map_batches
+from tideframe.llm.common import SPACES, bounded_sample, map_batches, rows_with
 from tideframe.session import stored
 
 SYMBOLS = "#*$%&|<>"
@@ -191,6 +191,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def passing_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    verdict = quality_rules(docs, labels, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("_kept"))
-    return docs.join(verdict.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_kept").drop("_id", "_kept")
+    """The documents that the rules keep, with all their columns; of rows that share an id all must pass."""
+    verdict = quality_rules(docs, labels, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
+    return rows_with(docs, verdict.filter("kept"))
