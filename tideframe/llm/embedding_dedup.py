@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import block_pairs, bounded_sample, components, roots
+from tideframe.llm.common import block_pairs, bounded_sample, components, map_batches, roots
 from tideframe.session import stored
 
 #: Rows of a block; a task holds two blocks.
@@ -26,16 +26,23 @@ CELL_ROWS, MAX_CELLS = 1000, 2048
 
 def unit_vectors(embeddings: DataFrame) -> DataFrame:
     """``vec_id, unit``: vectors of length 1 in double precision; null where the vector links with nothing."""
-    values = F.col("embedding").cast("array<double>")
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    top = F.array_max(F.transform(values, F.abs))
-    sound = F.size(values) > 0
-    sound &= ~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sound = F.coalesce(sound & (top > 0), F.lit(False))
-    scaled = F.transform(values, lambda x: x / top)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, scaled).alias("scaled"), F.when(sound, length).alias("length")).select(
-        "vec_id", F.transform("scaled", lambda x: x / F.col("length")).alias("unit"))
+
+    def unit(v: list | None) -> np.ndarray | None:
+        if not v or None in v:
+            return None
+        x = np.asarray(v, np.float64)
+        top = np.abs(x).max()
+        if not np.isfinite(x).all() or top == 0:
+            return None
+        # Scaled by the largest component first, so that squares neither overflow nor vanish.
+        x = x / top
+        return x / np.sqrt(x @ x)
+
+    def run(c: dict[str, list]) -> dict:
+        return {"vec_id": c["vec_id"], "unit": [unit(v) for v in c["embedding"]]}
+
+    values = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return map_batches(values, run, "vec_id long, unit array<double>")
 
 
 def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
