@@ -46,6 +46,18 @@ def test_repeated_strings(spark, monkeypatch, hot):
     assert got == plain_repeats(rows)
 
 
+def test_repeated_rows_are_one_document(spark):
+    rows = passages()
+    twice = [rows[5], rows[20], rows[20], (64, "é" * 130), (None, "z" * 40 + rows[7][1])]
+    want = plain_repeats([(-1 if i is None else i, t) for i, t in rows + twice[-1:]])
+    got = suffix_dedup.dedup_suffixes(frame(spark, rows + twice + twice[-1:])).collect()
+    assert len(got) == len(rows) + len(twice) + 1
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[-1 if r.doc_id is None else r.doc_id] for r in got)
+    again = [(i, t) for i, t in rows if t and i < 50]
+    texts = lambda frame_: {r.doc_id: r.text for r in suffix_dedup.without_repeats(frame_).collect()}
+    assert texts(frame(spark, again + again)) == texts(frame(spark, again))
+
+
 def test_merge_of_front_coded_runs():
     r = rng(8)
     keys = ["".join(r.choices("ab", k=r.randint(0, 9))).encode() for _ in range(300)]

@@ -362,8 +362,8 @@ def _keep(raw: bytes, spans: list[int]) -> tuple[bytes, list[tuple[int, int]]]:
 def spans_by_document(docs: DataFrame) -> DataFrame:
     """``docs`` with ``doc_key`` and ``spans`` (array, null if nothing repeats) added.
 
-    ``doc_key`` hashes id and text: rows that repeat both are one document and get one answer. Documents with the same
-    id and other text are ordered by that hash, null ids come first.
+    ``doc_key`` hashes id and text: rows that repeat both are one document, sorted once, and get one answer. Documents
+    with the same id and other text are ordered by that hash, null ids come first.
     """
     keyed = docs.withColumn("doc_key", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("text", F.col("text").cast("string"))
     grams = repeated_grams(keyed).groupBy("doc_key").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("n"))
@@ -371,7 +371,8 @@ def spans_by_document(docs: DataFrame) -> DataFrame:
     total = grams.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
     parts = max(1, total // RANGE_ROWS)
     ordered = keyed.select("doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("doc_key").alias("tie"), "text")
-    runs = sorted_runs(ordered.join(grams, "doc_key"), parts)
+    # Counts of repeated rows only let more grams through; their places must be unique, or a document repeats itself.
+    runs = sorted_runs(ordered.dropDuplicates(["doc_key"]).join(grams, "doc_key"), parts)
     spans = repeats(runs).groupBy("doc_key").agg(F.collect_list(F.col("start") * F.lit(2**31) + F.col("stop") - F.col("start")).alias("spans"))
     return keyed.join(stored(spans, "repeats"), "doc_key", "left")
 
