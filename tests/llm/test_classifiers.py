@@ -29,6 +29,34 @@ def test_language_of_odd_rows(spark):
     assert all(r.lang_pred in ("en", "de") for r in rows if r.doc_id in (105, 106, 107, 108))
 
 
+def test_language_of_unsure_texts_is_rejected(spark):
+    strange = [(900, "щука жмых вьюга эхо юла " * 4, None), (901, "the and ing sch ein ich " * 10, None), (902, "qzx jvk wqj xkz vqz " * 5, None)]
+    docs = frame(spark, bilingual() + strange)
+    got = {r.doc_id: r for r in language_id.language_id(docs).collect()}
+    assert all(got[i].lang_pred != "und" and got[i].score > 0.5 and not got[i].accepted for i in (900, 902))
+    assert all(got[i].accepted for i in range(160))
+    assert not {900, 902} & {r.doc_id for r in language_id.in_known_language(docs).collect()}
+
+
+def test_language_threshold():
+    logits = np.log(np.array([[0.9, 0.1], [0.8, 0.2], [0.7, 0.3], [0.6, 0.4]]))
+    sure = [0, 0, 0, 1]
+    temperature, threshold = language_id._calibrate(logits, np.array(sure), 0.99)
+    p = language_id._softmax(logits / temperature).max(1)
+    assert (p >= threshold).tolist() == [True, True, True, False]
+    temperature, threshold = language_id._calibrate(logits, np.array(sure), 0.99, np.array([1, 1, 1000, 1]))
+    assert (language_id._softmax(logits / temperature).max(1) >= threshold).all()
+    assert language_id._calibrate(logits, np.array([1, 1, 1, 1]), 0.99)[1] > 1 and language_id._calibrate(logits[:0], np.array([], int), 0.99)[1] > 1
+
+
+def test_language_of_few_documents_is_learnt(spark):
+    r = rng(4)
+    rows = [(i, prose(r, "de" if i % 100 == 7 else "en"), "de" if i % 100 == 7 else "en") for i in range(1200)]
+    model = language_id.fit(frame(spark, rows), sample_rows=30)
+    got = language_id.identify(frame(spark, rows), model).collect()
+    assert model.languages == ("de", "en") and all(x.lang_pred == rows[x.doc_id][2] for x in got)
+
+
 def test_language_without_rows_or_labels(spark):
     assert language_id.language_id(frame(spark, bilingual(4)).filter("false")).count() == 0
     unlabelled = frame(spark, bilingual(4)).withColumn("lang", language_id.F.lit(None).cast("string"))

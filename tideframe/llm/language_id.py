@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import bounded_sample, map_batches, rows_with, slices, starts_of
+from tideframe.llm.common import map_batches, rows_with, slices, starts_of
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -62,10 +62,33 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def _sample(docs: DataFrame, sample_rows: int) -> list:
-    """Language and subword counts of at most ``sample_rows`` labelled documents, whole texts."""
+def _quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Equal shares of ``rows`` per language, at least one; what small languages cannot fill goes to the others."""
+    out: dict[str, int] = {}
+    left = rows
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], max(1, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
+def _sample(docs: DataFrame, sample_rows: int) -> tuple[list, dict[str, float]]:
+    """Language and subword counts of at most ``sample_rows`` labelled documents (one per language at least), whole texts.
+
+    Drawn per language, so that no language is missing; with the documents that a drawn one of each language stands for.
+    """
     chosen = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    chosen = bounded_sample(chosen.select("doc_id", "lang", "text", F.xxhash64("text").alias("mark")), sample_rows, "doc_id", "mark", "lang").drop("doc_id", "mark")
+    counts = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    if not counts:
+        return [], {}
+    quotas = _quotas(counts, sample_rows)
+    # Tasks pass on about twice the quota of each language; the rest is cut off exactly.
+    pairs = [(lang, n, 2.0 * n / counts[lang] + 4.0 * (2.0 * n) ** 0.5 / counts[lang]) for lang, n in sorted(quotas.items())]
+    of = lambda k: F.create_map(*[F.lit(x) for p in pairs for x in (p[0], p[k])])[F.col("lang")]
+    marked = chosen.select("doc_id", "lang", "text", F.xxhash64("text").alias("mark")).withColumn("draw", F.xxhash64("doc_id", "mark", "lang"))
+    thinned = marked.filter(F.pmod("draw", F.lit(1 << 30)) < of(2) * F.lit(1 << 30))
+    ranked = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "mark")))
+    chosen = ranked.filter(F.col("rank") <= of(1)).select("lang", "text")
 
     def count(c: dict[str, list]) -> dict:
         letters, ids, counts = _letters(), [], []
@@ -75,7 +98,8 @@ def _sample(docs: DataFrame, sample_rows: int) -> list:
             counts.append(n.astype(np.float32))
         return {"lang": c["lang"], "ids": ids, "counts": counts}
 
-    return map_batches(chosen.repartition(8, F.xxhash64("text")), count, "lang string, ids array<int>, counts array<float>").orderBy("lang", "ids").collect()
+    found = map_batches(chosen.repartition(8, F.xxhash64("text")), count, "lang string, ids array<int>, counts array<float>").orderBy("lang", "ids").collect()
+    return found, {lang: counts[lang] / n for lang, n in quotas.items()}
 
 
 def fit(docs: DataFrame, sample_rows: int = 2000, width: int = 16, epochs: int = 6, rate: float = 0.5, target_precision: float = 0.995, seed: int = 5) -> LanguageModel | None:
@@ -83,8 +107,10 @@ def fit(docs: DataFrame, sample_rows: int = 2000, width: int = 16, epochs: int =
 
     A fifth of the sample is kept back: it sets the temperature of the softmax and the probability below
     which a prediction is rejected, the lowest from which on ``target_precision`` of the predictions are right.
+    If there is no such probability, everything is rejected.
     """
-    rows = [(r["lang"], np.asarray(r["ids"], np.int64), np.asarray(r["counts"], np.float32)) for r in _sample(docs, sample_rows) if len(r["ids"])]
+    sample, stands_for = _sample(docs, sample_rows)
+    rows = [(r["lang"], np.asarray(r["ids"], np.int64), np.asarray(r["counts"], np.float32)) for r in sample if len(r["ids"])]
     if not rows:
         return None
     rng = np.random.default_rng(seed)
@@ -112,8 +138,9 @@ def fit(docs: DataFrame, sample_rows: int = 2000, width: int = 16, epochs: int =
             bias -= 0.1 * p
             step += 1
     folded = (table @ out).astype(np.float32)
-    logits = np.array([(rows[i][2] / rows[i][2].sum()) @ folded[rows[i][1]] + bias for i in back]).reshape(len(back), len(languages))
-    temperature, threshold = _calibrate(logits, y[back], target_precision)
+    # In double precision, as predictions are.
+    logits = np.array([(rows[i][2] / rows[i][2].sum()).astype(float) @ folded[rows[i][1]].astype(float) + bias for i in back]).reshape(len(back), len(languages))
+    temperature, threshold = _calibrate(logits, y[back], target_precision, np.array([stands_for[rows[i][0]] for i in back]))
     return LanguageModel(languages, folded, bias, temperature, threshold)
 
 
@@ -122,17 +149,19 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _calibrate(logits: np.ndarray, y: np.ndarray, target: float) -> tuple[float, float]:
+def _calibrate(logits: np.ndarray, y: np.ndarray, target: float, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Temperature and lowest accepted probability; ``weight`` tells how many documents a row stands for."""
     if not len(y):
-        return 1.0, 0.0
-    at = np.arange(len(y))
-    temperature = min(np.geomspace(0.05, 20, 80), key=lambda t: -np.log(_softmax(logits / t)[at, y] + 1e-12).mean())
+        return 1.0, np.inf
+    at, weight = np.arange(len(y)), np.ones(len(y)) if weight is None else weight
+    temperature = min(np.geomspace(0.05, 20, 80), key=lambda t: np.average(-np.log(_softmax(logits / t)[at, y] + 1e-12), weights=weight))
     p = _softmax(logits / temperature)
     best, right = p.max(1), p.argmax(1) == y
     order = np.argsort(-best, kind="stable")
-    precision = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
+    precision = np.cumsum((right * weight)[order]) / np.cumsum(weight[order])
     enough = np.flatnonzero(precision >= target)
-    return float(temperature), float(best[order][enough[-1]]) * 0.5 if len(enough) else 0.0
+    # Down to the ninth decimal, so that sums in another order reject nothing.
+    return float(temperature), float(np.floor(best[order][enough[-1]] * 1e9) / 1e9) if len(enough) else np.inf
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
