@@ -190,6 +190,33 @@ def test_responses_and_shares(spark, two):
     assert top.loc["x0", "top_shock"] == "x0" and top.loc["x0", "own_share"] == pytest.approx(1.0)
 
 
+def test_a_series_without_a_fit_has_a_row(spark, system):
+    df = panel(spark, good=system, short=system[:4], flat=np.ones((300, 3)))
+    names, bad = ["x0", "x1", "x2"], {"short", "flat"}
+    ranks = co.primary_rank(co.johansen(df, SPEC, names, 2), ["series"])
+    assert {r.series: r.rank for r in ranks.collect()} == {"good": 1, "short": None, "flat": None}
+    irf = co.impulse_responses(df, SPEC, names, 2, ranks, periods=3)
+    shares = co.variance_shares(irf, ["series"])
+    tables = [co.johansen(df, SPEC, names, 2), co.error_correction(df, SPEC, names, 2, ranks), co.granger(df, SPEC, names, 2), irf, shares,
+              co.response_summary(irf, ["series"]), co.top_contributors(shares, ["series"], 3), vm.arma_orders(df, SPEC, "x0", widest=2), dg.lag_order(df, SPEC, names, 3)]
+    for k, table in enumerate(tables):
+        rows = table.collect()
+        # A constant alone fits the differences of a flat series, so two of its ARMA and no VAR orders may be sound.
+        assert {r.series for r in rows} == bad | {"good"}, k
+        assert all(r.fit_ok and r.reason is None for r in rows if r.series == "good"), k
+        failed = [r for r in rows if not r.fit_ok]
+        assert {r.series for r in failed} == bad and all(r.reason for r in failed), k
+
+
+def test_registered_models_run_the_whole_job():
+    from tideframe.operators.trees import CANONICAL
+    from tideframe.plans import queries_models as q
+
+    space = q.search_space()
+    assert len(space) == len({tuple(c.items()) for c in space}) == 28 and CANONICAL in space
+    assert (len(q.WALKS), q.LAGS, q.FOLDS, q.HORIZONS, len(q.SEEDS), q.TREE_LAGS) == (6, 10, 5, (1, 5, 20), 5, (1, 2, 3, 4, 5, 10, 20))
+
+
 def test_granger_finds_the_driver(spark):
     rng = np.random.default_rng(9)
     x = np.cumsum(rng.normal(size=500))

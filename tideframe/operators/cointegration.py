@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tideframe.functions.distributions import f_tail
 from tideframe.operators.features import difference, lag_block
-from tideframe.operators.moments import expanding_solve, gramian, least_squares, square, vector, well_posed
+from tideframe.operators.moments import every_series, expanding_solve, gramian, least_squares, square, typed, vector, well_posed
 from tideframe.operators.vector_models import FORECAST_SCHEMA, _forecast_rows, _origins, responses
 from tideframe.panel import UNBOUNDED, PanelSpec, framed, with_position
 
@@ -36,6 +36,11 @@ MAX_EIGENVALUE = {
 }
 
 
+#: Every table of fits ends with these; a series without a fit has one row with nulls and the reason.
+FIT_FIELDS = [T.StructField("fit_ok", T.BooleanType()), T.StructField("reason", T.StringType())]
+TOO_SHORT = "too few complete rows"
+
+
 class Layout:
     """Positions inside the moment vector [1, t, lagged differences, lagged level, difference]."""
 
@@ -103,20 +108,19 @@ def johansen(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff:
     """Trace and maximum-eigenvalue tests per series for three deterministic specifications.
 
     The trace statistic of r is the sum of the maximum-eigenvalue statistics from r on.
-    Ranks follow sequential testing at 95 %.
+    Ranks follow sequential testing at 95 %. A specification that cannot be fitted has one row with ``fit_ok = false``.
     """
     keys, k, at = list(spec.keys), len(columns), Layout(len(columns), k_ar_diff)
     if k > 6:
         raise ValueError("critical values cover up to six variables")
     rows = _rows(df, spec, columns, k_ar_diff)
-    main = gramian(rows, keys, "w")
     trend = rows.withColumn("v", F.concat(F.array(F.lit(1.0), F.col("_t").cast("double")), F.col("_y")))
-    both = main.join(gramian(trend, keys, "v").withColumnRenamed("g", "h"), keys)
+    both = every_series(df, keys, g=gramian(rows, keys, "w"), h=gramian(trend, keys, "v"))
     schema = T.StructType([
         *[df.schema[c] for c in keys], T.StructField("det_order", T.LongType()), T.StructField("r_null", T.LongType()),
         T.StructField("eigenvalue", T.DoubleType()), T.StructField("trace_stat", T.DoubleType()), T.StructField("trace_cv_95", T.DoubleType()),
         T.StructField("trace_reject_95", T.BooleanType()), T.StructField("max_eig_stat", T.DoubleType()), T.StructField("max_eig_cv_95", T.DoubleType()),
-        T.StructField("max_eig_reject_95", T.BooleanType()), T.StructField("trace_rank", T.LongType()), T.StructField("max_eig_rank", T.LongType())])
+        T.StructField("max_eig_reject_95", T.BooleanType()), T.StructField("trace_rank", T.LongType()), T.StructField("max_eig_rank", T.LongType()), *FIT_FIELDS])
 
     def rank(rejects: list[bool]) -> int:
         return rejects.index(False) if False in rejects else len(rejects)
@@ -125,26 +129,28 @@ def johansen(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff:
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                g, h = square(row["g"]), square(row["h"])
-                slope = least_squares(h, 2)[0][1]
                 for det in (-1, 0, 1):
                     try:
-                        lam, n = _eigenvalues(g, at, det, slope)
-                    except np.linalg.LinAlgError:
+                        if row["g"] is None:
+                            raise np.linalg.LinAlgError(TOO_SHORT)
+                        slope = least_squares(square(row["h"]), 2)[0][1]
+                        lam, n = _eigenvalues(square(row["g"]), at, det, slope)
+                    except np.linalg.LinAlgError as e:
+                        out.append((*[row[c] for c in keys], det, *[None] * 10, False, str(e)))
                         continue
                     top = -n * np.log1p(-lam)
                     trace = np.cumsum(top[::-1])[::-1]
                     cvt = [TRACE[det][k - r - 1][1] for r in range(k)]
                     cvm = [MAX_EIGENVALUE[det][k - r - 1][1] for r in range(k)]
                     rt, rm = [bool(a > b) for a, b in zip(trace, cvt)], [bool(a > b) for a, b in zip(top, cvm)]
-                    out += [(*[row[c] for c in keys], det, r, float(lam[r]), float(trace[r]), cvt[r], rt[r], float(top[r]), cvm[r], rm[r], rank(rt), rank(rm)) for r in range(k)]
-            yield pd.DataFrame(out, columns=schema.fieldNames())
+                    out += [(*[row[c] for c in keys], det, r, float(lam[r]), float(trace[r]), cvt[r], rt[r], float(top[r]), cvm[r], rm[r], rank(rt), rank(rm), True, None) for r in range(k)]
+            yield typed(out, schema)
 
     return both.mapInPandas(solve, schema)
 
 
 def primary_rank(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cointegration rank per series: trace test with restricted constant."""
+    """Cointegration rank per series: trace test with restricted constant; null where it could not be fitted."""
     return tests.filter("det_order = 0").groupBy(*keys).agg(F.max("trace_rank").alias("rank"))
 
 
@@ -173,27 +179,43 @@ def _fit(g: np.ndarray, at: Layout, r: int) -> dict:
     return {"alpha": alpha, "beta": beta, "gamma": lag, "sigma": sigma, "var": var, "pi": pi, "constant": alpha @ beta[k]}
 
 
+def _ranked_moments(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: int, ranks: DataFrame) -> DataFrame:
+    """Moments of the series with a rank above 0 and of those whose rank is null because no test could be fitted."""
+    keys = list(spec.keys)
+    main = every_series(df, keys, g=gramian(_rows(df, spec, columns, k_ar_diff), keys, "w"))
+    return main.join(ranks.filter("rank > 0 or rank is null").select(*keys, "rank"), keys)
+
+
+def _ranked_fit(row: dict, at: Layout) -> dict:
+    if row["g"] is None:
+        raise np.linalg.LinAlgError(TOO_SHORT)
+    if pd.isna(row["rank"]):
+        raise np.linalg.LinAlgError("no cointegration rank")
+    return _fit(square(row["g"]), at, min(int(row["rank"]), at.k))
+
+
 def error_correction(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: int, ranks: DataFrame) -> DataFrame:
-    """Cointegrating vectors and adjustment per series in long form; rank 0 gives no rows."""
+    """Cointegrating vectors and adjustment per series in long form; rank 0 gives no rows, a failed fit or null rank one."""
     keys, at = list(spec.keys), Layout(len(columns), k_ar_diff)
-    main = gramian(_rows(df, spec, columns, k_ar_diff), keys, "w").join(ranks.filter("rank > 0"), keys)
+    main = _ranked_moments(df, spec, columns, k_ar_diff, ranks)
     schema = T.StructType([
         *[df.schema[c] for c in keys], T.StructField("relation", T.LongType()), T.StructField("variable", T.StringType()),
-        T.StructField("beta", T.DoubleType()), T.StructField("alpha", T.DoubleType())])
+        T.StructField("beta", T.DoubleType()), T.StructField("alpha", T.DoubleType()), *FIT_FIELDS])
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
                 try:
-                    fit = _fit(square(row["g"]), at, min(int(row["rank"]), at.k))
-                except np.linalg.LinAlgError:
+                    fit = _ranked_fit(row, at)
+                except np.linalg.LinAlgError as e:
+                    out.append((*[row[c] for c in keys], *[None] * 4, False, str(e)))
                     continue
                 for j in range(fit["beta"].shape[1]):
                     for i, name in enumerate([*columns, "constant"]):
                         a = float(fit["alpha"][i, j]) if i < at.k else None
-                        out.append((*[row[c] for c in keys], j, name, float(fit["beta"][i, j]), a))
-            yield pd.DataFrame(out, columns=schema.fieldNames())
+                        out.append((*[row[c] for c in keys], j, name, float(fit["beta"][i, j]), a, True, None))
+            yield typed(out, schema)
 
     return main.mapInPandas(solve, schema)
 
@@ -238,26 +260,30 @@ def granger(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: i
     """F test for every ordered pair: do the lags of ``causing`` help ``caused``?
 
     Levels enter with one lag more than the model has and the extra lag is not tested,
-    so the statistic is valid for integrated series.
+    so the statistic is valid for integrated series. A series without a fit has one row with ``fit_ok = false``.
     """
     keys, k, q = list(spec.keys), len(columns), k_ar_diff + 2
     rows = framed(df.select(*spec.keys, spec.time, *columns).na.drop("any"), spec, lag_block(columns, q, "_past", shift=1))
     w = F.when(F.col("_past").isNotNull(), vector(F.array(F.lit(1.0)), F.col("_past"), F.array(*[F.col(c).cast("double") for c in columns])))
-    moments = gramian(rows.withColumn("w", w), keys, "w")
+    moments = every_series(df, keys, g=gramian(rows.withColumn("w", w), keys, "w"))
     schema = T.StructType([
         *[df.schema[c] for c in keys], T.StructField("causing", T.StringType()), T.StructField("caused", T.StringType()),
         T.StructField("test_statistic", T.DoubleType()), T.StructField("df_num", T.LongType()), T.StructField("df_denom", T.LongType()),
-        T.StructField("p_value", T.DoubleType()), T.StructField("reject_h0", T.BooleanType()), T.StructField("verdict", T.StringType())])
+        T.StructField("p_value", T.DoubleType()), T.StructField("reject_h0", T.BooleanType()), T.StructField("verdict", T.StringType()), *FIT_FIELDS])
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                g = square(row["g"])
-                m, n = 1 + k * q, g[0, 0]
+                m = 1 + k * q
                 try:
+                    if row["g"] is None or row["g"][0] <= m:
+                        raise np.linalg.LinAlgError(TOO_SHORT)
+                    g = square(row["g"])
+                    n = g[0, 0]
                     coef, rest = least_squares(g, m)
-                except np.linalg.LinAlgError:
+                except np.linalg.LinAlgError as e:
+                    out.append((*[row[c] for c in keys], *[None] * 8, False, str(e)))
                     continue
                 scale = np.sqrt(np.diag(g[:m, :m]))
                 inverse = np.linalg.inv(g[:m, :m] / np.outer(scale, scale)) / np.outer(scale, scale)
@@ -273,8 +299,8 @@ def granger(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: i
                         p = float(f_tail(wald, len(lags), df2))
                         text = (f"{causing} Granger-causes {caused} (p={p:.4f} < {alpha})" if p < alpha
                                 else f"No evidence {causing} Granger-causes {caused} (p={p:.4f} >= {alpha})")
-                        out.append((*[row[c] for c in keys], causing, caused, wald, len(lags), df2, p, p < alpha, text))
-            yield pd.DataFrame(out, columns=schema.fieldNames())
+                        out.append((*[row[c] for c in keys], causing, caused, wald, len(lags), df2, p, p < alpha, text, True, None))
+            yield typed(out, schema)
 
     return moments.mapInPandas(solve, schema)
 
@@ -282,26 +308,30 @@ def granger(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: i
 def impulse_responses(
     df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: int, ranks: DataFrame, periods: int = 20
 ) -> DataFrame:
-    """Orthogonalised responses to one-deviation shocks, Cholesky in the given order, with running sums."""
+    """Orthogonalised responses to one-deviation shocks, Cholesky in the given order, with running sums.
+
+    Rank 0 gives no rows, a failed fit or null rank one with ``fit_ok = false``.
+    """
     keys, at = list(spec.keys), Layout(len(columns), k_ar_diff)
-    main = gramian(_rows(df, spec, columns, k_ar_diff), keys, "w").join(ranks.filter("rank > 0"), keys)
+    main = _ranked_moments(df, spec, columns, k_ar_diff, ranks)
     schema = T.StructType([
         *[df.schema[c] for c in keys], T.StructField("horizon", T.LongType()), T.StructField("shock", T.StringType()),
-        T.StructField("response_variable", T.StringType()), T.StructField("response", T.DoubleType())])
+        T.StructField("response_variable", T.StringType()), T.StructField("response", T.DoubleType()), *FIT_FIELDS])
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
                 try:
-                    fit = _fit(square(row["g"]), at, min(int(row["rank"]), at.k))
+                    fit = _ranked_fit(row, at)
                     low = np.linalg.cholesky(fit["sigma"])
-                except np.linalg.LinAlgError:
+                except np.linalg.LinAlgError as e:
+                    out.append((*[row[c] for c in keys], *[None] * 4, False, str(e)))
                     continue
                 orth = responses(fit["var"], periods + 1) @ low
-                out += [(*[row[c] for c in keys], h, s, v, float(orth[h, i, j]))
+                out += [(*[row[c] for c in keys], h, s, v, float(orth[h, i, j]), True, None)
                         for h in range(periods + 1) for i, v in enumerate(columns) for j, s in enumerate(columns)]
-            yield pd.DataFrame(out, columns=schema.fieldNames())
+            yield typed(out, schema)
 
     return with_running_response(main.mapInPandas(solve, schema), keys)
 
@@ -311,28 +341,34 @@ def with_running_response(irf: DataFrame, keys: Sequence[str]) -> DataFrame:
     return irf.withColumn("cumulative_response", F.sum("response").over(w))
 
 
+def _fit_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in FIT_FIELDS if f.name in df.columns]
+
+
 def variance_shares(irf: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of each shock in the forecast error variance; shares of one response and horizon sum to one."""
     run = Window.partitionBy(*keys, "shock", "response_variable").orderBy("horizon").rowsBetween(UNBOUNDED, 0)
     whole = Window.partitionBy(*keys, "response_variable", "horizon")
     squared = irf.withColumn("_c", F.sum(F.col("response") * F.col("response")).over(run))
-    return squared.select(*keys, "horizon", "response_variable", "shock", (F.col("_c") / F.nullif(F.sum("_c").over(whole), F.lit(0.0))).alias("proportion"))
+    share = (F.col("_c") / F.nullif(F.sum("_c").over(whole), F.lit(0.0))).alias("proportion")
+    return squared.select(*keys, "horizon", "response_variable", "shock", share, *_fit_columns(irf))
 
 
 def response_summary(irf: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Peak response, its horizon, the final response and whether it dies out."""
     size = F.struct(F.round(F.abs("response"), 12), -F.col("horizon"))
-    out = irf.groupBy(*keys, "shock", "response_variable").agg(
+    out = irf.groupBy(*keys, "shock", "response_variable", *_fit_columns(irf)).agg(
         F.max_by("response", size).alias("peak"), F.max_by("horizon", size).alias("peak_horizon"),
         F.max_by("response", "horizon").alias("final"))
     fades = (F.abs("peak") < 1e-9) | (F.abs("final") < 0.25 * F.abs("peak"))
     return out.withColumns({
-        "direction": F.when(F.col("peak") > 0, "rises").otherwise("falls"),
-        "persistence": F.when(fades, "decays back toward zero").otherwise("remains persistently displaced")})
+        "direction": F.when(F.col("peak") > 0, "rises").when(F.col("peak").isNotNull(), "falls"),
+        "persistence": F.when(fades, "decays back toward zero").when(F.col("peak").isNotNull(), "remains persistently displaced")})
 
 
 def top_contributors(shares: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
     """The largest shock per response at one horizon and the response's own share."""
     own = F.max(F.when(F.col("shock") == F.col("response_variable"), F.col("proportion")))
-    return shares.filter(F.col("horizon") == horizon).groupBy(*keys, "response_variable").agg(
+    at = (F.col("horizon") == horizon) | F.col("horizon").isNull()
+    return shares.filter(at).groupBy(*keys, "response_variable", *_fit_columns(shares)).agg(
         F.max_by("shock", F.struct(F.round("proportion", 12), "shock")).alias("top_shock"), F.max("proportion").alias("top_share"), own.alias("own_share"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideframe.operators.features import lag_block
-from tideframe.operators.moments import gramian, least_squares, square, vector, well_posed
+from tideframe.operators.moments import every_series, gramian, least_squares, square, typed, vector, well_posed
 from tideframe.panel import PanelSpec, framed, series_length, with_position
 
 # MacKinnon's response surface for the unit-root test with a constant.
@@ -200,22 +200,27 @@ def lag_order(df: DataFrame, spec: PanelSpec, columns: Sequence[str], max_order:
     """AIC, BIC, HQIC and FPE of a vector autoregression for orders 0..max per series, on one common sample.
 
     Exogenous columns enter every candidate. One row per order, with a flag per criterion at its minimum.
+    An order without a fit has ``fit_ok = false`` and a reason; a series without any row to fit has one such row of order null.
     """
     keys, k, e = list(spec.keys), len(columns), len(exogenous)
     rows = framed(df, spec, lag_block(columns, max_order, "_past", shift=1))
     now = F.array(*[F.col(c).cast("double") for c in columns])
     outside = F.array(*[F.col(c).cast("double") for c in exogenous]) if exogenous else F.array().cast("array<double>")
     w = vector(F.array(F.lit(1.0)), outside, F.col("_past"), now)
-    moments = gramian(rows.filter(F.col("_past").isNotNull()).withColumn("w", w), keys, "w")
+    moments = every_series(df, keys, g=gramian(rows.filter(F.col("_past").isNotNull()).withColumn("w", w), keys, "w"))
     names = ["aic", "bic", "hqic", "fpe"]
     schema = T.StructType([
         *[df.schema[x] for x in keys], T.StructField("order", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names],
-        *[T.StructField(f"best_{n}", T.BooleanType()) for n in names]])
+        *[T.StructField(f"best_{n}", T.BooleanType()) for n in names], T.StructField("fit_ok", T.BooleanType()), T.StructField("reason", T.StringType())])
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
+                key = [row[x] for x in keys]
+                if row["g"] is None:
+                    out.append((*key, *[None] * 5, *[False] * 5, "too few complete rows"))
+                    continue
                 g = square(row["g"])
                 n, fixed = g[0, 0], 1 + e
                 scores = []
@@ -224,16 +229,21 @@ def lag_order(df: DataFrame, spec: PanelSpec, columns: Sequence[str], max_order:
                     at = [*range(fixed), *lags, *range(g.shape[0] - k, g.shape[0])]
                     m = fixed + p * k
                     try:
+                        if n < m + k:
+                            raise np.linalg.LinAlgError("too few complete rows")
                         _, rest = least_squares(g[np.ix_(at, at)], m)
                         ld = np.linalg.slogdet(rest / n)[1]
-                    except np.linalg.LinAlgError:
+                        if not np.isfinite(ld):
+                            raise np.linalg.LinAlgError("no residual variance")
+                    except np.linalg.LinAlgError as error:
+                        out.append((*key, p, *[None] * 4, *[False] * 5, str(error)))
                         continue
                     free = k * m
                     scores.append((p, ld + 2 * free / n, ld + log(n) * free / n, ld + 2 * log(log(n)) * free / n,
                                    ((n + m) / (n - m)) ** k * np.exp(ld) if n > m else np.inf))
                 best = [min(scores, key=lambda s, i=i: s[i])[0] for i in range(1, 5)] if scores else []
                 for s in scores:
-                    out.append((*[row[x] for x in keys], *s, *[s[0] == b for b in best]))
-            yield pd.DataFrame(out, columns=schema.fieldNames())
+                    out.append((*key, *s, *[s[0] == b for b in best], True, None))
+            yield typed(out, schema)
 
     return moments.mapInPandas(solve, schema)

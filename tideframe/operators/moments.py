@@ -70,6 +70,21 @@ def gramian(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:
     return _sum_elements(rows.mapInPandas(partial, schema), groups)
 
 
+def every_series(df: DataFrame, groups: Sequence[str], **moments: DataFrame) -> DataFrame:
+    """One row per key of ``df`` with the column ``g`` of each of ``moments`` under its name; null where a series has none."""
+    groups, kind = list(groups), "array<double>"
+    blank = df.select(*groups).distinct().withColumns({n: F.lit(None).cast(kind) for n in moments})
+    for name, own in moments.items():
+        blank = blank.unionByName(own.select(*groups, *[(F.col("g") if n == name else F.lit(None).cast(kind)).alias(n) for n in moments]))
+    return blank.groupBy(*groups).agg(*[F.first(n, ignorenulls=True).alias(n) for n in moments])
+
+
+def typed(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    """Rows as a frame whose whole numbers and truth values may be null."""
+    kinds = {"bigint": "Int64", "int": "Int32", "boolean": "boolean", "double": "float64"}
+    return pd.DataFrame(rows, columns=schema.fieldNames()).astype({f.name: kinds[f.dataType.simpleString()] for f in schema if f.dataType.simpleString() in kinds})
+
+
 def square(flat) -> np.ndarray:
     g = np.asarray(flat, dtype=float)
     m = int(round(np.sqrt(g.size)))

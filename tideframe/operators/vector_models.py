@@ -212,35 +212,44 @@ def _pick(p: int, q: int, widest: int) -> list[int]:
 
 
 def arma_orders(df: DataFrame, spec: PanelSpec, level: str, widest: int = 5, ar_order: int = 10, fit_rows: int = 100) -> DataFrame:
-    """AIC and BIC of ARMA(p, q) on differences for p, q in 0..widest, by Hannan-Rissanen least squares."""
-    import pandas as pd
+    """AIC and BIC of ARMA(p, q) on differences for p, q in 0..widest, by Hannan-Rissanen least squares.
 
-    from tideframe.operators.moments import gramian, square
+    An order without a fit has ``fit_ok = false`` and a reason; a series without any row to fit has one such row of order null.
+    """
+    from tideframe.operators.moments import every_series, gramian, square, typed
 
     keys = list(spec.keys)
-    moments = gramian(_arma_rows(df, spec, level, widest, ar_order, fit_rows), keys, "w")
+    moments = every_series(df, keys, g=gramian(_arma_rows(df, spec, level, widest, ar_order, fit_rows), keys, "w"))
     schema = T.StructType([
         *[df.schema[k] for k in keys], T.StructField("p", T.LongType()), T.StructField("q", T.LongType()), T.StructField("aic", T.DoubleType()),
-        T.StructField("bic", T.DoubleType()), T.StructField("best_aic", T.BooleanType()), T.StructField("best_bic", T.BooleanType())])
+        T.StructField("bic", T.DoubleType()), T.StructField("best_aic", T.BooleanType()), T.StructField("best_bic", T.BooleanType()),
+        T.StructField("fit_ok", T.BooleanType()), T.StructField("reason", T.StringType())])
 
     def score(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
+                key = [row[k] for k in keys]
+                if row["g"] is None:
+                    out.append((*key, *[None] * 4, False, False, False, "too few complete rows"))
+                    continue
                 g = square(row["g"])
                 n, scores = g[0, 0], []
                 for p in range(widest + 1):
                     for q in range(widest + 1):
                         at = _pick(p, q, widest)
                         try:
+                            if n <= 1 + p + q:
+                                raise np.linalg.LinAlgError("too few complete rows")
                             rest = least_squares(g[np.ix_(at, at)], 1 + p + q)[1][0, 0]
-                        except np.linalg.LinAlgError:
+                        except np.linalg.LinAlgError as e:
+                            out.append((*key, p, q, None, None, False, False, False, str(e)))
                             continue
                         fit = n * np.log(max(rest, 1e-300) / n)
                         scores.append((p, q, fit + 2 * (1 + p + q), fit + np.log(n) * (1 + p + q)))
-                a, b = (min(scores, key=lambda s, i=i: (s[i], s[0] + s[1]))[:2] for i in (2, 3))
-                out += [(*[row[k] for k in keys], *s, s[:2] == a, s[:2] == b) for s in scores]
-            yield pd.DataFrame(out, columns=schema.fieldNames())
+                a, b = (min(scores, key=lambda s, i=i: (s[i], s[0] + s[1]))[:2] if scores else None for i in (2, 3))
+                out += [(*key, *s, s[:2] == a, s[:2] == b, True, None) for s in scores]
+            yield typed(out, schema)
 
     return moments.mapInPandas(score, schema)
 

@@ -15,22 +15,23 @@ from tideframe.plans.catalogue import query, r, rounded
 from tideframe.plans.views import HORIZONS, MIN_TRAIN, SPEC, STEP, sql_with
 from tideframe.session import stored
 
-WALKS = ["walk_orders", "walk_linked", "walk_supply"]
-LAGS = 2
+WALKS = ["walk_orders", "walk_linked", "walk_supply", "walk_counts", "walk_quantity", "walk_shipped"]
+LAGS = 10
 
 
 def walks(spark, folder):
-    """Three integrated series per region: summed order and supply surprises, and a noisy double of the first.
+    """Six integrated series per region: summed surprises of orders, supply, counts and quantity, and noisy doubles of two.
 
-    The second moves with the first, so the system has one cointegrating relation by construction.
+    The second moves with the first and the sixth with the third, so the system has two cointegrating relations by construction.
     """
-    both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s"), ["series", "date"])
-    means = both.groupBy("series").agg(F.avg("y").alias("my"), F.avg("s").alias("ms"), F.avg("n").alias("mn"))
+    both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s", "q"), ["series", "date"])
+    means = both.groupBy("series").agg(F.avg("y").alias("my"), F.avg("s").alias("ms"), F.avg("n").alias("mn"), F.avg("q").alias("mq"))
     surprise = both.join(means, "series").select(
-        "series", "date", (F.col("y") - F.col("my")).alias("ey"), (F.col("s") - F.col("ms")).alias("es"), (F.col("n") / F.col("mn") - 1).alias("en"))
-    summed = running(surprise, SPEC, Running("sum", "ey", "walk_orders"), Running("sum", "es", "walk_supply"))
+        "series", "date", (F.col("y") - F.col("my")).alias("ey"), (F.col("s") - F.col("ms")).alias("es"), (F.col("n") / F.col("mn") - 1).alias("en"), (F.col("q") / F.col("mq") - 1).alias("eq"))
+    summed = running(surprise, SPEC, *[Running("sum", e, f"walk_{w}") for e, w in (("ey", "orders"), ("es", "supply"), ("en", "counts"), ("eq", "quantity"))])
     return summed.select("series", "date", (F.col("walk_orders") + F.col("en")).alias("walk_orders"),
-                         (2 * F.col("walk_orders") - F.col("en")).alias("walk_linked"), "walk_supply")
+                         (2 * F.col("walk_orders") - F.col("en")).alias("walk_linked"), "walk_supply", "walk_counts", "walk_quantity",
+                         (2 * F.col("walk_supply") - F.col("eq")).alias("walk_shipped"))
 
 
 @query("corr_levels_vs_diffs", sql_with("""
@@ -75,7 +76,7 @@ def adf(spark, folder):
 
 @query("lag_order")
 def lag_order(spark, folder):
-    return rounded(dg.lag_order(stored(walks(spark, folder), "walks"), SPEC, WALKS, 8), 6)
+    return rounded(dg.lag_order(stored(walks(spark, folder), "walks"), SPEC, WALKS), 6)
 
 
 @query("johansen")
@@ -109,7 +110,7 @@ def cointegration_job(spark, folder):
     """Two systems through gate, rank and forecasts; the report names series without forecasts."""
     data = stored(walks(spark, folder), "walks")
     forecasts, report = wf.run_systems(
-        data, SPEC, {"three": WALKS, "two": WALKS[:2]}, "walk_orders", LAGS, HORIZONS, MIN_TRAIN, STEP)
+        data, SPEC, {"three": WALKS[:3], "two": WALKS[:2]}, "walk_orders", LAGS, HORIZONS, MIN_TRAIN, STEP)
     scored = error_metrics(forecasts, ["system", "series", "horizon"]).select("system", "series", "horizon", "n_forecasts", "rmse", "naive_rmse")
     return rounded(report.join(scored, ["system", "series"], "left"), 5)
 
@@ -209,8 +210,8 @@ def var_interval_coverage(spark, folder):
 def arma_hr(spark, folder):
     """Order by AIC per region, then walk-forward; unstable fits are flagged."""
     data = stored(v.daily_region(spark, folder).select("series", "date", "y"), "panel")
-    best = stored(vm.arma_orders(data, SPEC, "y", widest=3).filter("best_aic"), "orders")
-    return rounded(vm.arma_forecasts(data, SPEC, "y", best, HORIZONS, MIN_TRAIN, STEP, widest=3))
+    best = stored(vm.arma_orders(data, SPEC, "y").filter("best_aic"), "orders")
+    return rounded(vm.arma_forecasts(data, SPEC, "y", best, HORIZONS, MIN_TRAIN, STEP))
 
 
 @query("arma_orders")
@@ -220,14 +221,24 @@ def arma_orders(spark, folder):
 
 # ---- trees and sequence data -----------------------------------------------
 
-SMALL_TREES = {"maxDepth": 2, "stepSize": 0.1, "maxIter": 5, "subsamplingRate": 0.8}
+TREE_LAGS, FOLDS, SEEDS = (1, 2, 3, 4, 5, 10, 20), 5, (42, 0, 1, 7, 2024)
+
+
+def search_space():
+    """Three rates with their number of trees, three depths, three strengths of sampling, and the settings before any search."""
+    from tideframe.operators.trees import CANONICAL
 
+    return [
+        {"maxDepth": depth, "stepSize": rate, "maxIter": n, "subsamplingRate": share, "featureSubsetStrategy": features, "minInstancesPerNode": least}
+        for rate, n in ((0.01, 600), (0.03, 300), (0.10, 150)) for depth in (2, 3, 4)
+        for share, features, least in ((0.7, "0.7", 5), (0.8, "0.8", 1), (1.0, "all", 1))] + [CANONICAL]
 
-def tree_frame(spark, folder, horizons=(1, 5)):
+
+def tree_frame(spark, folder, horizons=(1, 5), lags=(1, 2, 5)):
     from tideframe.operators.trees import tabular_features
 
     both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s"), ["series", "date"])
-    data, names = tabular_features(both, SPEC, "y", ["n", "s"], [1, 2, 5], horizons)
+    data, names = tabular_features(both, SPEC, "y", ["n", "s"], list(lags), horizons)
     return stored(data, "features"), names
 
 
@@ -260,29 +271,31 @@ def tabular_features(spark, folder):
 
 @query("gbt_walk_forward")
 def gbt_walk_forward(spark, folder):
-    from tideframe.operators.trees import walk_forward
+    from tideframe.operators.trees import CANONICAL, walk_forward
 
-    data, names = tree_frame(spark, folder)
-    return rounded(walk_forward(data, names, SPEC, "y", (1, 5), MIN_TRAIN, 2, SMALL_TREES), 5)
+    data, names = tree_frame(spark, folder, HORIZONS, TREE_LAGS)
+    return rounded(walk_forward(data, names, SPEC, "y", HORIZONS, MIN_TRAIN, FOLDS, CANONICAL), 5)
 
 
 @query("gbt_search")
 def gbt_search(spark, folder):
-    """Three settings over two seeds, ranked, on rows before the first scored origin."""
-    from tideframe.operators.trees import search
+    """All 28 settings over five seeds and three horizons, ranked, on rows before the first scored origin."""
+    from tideframe.operators.trees import CANONICAL, search
 
-    data, names = tree_frame(spark, folder)
-    configs = [SMALL_TREES, {**SMALL_TREES, "maxDepth": 3}, {"maxDepth": 2, "stepSize": 0.1, "maxIter": 3}]
-    return rounded(search(data, names, SPEC, (1,), 150, configs, (42, 7), SMALL_TREES), 5)
+    data, names = tree_frame(spark, folder, HORIZONS, TREE_LAGS)
+    return rounded(search(data, names, SPEC, HORIZONS, 150, search_space(), SEEDS, CANONICAL), 5)
 
 
 @query("permutation_importance")
 def permutation_importance(spark, folder):
     from tideframe.operators import trees
 
-    data, names = tree_frame(spark, folder, (1, 5))
-    rows = trees.assemble(data, names)
-    return rounded(trees.permutation_importance(trees.fit(rows, "target_h1", SMALL_TREES), rows, names, "target_h1", SPEC))
+    data, names = tree_frame(spark, folder, HORIZONS, TREE_LAGS)
+    rows, out = trees.assemble(data, names), None
+    for h in HORIZONS:
+        one = trees.permutation_importance(trees.fit(rows, f"target_h{h}", trees.CANONICAL), rows, names, f"target_h{h}", SPEC).withColumn("horizon", F.lit(h))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
 
 
 _SEQ = "PARTITION BY series ORDER BY date"
