@@ -272,8 +272,10 @@ def test_folds_cover_and_embargo_holds(spark):
 
 def test_trees_walk_forward_search_importance(spark):
     from tideframe.operators import trees
+    from tideframe.operators.boosting import Setting
+    from tideframe.operators.profile import best_against_canonical
 
-    spec, params = PanelSpec(), {"maxDepth": 2, "stepSize": 0.2, "maxIter": 3}
+    spec, params = PanelSpec(), Setting(depth=2, rate=0.2, trees=3)
     data, names = trees.tabular_features(line(spark, 330), spec, "y", ["z"], [1, 2], (1, 5))
     data = data.cache()
     raw = line(spark, 330).toPandas()
@@ -285,14 +287,13 @@ def test_trees_walk_forward_search_importance(spark):
     key = ["horizon", "origin_date"]
     np.testing.assert_allclose(out.sort_values(key)["pred"], again.sort_values(key)["pred"])
     assert len(out) == 2 * (data.count() - 150) and (out["hi95"] >= out["hi90"]).all() and out["actual"].notna().all()
-    ranked = trees.search(data, names, spec, (1,), 140, [params, {**params, "maxDepth": 1}], (1, 2), params).toPandas()
+    ranked = trees.search(data, names, spec, (1,), 140, [params, Setting(depth=1, rate=0.2, trees=3)], (1, 2), params).toPandas()
     assert sorted(ranked["rank"]) == [1, 2] and (ranked["n_seeds"] == 1).all() and (ranked["std_score"] == 0).all()
-    best = trees.compare_to_canonical(trees.search(data, names, spec, (1,), 140, [params], (1,), params)).first()
+    best = best_against_canonical(trees.search(data, names, spec, (1,), 140, [params], (1,), params)).first()
     assert best["canonical_rank"] == 1 and not best["is_new_best"] and best["relative_gain_pct"] == 0
-    rows = trees.assemble(data, names)
-    model = trees.fit(rows, "target_h1", params)
-    imp = trees.permutation_importance(model, rows, names, "target_h1", spec).toPandas().set_index("feature")
-    split = trees.split_importance(model, names).toPandas().set_index("feature")
+    rows, fitted = trees.whole_sample(data, names, spec, (1,), params)
+    imp = trees.permutation_importance(rows, fitted, names, spec, (1,)).toPandas().set_index("feature")
+    split = trees.split_importance(fitted, names, (1,)).toPandas().set_index("feature")
     unused = split.index[split["importance"] == 0]
     assert set(imp.index) == set(names) and np.allclose(imp.loc[unused, "importance"], 0)
     assert imp["importance"].max() > 0

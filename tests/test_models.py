@@ -213,7 +213,7 @@ def test_registered_models_run_the_whole_job():
     from tideframe.plans import queries_models as q
 
     space = q.search_space()
-    assert len(space) == len({tuple(c.items()) for c in space}) == 28 and CANONICAL in space
+    assert len(space) == len(set(space)) == 28 and CANONICAL in space
     assert (len(q.WALKS), q.LAGS, q.FOLDS, q.HORIZONS, len(q.SEEDS), q.TREE_LAGS) == (6, 10, 5, (1, 5, 20), 5, (1, 2, 3, 4, 5, 10, 20))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.panel import PanelSpec, Running, framed, keep_one, running, with_position
+from tideframe.panel import PanelSpec, Running, framed, keep_one, null_safe_join, running, with_position
 from tideframe.operators.features import bounded_fill
 
 
@@ -80,16 +80,18 @@ def stitch(legacy: DataFrame, current: DataFrame, time: str, break_date: str) ->
 
 
 def join_one_to_one(base: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join that refuses a key twice on either side, checked inside the same job."""
+    """Left join that refuses a key twice on either side, checked inside the same job; a null key meets a null key.
 
-    def guarded(df: DataFrame, side: str) -> DataFrame:
-        counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        checked = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"duplicate key on the {side} side"))).otherwise(F.col("_n"))
-        return counts.select(*on, checked.alias("_once"))
+    Each side is read once: the aggregate that counts a key's rows also carries its row.
+    """
+
+    def single(df: DataFrame, side: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in on]
+        held = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[F.col(c) for c in rest] or [F.lit(0).alias("_none")])).alias("_row"))
+        once = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"duplicate key on the {side} side"))).otherwise(F.col("_n"))
+        return held.filter(once == 1).select(*[F.col(c) if c in on else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
-    unique = base.join(guarded(base, "left"), list(on)).filter(F.col("_once") == 1).drop("_once")
-    checked = other.join(guarded(other, "right"), list(on)).filter(F.col("_once") == 1).drop("_once")
-    return unique.join(checked, list(on), "left")
+    return null_safe_join(single(base, "left"), single(other, "right"), on, "left")
 
 
 def attach_target_date(

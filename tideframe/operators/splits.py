@@ -60,6 +60,20 @@ def _tail(n: Column, share: float, floor: int) -> Column:
     return F.greatest(F.floor(n * F.lit(share)), F.lit(floor))
 
 
+def role_at(i: Column, train_end: Column, test_end: Column, horizon: Column, cal_share: float = 0.15, cal_floor: int = 20) -> Column:
+    """The role of the row at 0-based position ``i`` in a fold: fit, gap, calibration, embargo or test; null after the test block."""
+    train = train_end - horizon
+    fit = train - _tail(train, cal_share, cal_floor) - horizon
+    return (
+        F.when(i >= test_end, F.lit(None))
+        .when(i >= train_end, "test")
+        .when(i >= train, "embargo")
+        .when(i >= fit + horizon, "calibration")
+        .when(i >= fit, "gap")
+        .otherwise("fit")
+    )
+
+
 def embargo_roles(
     df: DataFrame, spec: PanelSpec, bounds: DataFrame, horizons: Sequence[int],
     cal_share: float = 0.15, cal_floor: int = 20,
@@ -71,18 +85,26 @@ def embargo_roles(
     """
     placed = with_position(df, spec, "rn").withColumn("_i", F.col("rn") - 1)
     hs = F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")
-    cut = bounds.select("*", hs).withColumn("_train", F.col("train_end") - F.col("horizon"))
-    cut = cut.withColumn("_cal", _tail(F.col("_train"), cal_share, cal_floor))
-    cut = cut.withColumn("_fit", F.col("_train") - F.col("_cal") - F.col("horizon")).drop("n_rows")
-    rows = placed.join(cut, list(spec.keys)).filter(F.col("_i") < F.col("test_end"))
-    role = (
-        F.when(F.col("_i") >= F.col("train_end"), "test")
-        .when(F.col("_i") >= F.col("_train"), "embargo")
-        .when(F.col("_i") >= F.col("_fit") + F.col("horizon"), "calibration")
-        .when(F.col("_i") >= F.col("_fit"), "gap")
-        .otherwise("fit")
+    rows = placed.join(bounds.select("*", hs).drop("n_rows"), list(spec.keys)).filter(F.col("_i") < F.col("test_end"))
+    role = role_at(F.col("_i"), F.col("train_end"), F.col("test_end"), F.col("horizon"), cal_share, cal_floor)
+    return rows.withColumn("role", role).drop("_i", "train_end", "test_end")
+
+
+def search_role_at(i: Column, pool: Column, horizon: Column, cal_share: float = 0.15, val_share: float = 0.15) -> Column:
+    """The role of the row at 0-based position ``i`` of a pool of ``pool`` rows; a pool too small for an embargoed split fails."""
+    train = pool - horizon
+    fit = train - _tail(train, cal_share, 20) - horizon
+    inner = fit - _tail(fit, val_share, 20) - horizon
+    safe = (pool >= 60) & (fit >= 20) & (inner >= 10)
+    return (
+        F.when(~safe, F.raise_error(F.lit("selection pool is too small for an embargoed split")))
+        .when(i < inner, "inner_train")
+        .when(i < inner + horizon, "gap")
+        .when(i < fit, "inner_val")
+        .when(i < fit + horizon, "gap")
+        .when(i < train, "calibration")
+        .otherwise("embargo")
     )
-    return rows.withColumn("role", role).drop("_i", "_train", "_cal", "_fit", "train_end", "test_end")
 
 
 def search_roles(
@@ -97,20 +119,8 @@ def search_roles(
     pool = with_position(df, spec, "rn").filter(F.col("rn") <= selection_end)
     pool = series_length(pool, spec, "_pool").withColumn("_i", F.col("rn") - 1)
     hs = F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")
-    cut = pool.select("*", hs).withColumn("_train", F.col("_pool") - F.col("horizon"))
-    cut = cut.withColumn("_fit", F.col("_train") - _tail(F.col("_train"), cal_share, 20) - F.col("horizon"))
-    cut = cut.withColumn("_inner", F.col("_fit") - _tail(F.col("_fit"), val_share, 20) - F.col("horizon"))
-    safe = (F.col("_pool") >= 60) & (F.col("_fit") >= 20) & (F.col("_inner") >= 10)
-    role = (
-        F.when(~safe, F.raise_error(F.lit("selection pool is too small for an embargoed split")))
-        .when(F.col("_i") < F.col("_inner"), "inner_train")
-        .when(F.col("_i") < F.col("_inner") + F.col("horizon"), "gap")
-        .when(F.col("_i") < F.col("_fit"), "inner_val")
-        .when(F.col("_i") < F.col("_fit") + F.col("horizon"), "gap")
-        .when(F.col("_i") < F.col("_train"), "calibration")
-        .otherwise("embargo")
-    )
-    return cut.withColumn("role", role).drop("_i", "_pool", "_train", "_fit", "_inner")
+    role = search_role_at(F.col("_i"), F.col("_pool"), F.col("horizon"), cal_share, val_share)
+    return pool.select("*", hs).withColumn("role", role).drop("_i", "_pool")
 
 
 def partition_log(roles: DataFrame, groups: Sequence[str], time: str = "date") -> DataFrame:

@@ -1,28 +1,29 @@
-"""Gradient-boosted trees pooled over the panel: walk-forward arm, search, importance.
+"""Gradient-boosted trees pooled over the panel: walk-forward arm, search, importance, attribution.
 
-Fits are Spark ML jobs on the cluster; the driver loops over folds, horizons and
-configurations only, whose numbers are fixed by arguments.
+All models of a job (folds, horizons, settings, seeds) are fitted together over rows that are binned once; roles are marks
+of a row, not copies of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.operators import boosting as bo
 from tideframe.operators.features import difference, forward_sum, forward_value, lagged, rolling, trim_edges
 from tideframe.operators.intervals import conformal_quantiles
-from tideframe.operators.profile import best_against_canonical, rank_in_band, seed_summary
-from tideframe.operators.splits import embargo_roles, fold_bounds, search_roles
-from tideframe.panel import PanelSpec, framed
+from tideframe.operators.profile import rank_in_band, seed_summary
+from tideframe.operators.splits import fold_bounds, role_at, search_role_at
+from tideframe.panel import PanelSpec, framed, series_length, with_position
 from tideframe.session import stored
 
 # The settings before any search.
-CANONICAL = {"maxDepth": 3, "stepSize": 0.03, "maxIter": 150, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 1}
+CANONICAL = bo.Setting(trees=150, depth=3, rate=0.03, rows=0.8, columns=0.8, least=1.0, l2=1.0, l1=0.0)
 
 
 def tabular_features(
@@ -46,111 +47,136 @@ def tabular_features(
     return kept.na.drop("any", subset=names), names
 
 
-def assemble(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(names), outputCol="features").transform(df)
-
-
-def fit(rows: DataFrame, label: str, params: Mapping, seed: int = 42) -> GBTRegressionModel:
-    return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="pred_diff", seed=seed, **params).fit(rows)
+def _numbered(spec: PanelSpec):
+    return F.xxhash64(*spec.keys, spec.time).alias("number")
 
 
 def walk_forward(
     data: DataFrame, names: Sequence[str], spec: PanelSpec, level: str, horizons: Sequence[int],
-    min_train: int, n_folds: int, params: Mapping, seed: int = 42,
+    min_train: int, n_folds: int, setting: bo.Setting,
 ) -> DataFrame:
     """Per fold and horizon: a point model on all embargoed training rows, a second model whose
     residuals on the held-out tail give the conformal band, level forecasts for the test block.
+
+    Features are binned by quantiles of the rows before the first test block, which every fold knows.
     """
-    frame = assemble(data, names).select(
-        *spec.keys, spec.time, level, "features", *[f"{s}{h}" for h in horizons for s in ("target_h", "actual_h", "target_date_h")])
-    roles = stored(embargo_roles(frame, spec, fold_bounds(frame, spec, min_train, n_folds), horizons), "roles")
-    tests = residuals = None
-    for fold in range(n_folds):
-        for h in horizons:
-            block = roles.filter((F.col("fold") == fold) & (F.col("horizon") == h))
-            point = fit(block.filter(F.col("role").isin("fit", "gap", "calibration")), f"target_h{h}", params, seed)
-            held_out = fit(block.filter("role = 'fit'"), f"target_h{h}", params, seed)
-            made = point.transform(block.filter("role = 'test'")).select(
-                *spec.keys, F.col(spec.time).alias("origin_date"), F.col("horizon").cast("long").alias("horizon"), "fold",
-                F.col(f"target_date_h{h}").alias("target_date"), F.col(f"actual_h{h}").alias("actual"), F.col(level).alias("naive"), "pred_diff")
-            missed = held_out.transform(block.filter("role = 'calibration'")).select(
-                F.col("horizon").cast("long").alias("horizon"), "fold", (F.col(f"target_h{h}") - F.col("pred_diff")).alias("residual"))
-            tests = made if tests is None else tests.unionByName(made)
-            residuals = missed if residuals is None else residuals.unionByName(missed)
-    bands = conformal_quantiles(stored(residuals, "residuals"), ["fold", "horizon"], "residual", {"q90": 0.90, "q95": 0.95})
-    pred = F.col("naive") + F.col("pred_diff")
-    return tests.join(bands, ["fold", "horizon"]).select(
-        *spec.keys, F.lit("gbt").alias("model"), "origin_date", "horizon", "target_date", "actual", "naive", pred.alias("pred"),
+    carried = [*spec.keys, spec.time, level, *[f"{s}{h}" for h in horizons for s in ("actual_h", "target_date_h")]]
+    bounds = fold_bounds(data, spec, min_train, n_folds)
+    ends = bounds.groupBy(*spec.keys).agg(*[F.max(F.when(F.col("fold") == k, F.col(c))).alias(f"{c}_{k}") for k in range(n_folds) for c in ("train_end", "test_end")])
+    placed = stored(with_position(data, spec, "rn").join(ends, list(spec.keys)), "placed")
+    role = lambda k, h: role_at(F.col("rn") - 1, F.col(f"train_end_{k}"), F.col(f"test_end_{k}"), F.lit(h))
+    cells = [(k, h) for k in range(n_folds) for h in horizons]
+    uses = [u for k, h in cells for u in (
+        (role(k, h).isin("fit", "gap", "calibration"), role(k, h) == "test"), (role(k, h) == "fit", role(k, h) == "calibration"))]
+    settings = [replace(setting, target=i % len(horizons), mark=2 * i + kind) for i in range(len(cells)) for kind in (0, 1)]
+    cuts = bo.cut_points(placed.filter(F.col("rn") <= min_train), names)
+    rows = bo.binned(placed, names, cuts).select(
+        *carried, "bins", F.array(*[F.col(f"target_h{h}") for h in horizons]).alias("targets"), bo.marks(uses).alias("use"), _numbered(spec))
+    rows = stored(rows, "binned")
+    fitted = bo.fit_trees(rows, settings)
+    found = bo.scores(rows, fitted, settings, range(len(settings)), [*carried, "targets"])
+    cell = F.floor(F.col("model") / 2)
+    at = (cell % len(horizons)).cast("int")
+    of = lambda start: F.get(F.array(*[F.col(f"{start}{h}") for h in horizons]), at)
+    found = found.withColumns({
+        "fold": F.floor(cell / len(horizons)).cast("int"), "horizon": F.get(F.array(*[F.lit(h).cast("long") for h in horizons]), at), "held": F.col("model") % 2 == 1,
+        "target_date": of("target_date_h"), "actual": of("actual_h"), "residual": F.get("targets", at) - F.col("pred")})
+    found = stored(found, "scored")
+    bands = conformal_quantiles(found.filter("held"), ["fold", "horizon"], "residual", {"q90": 0.90, "q95": 0.95})
+    pred = F.col(level) + F.col("pred")
+    return found.filter("not held").join(bands, ["fold", "horizon"]).select(
+        *spec.keys, F.lit("gbt").alias("model"), F.col(spec.time).alias("origin_date"), "horizon", "target_date", "actual", F.col(level).alias("naive"), pred.alias("pred"),
         (pred - F.col("q90")).alias("lo90"), (pred + F.col("q90")).alias("hi90"), (pred - F.col("q95")).alias("lo95"), (pred + F.col("q95")).alias("hi95"),
         "fold", pred.isNotNull().alias("fit_ok"))
 
 
-def _deterministic(config: Mapping) -> bool:
-    return config.get("subsamplingRate", 1.0) == 1.0 and config.get("featureSubsetStrategy", "all") == "all"
-
-
 def search(
     data: DataFrame, names: Sequence[str], spec: PanelSpec, horizons: Sequence[int], selection_end: int,
-    configs: Sequence[Mapping], seeds: Sequence[int], canonical: Mapping,
+    configs: Sequence[bo.Setting], seeds: Sequence[int], canonical: bo.Setting,
 ) -> DataFrame:
     """Ranked configurations by RMSE relative to no change, averaged over horizons and seeds.
 
-    Only rows before the first scored origin are used, split with embargoes. A
-    configuration without randomness is fitted once.
+    Only rows before the first scored origin are used, split with embargoes. A configuration without randomness is fitted
+    once. All fits of the search run as one job.
     """
     spark = data.sparkSession
-    frame = assemble(data, names).select(*spec.keys, spec.time, "features", *[f"target_h{h}" for h in horizons])
-    roles = stored(search_roles(frame, spec, selection_end, horizons), "search")
-    runs = None
-    for number, config in enumerate(configs):
-        for seed in (seeds[:1] if _deterministic(config) else seeds):
-            for h in horizons:
-                block = roles.filter(F.col("horizon") == h)
-                model = fit(block.filter("role = 'inner_train'"), f"target_h{h}", config, seed)
-                y = F.col(f"target_h{h}")
-                scored = model.transform(block.filter("role = 'inner_val'")).agg(
-                    F.sqrt(F.avg(F.pow(y - F.col("pred_diff"), 2))).alias("rmse"), F.sqrt(F.avg(y * y)).alias("naive_rmse"))
-                one = scored.select(F.lit(number).alias("config"), F.lit(seed).alias("seed"), F.lit(h).alias("horizon"), "rmse", "naive_rmse")
-                runs = one if runs is None else runs.unionByName(one)
+    pool = series_length(with_position(data, spec, "rn").filter(F.col("rn") <= selection_end), spec, "_pool")
+    roles = [search_role_at(F.col("rn") - 1, F.col("_pool"), F.lit(h)) for h in horizons]
+    pool = stored(pool, "pool")
+    rows = bo.binned(pool, names, bo.cut_points(pool, names)).select(
+        "bins", F.array(*[F.col(f"target_h{h}") for h in horizons]).alias("targets"), bo.marks([(x == "inner_train", x == "inner_val") for x in roles]).alias("use"), _numbered(spec))
+    rows = stored(rows, "binned")
+    runs = [(i, seed, k) for i, c in enumerate(configs) for seed in (seeds[:1] if c.rows == c.columns == 1.0 else seeds) for k in range(len(horizons))]
+    settings = [replace(configs[i], target=k, mark=k, seed=seed) for i, seed, k in runs]
+    found = bo.scores(rows, bo.fit_trees(rows, settings), settings, range(len(settings)), ["targets"])
+    named = F.get(F.array(*[F.struct(F.lit(i).alias("config"), F.lit(seed).alias("seed"), F.lit(k).alias("k")) for i, seed, k in runs]), F.col("model"))
+    y = F.get("targets", F.col("run.k"))
+    losses = found.withColumn("run", named).groupBy("run").agg(F.sqrt(F.avg(F.pow(y - F.col("pred"), 2))).alias("rmse"), F.sqrt(F.avg(y * y)).alias("naive_rmse"))
     relative = F.when(F.col("naive_rmse") > 0, F.col("rmse") / F.col("naive_rmse")).otherwise(1.0)
-    per_seed = runs.withColumn("_rel", relative).groupBy("config", "seed").agg(F.avg("_rel").alias("score"))
-    settings = spark.createDataFrame(
-        [(i, int(c["maxIter"]), int(c["maxDepth"]), float(c["stepSize"]), dict(c) == dict(canonical)) for i, c in enumerate(configs)],
-        "config int, maxIter int, maxDepth int, stepSize double, is_canonical boolean")
-    scored = seed_summary(per_seed, ["config"], "score").join(settings, "config")
-    return rank_in_band(scored, ["maxIter", "maxDepth"])
+    per_seed = losses.select("run.*", relative.alias("_rel")).groupBy("config", "seed").agg(F.avg("_rel").alias("score"))
+    table = spark.createDataFrame(
+        [(i, c.trees, c.depth, c.rate, c == canonical) for i, c in enumerate(configs)], "config int, n_trees int, depth int, rate double, is_canonical boolean")
+    return rank_in_band(seed_summary(per_seed, ["config"], "score").join(table, "config"), ["n_trees", "depth"])
 
 
-def compare_to_canonical(ranked: DataFrame) -> DataFrame:
-    return best_against_canonical(ranked)
+def whole_sample(data: DataFrame, names: Sequence[str], spec: PanelSpec, horizons: Sequence[int], setting: bo.Setting) -> tuple[DataFrame, DataFrame]:
+    """(rows, trees) of one model per horizon on all rows: a look back at what drives the forecasts, not a forecast."""
+    data = stored(data, "whole")
+    rows = bo.binned(data, names, bo.cut_points(data, names)).select(
+        *spec.keys, spec.time, "bins", F.array(*[F.col(f"target_h{h}") for h in horizons]).alias("targets"), bo.marks([(F.lit(True), F.lit(False))]).alias("use"), _numbered(spec))
+    rows = stored(rows, "binned")
+    return rows, bo.fit_trees(rows, [replace(setting, target=i) for i in range(len(horizons))])
 
 
-def split_importance(model: GBTRegressionModel, names: Sequence[str]) -> DataFrame:
-    """Importance by split gain, one row per feature."""
-    from pyspark.sql import SparkSession
+def _by_horizon(found: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    return found.withColumn("horizon", F.get(F.array(*[F.lit(h).cast("long") for h in horizons]), F.col("model"))).drop("model")
 
-    pairs = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
-    return SparkSession.active().createDataFrame(pairs, "feature string, importance double")
 
+def attribution(rows: DataFrame, fitted: DataFrame, names: Sequence[str], spec: PanelSpec, horizons: Sequence[int]) -> DataFrame:
+    """``keys, time, horizon, feature, attribution, base``: exact Shapley values of each row's forecast; they sum to it minus base."""
+    return _by_horizon(bo.attributions(rows, fitted, range(len(horizons)), names, [*spec.keys, spec.time]), horizons)
 
-def permutation_importance(
-    model: GBTRegressionModel, rows: DataFrame, names: Sequence[str], label: str, spec: PanelSpec, seed: int = 7
-) -> DataFrame:
-    """Rise of RMSE when one feature is shuffled within its series, all features in one job."""
+
+def mean_attribution(attributed: DataFrame) -> DataFrame:
+    """Mean absolute attribution per horizon and feature."""
+    return attributed.groupBy("horizon", "feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"))
+
+
+def split_importance(fitted: DataFrame, names: Sequence[str], horizons: Sequence[int]) -> DataFrame:
+    """Importance by split gain, one row per horizon and feature."""
+    return _by_horizon(bo.split_gains(fitted, names), horizons)
+
+
+def permutation_importance(rows: DataFrame, fitted: DataFrame, names: Sequence[str], spec: PanelSpec, horizons: Sequence[int], seed: int = 7) -> DataFrame:
+    """Rise of RMSE when one feature is shuffled within its series, all features and horizons in one pass over the rows."""
     order = Window.partitionBy(*spec.key_columns).orderBy(spec.time)
     mixed = Window.partitionBy(*spec.key_columns).orderBy(F.xxhash64(F.lit(seed), F.col(spec.time)), spec.time)
-    base = rows.select(*spec.keys, spec.time, label, vector_to_array("features").alias("_x")).withColumns(
-        {"_a": F.row_number().over(order), "_b": F.row_number().over(mixed)})
-    other = base.select(*spec.keys, F.col("_b").alias("_a"), F.col("_x").alias("_other"))
-    paired = base.join(other, [*spec.keys, "_a"])
-    swap = F.transform("_x", lambda x, i: F.when(i == F.col("_f"), F.get("_other", i)).otherwise(x))
-    tries = paired.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))))
-    scored = model.transform(tries.withColumn("features", array_to_vector(swap)))
-    rmse = scored.groupBy("_f").agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("pred_diff"), 2))).alias("rmse"))
-    whole = Window.partitionBy(F.lit(0))
-    out = rmse.withColumn("base_rmse", F.max(F.when(F.col("_f") == -1, F.col("rmse"))).over(whole)).filter("_f >= 0")
-    label_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_f") + 1)
-    return out.select(label_of.alias("feature"), "base_rmse", "rmse", (F.col("rmse") - F.col("base_rmse")).alias("importance"))
+    base = rows.select(*spec.keys, "bins", "targets", F.row_number().over(order).alias("_a"), F.row_number().over(mixed).alias("_b"))
+    other = base.select(*spec.keys, F.col("_b").alias("_a"), F.col("bins").alias("_other"))
+    paired = base.join(other, [*spec.keys, "_a"]).select("bins", "_other", "targets")
+    forest = bo.load_trees(fitted, range(len(horizons)))
+
+    def run(batches):
+        sums = np.zeros((len(horizons), len(names) + 1, 2))
+        for batch in batches:
+            own, theirs = (np.array([np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()]) for c in ("bins", "_other"))
+            y = np.asarray(batch.column("targets").to_pylist(), float)
+            for f in range(-1, len(names)):
+                tried = own.copy()
+                if f >= 0:
+                    tried[:, f] = theirs[:, f]
+                for k, trees in forest.items():
+                    missed = y[:, k] - bo.predict(trees, tried)
+                    sums[k, f + 1] += (missed @ missed, len(y))
+        model, feature = np.divmod(np.arange(len(horizons) * (len(names) + 1)), len(names) + 1)
+        flat = sums.reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), pa.array(feature.astype(np.int32) - 1), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["model", "_f", "sse", "n"])
+
+    losses = paired.mapInArrow(run, "model int, _f int, sse double, n double").groupBy("model", "_f").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
+    whole = Window.partitionBy("model")
+    out = losses.withColumn("base_rmse", F.max(F.when(F.col("_f") == -1, F.col("rmse"))).over(whole)).filter("_f >= 0")
+    label = F.get(F.array(*[F.lit(n) for n in names]), F.col("_f")).alias("feature")
+    return _by_horizon(out.select("model", label, "base_rmse", "rmse", (F.col("rmse") - F.col("base_rmse")).alias("importance")), horizons)
 
 
 # ---- dataset of a sequence model -------------------------------------------

@@ -22,16 +22,17 @@ LAGS = 10
 def walks(spark, folder):
     """Six integrated series per region: summed surprises of orders, supply, counts and quantity, and noisy doubles of two.
 
-    The second moves with the first and the sixth with the third, so the system has two cointegrating relations by construction.
+    The second moves with the first and the sixth with the third, so the system has two cointegrating relations by
+    construction. What parts them is the surprise of the day's mean discount or tax, which none of the sums holds.
     """
-    both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder).select("series", "date", "s", "q"), ["series", "date"])
-    means = both.groupBy("series").agg(F.avg("y").alias("my"), F.avg("s").alias("ms"), F.avg("n").alias("mn"), F.avg("q").alias("mq"))
+    both = v.daily_region(spark, folder).join(v.daily_supply(spark, folder, terms=True), ["series", "date"])
+    means = both.groupBy("series").agg(*[F.avg(c).alias(f"m_{c}") for c in ("y", "s", "n", "q", "discount", "tax")])
     surprise = both.join(means, "series").select(
-        "series", "date", (F.col("y") - F.col("my")).alias("ey"), (F.col("s") - F.col("ms")).alias("es"), (F.col("n") / F.col("mn") - 1).alias("en"), (F.col("q") / F.col("mq") - 1).alias("eq"))
-    summed = running(surprise, SPEC, *[Running("sum", e, f"walk_{w}") for e, w in (("ey", "orders"), ("es", "supply"), ("en", "counts"), ("eq", "quantity"))])
-    return summed.select("series", "date", (F.col("walk_orders") + F.col("en")).alias("walk_orders"),
-                         (2 * F.col("walk_orders") - F.col("en")).alias("walk_linked"), "walk_supply", "walk_counts", "walk_quantity",
-                         (2 * F.col("walk_supply") - F.col("eq")).alias("walk_shipped"))
+        "series", "date", *[(F.col(c) - F.col(f"m_{c}")).alias(f"e_{c}") for c in ("y", "s")], *[(F.col(c) / F.col(f"m_{c}") - 1).alias(f"e_{c}") for c in ("n", "q", "discount", "tax")])
+    sums = [Running("sum", f"e_{c}", f"walk_{w}") for c, w in (("y", "orders"), ("s", "supply"), ("n", "counts"), ("q", "quantity"))]
+    return running(surprise, SPEC, *sums).select(
+        "series", "date", "walk_orders", (2 * F.col("walk_orders") - F.col("e_discount")).alias("walk_linked"), "walk_supply", "walk_counts", "walk_quantity",
+        (2 * F.col("walk_supply") - F.col("e_tax")).alias("walk_shipped"))
 
 
 @query("corr_levels_vs_diffs", sql_with("""
@@ -225,13 +226,13 @@ TREE_LAGS, FOLDS, SEEDS = (1, 2, 3, 4, 5, 10, 20), 5, (42, 0, 1, 7, 2024)
 
 
 def search_space():
-    """Three rates with their number of trees, three depths, three strengths of sampling, and the settings before any search."""
+    """Three rates with their number of trees, three depths, three strengths of sampling and penalty, and the settings before any search."""
+    from tideframe.operators.boosting import Setting
     from tideframe.operators.trees import CANONICAL
 
-    return [
-        {"maxDepth": depth, "stepSize": rate, "maxIter": n, "subsamplingRate": share, "featureSubsetStrategy": features, "minInstancesPerNode": least}
-        for rate, n in ((0.01, 600), (0.03, 300), (0.10, 150)) for depth in (2, 3, 4)
-        for share, features, least in ((0.7, "0.7", 5), (0.8, "0.8", 1), (1.0, "all", 1))] + [CANONICAL]
+    space = [Setting(depth=depth, rate=rate, trees=n, rows=share, columns=share, least=least, l2=l2) for rate, n in ((0.01, 600), (0.03, 300), (0.10, 150)) for depth in (2, 3, 4)
+             for share, least, l2 in ((0.7, 5.0, 5.0), (0.8, 1.0, 1.0), (1.0, 1.0, 0.5))]
+    return space if CANONICAL in space else [*space, CANONICAL]
 
 
 def tree_frame(spark, folder, horizons=(1, 5), lags=(1, 2, 5)):
@@ -286,15 +287,73 @@ def gbt_search(spark, folder):
     return rounded(search(data, names, SPEC, HORIZONS, 150, search_space(), SEEDS, CANONICAL), 5)
 
 
+def _whole_sample(spark, folder):
+    from tideframe.operators.trees import CANONICAL, whole_sample
+
+    data, names = tree_frame(spark, folder, HORIZONS, TREE_LAGS)
+    return (*whole_sample(data, names, SPEC, HORIZONS, CANONICAL), names)
+
+
 @query("permutation_importance")
 def permutation_importance(spark, folder):
-    from tideframe.operators import trees
+    from tideframe.operators.trees import permutation_importance as shuffled
 
-    data, names = tree_frame(spark, folder, HORIZONS, TREE_LAGS)
-    rows, out = trees.assemble(data, names), None
-    for h in HORIZONS:
-        one = trees.permutation_importance(trees.fit(rows, f"target_h{h}", trees.CANONICAL), rows, names, f"target_h{h}", SPEC).withColumn("horizon", F.lit(h))
-        out = one if out is None else out.unionByName(one)
+    rows, fitted, names = _whole_sample(spark, folder)
+    return rounded(shuffled(rows, fitted, names, SPEC, HORIZONS))
+
+
+@query("split_importance")
+def split_importance(spark, folder):
+    from tideframe.operators.trees import split_importance as by_gain
+
+    _, fitted, names = _whole_sample(spark, folder)
+    return rounded(by_gain(fitted, names, HORIZONS))
+
+
+@query("tree_attribution")
+def tree_attribution(spark, folder):
+    """What each feature adds to each row's forecast at each horizon."""
+    from tideframe.operators.trees import attribution
+
+    rows, fitted, names = _whole_sample(spark, folder)
+    return rounded(attribution(rows, fitted, names, SPEC, HORIZONS))
+
+
+@query("attribution_summary")
+def attribution_summary(spark, folder):
+    from tideframe.operators.trees import attribution, mean_attribution
+
+    rows, fitted, names = _whole_sample(spark, folder)
+    return rounded(mean_attribution(attribution(rows, fitted, names, SPEC, HORIZONS)))
+
+
+# The stump splits on bins whose cut points are given, so SQL can try them all.
+_STUMP_CUTS = {"l_quantity": [5.0 * k for k in range(1, 10)], "l_discount": [k / 100 for k in range(0, 10)], "l_tax": [k / 100 for k in range(0, 8)]}
+
+
+@query("boosted_stump", sql_with("""
+SELECT l_returnflag, feature, CAST(cut AS DOUBLE) AS cut, round(gain, 4) + 0.0 AS gain, round(gl / (nl + 1), 6) + 0.0 AS left_value, round((g - gl) / (n - nl + 1), 6) + 0.0 AS right_value, nl AS n_left, n - nl AS n_right FROM (
+ SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY round(gain, 4) DESC, place, cut) AS best FROM (
+  SELECT *, (gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) - g * g / (n + 1)) / 2 AS gain FROM sides WHERE nl > 0 AND nl < n)) WHERE best = 1""",
+    rows="SELECT l_returnflag, l_quantity, l_discount, l_tax, l_extendedprice / 1000 - avg(l_extendedprice / 1000) OVER (PARTITION BY l_returnflag) AS y FROM lineitem",
+    cuts=" UNION ALL ".join(f"SELECT {i} AS place, '{n}' AS feature, unnest({c}) AS cut" for i, (n, c) in enumerate(_STUMP_CUTS.items())),
+    cells=" UNION ALL ".join(f"SELECT l_returnflag, '{n}' AS feature, {n} AS x, sum(y) AS g, count(*) AS n FROM rows GROUP BY ALL" for n in _STUMP_CUTS),
+    sides="SELECT l_returnflag, place, cuts.feature, cut, sum(CASE WHEN x <= cut THEN g ELSE 0 END) AS gl, sum(CASE WHEN x <= cut THEN n ELSE 0 END) AS nl, sum(g) AS g, sum(n) AS n "
+          "FROM cells JOIN cuts USING (feature) GROUP BY ALL"))
+def boosted_stump(spark, folder):
+    """One split per return flag over all line items, each flag a model of its own, grown together."""
+    from tideframe.operators import boosting as bo
+
+    names, flags = list(_STUMP_CUTS), ["A", "N", "R"]
+    li = v.table(spark, folder, "lineitem").select("l_returnflag", *names, (F.col("l_extendedprice") / 1000).alias("price"), F.xxhash64("l_orderkey", "l_linenumber").alias("number"))
+    rows = bo.binned(li, names, list(_STUMP_CUTS.values())).select(
+        "bins", F.array("price").alias("targets"), bo.marks([(F.col("l_returnflag") == f, F.lit(False)) for f in flags]).alias("use"), "number")
+    fitted = bo.fit_trees(rows, [bo.Setting(mark=i, trees=1, depth=1, rate=1.0) for i in range(len(flags))])
+    cut = F.get(F.get(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in _STUMP_CUTS.values()]), F.get("feature", F.lit(0))), F.get("cut", F.lit(0)))
+    value, cover = (lambda i: F.get("value", F.lit(i))), (lambda i: F.get("cover", F.lit(i)).cast("long"))
+    out = fitted.filter("tree = 1").select(
+        F.get(F.array(*[F.lit(f) for f in flags]), F.col("model")).alias("l_returnflag"), F.get(F.array(*[F.lit(n) for n in names]), F.get("feature", F.lit(0))).alias("feature"), cut.alias("cut"),
+        F.round(F.get("gain", F.lit(0)), 4).alias("gain"), value(1).alias("left_value"), value(2).alias("right_value"), cover(1).alias("n_left"), cover(2).alias("n_right"))
     return rounded(out)
 
 

@@ -79,16 +79,20 @@ def daily_ship(spark: SparkSession, folder: str) -> DataFrame:
     ).agg(F.ln(F.sum(net_value()) / 10000.0).alias("y"), (F.sum(cents("l_quantity")) / 100.0).alias("q"))
 
 
-def daily_supply(spark: SparkSession, folder: str) -> DataFrame:
-    """Shipped value and quantity per day and region of the supplier: a second calendar for the same keys."""
+def daily_supply(spark: SparkSession, folder: str, terms: bool = False) -> DataFrame:
+    """Shipped value and quantity per day and region of the supplier: a second calendar for the same keys.
+
+    With ``terms`` also the mean discount and tax of the day's line items.
+    """
     shipped = table(spark, folder, "lineitem").select(
-        "l_suppkey", F.to_date("l_shipdate").alias("date"), net_value().alias("value"), cents("l_quantity").alias("quantity"))
+        "l_suppkey", F.to_date("l_shipdate").alias("date"), net_value().alias("value"), cents("l_quantity").alias("quantity"), cents("l_discount").alias("discount"), cents("l_tax").alias("tax"))
+    means = [(F.sum(c) / F.count(c)).alias(c) for c in ("discount", "tax")] if terms else []
     return (
         shipped.join(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .groupBy(F.col("r_name").alias("series"), "date")
-        .agg(F.ln(F.sum("value") / 10000.0).alias("s"), (F.sum("quantity") / 100.0).alias("q"))
+        .agg(F.ln(F.sum("value") / 10000.0).alias("s"), (F.sum("quantity") / 100.0).alias("q"), *means)
     )
 
 
