@@ -16,9 +16,7 @@ from tideframe.llm import license_scan, packing, sentence_pieces, warc
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_tokenizer())
 
 
 PARTS = ["a", "foo", " ", "  ", "\n", "\t", " ", "'s", "9", "é", "!", "　", "<|endoftext|>", "\x1c", "\r\n", ",", "###", "a,", "日本", "▁", "ing", "\U0001f600", "ß", "     "]
@@ -35,7 +33,18 @@ def test_token_ids_equal_the_tokenizers(spark):
     assert own == [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
 
 
-def test_packing_places_every_id_once(spark):
+def test_added_tokens_and_forgotten_words(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    monkeypatch.setattr("tideframe.llm.common.SLICE_BYTES", 200)
+    encode, r = packing.token_encoder(packing.default_tokenizer()), rng(14)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>", *(prose(r, words=12) for _ in range(60)), *mixtures(200)]
+    assert np.frombuffer(encode(texts[:1])[0], "<u4").tolist() == [64, 220, 50256, 275]
+    for _ in range(2):
+        assert encode(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_places_every_id_once(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 4)
     r = rng(11)
     rows = odd_rows() + [(20 + i, prose(r, words=r.choice([0, 5, 200, 900, 3000]))) for i in range(60)]
     docs = frame(spark, rows)
@@ -57,7 +66,9 @@ def test_packing_places_every_id_once(spark):
         assert at <= packing.CAPACITY
     assert len(by_sequence) <= -(-sum(p.length for p in placed) // packing.CAPACITY) + 1
     out = packing.sequences(docs, packing.best_fit_packing(docs)).collect()
-    assert sum(len(x.ids) // 4 for x in out) >= sum(p.length for p in placed) - 40
+    whole = {x.sequence_id: bytes(x.ids) for x in out}
+    assert all(zlib.crc32(whole[p.sequence_id][4 * p.offset : 4 * (p.offset + p.length)]) == p.ids_crc32 for p in placed)
+    assert {k: len(v) // 4 for k, v in whole.items()} == {k: sum(n for _, n in v) for k, v in by_sequence.items()}
     assert packing.best_fit_packing(docs.filter("false")).count() == 0
 
 

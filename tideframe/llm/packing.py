@@ -25,7 +25,7 @@ CAPACITY = 2048
 REMEMBERED = 400_000
 #: Marks that end a word and never join with it; the apostrophe may, so it is not among them.
 MARKS = ".,;:!?#*$%&|<>"
-#: Rows that one ranking group holds on average, at most.
+#: Rows that one ranking group holds on average, at most; a length with more pieces has several groups.
 RANK_ROWS = 20_000
 Pattern = tuple[list[tuple[int, int]], int]
 
@@ -40,15 +40,16 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins across a single space between two words, so a text is cut there and every
-    distinct chunk is tokenised once. A text with a space after other white space is tokenised whole.
+    distinct chunk is tokenised once. A text with a space after other white space, or that holds the name of one of the
+    tokenizer's added tokens, is tokenised whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     blanks = [chr(i) for i in range(0x3001) if chr(i).isspace()]
-    ascii_odd, odd = ([b + " " for b in blanks if b < limit] for limit in ("\x80", "\uffff"))
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    ascii_odd, odd = ([*added, *(b + " " for b in blanks if b < limit)] for limit in ("\x80", "\uffff"))
     as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     direct = isinstance(tokenizer.model, models.BPE) and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.normalizer is None
     firsts: dict[str, bytes] = {}
@@ -89,9 +90,9 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         characters: chunks are learnt from their words, marks and lines.
         """
         missing = chunks.difference(others)
-        again = missing.intersection(older)
+        again = [c for c in missing if c in older]
         others.update((c, older[c]) for c in again)
-        missing -= again
+        missing.difference_update(again)
         lines = {c: p for c in missing if "\n" in c and all(p := c.split("\n")) and c.split() == p}
         heads = {p[0] for p in lines.values()}.union(c for c in missing if c not in lines).difference(others)
         stems = {c: s for c in heads if (s := c.rstrip(MARKS)) and s is not c and s[-1].isalnum()}
@@ -251,9 +252,9 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``."""
     rows = stored(rows, "pieces")
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
-    buckets = max(1, sum(histogram.values()) // RANK_ROWS)
+    buckets = F.array(*[F.lit(-(-histogram.get(n, 0) // RANK_ROWS) or 1) for n in range(capacity + 1)])
     slots = _slots(plan(histogram, capacity))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.get(buckets, F.col("length").cast("int"))))
     before = dealt.groupBy("length", "bucket").count().withColumn(
         "before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start"))
