@@ -3,9 +3,9 @@
 Each distinct text becomes a set of ``COORDINATES`` tokens (a coordinate and the smallest hash of its shingles there).
 A *run* splits the texts recursively: at every node some coordinates are drawn, 1 / threshold on average, and texts that
 share the token of a drawn coordinate stay together in a child. Small nodes are compared by brute force on short
-sketches; runs repeat until a pair at the threshold is found with the target
-probability. What the runs link forms
-candidate groups, and inside each group all pairs are compared exactly on their whole shingle sets.
+sketches; runs repeat until a pair at the threshold is found with the target probability. A few runs go first, and what
+they link is contracted: where nearly all of a node lies in one group already, only the rest is compared, with everything.
+What the runs link forms candidate groups, and inside each group all pairs are compared exactly on their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ COORDINATES = 64
 #: Nodes up to this size are compared by brute force; larger ones are split while ``MAX_DEPTH`` allows.
 SMALL = 256
 MAX_DEPTH = 4
+#: Runs before the first contraction.
+FIRST_RUNS = 2
 #: Rows of a block where a node or group too large for one task is dealt in pairs of blocks.
 NODE_BLOCK, GROUP_BLOCK = 4096, 512
 #: Rows compared at a time in one task.
@@ -131,7 +133,10 @@ def _windows(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int = CH
 
 
 def _candidate_links(buckets: DataFrame, least: int, keys: list[str]) -> DataFrame:
-    """Links ``(u, v)`` that span what is alike inside each bucket: a bucket of n rows gives fewer than n links."""
+    """Links ``(u, v)`` that span what is alike inside each bucket: a bucket of n rows gives fewer than n links.
+
+    Rows with ``known`` = 1 are linked with each other already; they are compared with those of 0 only, which stand first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _windows(batches, keys):
@@ -142,7 +147,7 @@ def _candidate_links(buckets: DataFrame, least: int, keys: list[str]) -> DataFra
             new[1:] = np.any([c[1:] != c[:-1] for c in ids], axis=0)
             end = np.repeat(np.append(np.flatnonzero(new)[1:], len(node)), np.diff(np.append(np.flatnonzero(new), len(node))))
             left, right = [], []
-            at, step = np.arange(len(node)), 1
+            at, step = np.flatnonzero(t.column("known").to_numpy() == 0), 1
             while len(at := at[at + step < end[at]]):
                 like = np.count_nonzero(small[at] == small[at + step], axis=1) >= least
                 left.append(at[like])
@@ -156,40 +161,80 @@ def _candidate_links(buckets: DataFrame, least: int, keys: list[str]) -> DataFra
             pairs = np.unique(np.sort(np.stack([node[mine], node[root[mine]]], axis=1), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return buckets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    return buckets.repartition(*keys).sortWithinPartitions(*keys, "known").mapInArrow(run, "u long, v long")
 
 
-def runs_needed(threshold: float, target: float) -> int:
-    """Runs after which a pair at the threshold has met with probability ``target``, even in nodes of the largest depth.
+def runs_needed(threshold: float, target: float, least: int) -> int:
+    """Runs after which a pair at the threshold is a candidate with probability ``target``, even in nodes of the largest depth.
 
-    A pair meets in a node of depth 1 with probability 1 - 1/e, of depth d + 1 with 1 - exp(-that of depth d).
+    A pair with k equal minima meets in a node of depth 1 with probability 1 - (1 - 1 / (64 threshold)) ^ k and in one of
+    depth d + 1 with that of a k whose chances shrink by that of depth d. The runs share the sketch, so k is drawn once; a pair
+    with fewer than ``least`` equal minima is never a candidate.
+    """
+    rate = 1.0 / (COORDINATES * threshold)
+    chance = {}
+    for k in range(least, COORDINATES + 1):
+        meets = 1.0
+        for _ in range(MAX_DEPTH):
+            meets = 1.0 - (1.0 - rate * meets) ** k
+        chance[k] = meets
+    weight = {k: math.comb(COORDINATES, k) * threshold**k * (1.0 - threshold) ** (COORDINATES - k) for k in chance}
+    if sum(weight.values()) < target:
+        raise ValueError("the sketch is too short for this target")
+    runs = 1
+    while sum(w * (1.0 - (1.0 - chance[k]) ** runs) for k, w in weight.items()) < target:
+        runs += 1
+    return runs
+
+
+def _met(nodes: DataFrame, groups: DataFrame | None, runs: range, threshold: float, least: int) -> DataFrame:
+    """Links ``(u, v)`` that these runs find among ``nodes`` (``node, sketch, brief``) beyond the known ``groups`` (``node, component``).
+
+    A path whose nodes all lie in one group ends. A path with at most ``SMALL`` nodes outside its largest group is compared at
+    once: the others with each other and with the group's nodes, which are dealt in blocks.
     """
-    meets = 1.0 - math.exp(-1.0)
-    for _ in range(MAX_DEPTH - 1):
-        meets = 1.0 - math.exp(-meets)
-    return math.ceil(math.log(1.0 - target) / math.log(1.0 - meets))
-
-
-def candidate_groups(nodes: DataFrame, threshold: float, target: float) -> DataFrame:
-    """``node, component`` of all nodes that some run links with another; ``nodes`` holds distinct ``node, sketch, brief``."""
-    least = math.floor(COORDINATES * threshold - 3 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
     sketched = nodes.select("node", "sketch")
-    level, ready = stored(_children(sketched, range(runs_needed(threshold, target)), threshold), "paths"), None
+    level, ready = stored(_children(sketched, runs, threshold), "paths"), None
     for depth in range(1, MAX_DEPTH + 1):
         # Counted with map-side sums; most paths hold one node and end here, before any sketch moves.
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sized = stored(level.join(sizes, "path"), "shared-paths")
-        small, large = sized.filter(F.col("n") <= SMALL).select("path", "node"), sized.filter(F.col("n") > SMALL).select("path", "node")
-        whole = small.select("path", "node", F.lit(0).alias("bi"), F.lit(0).alias("bj"))
+        sized = level.join(sizes, "path")
+        sized = sized.withColumn("component", F.lit(None).cast("long")) if groups is None else sized.join(groups, "node", "left")
+        sized = stored(sized, "shared-paths")
+        parts = sized.filter("component is not null").groupBy("path", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("path").agg(
+            F.max("held").alias("held"), F.max_by("component", F.struct("held", "component")).alias("main"))
+        placed = sized.join(parts, "path", "left").withColumn("held", F.coalesce("held", F.lit(0))).filter(F.col("held") < F.col("n"))
+        inside = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+        placed = stored(placed.select("path", "node", "n", (F.col("n") - F.col("held")).alias("outside"), inside.cast("int").alias("known"), "held"), "placed")
+        small = placed.filter(F.col("outside") <= SMALL)
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("held") / NODE_BLOCK)).cast("int")
+        copies = F.when(F.col("known") == 1, F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+        whole = small.select("path", "node", "known", F.explode(copies).alias("bi"), F.lit(-1).alias("bj"))
         ready = whole if ready is None else ready.union(whole)
+        large = placed.filter(F.col("outside") > SMALL).select("path", "node")
         if large.isEmpty():
             break
         if depth == MAX_DEPTH:
-            ready = ready.union(block_pairs(large, "path", F.xxhash64("node"), NODE_BLOCK).select("path", "node", "bi", "bj"))
+            ready = ready.union(block_pairs(large, "path", F.xxhash64("node"), NODE_BLOCK).select("path", "node", F.lit(0).alias("known"), "bi", "bj"))
             break
         level = stored(_children(large.join(sketched, "node"), None, threshold), "paths")
-    found = _candidate_links(ready.join(nodes.select("node", "brief"), "node"), least, ["path", "bi", "bj"])
-    return components(found, "candidates")
+    return stored(_candidate_links(ready.join(nodes.select("node", "brief"), "node"), least, ["path", "bi", "bj"]), "met")
+
+
+def candidate_groups(nodes: DataFrame, threshold: float, target: float) -> DataFrame:
+    """``node, component`` of all nodes that some run links with another; ``nodes`` holds distinct ``node, sketch, brief``.
+
+    Nodes of equal sketches meet in every run, so one of them stands for all.
+    """
+    least = math.floor(COORDINATES * threshold - 3.5 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
+    runs = runs_needed(threshold, target, least)
+    firsts = stored(nodes.groupBy(F.xxhash64("sketch").alias("print")).agg(F.min("node").alias("v")), "sketch-prints")
+    equal = stored(nodes.select(F.col("node").alias("u"), F.xxhash64("sketch").alias("print")).join(firsts, "print").filter("u <> v").select("u", "v"), "equal-sketches")
+    single = stored(nodes.join(firsts.select(F.col("v").alias("node")), "node", "left_semi").select("node", "sketch", "brief"), "sketched")
+    found = _met(single, None, range(FIRST_RUNS), threshold, least)
+    groups = stored(components(found, "contracted"), "contracted-groups")
+    later = _met(single, groups, range(FIRST_RUNS, runs), threshold, least)
+    return components(equal.union(found).union(later), "candidates")
 
 
 def exact_links(members: DataFrame, threshold: float) -> DataFrame:
