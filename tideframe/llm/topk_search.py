@@ -180,20 +180,22 @@ def _search(queries: pa.Table, index: pa.Table, k: int) -> tuple[np.ndarray, np.
 
 
 def _visited(queries: DataFrame, visits: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``query, vec_id, score, n_blocks``: the best of each visit that reach the query's ``least``, with the blocks that were scored for all of the task.
+    """``query, vec_id, score, n_blocks``: the best of each visit that beat the query's ``least`` score, or equal it with an id
+    below its ``least_id``, with the blocks that were scored for all of the task.
 
     A range that many queries visit is copied to one task per ``QUERY_ROWS`` of them.
     """
     visits = stored(visits, "visits")
     counts = stored(visits.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("n_parts")), "visit-counts")
-    going = visits.join(counts, "range").join(queries, "query").select("range", F.pmod(F.xxhash64("query"), F.col("n_parts")).cast("int").alias("part"), "query", F.col("own_id").alias("vec_id"), "least", "vector")
+    going = visits.join(counts, "range").join(queries, "query").select("range", F.pmod(F.xxhash64("query"), F.col("n_parts")).cast("int").alias("part"), "query", F.col("own_id").alias("vec_id"), "least", "least_id", "vector")
     copies = index.join(counts, "range").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
 
     def search(q: pa.Table, b: pa.Table) -> pa.Table:
         if not q.num_rows or not b.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("query", "vec_id", "score", "n_blocks")})
         score, best, scored = _search(q, b, k)
-        row, at = np.nonzero((score > _EARLIEST) & (score >= q.column("least").to_numpy()[:, None]))
+        least, least_id = (q.column(c).to_numpy()[:, None] for c in ("least", "least_id"))
+        row, at = np.nonzero((score > least) | ((score == least) & (best < least_id) & (score > _EARLIEST)))
         return pa.table({"query": q.column("query").to_numpy()[row], "vec_id": best[row, at], "score": score[row, at], "n_blocks": np.full(len(row), scored, np.int64)})
 
     found = going.groupBy("range", "part").cogroup(copies.groupBy("range", "part")).applyInArrow(lambda a, b: search(a, b), "query long, vec_id long, score long, n_blocks long")
@@ -228,10 +230,12 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         if not n_queries:
             continue
         first = stored(_bounded(asked, ranges, n_ranges, n_queries, best=True), "first-ranges")
-        open_ = asked.withColumn("least", F.lit(_EARLIEST))
+        none = {"least": F.lit(_EARLIEST), "least_id": F.lit(_EARLIEST)}
+        open_ = asked.withColumns(none)
         seen = _visited(open_, first.select("query", "range"), index, k)
-        kth = _top(seen, k).filter(F.col("rank") == k).select("query", F.col("score").alias("least"))
-        known = stored(asked.join(kth, "query", "left").join(first.select("query", F.col("range").alias("first")), "query").withColumn("least", F.coalesce("least", F.lit(_EARLIEST))), "known")
+        kth = _top(seen, k).filter(F.col("rank") == k).select("query", F.col("score").alias("least"), F.col("vec_id").alias("least_id"))
+        known = asked.join(kth, "query", "left").join(first.select("query", F.col("range").alias("first")), "query")
+        known = stored(known.withColumns({c: F.coalesce(c, none_) for c, none_ in none.items()}), "known")
         more = _visited(known.drop("first"), _bounded(known, ranges, n_ranges, n_queries, best=False).select("query", "range"), index, k)
         best = _top(seen.unionByName(more), k).join(asked.select("query", F.col("own_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
         out = best if out is None else out.unionByName(best)
