@@ -77,11 +77,11 @@ def share(count, n, v):
     return F.when(v > 0, F.call_function("div", above.cast("decimal(38,0)"), (n + ADDED * v).cast("decimal(38,0)")) + 1)
 
 
-def _joint_prices(level: np.ndarray, price: np.ndarray, left: np.ndarray, right: np.ndarray, total: np.ndarray) -> None:
+def _joint_prices(level: np.ndarray, price: np.ndarray, left: np.ndarray, right: np.ndarray, total: np.ndarray, most: int = COLUMNS) -> None:
     """Add to ``total`` what the terms of ``level`` and ``price`` (terms by groups) cost each pair of groups.
 
-    ``left`` and ``right`` are the groups of both sides. Blocks with too many levels are halved; a block is one product of the
-    indicator columns of its levels.
+    ``left`` and ``right`` are the groups of both sides. A block with more than ``most`` levels is halved; a block is one product
+    of the indicator columns of its levels.
     """
     if not len(level):
         return
@@ -89,10 +89,10 @@ def _joint_prices(level: np.ndarray, price: np.ndarray, left: np.ndarray, right:
     ranked = np.take_along_axis(level, order, 0)
     new = np.ones(ranked.shape, bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    if len(level) > 1 and new.sum() > COLUMNS:
+    if len(level) > 1 and new.sum() > most:
         half = len(level) // 2
-        _joint_prices(level[:half], price[:half], left, right, total)
-        _joint_prices(level[half:], price[half:], left, right, total)
+        _joint_prices(level[:half], price[:half], left, right, total, most)
+        _joint_prices(level[half:], price[half:], left, right, total, most)
         return
     # Columns of one group stand together: number them group by group.
     each = new.sum(0)
@@ -116,7 +116,7 @@ def _joint_prices(level: np.ndarray, price: np.ndarray, left: np.ndarray, right:
     total += np.add.reduceat(np.add.reduceat(cost, row_starts, 0), column_starts, 1)
 
 
-def _pair_prices(terms: pa.Table, groups: pa.Table) -> pa.Table:
+def _pair_prices(terms: pa.Table, groups: pa.Table, tile: int, most: int) -> pa.Table:
     """The price of each pair of a tile over the terms of one task: ``lang, g, h, value, seen``."""
     empty = {"lang": pa.array([], pa.string()), **{k: pa.array([], pa.int64()) for k in ("g", "h", "value", "seen")}}
     if not terms.num_rows or not groups.num_rows:
@@ -130,7 +130,7 @@ def _pair_prices(terms: pa.Table, groups: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(len(entries)), np.diff(entries.offsets.to_numpy()))
     at = np.searchsorted(number, held.field("g").to_numpy())
     count, price = held.field("n").to_numpy(), held.field("p").to_numpy()
-    left, right = np.flatnonzero(number // TILE == own), np.flatnonzero(number // TILE == other)
+    left, right = np.flatnonzero(number // tile == own), np.flatnonzero(number // tile == other)
     sums = np.bincount(row, count.astype(np.float64), len(entries))
     place = np.empty(len(entries), np.int64)
     place[np.argsort(sums, kind="stable")] = np.arange(len(entries))
@@ -144,7 +144,7 @@ def _pair_prices(terms: pa.Table, groups: pa.Table) -> pa.Table:
         level, cost = np.zeros((hi - lo, len(number)), np.int64), np.repeat(none[None, :], hi - lo, 0)
         level[where[a:b] - lo, at[a:b]] = count[a:b]
         cost[where[a:b] - lo, at[a:b]] = price[a:b]
-        _joint_prices(level, cost, left, right, total)
+        _joint_prices(level, cost, left, right, total, most)
     g, h = np.meshgrid(number[left], number[right], indexing="ij")
     keep = (g < h).ravel()
     n = int(keep.sum())
@@ -194,7 +194,8 @@ def _pairs(priced: DataFrame, groups: DataFrame) -> DataFrame:
     terms = dealt.groupBy("lang", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "part", "term").agg(F.collect_list("entry").alias("entries")).drop("term")
     sides = groups.join(tiles, "lang").filter("n_parts > 0").select("lang", "g", "p_none", own.alias("own"), spread, "n_parts")
     sides = sides.select("lang", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), "g", "p_none")
-    found = terms.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(lambda a, b: _pair_prices(a, b), "lang string, g long, h long, value long, seen long")
+    tile, most = TILE, COLUMNS
+    found = terms.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(lambda a, b: _pair_prices(a, b, tile, most), "lang string, g long, h long, value long, seen long")
     sums = found.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     # The pairs themselves are the result, so they are joined within a language.
     left = groups.select("lang", "source", "g", "p_none", "v")
