@@ -161,7 +161,7 @@ def _candidate_links(buckets: DataFrame, least: int, keys: list[str]) -> DataFra
             pairs = np.unique(np.sort(np.stack([node[mine], node[root[mine]]], axis=1), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return buckets.repartition(*keys).sortWithinPartitions(*keys, "known").mapInArrow(run, "u long, v long")
+    return buckets.repartition(*keys).sortWithinPartitions(*keys, "known", "node").mapInArrow(run, "u long, v long")
 
 
 def runs_needed(threshold: float, target: float, least: int) -> int:
@@ -197,15 +197,16 @@ def _met(nodes: DataFrame, groups: DataFrame | None, runs: range, threshold: flo
     level, ready = stored(_children(sketched, runs, threshold), "paths"), None
     for depth in range(1, MAX_DEPTH + 1):
         # Counted with map-side sums; most paths hold one node and end here, before any sketch moves.
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sized = level.join(sizes, "path")
-        sized = sized.withColumn("component", F.lit(None).cast("long")) if groups is None else sized.join(groups, "node", "left")
-        sized = stored(sized, "shared-paths")
-        parts = sized.filter("component is not null").groupBy("path", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("path").agg(
-            F.max("held").alias("held"), F.max_by("component", F.struct("held", "component")).alias("main"))
-        placed = sized.join(parts, "path", "left").withColumn("held", F.coalesce("held", F.lit(0))).filter(F.col("held") < F.col("n"))
-        inside = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
-        placed = stored(placed.select("path", "node", "n", (F.col("n") - F.col("held")).alias("outside"), inside.cast("int").alias("known"), "held"), "placed")
+        if groups is None:
+            sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("held")).filter("n > 1")
+            sized = level.join(sizes, "path").withColumn("known", F.lit(0))
+        else:
+            grouped = level.join(groups, "node", "left")
+            own = F.col("component").isNotNull()
+            sizes = grouped.groupBy("path", "component").agg(F.count(F.lit(1)).alias("held")).groupBy("path").agg(
+                F.sum("held").alias("n"), F.coalesce(F.max(F.when(own, F.col("held"))), F.lit(0)).alias("held"), F.max_by("component", F.when(own, F.struct("held", "component"))).alias("main"))
+            sized = grouped.join(sizes.filter("n > 1 and held < n"), "path").withColumn("known", F.coalesce(F.col("component") == F.col("main"), F.lit(False)).cast("int"))
+        placed = stored(sized.select("path", "node", "known", "held", (F.col("n") - F.col("held")).alias("outside")), "shared-paths")
         small = placed.filter(F.col("outside") <= SMALL)
         blocks = F.greatest(F.lit(1), F.ceil(F.col("held") / NODE_BLOCK)).cast("int")
         copies = F.when(F.col("known") == 1, F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
@@ -221,6 +222,15 @@ def _met(nodes: DataFrame, groups: DataFrame | None, runs: range, threshold: flo
     return stored(_candidate_links(ready.join(nodes.select("node", "brief"), "node"), least, ["path", "bi", "bj"]), "met")
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """``node, component`` of linked nodes: two steps towards the smallest neighbour. Nodes of one component are connected; those
+    of two may be as well, which only costs comparisons."""
+    low = stored(links.groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("low")), "contracted")
+    lower = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+    moved = low.join(lower, "low", "left").select("node", F.coalesce("lower", "low").alias("component"))
+    return stored(moved.union(moved.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component")), "contracted-groups")
+
+
 def candidate_groups(nodes: DataFrame, threshold: float, target: float) -> DataFrame:
     """``node, component`` of all nodes that some run links with another; ``nodes`` holds distinct ``node, sketch, brief``.
 
@@ -229,11 +239,10 @@ def candidate_groups(nodes: DataFrame, threshold: float, target: float) -> DataF
     least = math.floor(COORDINATES * threshold - 3.5 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
     runs = runs_needed(threshold, target, least)
     firsts = stored(nodes.groupBy(F.xxhash64("sketch").alias("print")).agg(F.min("node").alias("v")), "sketch-prints")
-    equal = stored(nodes.select(F.col("node").alias("u"), F.xxhash64("sketch").alias("print")).join(firsts, "print").filter("u <> v").select("u", "v"), "equal-sketches")
+    equal = nodes.select(F.col("node").alias("u"), F.xxhash64("sketch").alias("print")).join(firsts, "print").filter("u <> v").select("u", "v")
     single = stored(nodes.join(firsts.select(F.col("v").alias("node")), "node", "left_semi").select("node", "sketch", "brief"), "sketched")
     found = _met(single, None, range(FIRST_RUNS), threshold, least)
-    groups = stored(components(found, "contracted"), "contracted-groups")
-    later = _met(single, groups, range(FIRST_RUNS, runs), threshold, least)
+    later = _met(single, _contracted(found), range(FIRST_RUNS, runs), threshold, least)
     return components(equal.union(found).union(later), "candidates")
 
 
