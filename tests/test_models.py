@@ -156,7 +156,8 @@ def test_vecm_and_johansen(spark, two, system):
     np.testing.assert_allclose(fit.loc[["x0", "x1", "x2"], "alpha"], alpha[:, 0], rtol=1e-6)
     assert fit.loc["x1", "beta"] == pytest.approx(-0.5, abs=0.05)
     out = co.vecm_forecasts(two, SPEC, ["x0", "x1", "x2"], "x1", 2, ranks, (1, 5), 150, 100).toPandas()
-    assert set(out["series"]) == {"a"}, "rank 0 gives no rows"
+    assert set(out.loc[out["fit_ok"], "series"]) == {"a"} and out.loc[~out["fit_ok"], "series"].tolist() == ["b", "b"]
+    out = out[out["fit_ok"]]
     for o in range(150, 395, 100):
         *_, path, _ = vecm_by_hand(system[:o], 2, 1, 5)
         rows = out[out["origin_date"] == DAY + dt.timedelta(days=o - 1)].set_index("horizon")
@@ -208,6 +209,29 @@ def test_a_series_without_a_fit_has_a_row(spark, system):
         assert {r.series for r in failed} == bad and all(r.reason for r in failed), k
 
 
+def test_dependent_columns_are_named(spark, system):
+    from tideframe.operators.moments import Collinear, dependent, least_squares
+
+    x = np.column_stack([np.ones(50), np.arange(50.0), np.arange(50.0) ** 2, 3 - 2 * np.arange(50.0), np.zeros(50)])
+    assert dependent(x.T @ x) == [1, 4] and dependent(x[:, :3].T @ x[:, :3]) == []
+    with pytest.raises(Collinear, match="rank 3 of 5, dependent: b, e"):
+        least_squares(np.pad(x.T @ x, (0, 1), constant_values=1.0), 5, list("abcde"))
+    twins = np.column_stack([system[:, 0], system[:, 1], 2 * system[:, 0] - system[:, 1]])
+    rows = co.johansen(panel(spark, a=twins, good=system), SPEC, ["x0", "x1", "x2"], 2).collect()
+    assert {r.series for r in rows if r.fit_ok} == {"good"}
+    assert all("collinear lags" in r.reason and "dependent: change of x" in r.reason for r in rows if r.series == "a")
+
+
+def test_series_without_forecasts_have_status_rows(spark, system):
+    rng = np.random.default_rng(31)
+    df = panel(spark, good=system, walks=np.cumsum(rng.normal(size=(300, 3)), axis=0), short=system[:5])
+    ranks = spark.createDataFrame([("good", 1), ("walks", 0)], "series string, rank long")
+    out = co.vecm_forecasts(df, SPEC, ["x0", "x1", "x2"], "x0", 1, ranks, (1, 5), 100, 10).collect()
+    assert {(r.series, r.horizon, r.reason) for r in out if not r.fit_ok} == {
+        (s, h, why) for s, why in (("walks", "rank 0: no cointegration"), ("short", "no cointegration rank")) for h in (1, 5)}
+    assert all(r.pred is not None and r.reason is None for r in out if r.fit_ok) and {r.series for r in out if r.fit_ok} == {"good"}
+
+
 def test_registered_models_run_the_whole_job():
     from tideframe.operators.trees import CANONICAL
     from tideframe.plans import queries_models as q

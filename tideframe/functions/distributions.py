@@ -82,3 +82,14 @@ def f_tail(stat, df1, df2):
     """P(F > stat), used inside grouped solvers."""
     stat, df1, df2 = (np.asarray(v, float) for v in (stat, df1, df2))
     return beta_tail(df2 / 2, df1 / 2, df2 / (df2 + df1 * stat))
+
+
+def f_quantile(p: float, df1: float, df2: float) -> float:
+    """The value that F stays below with probability p, by bisection on its tail."""
+    low, high = 0.0, 1.0
+    while f_tail(high, df1, df2) > 1 - p:
+        low, high = high, 2 * high
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if f_tail(middle, df1, df2) > 1 - p else (low, middle)
+    return (low + high) / 2

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideframe.functions.distributions import f_tail
+from tideframe.functions.distributions import f_quantile, f_tail
 from tideframe.operators.features import difference, lag_block
-from tideframe.operators.moments import every_series, expanding_solve, gramian, least_squares, square, typed, vector, well_posed
+from tideframe.operators.moments import every_series, expanding_solve, gramian, least_squares, require_rank, square, typed, vector
 from tideframe.operators.vector_models import FORECAST_SCHEMA, _forecast_rows, _origins, responses
 from tideframe.panel import UNBOUNDED, PanelSpec, framed, with_position
 
@@ -44,12 +44,15 @@ TOO_SHORT = "too few complete rows"
 class Layout:
     """Positions inside the moment vector [1, t, lagged differences, lagged level, difference]."""
 
-    def __init__(self, k: int, p: int):
-        self.k, self.p = k, p
+    def __init__(self, columns: Sequence[str], p: int):
+        k = len(columns)
+        self.columns, self.k, self.p = list(columns), k, p
         self.one, self.t = 0, 1
         self.past = list(range(2, 2 + k * p))
         self.level = list(range(2 + k * p, 2 + k * p + k))
         self.change = list(range(2 + k * p + k, 2 + k * p + 2 * k))
+        #: What stands at each position; lag blocks run oldest first.
+        self.names = ["constant", "trend", *[f"change of {c} at lag {p - b}" for b in range(p) for c in columns], *[f"level of {c}" for c in columns], *[f"change of {c}" for c in columns]]
 
 
 def _rows(df: DataFrame, spec: PanelSpec, columns: Sequence[str], p: int) -> DataFrame:
@@ -67,24 +70,23 @@ def _rows(df: DataFrame, spec: PanelSpec, columns: Sequence[str], p: int) -> Dat
     return rows.withColumns({"w": F.when(ready, w), "_y": arr(columns)})
 
 
-def _partialled(g: np.ndarray, out: list[int], keep: list[int]) -> np.ndarray:
+def _partialled(g: np.ndarray, out: list[int], keep: list[int], names: Sequence[str]) -> np.ndarray:
     """Moments of ``keep`` after regressing them on ``out``."""
     if not out:
         return g[np.ix_(keep, keep)]
     zz = g[np.ix_(out, out)]
-    if not well_posed(zz):
-        raise np.linalg.LinAlgError("collinear lags")
+    require_rank(zz, "collinear lags", [names[i] for i in out])
     scale = np.sqrt(np.diag(zz))
     zy = g[np.ix_(out, keep)] / scale[:, None]
     return g[np.ix_(keep, keep)] - zy.T @ np.linalg.solve(zz / np.outer(scale, scale), zy)
 
 
-def _reduced_rank(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _reduced_rank(s: np.ndarray, k: int, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Squared canonical correlations and vectors from moments of [change, level]."""
     s00, s01, s11 = s[:k, :k], s[:k, k:], s[k:, k:]
     scale = np.sqrt(np.diag(s11))
-    if not (well_posed(s00) and well_posed(s11)):
-        raise np.linalg.LinAlgError("collinear levels")
+    require_rank(s00, "collinear changes", names[:k])
+    require_rank(s11, "collinear levels", names[k:])
     low = np.linalg.cholesky(s11 / np.outer(scale, scale))
     half = np.linalg.solve(low, (s01 / scale).T)
     lam, vec = np.linalg.eigh(half @ np.linalg.solve(s00, half.T))
@@ -99,8 +101,8 @@ def _eigenvalues(g: np.ndarray, at: Layout, det: int, slope: np.ndarray) -> tupl
             shift[i, at.t] = -b
         g = shift @ g @ shift.T
     fixed = [at.one] if det >= 0 else []
-    s = _partialled(g, [*fixed, *at.past], [*at.change, *at.level])
-    lam, _ = _reduced_rank(s / g[0, 0], at.k)
+    keep = [*at.change, *at.level]
+    lam, _ = _reduced_rank(_partialled(g, [*fixed, *at.past], keep, at.names) / g[0, 0], at.k, [at.names[i] for i in keep])
     return lam[: at.k], g[0, 0]
 
 
@@ -110,7 +112,7 @@ def johansen(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff:
     The trace statistic of r is the sum of the maximum-eigenvalue statistics from r on.
     Ranks follow sequential testing at 95 %. A specification that cannot be fitted has one row with ``fit_ok = false``.
     """
-    keys, k, at = list(spec.keys), len(columns), Layout(len(columns), k_ar_diff)
+    keys, k, at = list(spec.keys), len(columns), Layout(columns, k_ar_diff)
     if k > 6:
         raise ValueError("critical values cover up to six variables")
     rows = _rows(df, spec, columns, k_ar_diff)
@@ -158,8 +160,8 @@ def _fit(g: np.ndarray, at: Layout, r: int) -> dict:
     """Error-correction fit with a constant inside the cointegration relation."""
     k, n = at.k, g[0, 0]
     level = [*at.level, at.one]
-    s = _partialled(g, at.past, [*at.change, *level]) / n
-    _, vec = _reduced_rank(s, k)
+    s = _partialled(g, at.past, [*at.change, *level], at.names) / n
+    _, vec = _reduced_rank(s, k, [at.names[i] for i in (*at.change, *level)])
     beta = vec[:, :r]
     beta = beta @ np.linalg.inv(beta[:r])
     s01, s11 = s[:k, k:], s[k:, k:]
@@ -196,7 +198,7 @@ def _ranked_fit(row: dict, at: Layout) -> dict:
 
 def error_correction(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: int, ranks: DataFrame) -> DataFrame:
     """Cointegrating vectors and adjustment per series in long form; rank 0 gives no rows, a failed fit or null rank one."""
-    keys, at = list(spec.keys), Layout(len(columns), k_ar_diff)
+    keys, at = list(spec.keys), Layout(columns, k_ar_diff)
     main = _ranked_moments(df, spec, columns, k_ar_diff, ranks)
     schema = T.StructType([
         *[df.schema[c] for c in keys], T.StructField("relation", T.LongType()), T.StructField("variable", T.StringType()),
@@ -226,17 +228,18 @@ def vecm_forecasts(
 ) -> DataFrame:
     """Walk-forward error-correction forecasts in levels with 90 and 95 % bands.
 
-    Series of rank 0 give no rows. A band that is not finite shrinks to the point forecast.
+    A series without a rank, or of rank 0, has one row per horizon with nulls and the reason; so has an origin whose fit fails. A
+    band that is not finite shrinks to the point forecast.
     """
-    k, at, where, top = len(columns), Layout(len(columns), k_ar_diff), list(columns).index(target), max(horizons)
+    k, at, where, top = len(columns), Layout(columns, k_ar_diff), list(columns).index(target), max(horizons)
     rows = _origins(_rows(df, spec, columns, k_ar_diff), spec, target, horizons, min_train, step)
     rows = rows.join(ranks.filter("rank > 0").select(*spec.keys, "rank"), list(spec.keys))
 
     def solve(g: np.ndarray, row: dict) -> list[dict]:
         try:
             fit = _fit(g, at, min(int(row["rank"]), k))
-        except np.linalg.LinAlgError:
-            return _forecast_rows(model, row, horizons)
+        except np.linalg.LinAlgError as e:
+            return [{**r, "reason": str(e)} for r in _forecast_rows(model, row, horizons)]
         y = np.asarray(row["_y"], float)
         steps = list(np.asarray(row["_now"], float).reshape(at.p, k)) if at.p else []
         path = []
@@ -250,10 +253,16 @@ def vecm_forecasts(
         phi = responses(fit["var"], top)
         mse = np.cumsum(np.einsum("hij,jk,hlk->hil", phi, fit["sigma"], phi), axis=0)[:, where, where]
         with np.errstate(invalid="ignore"):
-            return _forecast_rows(model, row, horizons, path, np.sqrt(mse))
+            return [{**r, "reason": None} for r in _forecast_rows(model, row, horizons, path, np.sqrt(mse))]
 
     carried = ["date", "naive", "_y", "_now", "rank", *[f"{c}{h}" for h in horizons for c in ("a", "t")]]
-    return expanding_solve(rows, spec, "w", carried, solve, FORECAST_SCHEMA)
+    schema = T.StructType([*FORECAST_SCHEMA.fields, T.StructField("reason", T.StringType())])
+    made = expanding_solve(rows, spec, "w", carried, solve, schema)
+    none = df.select(*spec.keys).distinct().join(ranks.select(*spec.keys, "rank"), list(spec.keys), "left").filter("rank is null or rank = 0")
+    none = none.withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])))
+    told = {"model": F.lit(model), "horizon": F.col("horizon"), "fit_ok": F.lit(False),
+            "reason": F.when(F.col("rank") == 0, "rank 0: no cointegration").otherwise("no cointegration rank")}
+    return made.unionByName(none.select(*spec.keys, *[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]))
 
 
 def granger(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: int, alpha: float = 0.05) -> DataFrame:
@@ -263,12 +272,13 @@ def granger(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: i
     so the statistic is valid for integrated series. A series without a fit has one row with ``fit_ok = false``.
     """
     keys, k, q = list(spec.keys), len(columns), k_ar_diff + 2
+    names = ["constant", *[f"level of {c} at lag {q - b}" for b in range(q) for c in columns]]
     rows = framed(df.select(*spec.keys, spec.time, *columns).na.drop("any"), spec, lag_block(columns, q, "_past", shift=1))
     w = F.when(F.col("_past").isNotNull(), vector(F.array(F.lit(1.0)), F.col("_past"), F.array(*[F.col(c).cast("double") for c in columns])))
     moments = every_series(df, keys, g=gramian(rows.withColumn("w", w), keys, "w"))
     schema = T.StructType([
         *[df.schema[c] for c in keys], T.StructField("causing", T.StringType()), T.StructField("caused", T.StringType()),
-        T.StructField("test_statistic", T.DoubleType()), T.StructField("df_num", T.LongType()), T.StructField("df_denom", T.LongType()),
+        T.StructField("test_statistic", T.DoubleType()), T.StructField("crit_value", T.DoubleType()), T.StructField("df_num", T.LongType()), T.StructField("df_denom", T.LongType()),
         T.StructField("p_value", T.DoubleType()), T.StructField("reject_h0", T.BooleanType()), T.StructField("verdict", T.StringType()), *FIT_FIELDS])
 
     def solve(batches):
@@ -281,9 +291,9 @@ def granger(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: i
                         raise np.linalg.LinAlgError(TOO_SHORT)
                     g = square(row["g"])
                     n = g[0, 0]
-                    coef, rest = least_squares(g, m)
+                    coef, rest = least_squares(g, m, names)
                 except np.linalg.LinAlgError as e:
-                    out.append((*[row[c] for c in keys], *[None] * 8, False, str(e)))
+                    out.append((*[row[c] for c in keys], *[None] * 9, False, str(e)))
                     continue
                 scale = np.sqrt(np.diag(g[:m, :m]))
                 inverse = np.linalg.inv(g[:m, :m] / np.outer(scale, scale)) / np.outer(scale, scale)
@@ -297,9 +307,8 @@ def granger(df: DataFrame, spec: PanelSpec, columns: Sequence[str], k_ar_diff: i
                         wald = float(b @ np.linalg.solve(sigma[i, i] * inverse[np.ix_(lags, lags)], b)) / len(lags)
                         df2 = int(round(k * n - k * m))
                         p = float(f_tail(wald, len(lags), df2))
-                        text = (f"{causing} Granger-causes {caused} (p={p:.4f} < {alpha})" if p < alpha
-                                else f"No evidence {causing} Granger-causes {caused} (p={p:.4f} >= {alpha})")
-                        out.append((*[row[c] for c in keys], causing, caused, wald, len(lags), df2, p, p < alpha, text, True, None))
+                        text = f"lags of {causing} {'help' if p < alpha else 'do not help'} to forecast {caused}: p = {p:.4f} at level {alpha}"
+                        out.append((*[row[c] for c in keys], causing, caused, wald, f_quantile(1 - alpha, len(lags), df2), len(lags), df2, p, p < alpha, text, True, None))
             yield typed(out, schema)
 
     return moments.mapInPandas(solve, schema)
@@ -312,7 +321,7 @@ def impulse_responses(
 
     Rank 0 gives no rows, a failed fit or null rank one with ``fit_ok = false``.
     """
-    keys, at = list(spec.keys), Layout(len(columns), k_ar_diff)
+    keys, at = list(spec.keys), Layout(columns, k_ar_diff)
     main = _ranked_moments(df, spec, columns, k_ar_diff, ranks)
     schema = T.StructType([
         *[df.schema[c] for c in keys], T.StructField("horizon", T.LongType()), T.StructField("shock", T.StringType()),
@@ -363,7 +372,7 @@ def response_summary(irf: DataFrame, keys: Sequence[str]) -> DataFrame:
     fades = (F.abs("peak") < 1e-9) | (F.abs("final") < 0.25 * F.abs("peak"))
     return out.withColumns({
         "direction": F.when(F.col("peak") > 0, "rises").when(F.col("peak").isNotNull(), "falls"),
-        "persistence": F.when(fades, "decays back toward zero").when(F.col("peak").isNotNull(), "remains persistently displaced")})
+        "persistence": F.when(fades, "fades out").when(F.col("peak").isNotNull(), "stays away")})
 
 
 def top_contributors(shares: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:

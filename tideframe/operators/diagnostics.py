@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideframe.operators.features import lag_block
-from tideframe.operators.moments import every_series, gramian, least_squares, square, typed, vector, well_posed
-from tideframe.panel import PanelSpec, framed, series_length, with_position
+from tideframe.functions.scalars import is_finite
+from tideframe.operators.moments import every_series, gramian, least_squares, require_rank, square, typed, vector
+from tideframe.panel import Framed, PanelSpec, framed, null_safe_join, series_length, with_position
+from tideframe.session import stored
 
 # MacKinnon's response surface for the unit-root test with a constant.
 MACKINNON = {
@@ -89,56 +91,76 @@ def max_lag(n: int) -> int:
     return max(min(n // 2 - 2, int(ceil(12 * (n / 100) ** 0.25))), 0)
 
 
-def _adf(g: np.ndarray, edges: np.ndarray, top: int) -> dict:
-    """Statistic from the moments of [1, y-1, top lagged differences, dy] on the common sample.
+class _LagSums:
+    """Moments of [1, y-1, k lagged differences, difference] over any range of rows of one series.
 
-    ``edges`` holds the earlier rows that only shorter lag orders can use; their lag
-    columns are newest first, so a shorter order reads a prefix.
+    ``c[h]`` sums the products of differences h rows apart and ``p[j]`` those of the level before a row with the difference j rows
+    earlier, over all rows; what a range leaves out lies within a few lags of the ends, whose levels ``y`` (by position) has.
     """
-    aic = []
-    for k in range(top + 1):
-        at = [*range(2 + k), g.shape[0] - 1]
-        coef, rest = least_squares(g[np.ix_(at, at)], 2 + k)
-        t = g[0, 0]
-        aic.append((t * (log(2 * pi) + log(rest[0, 0] / t) + 1) + 2 * (2 + k), k))
-    best = min(aic)[1]
-    at = [*range(2 + best), g.shape[0] - 1]
-    sub = g[np.ix_(at, at)].copy()
-    for row in edges:
-        x = row[at]
-        if np.all(np.isfinite(x)):
-            sub += np.outer(x, x)
-    coef, rest = least_squares(sub, 2 + best)
-    n, m = sub[0, 0], 2 + best
-    spread = np.linalg.inv(sub[:m, :m])[1, 1] * rest[0, 0] / (n - m)
-    tau = coef[1, 0] / np.sqrt(spread)
+
+    def __init__(self, n: int, c: Sequence[float], p: Sequence[float], level: float, squared: float, y: dict[int, float]):
+        self.n, self.c, self.p, self.level, self.squared, self.y = n, c, p, level, squared, y
+
+    def d(self, t: int) -> float:
+        return self.y[t] - self.y[t - 1]
+
+    def moments(self, start: int, k: int) -> np.ndarray:
+        """Rows ``start`` to n. Order of columns: constant, level, lags 1 to k, the difference itself."""
+        g, n, y, d = np.zeros((k + 3, k + 3)), self.n, self.y, self.d
+        place = {0: k + 2, **{j: j + 1 for j in range(1, k + 1)}}
+        g[0, 0] = n - start + 1
+        g[0, 1] = self.level - sum(y[t - 1] for t in range(2, start))
+        g[1, 1] = self.squared - sum(y[t - 1] ** 2 for t in range(2, start))
+        for j in range(k + 1):
+            g[0, place[j]] = y[n - j] - y[start - j - 1]
+            g[1, place[j]] = self.p[j] - sum(y[t - 1] * d(t - j) for t in range(j + 2, start))
+        for i in range(k + 1):
+            for j in range(i, k + 1):
+                h = j - i
+                value = self.c[h] - sum(d(s) * d(s - h) for s in range(2 + h, start - i)) - sum(d(s) * d(s - h) for s in range(n - i + 1, n + 1))
+                a, b = sorted((place[i], place[j]))
+                g[a, b] = value
+        return np.triu(g) + np.triu(g, 1).T
+
+
+def _adf(sums: _LagSums, top: int) -> dict:
+    """Statistic with the lag order of the smallest AIC on the rows that every order can use.
+
+    A shorter order is a leading block, so the squared residuals of all of them are read from one factor.
+    """
+    g = sums.moments(top + 2, top)
+    require_rank(g[:-1, :-1], "collinear lags")
+    scale = np.sqrt(np.diag(g))
+    low = np.linalg.cholesky(g / np.outer(scale, scale))
+    rest = (1.0 - np.concatenate([[0.0], np.cumsum(low[-1, :-1] ** 2)])) * g[-1, -1]
+    t = g[0, 0]
+    best = min((t * (log(2 * pi) + log(rest[2 + k] / t) + 1) + 2 * (2 + k), k) for k in range(top + 1))[1]
+    own, m = sums.moments(best + 2, best), 2 + best
+    coef, left = least_squares(own, m)
+    n = own[0, 0]
+    tau = coef[1, 0] / np.sqrt(np.linalg.inv(own[:m, :m])[1, 1] * left[0, 0] / (n - m))
     return {"stat": float(tau), "p_value": unit_root_p(float(tau)), "used_lag": best, "n_obs": int(round(n))}
 
 
 def unit_root_tests(df: DataFrame, spec: PanelSpec, value: str) -> DataFrame:
-    """ADF test with constant and AIC lag choice per series; series too short report nulls.
+    """ADF test with constant and AIC lag choice per series; series too short, or without variance, report nulls.
 
-    Lags become one array per row, the common-sample moments one pass; each series then
-    solves its nested regressions from one matrix and its few first rows.
+    One pass sums products of differences up to the longest lag; no row carries its lags. Each series then solves its nested
+    regressions from these sums and the levels near its ends. Values that are null or not finite are left out.
     """
     keys = list(spec.keys)
-    rows = series_length(with_position(df.filter(F.col(value).isNotNull()), spec, "rn"), spec, "n_rows")
-    quarter = F.ceil(12 * F.pow(F.col("n_rows") / 100, F.lit(0.25)))
-    rows = rows.withColumn("_top", F.greatest(F.least(F.floor(F.col("n_rows") / 2) - 2, quarter), F.lit(0)).cast("int"))
-    rows = framed(rows, spec, _differences(value))
+    sound = df.filter(is_finite(F.col(value).cast("double"))).select(*spec.keys, *spec.order, F.col(value).cast("double").alias("_y"))
+    rows = stored(series_length(with_position(sound, spec, "rn"), spec, "n_rows"), "levels")
     # The longest series sets how far rows look back: one number, from row counts.
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    rows = framed(rows, spec, _past(max(1, max_lag(sizes.agg(F.max("n")).first()[0] or 0))))
-    rows = rows.withColumn("_near", F.reverse("_past"))
-    gaps = F.array_repeat(F.lit(None).cast("double"), F.greatest(F.col("_top") - F.size("_near"), F.lit(0)))
-    lags = F.concat(F.slice("_near", F.lit(1), F.col("_top")), gaps)
-    head = F.array(F.lit(1.0), F.col("_y1"))
-    rows = rows.filter(F.col("_dy").isNotNull()).withColumn("w", F.concat(head, lags, F.array("_dy")))
-    common = rows.filter(F.col("rn") >= F.col("_top") + 2)
-    moments = gramian(common.withColumn("w", vector(F.col("w"))), keys, "w")
-    edges = rows.filter(F.col("rn") < F.col("_top") + 2).groupBy(*keys).agg(F.collect_list("w").alias("edges"))
-    sizes = rows.groupBy(*keys).agg(F.first("_top").alias("top"))
-    small = sizes.join(moments, keys, "left").join(edges, keys, "left")
+    top = max_lag(rows.agg(F.max("n_rows")).first()[0] or 0)
+    lagged = framed(rows, spec, Framed(1, 0, lambda w: {"_y1": F.lag("_y").over(w), "_d0": F.col("_y") - F.lag("_y").over(w)}))
+    lagged = framed(lagged, spec, Framed(top, 0, lambda w: {f"_d{h}": F.lag("_d0", h).over(w) for h in range(1, top + 1)}))
+    sums = lagged.groupBy(*keys).agg(
+        F.max("n_rows").alias("n"), F.array(*[F.sum(F.col("_d0") * F.col(f"_d{h}")) for h in range(top + 1)]).alias("c"),
+        F.array(*[F.sum(F.col("_y1") * F.col(f"_d{h}")) for h in range(top + 1)]).alias("p"), F.sum("_y1").alias("level"), F.sum(F.col("_y1") * F.col("_y1")).alias("squared"))
+    near = (F.col("rn") <= 2 * top + 4) | (F.col("rn") > F.col("n_rows") - 2 * top - 4)
+    ends = rows.filter(near).groupBy(*keys).agg(F.collect_list(F.struct("rn", "_y")).alias("ends"))
+    small = null_safe_join(sums, ends, keys)
     schema = T.StructType([
         *[df.schema[k] for k in keys], T.StructField("stat", T.DoubleType()), T.StructField("p_value", T.DoubleType()),
         T.StructField("used_lag", T.LongType()), T.StructField("n_obs", T.LongType()), T.StructField("fit_ok", T.BooleanType())])
@@ -147,32 +169,18 @@ def unit_root_tests(df: DataFrame, spec: PanelSpec, value: str) -> DataFrame:
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                key = [row[k] for k in keys]
+                key, n = [row[k] for k in keys], int(row["n"])
                 try:
-                    early = row["edges"] if row["edges"] is not None else []
-                    early = np.array([[np.nan if v is None else v for v in e] for e in early], dtype=float)
-                    res = _adf(square(row["g"]), early, int(row["top"]))
+                    held = _LagSums(n, row["c"], row["p"], row["level"], row["squared"], {int(e["rn"]): e["_y"] for e in row["ends"]})
+                    res = _adf(held, max_lag(n))
                     out.append((*key, res["stat"], res["p_value"], res["used_lag"], res["n_obs"], True))
-                except (np.linalg.LinAlgError, ValueError, TypeError, ZeroDivisionError):
+                except (np.linalg.LinAlgError, ValueError, TypeError, ZeroDivisionError, KeyError):
                     out.append((*key, None, None, None, None, False))
             yield pd.DataFrame(out, columns=schema.fieldNames()).astype({"used_lag": "Int64", "n_obs": "Int64"})
 
     return small.mapInPandas(solve, schema)
 
 
-def _differences(value):
-    from tideframe.panel import Framed
-
-    return Framed(1, 0, lambda w: {"_y1": F.lag(value).over(w), "_dy": F.col(value) - F.lag(value).over(w)})
-
-
-def _past(rows):
-    from tideframe.panel import Framed
-
-    return Framed(rows, 0, lambda w: {"_past": F.transform(
-        F.collect_list(F.struct("_dy")).over(w.rowsBetween(-rows, -1)), lambda s: s["_dy"])})
-
-
 def integration_report(df: DataFrame, spec: PanelSpec, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """Unit-root p of level and first difference per series and variable; I(1) needs p_level >= alpha > p_diff."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_c")

@@ -1,7 +1,7 @@
 """Moment matrices: one distributed pass, then algebra on k-by-k matrices per key.
 
 A row carries its regressors and responses as one vector column. ``gramian`` sums the
-outer products of the vectors with a partial sum per task. ``expanding_solve`` gives
+outer products of the vectors with a partial sum per task; matrices travel as their upper triangles. ``expanding_solve`` gives
 every walk-forward origin the moments of all rows before it: chunks of a series are
 summed in parallel, the sums run forward over chunks, and each chunk then walks its own
 origins. Cost is rows * m^2 + origins * m^3 and no task holds more than one chunk.
@@ -45,7 +45,7 @@ def _gather(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def gramian(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:
-    """Per group the flattened sum of outer products of ``column``; rows with a null vector are skipped."""
+    """Per group the packed sum of outer products of ``column`` (see ``square``); rows with a null vector are skipped."""
     groups = list(groups)
     schema = T.StructType([*_fields(df, groups), T.StructField("g", T.ArrayType(T.DoubleType()))])
 
@@ -53,7 +53,7 @@ def gramian(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:
         held: dict[tuple, np.ndarray] = {}
 
         def flush() -> pd.DataFrame:
-            rows = [(*k, g.ravel().tolist()) for k, g in held.items()]
+            rows = [(*k, packed(g)) for k, g in held.items()]
             held.clear()
             return pd.DataFrame(rows, columns=[*groups, "g"])
 
@@ -85,10 +85,55 @@ def typed(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=schema.fieldNames()).astype({f.name: kinds[f.dataType.simpleString()] for f in schema if f.dataType.simpleString() in kinds})
 
 
-def square(flat) -> np.ndarray:
-    g = np.asarray(flat, dtype=float)
-    m = int(round(np.sqrt(g.size)))
-    return g.reshape(m, m)
+def packed(g: np.ndarray) -> list[float]:
+    """The upper triangle of a symmetric matrix, row by row."""
+    return g[np.triu_indices(len(g))].tolist()
+
+
+def square(triangle) -> np.ndarray:
+    """The symmetric matrix of a packed triangle."""
+    flat = np.asarray(triangle, dtype=float)
+    m = int(round((np.sqrt(8 * flat.size + 1) - 1) / 2))
+    g = np.empty((m, m))
+    rows, columns = np.triu_indices(m)
+    g[rows, columns] = g[columns, rows] = flat
+    return g
+
+
+class Collinear(np.linalg.LinAlgError):
+    """Regressors that are linear combinations of others; ``at`` lists their positions, ``rank`` how many are not."""
+
+    def __init__(self, what: str, at: Sequence[int], rank: int, names: Sequence[str] = ()):
+        self.at, self.rank = list(at), rank
+        named = ", ".join(names[i] for i in self.at) if names else ", ".join(map(str, self.at))
+        super().__init__(f"{what}: rank {rank} of {rank + len(self.at)}, dependent: {named}")
+
+
+def dependent(zz: np.ndarray, tolerance: float = 1e-10) -> list[int]:
+    """Positions of the columns that a pivoted Cholesky factor of the scaled moments leaves without variance of their own.
+
+    The pivot is the column with the most variance left, of equal ones the first; a column without any variance, or one that is
+    not finite, is dependent at once.
+    """
+    scale = np.sqrt(np.clip(np.nan_to_num(np.diag(zz), nan=0.0, posinf=0.0), 0, None))
+    sound = (scale > 0) & np.isfinite(zz).all(axis=1)
+    rest = np.where(sound, 1.0, 0.0)
+    unit = np.where(scale > 0, scale, 1.0)
+    left = np.nan_to_num(zz / np.outer(unit, unit))
+    while (rest > tolerance).any():
+        i = int(np.argmax(rest > rest.max() - 1e-9))
+        column = left[:, i] / np.sqrt(left[i, i])
+        left = left - np.outer(column, column)
+        rest = np.where(rest > tolerance, np.diag(left), rest)
+        rest[i] = -1.0
+    return np.flatnonzero(rest > -1.0).tolist()
+
+
+def require_rank(zz: np.ndarray, what: str, names: Sequence[str] = ()) -> None:
+    """Refuse moments without full numerical rank, naming the dependent columns."""
+    if not well_posed(zz):
+        at = dependent(zz) or [int(np.argmin(np.abs(np.linalg.eigh(zz)[1][:, 0])))]
+        raise Collinear(what, at, len(zz) - len(at), names)
 
 
 def well_posed(zz: np.ndarray, tolerance: float = 1e-12) -> bool:
@@ -100,11 +145,10 @@ def well_posed(zz: np.ndarray, tolerance: float = 1e-12) -> bool:
     return bool(eig[0] > tolerance * eig[-1])
 
 
-def least_squares(g: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+def least_squares(g: np.ndarray, m: int, names: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and residual cross products from the moments of [m regressors, responses]."""
     zz, zy, yy = g[:m, :m], g[:m, m:], g[m:, m:]
-    if not well_posed(zz):
-        raise np.linalg.LinAlgError("regressors are collinear")
+    require_rank(zz, "collinear regressors", names)
     scale = np.sqrt(np.diag(zz))
     coef = np.linalg.solve(zz / np.outer(scale, scale), zy / scale[:, None]) / scale[:, None]
     return coef, yy - zy.T @ coef
@@ -131,7 +175,7 @@ def expanding_solve(
 
     def one_chunk(key, pdf):
         x = np.stack(pdf[column].to_numpy())
-        return pd.DataFrame([(*key, (x.T @ x).ravel().tolist())], columns=[*on, "g"])
+        return pd.DataFrame([(*key, packed(x.T @ x))], columns=[*on, "g"])
 
     sums = rows.filter(F.col(column).isNotNull()).select(*on, column).groupBy(*on).applyInPandas(one_chunk, sums_schema)
     cells = sums.select(*on, F.posexplode("g").alias("_i", "_v"))
@@ -144,17 +188,15 @@ def expanding_solve(
     def walk(key, left, right):
         left = left.sort_values("rn")
         g = square(right["g"].iloc[0]) if len(right) else None
-        pending: list[np.ndarray] = []
         out: list[tuple] = []
-        for row in left.to_dict("records"):
-            if row[column] is not None:
-                pending.append(np.asarray(row[column], dtype=float))
-            if not row["is_origin"]:
-                continue
-            if pending:
-                x = np.stack(pending)
-                g = x.T @ x if g is None else g + x.T @ x
-                pending = []
+        vectors, at, seen = left[column].to_numpy(), np.flatnonzero(left["is_origin"].to_numpy()), 0
+        present = np.flatnonzero([v is not None for v in vectors])
+        x = np.stack(vectors[present]) if len(present) else None
+        for place, row in zip(at, left.iloc[at].to_dict("records")):
+            upto = int(np.searchsorted(present, place, "right"))
+            if upto > seen:
+                own = x[seen:upto]
+                g, seen = own.T @ own if g is None else g + own.T @ own, upto
             if g is not None:
                 for made in solve(g, row):
                     out.append(tuple([*key[: len(keys)], *[made[n] for n in names[len(keys):]]]))

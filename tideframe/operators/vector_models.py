@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tideframe.functions.distributions import normal_quantile
 from tideframe.operators.features import difference, forward_value, lag_block
-from tideframe.operators.moments import expanding_solve, least_squares, vector, well_posed
+from tideframe.operators.moments import expanding_solve, least_squares, vector
 from tideframe.operators.splits import is_origin
 from tideframe.panel import PanelSpec, Running, framed, running, series_length, with_position
 

@@ -116,6 +116,18 @@ def left_join_one_to_one(spark, folder):
     return rounded(al.join_one_to_one(left, right, ["series", "date"]))
 
 
+@query("left_join_null_keys", sql_with(f"""
+SELECT a.series, a.year, {r('a.y', 'y')}, {r('b.s', 's')} FROM (SELECT nullif(series, 'ASIA') AS series, nullif(year(date), 1995) AS year, sum(y) AS y FROM daily_region GROUP BY 1, 2) a
+LEFT JOIN (SELECT nullif(series, 'ASIA') AS series, nullif(year(date), 1995) AS year, sum(s) AS s FROM daily_supply WHERE year(date) <> 1996 GROUP BY 1, 2) b
+ ON a.series IS NOT DISTINCT FROM b.series AND a.year IS NOT DISTINCT FROM b.year""", "daily_region", "daily_supply"))
+def left_join_null_keys(spark, folder):
+    """Yearly sums where one region and one year have no name: their rows stay and meet each other."""
+    keys = [F.nullif("series", F.lit("ASIA")).alias("series"), F.nullif(F.year("date"), F.lit(1995)).alias("year")]
+    left = v.daily_region(spark, folder).groupBy(*keys).agg(F.sum("y").alias("y"))
+    right = v.daily_supply(spark, folder).filter(F.year("date") != 1996).groupBy(*keys).agg(F.sum("s").alias("s"))
+    return rounded(al.join_one_to_one(left, right, ["series", "year"]))
+
+
 _ASOF = """SELECT f.series, f.date, f.y, a.v FROM daily_region f ASOF LEFT JOIN {rel} a ON f.series=a.series AND f.date >= a.release_date"""
 _FIRST = "SELECT m.* FROM monthly_region m JOIN (SELECT series, min(date) AS lo FROM daily_region GROUP BY 1) b ON m.series=b.series AND m.release_date >= b.lo"
 

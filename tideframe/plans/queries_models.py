@@ -146,6 +146,83 @@ def fevd_summary(spark, folder):
     return rounded(co.top_contributors(co.variance_shares(irf_frame(spark, folder), ["series"]), ["series"], 20))
 
 
+# ---- the same operators where SQL can follow: one variable, or one lag of two -------------
+
+_LAGGED = "SELECT series, date, y, lag(y) OVER (PARTITION BY series ORDER BY date) AS y1, y - lag(y) OVER (PARTITION BY series ORDER BY date) AS dy FROM daily_region"
+
+
+@query("johansen_single", sql_with(f"""
+SELECT series, CAST(det_order AS BIGINT) AS det_order, round(lam, 6) + 0.0 AS eigenvalue, round(-n * ln(1 - lam), 4) + 0.0 AS trace_stat, cv AS trace_cv_95, -n * ln(1 - lam) > cv AS trace_reject_95,
+ CASE WHEN -n * ln(1 - lam) > cv THEN 1 ELSE 0 END AS trace_rank FROM (
+ SELECT series, -1 AS det_order, count(*) AS n, pow(sum(dy * y1), 2) / (sum(dy * dy) * sum(y1 * y1)) AS lam, 4.1296 AS cv FROM src WHERE y1 IS NOT NULL GROUP BY 1
+ UNION ALL SELECT series, 0, count(*), pow(corr(dy, y1), 2), 3.8415 FROM src WHERE y1 IS NOT NULL GROUP BY 1)""", "daily_region", src=_LAGGED).replace("4.1296 AS cv", "CAST(4.1296 AS DOUBLE) AS cv").replace("3.8415 FROM", "CAST(3.8415 AS DOUBLE) FROM"))
+def johansen_single(spark, folder):
+    """Rank tests of one variable without lags: the eigenvalue is a squared correlation."""
+    tests = co.johansen(v.daily_region(spark, folder).select("series", "date", "y"), SPEC, ["y"], 0).filter("det_order < 1")
+    out = tests.select("series", "det_order", F.round("eigenvalue", 6).alias("eigenvalue"), F.round("trace_stat", 4).alias("trace_stat"), "trace_cv_95", "trace_reject_95", F.col("trace_rank").cast("int").alias("trace_rank"))
+    return rounded(out)
+
+
+def _given_rank(df):
+    return df.select("series").distinct().withColumn("rank", F.lit(1).cast("long"))
+
+
+@query("error_correction_single", sql_with(f"""
+SELECT series, variable, round(CASE variable WHEN 'y' THEN 1 ELSE regr_intercept(dy, y1) / regr_slope(dy, y1) END, 4) + 0.0 AS beta, CASE variable WHEN 'y' THEN round(regr_slope(dy, y1), 4) + 0.0 END AS alpha
+FROM src, (SELECT unnest(['y', 'constant']) AS variable) GROUP BY 1, 2""", "daily_region", src=_LAGGED))
+def error_correction_single(spark, folder):
+    """One variable of rank 1: the adjustment is a regression slope, the constant stands inside the relation."""
+    data = stored(v.daily_region(spark, folder).select("series", "date", "y"), "panel")
+    return rounded(co.error_correction(data, SPEC, ["y"], 0, _given_rank(data)).select("series", "variable", "beta", "alpha"), 4)
+
+
+@query("irf_single", sql_with(f"""
+SELECT series, CAST(h AS BIGINT) AS horizon, {r("pow(1 + b, h) * s", "response", 5)}, round(sum(pow(1 + b, h) * s) OVER (PARTITION BY series ORDER BY h ROWS UNBOUNDED PRECEDING), 5) + 0.0 AS cumulative_response
+FROM (SELECT series, regr_slope(dy, y1) AS b, sqrt((regr_syy(dy, y1) - regr_slope(dy, y1) * regr_sxy(dy, y1)) / regr_count(dy, y1)) AS s FROM src GROUP BY 1), (SELECT unnest(range(21)) AS h)""", "daily_region", src=_LAGGED))
+def irf_single(spark, folder):
+    """Responses of one variable of rank 1 fall by one factor per step."""
+    data = stored(v.daily_region(spark, folder).select("series", "date", "y"), "panel")
+    return rounded(co.impulse_responses(data, SPEC, ["y"], 0, _given_rank(data)).select("series", "horizon", "response", "cumulative_response"), 5)
+
+
+@query("vecm_single", sql_with(f"""
+SELECT series, date AS origin_date, CAST(h AS BIGINT) AS horizon, {r("y * pow(1 + b, h) + a * (pow(1 + b, h) - 1) / b", "pred", 5)},
+ round({vm.Z90!r} * sqrt(s2 * (pow(1 + b, 2 * h) - 1) / (pow(1 + b, 2) - 1)), 5) + 0.0 AS half90 FROM (
+ SELECT *, regr_slope(dy, y1) OVER e AS b, regr_intercept(dy, y1) OVER e AS a,
+  (regr_syy(dy, y1) OVER e - regr_slope(dy, y1) OVER e * regr_sxy(dy, y1) OVER e) / regr_count(dy, y1) OVER e AS s2,
+  row_number() OVER (PARTITION BY series ORDER BY date) AS rn, count(*) OVER (PARTITION BY series) AS n_rows FROM src
+ WINDOW e AS (PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING)), (SELECT unnest([1, 5, 20]) AS h)
+WHERE rn >= {MIN_TRAIN} AND (rn - {MIN_TRAIN}) % {STEP} = 0 AND rn < n_rows - 20""", "daily_region", src=_LAGGED))
+def vecm_single(spark, folder):
+    """Walk-forward error correction of one variable, with its band, against SQL's regression aggregates."""
+    data = stored(v.daily_region(spark, folder).select("series", "date", "y"), "panel")
+    out = co.vecm_forecasts(data, SPEC, ["y"], "y", 0, _given_rank(data), HORIZONS, MIN_TRAIN, STEP)
+    return rounded(out.select("series", "origin_date", "horizon", "pred", (F.col("hi90") - F.col("pred")).alias("half90")), 5)
+
+
+def _granger_sql() -> str:
+    """The squared t of one lag after the other regressors are taken out of it, one after the other."""
+    lag = lambda c, k: f"lag({c}, {k}) OVER (PARTITION BY series ORDER BY date)"
+    pair = lambda z, x: (f"SELECT series, '{x}' AS causing, '{z}' AS caused, CAST({z} AS DOUBLE) AS z, {lag(z, 1)} AS a, {lag(z, 2)} AS b, {lag(x, 2)} AS c, {lag(x, 1)} AS t FROM both_")
+    ctes = {"both_": "SELECT series, date, y, CAST(n AS DOUBLE) AS n FROM daily_region", "s0": f"SELECT * FROM ({pair('y', 'n')} UNION ALL {pair('n', 'y')}) WHERE b IS NOT NULL"}
+    part = "OVER (PARTITION BY series, causing)"
+    ctes["s1"] = "SELECT series, causing, caused, count(*) " + part + " AS n, " + ", ".join(f"{x} - avg({x}) {part} AS {x}" for x in "zabct") + " FROM s0"
+    for i, used in enumerate("abc", start=2):
+        left = [x for x in "zabct" if x != used and x >= used or x in "zt"]
+        ctes[f"s{i}"] = f"SELECT series, causing, caused, n, {', '.join(f'{x} - {used} * sum({x} * {used}) {part} / sum({used} * {used}) {part} AS {x}' for x in left)} FROM s{i - 1}"
+    return sql_with("""
+SELECT series, causing, caused, round(pow(b, 2) * tt / ((zz - b * zt) / (n - 5)), 3) + 0.0 AS test_statistic, CAST(1 AS BIGINT) AS df_num, CAST(2 * (n - 5) AS BIGINT) AS df_denom
+FROM (SELECT series, causing, caused, n, sum(z * t) / sum(t * t) AS b, sum(t * t) AS tt, sum(z * z) AS zz, sum(z * t) AS zt FROM s4 GROUP BY ALL)""", "daily_region", **ctes)
+
+
+@query("granger_pair", _granger_sql())
+def granger_pair(spark, folder):
+    """Causality between order value and count with one tested lag each way."""
+    data = v.daily_region(spark, folder).select("series", "date", "y", F.col("n").cast("double").alias("n"))
+    out = co.granger(stored(data, "panel"), SPEC, ["y", "n"], 0)
+    return rounded(out.select("series", "causing", "caused", "test_statistic", "df_num", "df_denom"), 3)
+
+
 # Yearly mean discounts by line status and return flag serve as a response table that SQL can build too.
 _RESP = """SELECT l_linestatus AS shock, l_returnflag AS response_variable, CAST(year(l_shipdate) - 1995 AS BIGINT) AS horizon,
  avg(l_discount) - 0.05 AS response FROM lineitem GROUP BY 1,2,3"""
@@ -167,7 +244,7 @@ def fevd_from_irf(spark, folder):
 
 @query("irf_peak_summary", sql_with(f"""
 SELECT shock, response_variable, {r('peak','peak')}, {r('final','final')}, CASE WHEN peak > 0 THEN 'rises' ELSE 'falls' END AS direction,
- CASE WHEN abs(peak) < 1e-9 OR abs(final) < 0.25*abs(peak) THEN 'decays back toward zero' ELSE 'remains persistently displaced' END AS persistence FROM (
+ CASE WHEN abs(peak) < 1e-9 OR abs(final) < 0.25*abs(peak) THEN 'fades out' ELSE 'stays away' END AS persistence FROM (
  SELECT shock, response_variable, arg_max(response, (round(abs(response),12), -horizon)) AS peak, arg_max(response, horizon) AS final FROM resp GROUP BY 1,2)""", resp=_RESP))
 def irf_peak_summary(spark, folder):
     return rounded(co.response_summary(response_table(spark, folder), []).drop("peak_horizon"))

@@ -34,7 +34,8 @@ def run_systems(
     for name, columns in systems.items():
         ranks = stored(system_ranks(df, spec, columns, k_ar_diff, enforce_i1), "ranks")
         usable = ranks.filter("outcome = 'forecast'")
-        made = vecm_forecasts(df, spec, columns, target, k_ar_diff, usable, horizons, min_train, step)
+        # The report tells why a series has no forecasts.
+        made = vecm_forecasts(df, spec, columns, target, k_ar_diff, usable, horizons, min_train, step).filter(F.col("origin_date").isNotNull())
         made, ranks = made.withColumn("system", F.lit(name)), ranks.withColumn("system", F.lit(name))
         forecasts = made if forecasts is None else forecasts.unionByName(made)
         report = ranks if report is None else report.unionByName(ranks)
