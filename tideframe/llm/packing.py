@@ -25,6 +25,8 @@ CAPACITY = 2048
 REMEMBERED = 400_000
 #: Marks that end a word and never join with it; the apostrophe may, so it is not among them.
 MARKS = ".,;:!?#*$%&|<>"
+#: Stands for a line feed at the start of a chunk; texts that hold it are tokenised whole.
+LINE = "\x1c"
 #: Rows that one ranking group holds on average, at most; a length with more pieces has several groups.
 RANK_ROWS = 20_000
 Pattern = tuple[list[tuple[int, int]], int]
@@ -40,8 +42,8 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins across a single space between two words, so a text is cut there and every
-    distinct chunk is tokenised once. A text with a space after other white space, or that holds the name of one of the
-    tokenizer's added tokens, is tokenised whole.
+    distinct chunk is tokenised once; where lines end in a single line feed, it is cut there too. A text with a space after
+    other white space, or that holds the name of one of the tokenizer's added tokens, is tokenised whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer, models, pre_tokenizers
@@ -49,7 +51,8 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer = Tokenizer.from_file(path)
     blanks = [chr(i) for i in range(0x3001) if chr(i).isspace()]
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    ascii_odd, odd = ([*added, *(b + " " for b in blanks if b < limit)] for limit in ("\x80", "\uffff"))
+    ascii_rare, rare = ([b for b in blanks if b not in " \n" and b < limit] for limit in ("\x80", "\uffff"))
+    ascii_odd, odd = ([*added, LINE, *(b + " " for b in blanks if b < limit)] for limit in ("\x80", "\uffff"))
     as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     direct = isinstance(tokenizer.model, models.BPE) and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.normalizer is None
     firsts: dict[str, bytes] = {}
@@ -83,6 +86,15 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         new = list(words.difference(firsts))
         firsts.update(zip(new, words_to_ids(new, "")))
 
+    def chunked(text: str) -> str | None:
+        """The text with ``LINE`` for each line feed, as a chunk of its own; None if it must be tokenised whole."""
+        plain = text.isascii()
+        if any(map(text.__contains__, [*added, LINE])):
+            return None
+        if not any(map(text.__contains__, [*(ascii_rare if plain else rare), "  ", "\n\n", " \n", "\n "])):
+            return text.replace("\n", " " + LINE)
+        return None if any(map(text.__contains__, ascii_odd if plain else odd)) else text
+
     def learn(chunks: set[str]) -> None:
         """Ids of chunks that follow a space.
 
@@ -93,6 +105,11 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         again = [c for c in missing if c in older]
         others.update((c, older[c]) for c in again)
         missing.difference_update(again)
+        starts = {c: c[1:].rstrip(MARKS) for c in missing if c.startswith(LINE)}
+        starts.update((c, c[1:]) for c, s in starts.items() if not s or not s[-1].isalnum())
+        learn_first({"\n"}.union(starts.values(), (c[1 + len(s) :] for c, s in starts.items())))
+        others.update((c, firsts["\n"] + firsts[s] + firsts[c[1 + len(s) :]]) for c, s in starts.items())
+        missing.difference_update(starts)
         lines = {c: p for c in missing if "\n" in c and all(p := c.split("\n")) and c.split() == p}
         heads = {p[0] for p in lines.values()}.union(c for c in missing if c not in lines).difference(others)
         stems = {c: s for c in heads if (s := c.rstrip(MARKS)) and s is not c and s[-1].isalnum()}
@@ -112,9 +129,10 @@ def token_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 firsts.clear()
             if len(others) > REMEMBERED:  # words not seen again while as many others came are forgotten
                 others, older = {}, others
-            whole = [i for i, t in enumerate(own) if any(map(t.__contains__, ascii_odd if t.isascii() else odd))]
+            cut_up = list(map(chunked, own))
+            whole = [i for i, t in enumerate(cut_up) if t is None]
             apart = dict(zip(whole, tokens([own[i] for i in whole])))
-            split = [None if i in apart else t.partition(" ") for i, t in enumerate(own)]
+            split = [None if t is None else t.partition(" ") for t in cut_up]
             tails = [x[2].split(" ") if x and x[1] else () for x in split]
             learn_first({x[0] for x in split if x})
             learn(set().union(*tails))
