@@ -20,6 +20,7 @@ from tideframe.plans.gold import build_gold
 from tideframe.sources import feeds as fd
 from tideframe.sources import snapshots as sn
 from tideframe.sources import tables as tb
+from tideframe.sources import versions as vs
 from tideframe.streaming import archive_stream as st
 
 KEYS = ["reference_month"]
@@ -173,7 +174,7 @@ def test_stream_late_pulls_quarantine_and_restart(spark, tmp_path):
     run()
     got = as_dict(st.latest_archive(spark, root, KEYS))
     assert got == {D(2024, 1, 1): (100.0, "20240201_000000"), D(2024, 2, 1): (101.0, "20240201_000000"), D(2023, 12, 1): (98.0, "20240101_000000")}
-    assert spark.read.parquet(f"{root}/quarantine/pull=20240301_000000").count() == 2
+    assert {r.source_pull for r in st.accepted(spark, root, KEYS, "quarantine").collect()} == {"20240301_000000"} and st.accepted(spark, root, KEYS, "quarantine").count() == 2
 
 
 @pytest.mark.parametrize("per_trigger", [1, 1000])
@@ -187,7 +188,10 @@ def test_stream_does_not_depend_on_batches(spark, tmp_path, per_trigger):
     rows = st.read_pulls(spark, str(landed), "reference_month DATE, value DOUBLE", per_trigger)
     st.run_archive_stream(spark, rows, root, KEYS, 5.0).awaitTermination()
     assert as_dict(st.latest_archive(spark, root, KEYS)) == {D(2024, k + 1, 1): (v, "20240301_000000") for k, v in enumerate(pulls["20240301_000000"])}
-    assert spark.read.parquet(f"{root}/quarantine/pull=20240201_000000").count() == 3
+    assert [r.source_pull for r in st.accepted(spark, root, KEYS, "quarantine").collect()] == ["20240201_000000"] * 3
+    before = vs.current(spark, root)
+    st.run_archive_stream(spark, rows, root, KEYS, 5.0).awaitTermination()
+    assert vs.current(spark, root) == before
 
 
 # ---- feature table -----------------------------------------------------------
@@ -331,18 +335,39 @@ def test_status_rules(spark):
 
 def test_silver_job_replay_and_refusal(spark, tmp_path):
     from tideframe.plans.silver import run_silver
-    from tideframe.sources.tables import exists, read_archive
-
     old, new = pull(spark, "p1", m202001=100.0, m202002=100.5), pull(spark, "p2", m202002=100.6, m202003=101.0)
     mapping = spark.createDataFrame([(D(2020, m, 1), D(2020, m, 25)) for m in (1, 2)], "reference_month date, release_date date")
     allowed = spark.createDataFrame([(D(2020, 3, 1),)], "reference_month date")
     none = allowed.limit(0)
-    paths = dict(archive_path=str(tmp_path / "archive"), silver_path=str(tmp_path / "silver"))
-    job = lambda **kw: run_silver(spark, old, new, mapping, keys=KEYS, start="2020-01-01", end="2020-12-31", limit=1.0, **paths, **kw)
+    root = str(tmp_path / "index")
+    job = lambda **kw: run_silver(spark, old, new, mapping, keys=KEYS, start="2020-01-01", end="2020-12-31", limit=1.0, root=root, **kw)
     with pytest.raises(ct.ContractError, match="mapped_or_allowed"):
         job(allowed=none, replay=False)
-    assert not exists(spark, paths["silver_path"]) and not exists(spark, paths["archive_path"])
+    assert vs.current(spark, root) == (0, {})
     assert job(allowed=allowed, replay=True).count() == 3
-    assert not exists(spark, paths["archive_path"])
+    assert set(vs.current(spark, root)[1]) == {"silver"}
     job(allowed=allowed, replay=False)
-    assert read_archive(spark, paths["archive_path"]).count() == 3
+    assert vs.read_version(spark, root, "archive").count() == 3
+
+
+def test_versions_change_all_tables_or_none(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "v")
+    assert vs.commit(spark, root, {"a": spark.range(2), "b": spark.range(3)}) == 1
+    # A job that dies between its tables, and one whose manifest is torn, leave the old pair.
+    real = vs.publish
+    monkeypatch.setattr(vs, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError, match="killed"):
+        vs.commit(spark, root, {"a": spark.range(20), "b": spark.range(30)})
+    monkeypatch.setattr(vs, "publish", real)
+    (tmp_path / "v" / "versions" / "0000000002.json").write_text('{"tables": {"a": "x')
+    sizes = lambda **kw: {n: vs.read_version(spark, root, n, **kw).count() for n in "ab"}
+    assert sizes() == {"a": 2, "b": 3} and vs.current(spark, root)[0] == 1
+    assert vs.commit(spark, root, {"b": spark.range(7)}) == 3 and sizes() == {"a": 2, "b": 7} and sizes(version=1) == {"a": 2, "b": 3}
+    assert vs.read_version(spark, root, "c", "x long").count() == 0
+    with pytest.raises(FileNotFoundError):
+        vs.read_version(spark, root, "c")
+    monkeypatch.setattr(vs, "_versions", lambda *a: [2, 1])
+    with pytest.raises(vs.ConcurrentCommit):
+        vs.commit(spark, root, {"a": spark.range(1)})
+    monkeypatch.undo()
+    assert len(vs.forget(spark, root)) == 4 and sizes() == {"a": 2, "b": 7}

@@ -21,11 +21,17 @@ def revisions(archive: DataFrame, pull: DataFrame, keys: Sequence[str]) -> DataF
     return old.join(new, list(keys)).withColumn("change", change).filter(F.abs("change") > TOLERANCE)
 
 
+def guard_report(changes: DataFrame, limit: float) -> DataFrame:
+    """One row: the limit, how many values move by more, the largest move and whether that refuses the merge."""
+    far = F.count_if(F.abs("change") > limit)
+    return changes.agg(F.lit(limit).alias("limit"), far.alias("n_over"), F.max(F.abs("change")).alias("largest"), (far > 0).alias("refused"))
+
+
 def guard(changes: DataFrame, limit: float) -> None:
     """Refuse the whole merge when one value moves by more than ``limit``."""
-    worst = changes.agg(F.count_if(F.abs("change") > limit).alias("n"), F.max(F.abs("change")).alias("top")).first()
-    if worst["n"]:
-        raise ContractError(f"{worst['n']} archived values would change by more than {limit}; the largest by {worst['top']}")
+    worst = guard_report(changes, limit).first()
+    if worst["refused"]:
+        raise ContractError(f"{worst['n_over']} archived values would change by more than {limit}; the largest by {worst['largest']}")
 
 
 def merge(archive: DataFrame, pull: DataFrame, keys: Sequence[str]) -> DataFrame:

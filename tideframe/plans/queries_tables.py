@@ -11,12 +11,13 @@ from tideframe.operators.arms import reconstruct_levels
 from tideframe.operators.diagnostics import require_i1
 from tideframe.plans import views as v
 from tideframe.plans.catalogue import query, r, rounded
-from tideframe.plans.queries_archive import _PULLS, KEYS, PULLS, pulls
+from tideframe.plans.queries_archive import _PULLS, KEYS, LIMIT, PULLS, pulls
 from tideframe.plans.silver import run_silver
 from tideframe.plans.views import sql_with
 from tideframe.session import fresh_path
 from tideframe.sources import snapshots as sn
 from tideframe.sources import tables as tb
+from tideframe.sources import versions as vs
 
 
 def _land_in_turn(spark, folder):
@@ -102,29 +103,73 @@ def levels_from_changes(spark, folder):
     return rounded(reconstruct_levels(d, "y", "d", ("lo", "hi")).select("series", "date", "d", "lo", "hi"))
 
 
-@query("integration_required", "SELECT n_name AS variable, 0.5 AS p_level, 0.01 AS p_diff, true AS is_i1 FROM nation")
+@query("integration_required")
 def integration_required(spark, folder):
-    """A report in which every variable passes goes through unchanged."""
-    report = v.table(spark, folder, "nation").select(F.col("n_name").alias("variable"), F.lit(0.5).alias("p_level"), F.lit(0.01).alias("p_diff"), F.lit(True).alias("is_i1"))
-    return require_i1(report)
+    """The unit-root report of the walks: the variables that are integrated of order one go through, the gate holds the rest back."""
+    from tideframe.operators.diagnostics import integration_report
+    from tideframe.plans.queries_models import WALKS, walks
+    from tideframe.session import stored
 
+    report = stored(integration_report(walks(spark, folder), v.SPEC, WALKS), "report")
+    whole = report.groupBy("series").agg(F.bool_and("is_i1").alias("all_i1"))
+    return rounded(require_i1(report.filter("is_i1")).join(whole, "series"), 4)
 
-_TWO = "(SELECT 'world' AS series, reference_month, source_pull, avg(value) AS value FROM p WHERE source_pull <= '20010101_060000' AND reference_month BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY ALL)"
+
+_YEARS = "reference_month BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
+_MEANS = f"SELECT 'world' AS series, reference_month, source_pull, avg(value) AS value FROM p WHERE {_YEARS} GROUP BY ALL"
+#: The mean of all nations moves by less from the first pull to the second.
+WORLD_LIMIT = 100.0
+
+
+def _world(spark, folder):
+    """(pulls of the mean of all nations, release dates of its months)."""
+    both = pulls(spark, folder).filter(F.col("reference_month").between(F.lit("1996-01-01").cast("date"), F.lit("1998-12-31").cast("date")))
+    both = both.groupBy(F.lit("world").alias("series"), "reference_month", "source_pull").agg(F.avg("value").alias("value"))
+    return both, both.select(*KEYS).distinct().withColumn("release_date", F.date_add(F.add_months("reference_month", 1), 19))
+
+
+def _run(spark, both, mapping, root, archive, number, replay, limit=WORLD_LIMIT):
+    return run_silver(spark, archive, both.filter(F.col("source_pull") == PULLS[number][0]), mapping, mapping.select(*KEYS).filter("false"), KEYS, "1996-01-01", "1998-12-31", limit, root, replay)
 
 
 @query("index_job", sql_with(f"""
-SELECT series, reference_month, {r('arg_max(value, source_pull)','value')}, CAST(reference_month + INTERVAL 1 MONTH + INTERVAL 19 DAY AS DATE) AS release_date FROM {_TWO} GROUP BY 1,2""", p=_PULLS))
+SELECT series, reference_month, {r('arg_max(value, source_pull)','value')}, CAST(reference_month + INTERVAL 1 MONTH + INTERVAL 19 DAY AS DATE) AS release_date FROM m
+WHERE source_pull <= '{PULLS[1][0]}' GROUP BY 1,2""", p=_PULLS, m=_MEANS))
 def index_job(spark, folder):
-    """The whole job for the mean of all nations: guarded merge, release dates, contracts, both tables swapped, the index read back."""
-    both = pulls(spark, folder).filter(F.col("reference_month").between(F.lit("1996-01-01").cast("date"), F.lit("1998-12-31").cast("date")) & (F.col("source_pull") <= PULLS[1][0]))
-    both = both.groupBy(F.lit("world").alias("series"), "reference_month", "source_pull").agg(F.avg("value").alias("value"))
-    old, new = (both.filter(F.col("source_pull") == PULLS[i][0]) for i in (0, 1))
-    mapping = both.select(*KEYS).distinct().withColumn("release_date", F.date_add(F.add_months("reference_month", 1), 19))
-    root = fresh_path(spark, "index-job")
-    silver = run_silver(spark, old, new, mapping, mapping.select(*KEYS).filter("false"), KEYS, "1996-01-01", "1998-12-31", 1e6, f"{root}/archive", f"{root}/silver", False)
+    """The whole job for the mean of all nations: guarded merge, release dates, contracts, one commit of both tables, the index read back."""
+    both, mapping = _world(spark, folder)
+    silver = _run(spark, both, mapping, fresh_path(spark, "index-job"), both.filter(F.col("source_pull") == PULLS[0][0]), 1, False)
     return rounded(silver.select(*KEYS, "value", "release_date"))
 
 
+@query("index_replay", sql_with(f"""
+SELECT 'archive' AS table_name, series, reference_month, {r('arg_max(value, source_pull)','value')}, max(source_pull) AS source_pull FROM m WHERE source_pull <= '{PULLS[1][0]}' GROUP BY 2,3
+UNION ALL SELECT 'silver', series, reference_month, {r('arg_max(value, source_pull)','value')}, max(source_pull) FROM m GROUP BY 2,3""", p=_PULLS, m=_MEANS))
+def index_replay(spark, folder):
+    """After a job a replay of the third pull: the index is new, the archive stays."""
+    both, mapping = _world(spark, folder)
+    root = fresh_path(spark, "index-replay")
+    _run(spark, both, mapping, root, both.filter(F.col("source_pull") == PULLS[0][0]), 1, False)
+    _run(spark, both, mapping, root, vs.read_version(spark, root, "archive"), 2, True)
+    tables = [vs.read_version(spark, root, n).select(F.lit(n).alias("table_name"), *KEYS, "value", "source_pull") for n in ("archive", "silver")]
+    return rounded(tables[0].unionByName(tables[1]))
+
+
+@query("index_refusal", sql_with(f"""
+SELECT series, reference_month, {r('arg_max(value, source_pull)','value')}, (SELECT count(*) FROM m a JOIN m b USING (series, reference_month)
+  WHERE a.source_pull = '{PULLS[0][0]}' AND b.source_pull = '{PULLS[1][0]}' AND abs(b.value - a.value) > 0.001) > 0 AS refused FROM m WHERE source_pull = '{PULLS[0][0]}' GROUP BY 1,2""", p=_PULLS, m=_MEANS))
+def index_refusal(spark, folder):
+    """A limit that the second pull breaks: the job is refused and both tables stay as the first pull left them."""
+    both, mapping = _world(spark, folder)
+    root, refused = fresh_path(spark, "index-refusal"), False
+    _run(spark, both, mapping, root, both.filter("false"), 0, False)
+    try:
+        _run(spark, both, mapping, root, vs.read_version(spark, root, "archive"), 1, False, limit=0.001)
+    except ct.ContractError:
+        refused = True
+    return rounded(vs.read_version(spark, root, "silver").select(*KEYS, "value").withColumn("refused", F.lit(refused)))
+
+
 @query("archive_rules", sql_with("""
 SELECT 'key_present' AS "check", count(*) FILTER (reference_month IS NULL) AS n_bad FROM p UNION ALL SELECT 'value_present', count(*) FILTER (value IS NULL) FROM p
 UNION ALL SELECT 'key_unique', count(*) FROM (SELECT series, reference_month FROM p GROUP BY 1,2 HAVING count(*) > 1)
@@ -136,5 +181,15 @@ def archive_rules(spark, folder):
 
 @query("guarded_rebuild", sql_with(f"SELECT series, reference_month, {r('arg_max(value, source_pull)','value')}, max(source_pull) AS source_pull FROM p GROUP BY 1,2", p=_PULLS))
 def guarded_rebuild(spark, folder):
-    """The archive from all pulls, each held against those before it, under a limit that none breaks."""
-    return rounded(ar.rebuild(pulls(spark, folder), KEYS, limit=1e6))
+    """The archive from all pulls, each held against those before it; the limit is the largest change there is, which none exceeds."""
+    changes = ar.guard_report(ar.revision_log(pulls(spark, folder), KEYS, 0.0), 0.0).first()
+    return rounded(ar.rebuild(pulls(spark, folder), KEYS, limit=changes["largest"]))
+
+
+@query("guard_report", sql_with(f"""
+SELECT CAST(l AS DOUBLE) AS "limit", count(*) FILTER (abs(value - old) > l) AS n_over, {r('max(abs(value - old))', 'largest')}, count(*) FILTER (abs(value - old) > l) > 0 AS refused
+FROM (SELECT value, lag(value) OVER (PARTITION BY series, reference_month ORDER BY source_pull) AS old FROM p), (SELECT unnest([{LIMIT}, 1000000.0]) AS l) WHERE abs(value - old) > 1e-9 GROUP BY 1, l""", p=_PULLS))
+def guard_report(spark, folder):
+    """What the guard says about all pulls at two limits; the lower one refuses them."""
+    changes = ar.revision_log(pulls(spark, folder), KEYS, LIMIT)
+    return rounded(ar.guard_report(changes, LIMIT).unionByName(ar.guard_report(changes, 1e6)))

@@ -11,7 +11,7 @@ from tideframe.operators import archive as ar
 from tideframe.operators import contracts as ct
 from tideframe.operators.features import clamp
 from tideframe.session import stored
-from tideframe.sources.tables import replace_table
+from tideframe.sources.versions import commit, read_version
 
 
 def align_to_releases(index: DataFrame, mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,19 +36,17 @@ def build_silver(archive: DataFrame, mapping: DataFrame, keys: Sequence[str], st
 
 def run_silver(
     spark: SparkSession, archive: DataFrame, pull: DataFrame, mapping: DataFrame, allowed: DataFrame, keys: Sequence[str],
-    start: str, end: str, limit: float, archive_path: str, silver_path: str, replay: bool,
+    start: str, end: str, limit: float, root: str, replay: bool,
 ) -> DataFrame:
-    """Merge a pull, align and check it, write the silver table; a replay never rewrites the archive.
+    """Merge a pull, align and check it, commit the tables ``silver`` and ``archive`` of ``root``; a replay leaves the archive.
 
-    Both tables are computed once, into the shared folder, and checked there; neither target changes before every check has passed.
+    Both tables are computed once, into the shared folder, and checked there. They become visible together, after every check
+    has passed: a job that dies on the way leaves the old pair.
     """
     merged = stored(ar.guarded_merge(archive, pull, keys, limit), "merged")
     silver = stored(build_silver(merged, mapping, keys, start, end), "silver")
     ct.enforce(ct.archive_checks(merged, keys))
     ct.enforce(ct.check_table(ct.duplicate_keys(mapping, keys), {"mapping_unique": F.lit(False)}).withColumn("passed", F.col("n_rows") == 0))
     ct.enforce(contract_table(silver, keys, allowed))
-    passed = lambda df: None
-    replace_table(spark, silver, silver_path, passed)
-    if not replay:
-        replace_table(spark, merged, archive_path, passed)
-    return spark.read.parquet(silver_path)
+    commit(spark, root, {"silver": silver} if replay else {"silver": silver, "archive": merged})
+    return read_version(spark, root, "silver")

@@ -6,11 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tideframe.operators.archive import accept_pull, rebuild
+from tideframe.session import stored
 from tideframe.sources.snapshots import pull_stamp
-from tideframe.sources.tables import exists, read_archive
+from tideframe.sources.versions import current, new_folder, publish
+
+#: Hashed keys by which the accepted rows of a pull are sorted, so that a scan for some of them skips row groups.
+BUCKETS = 32
 
 
 def read_pulls(spark: SparkSession, root: str, schema: str, per_trigger: int = 1000) -> DataFrame:
@@ -30,8 +35,9 @@ def run_archive_stream(
     A batch stages its rows under its own number, so repeating it changes nothing. Then the pulls it touched and all
     newer ones are judged anew, oldest first, each as a whole from the staged rows of every batch: a pull with one
     value further than ``limit`` from the archive before it is set aside, the rest become that pull's accepted
-    rows. So neither the cut of a pull into batches nor the order of arrival decides anything, only changed
-    pulls are rewritten, and a late, older pull fills gaps without overwriting newer values.
+    rows. So neither the cut of a pull into batches nor the order of arrival decides anything, and a late, older pull fills
+    gaps without overwriting newer values. Staged rows lie by pull and accepted ones sorted by hashed key, so a pull is held against
+    the buckets of its own keys only. All that a batch changes becomes visible at once, as one version.
     """
     columns = [*keys, "value", "source_pull"]
 
@@ -39,19 +45,22 @@ def run_archive_stream(
         session = batch.sparkSession
         rows = batch.filter(F.col("value").isNotNull() & F.col("source_pull").isNotNull()).select(*columns)
         staged = f"{root}/staged/batch={number}"
-        rows.write.mode("overwrite").parquet(staged)
-        first = session.read.parquet(staged).agg(F.min("source_pull")).first()[0]
-        if first is None:
-            return
-        everything = session.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{root}/staged").select(*columns)
-        # One row per pull, not per data row.
-        stamps = sorted(r[0] for r in everything.filter(F.col("source_pull") >= first).select("source_pull").distinct().collect())
-        for stamp in stamps:
-            own = everything.filter(F.col("source_pull") == stamp).distinct()
-            good, bad = accept_pull(accepted(session, root, keys).filter(F.col("source_pull") < stamp), own, keys, limit)
-            good.write.mode("overwrite").parquet(f"{root}/next/pull={stamp}")
-            bad.write.mode("overwrite").parquet(f"{root}/quarantine/pull={stamp}")
-            session.read.parquet(f"{root}/next/pull={stamp}").write.mode("overwrite").parquet(f"{root}/accepted/pull={stamp}")
+        rows.withColumn("pull", F.col("source_pull")).write.mode("overwrite").partitionBy("pull").parquet(staged)
+        typed = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType()), T.StructField("pull", T.StringType())])
+        everything = session.read.schema(typed).parquet(f"{root}/staged")
+        # One row per pull, read from the names of folders.
+        stamps = sorted(r[0] for r in everything.select("pull").distinct().collect())
+        touched = {r[0] for r in everything.filter(F.col("batch") == number).select("pull").distinct().collect()}
+        held = current(session, root)[1]
+        for stamp in [s for s in stamps if touched and s >= min(touched)]:
+            own = stored(everything.filter(F.col("pull") == stamp).select(*columns).distinct().withColumn("bucket", _bucket(keys)), "pull")
+            buckets = [r[0] for r in own.select("bucket").distinct().collect()]
+            older = _rows(session, [p for n, p in held.items() if n.startswith("accepted/") and n < f"accepted/{stamp}"], keys)
+            good, bad = accept_pull(older.filter(F.col("bucket").isin(buckets)).drop("bucket"), own, keys, limit)
+            for name, df in (("accepted", good), ("quarantine", bad)):
+                held[f"{name}/{stamp}"] = new_folder(root, name)
+                df.sortWithinPartitions("bucket").write.parquet(held[f"{name}/{stamp}"])
+        publish(session, root, held)
 
     return (
         pulls.writeStream.foreachBatch(fold)
@@ -60,17 +69,19 @@ def run_archive_stream(
     )
 
 
-def keys_of(keys: Sequence[str]) -> list[str]:
-    return [k for k in keys if k != "reference_month"]
+def _bucket(keys: Sequence[str]):
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _rows(spark: SparkSession, folders: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    typed = ", ".join([*[f"{k} DATE" if k == "reference_month" else f"{k} STRING" for k in keys], "value DOUBLE", "source_pull STRING", "bucket INT"])
+    return spark.read.schema(typed).parquet(*folders) if folders else spark.createDataFrame([], typed)
 
 
-def accepted(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
-    """Accepted rows of all pulls; the folders themselves say what the archive holds, no batch number is needed."""
-    path = f"{root}/accepted"
-    if not exists(spark, path):
-        return read_archive(spark, path, keys_of(keys))
-    typed = ", ".join([*[f"{k} STRING" for k in keys_of(keys)], "reference_month DATE", "value DOUBLE", "source_pull STRING"])
-    return spark.read.schema(typed).option("recursiveFileLookup", True).parquet(path).select(*keys, "value", "source_pull")
+def accepted(spark: SparkSession, root: str, keys: Sequence[str], kind: str = "accepted") -> DataFrame:
+    """Accepted rows of all pulls as of the newest version, or with ``kind="quarantine"`` those that were set aside."""
+    held = current(spark, root)[1]
+    return _rows(spark, [p for n, p in held.items() if n.startswith(f"{kind}/")], keys).drop("bucket")
 
 
 def latest_archive(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
