@@ -270,6 +270,10 @@ def test_folds_cover_and_embargo_holds(spark):
     assert sizes.to_dict() == {"fit": 70, "gap": 5, "calibration": 20, "embargo": 5, "test": 20}
     with pytest.raises(Exception, match="too few"):
         sp.fold_bounds(df, spec, 200, 5).collect()
+    both = df.unionByName(df.limit(30).withColumn("series", F.lit("short")))
+    told = sp.fold_bounds(both, spec, 100, 5, strict=False).collect()
+    assert [(r.fold, r.train_end, r.reason) for r in told if r.series == "short"] == [(None, None, "30 rows are too few for min_train=100 and 5 folds")]
+    assert sorted(r.fold for r in told if r.series == "s") == [0, 1, 2, 3, 4] and all(r.reason is None for r in told if r.series == "s")
     with pytest.raises(Exception, match="too small"):
         sp.search_roles(df, spec, 50, (1,)).collect()
 
@@ -291,6 +295,10 @@ def test_trees_walk_forward_search_importance(spark):
     key = ["horizon", "origin_date"]
     np.testing.assert_allclose(out.sort_values(key)["pred"], again.sort_values(key)["pred"])
     assert len(out) == 2 * (data.count() - 150) and (out["hi95"] >= out["hi90"]).all() and out["actual"].notna().all()
+    mixed = data.unionByName(data.orderBy("date").limit(60).withColumn("series", F.lit("short")))
+    told = trees.walk_forward(mixed, names, spec, "y", (1, 5), 150, 2, params)
+    assert {(r.horizon, r.fit_ok, "too few" in r.reason) for r in told.filter("series = 'short'").collect()} == {(1, False, True), (5, False, True)}
+    assert told.filter("series = 's' and fit_ok").count() == len(out)
     ranked = trees.search(data, names, spec, (1,), 140, [params, Setting(depth=1, rate=0.2, trees=3)], (1, 2), params).toPandas()
     assert sorted(ranked["rank"]) == [1, 2] and (ranked["n_seeds"] == 1).all() and (ranked["std_score"] == 0).all()
     best = best_against_canonical(trees.search(data, names, spec, (1,), 140, [params], (1,), params)).first()
@@ -371,3 +379,21 @@ def test_versions_change_all_tables_or_none(spark, tmp_path, monkeypatch):
         vs.commit(spark, root, {"a": spark.range(1)})
     monkeypatch.undo()
     assert len(vs.forget(spark, root)) == 4 and sizes() == {"a": 2, "b": 7}
+
+
+def test_digests_and_data_files(spark, tmp_path):
+    import hashlib
+
+    from tideframe.sources import digests as dg
+    from tideframe.sources.tables import manifest
+
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    raw = {"a.bin": b"x" * (9 << 20), "b.bin": b"", "_SUCCESS": b"no"}
+    for name, content in raw.items():
+        (folder / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[-1]: (r.bytes, r.sha256) for r in dg.file_digests(spark, dg.data_files(spark, str(folder))).collect()}
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in raw.items() if n != "_SUCCESS"}
+    table = spark.createDataFrame([(D(2020, 1, 1),), (D(2020, 1, 5),)], "day date")
+    rows = manifest(spark, {"one": str(folder / "a.bin"), "other": str(folder / "b*")}, {"one": (table, "day")}).collect()
+    assert {(r.input, r.bytes, r.n_rows, r.last_date) for r in rows} == {("one", 9 << 20, 2, D(2020, 1, 5)), ("other", 0, None, None)}

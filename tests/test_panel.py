@@ -113,3 +113,24 @@ def test_one_to_one_join_refuses_duplicates(spark):
     with pytest.raises(Exception, match="duplicate key"):
         join_one_to_one(left, right, ["k"]).collect()
     assert join_one_to_one(left, right.limit(1), ["k"]).count() == 2
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 2])
+def test_interval_join(spark, hot):
+    from tideframe.operators.align import interval_join
+
+    day = lambda i: None if i is None else dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    rng = np.random.default_rng(3)
+    points = [(k, i, day(int(rng.integers(0, 200)))) for i, k in enumerate(rng.choice(["a", "b", "x"], 120).tolist())] + [("a", 900, None), (None, 901, day(5)), ("x", 902, day(5)), ("x", 902, day(5))]
+    spans = [(k, 1000 + i, *(day(int(x)) for x in sorted(rng.integers(-50, 250, 2)))) for i, k in enumerate(rng.choice(["a", "b", "y"], 40).tolist())]
+    spans += [("a", 1, None, day(30)), ("a", 2, day(150), None), ("b", 3, None, None), ("b", 4, day(90), day(80)), (None, 5, day(0), day(9)), ("a", 6, day(500), day(600))]
+    got = interval_join(spark.createDataFrame(points, "k string, i int, at date"), spark.createDataFrame(spans, "k string, s int, start date, stop date"), ["k"], "at", "start", "stop", 16, hot)
+    want = sorted((i, s) for k, i, at in points for q, s, start, stop in spans
+                  if k == q and at is not None and (start is None or at >= start) and (stop is None or at <= stop) and not (start and stop and start > stop))
+    assert sorted((r.i, r.s) for r in got.collect()) == want and got.columns == ["k", "i", "at", "s", "start", "stop"]
+
+
+def test_one_to_one_join_keeps_null_keys(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, v string")
+    right = spark.createDataFrame([(None, 2.0), (3, 3.0), (4, 4.0)], "k int, w double")
+    assert {tuple(r) for r in join_one_to_one(left, right, ["k"]).collect()} == {(1, "a", None), (None, "b", 2.0), (3, "c", 3.0)}

@@ -105,6 +105,25 @@ def overall_winner(tests: DataFrame) -> DataFrame:
     return tests.withColumn("overall", F.when(a, F.col("model_a")).when(b, F.col("model_b")).otherwise("none"))
 
 
+def against_rivals(forecasts: DataFrame, keys: Sequence[str], model: str, rivals: Sequence[str]) -> DataFrame:
+    """Pairs of one model with each rival that scored the same origin and horizon."""
+    on = [*keys, "origin_date", "horizon"]
+    own = forecasts.filter(F.col("model") == model).select(*on, "actual", F.lit(model).alias("model_a"), F.col("pred").alias("pred_a"))
+    others = forecasts.filter(F.col("model").isin(*rivals)).select(*on, F.col("model").alias("model_b"), F.col("pred").alias("pred_b"))
+    return own.join(others, on)
+
+
+def rivals_report(tests: DataFrame, keys: Sequence[str], rivals: Sequence[str]) -> DataFrame:
+    """One row per key and horizon: what the tests of one model say against each rival, under both losses, and how many
+    rivals it beats, or loses to, under both."""
+    on = [*keys, "model_a", "horizon"]
+    shown = [c for c in tests.columns if c.startswith(("dm_", "p_", "a_better_", "b_better_"))]
+    cells = [F.max(F.when(F.col("model_b") == m, F.col(c))).alias(f"{m}_{c}") for m in rivals for c in shown]
+    flags = [c for c in shown if c.startswith(("a_", "b_"))]
+    won = [F.count_if(F.forall(F.array(*[F.col(c) for c in flags if c.startswith(side)]), lambda x: x)).alias(name) for side, name in (("a_", "n_beaten"), ("b_", "n_lost_to"))] if flags else []
+    return tests.groupBy(*on).agg(*cells, *won)
+
+
 def clark_west(
     forecasts: DataFrame, groups: Sequence[str], alpha: float = 0.05, small_sample: bool = True, longest: int | None = None
 ) -> DataFrame:

@@ -62,6 +62,12 @@ def interval_coverage(
     return forecasts.groupBy(*groups).agg(*measures)
 
 
+def coverage_by_level(coverage: DataFrame, groups: Sequence[str], levels: Sequence[int]) -> DataFrame:
+    """One row per group and nominal level: realised coverage, its distance from the level and mean width."""
+    rows = F.explode(F.array(*[F.struct(F.lit(float(n)).alias("nominal"), F.col(f"coverage_{n}").alias("coverage"), F.col(f"width_{n}").alias("width")) for n in levels])).alias("_c")
+    return coverage.select(*groups, "n_forecasts", rows).select(*groups, "n_forecasts", "_c.*").withColumn("shortfall", F.col("nominal") - F.col("coverage"))
+
+
 def convergence_rate(fits: DataFrame, groups: Sequence[str]) -> DataFrame:
     ok = F.sum(F.col("fit_ok").cast("long"))
     return fits.groupBy(*groups).agg(
@@ -204,6 +210,6 @@ def coverage_disclosure(coverage: DataFrame, keys: Sequence[str]) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("horizon", "coverage_90")))
     joined = lambda f: F.array_join(F.transform(parts, f), "/")
     text = F.format_string(
-        "realized coverage is %s%% at h=%s against a 90%% nominal target",
+        "bands of 90%% held %s%% of the outcomes at horizons %s",
         joined(lambda s: F.format_string("%.1f", s["coverage_90"])), joined(lambda s: s["horizon"].cast("string")))
     return coverage.groupBy(*keys).agg(text.alias("disclosure"))

@@ -43,16 +43,24 @@ def rolling_folds(df: DataFrame, spec: PanelSpec, min_train: int, n_folds: int)
     return counted.withColumn("fold", fold)
 
 
-def fold_bounds(df: DataFrame, spec: PanelSpec, min_train: int, n_folds: int) -> DataFrame:
-    """One row per key and fold with 0-based half-open test bounds."""
+def fold_bounds(df: DataFrame, spec: PanelSpec, min_train: int, n_folds: int, strict: bool = True) -> DataFrame:
+    """One row per key and fold with 0-based half-open test bounds.
+
+    A series too short for the folds fails the job; with ``strict=False`` it has one row of null fold, and the column ``reason``
+    tells why.
+    """
     sizes = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    size = fold_size(F.col("n_rows"), min_train, n_folds)
-    spread = sizes.select(*spec.keys, "n_rows", size.alias("_size"), F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold"))
+    raw = F.floor((F.col("n_rows") - min_train) / n_folds)
+    size = fold_size(F.col("n_rows"), min_train, n_folds) if strict else F.when(raw >= 1, raw)
+    folds = F.array(*[F.lit(k) for k in range(n_folds)])
+    spread = sizes.withColumn("_size", size).withColumn("fold", F.explode_outer(F.when(F.col("_size").isNotNull(), folds)))
     start = F.lit(min_train) + F.col("fold") * F.col("_size")
     last = F.col("fold") == n_folds - 1
+    short = F.format_string("%d rows are too few for min_train=%d and %d folds", "n_rows", F.lit(min_train), F.lit(n_folds))
+    reason = [] if strict else [F.when(F.col("fold").isNull(), short).alias("reason")]
     return spread.select(
         *spec.keys, "fold", "n_rows", start.alias("train_end"),
-        F.when(last, F.col("n_rows")).otherwise(start + F.col("_size")).alias("test_end"),
+        F.when(last, F.col("n_rows")).otherwise(start + F.col("_size")).alias("test_end"), *reason,
     )
 
 

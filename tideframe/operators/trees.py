@@ -58,11 +58,12 @@ def walk_forward(
     """Per fold and horizon: a point model on all embargoed training rows, a second model whose
     residuals on the held-out tail give the conformal band, level forecasts for the test block.
 
-    Features are binned by quantiles of the rows before the first test block, which every fold knows.
+    Features are binned by quantiles of the rows before the first test block, which every fold knows. A series too short for
+    the folds has one row per horizon with ``fit_ok = false`` and the reason; where too few rows calibrate a level, its band is null.
     """
     carried = [*spec.keys, spec.time, level, *[f"{s}{h}" for h in horizons for s in ("actual_h", "target_date_h")]]
-    bounds = fold_bounds(data, spec, min_train, n_folds)
-    ends = bounds.groupBy(*spec.keys).agg(*[F.max(F.when(F.col("fold") == k, F.col(c))).alias(f"{c}_{k}") for k in range(n_folds) for c in ("train_end", "test_end")])
+    bounds = stored(fold_bounds(data, spec, min_train, n_folds, strict=False), "bounds")
+    ends = bounds.filter("fold is not null").groupBy(*spec.keys).agg(*[F.max(F.when(F.col("fold") == k, F.col(c))).alias(f"{c}_{k}") for k in range(n_folds) for c in ("train_end", "test_end")])
     placed = stored(with_position(data, spec, "rn").join(ends, list(spec.keys)), "placed")
     role = lambda k, h: role_at(F.col("rn") - 1, F.col(f"train_end_{k}"), F.col(f"test_end_{k}"), F.lit(h))
     cells = [(k, h) for k in range(n_folds) for h in horizons]
@@ -82,12 +83,15 @@ def walk_forward(
         "fold": F.floor(cell / len(horizons)).cast("int"), "horizon": F.get(F.array(*[F.lit(h).cast("long") for h in horizons]), at), "held": F.col("model") % 2 == 1,
         "target_date": of("target_date_h"), "actual": of("actual_h"), "residual": F.get("targets", at) - F.col("pred")})
     found = stored(found, "scored")
-    bands = conformal_quantiles(found.filter("held"), ["fold", "horizon"], "residual", {"q90": 0.90, "q95": 0.95})
+    bands = conformal_quantiles(found.filter("held"), ["fold", "horizon"], "residual", {"q90": 0.90, "q95": 0.95}, strict=False)
     pred = F.col(level) + F.col("pred")
-    return found.filter("not held").join(bands, ["fold", "horizon"]).select(
+    made = found.filter("not held").join(bands, ["fold", "horizon"], "left").select(
         *spec.keys, F.lit("gbt").alias("model"), F.col(spec.time).alias("origin_date"), "horizon", "target_date", "actual", F.col(level).alias("naive"), pred.alias("pred"),
         (pred - F.col("q90")).alias("lo90"), (pred + F.col("q90")).alias("hi90"), (pred - F.col("q95")).alias("lo95"), (pred + F.col("q95")).alias("hi95"),
-        "fold", pred.isNotNull().alias("fit_ok"))
+        "fold", pred.isNotNull().alias("fit_ok"), F.lit(None).cast("string").alias("reason"))
+    short = bounds.filter("fold is null").withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])))
+    told = {**{c: F.col(c) for c in (*spec.keys, "horizon", "reason")}, "model": F.lit("gbt"), "fit_ok": F.lit(False)}
+    return made.unionByName(short.select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in made.schema]))
 
 
 def search(

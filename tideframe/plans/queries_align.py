@@ -128,6 +128,26 @@ def left_join_null_keys(spark, folder):
     return rounded(al.join_one_to_one(left, right, ["series", "year"]))
 
 
+_WINDOWS = """SELECT l_suppkey, CASE WHEN l_linenumber = 7 AND l_tax < 0.03 THEN NULL ELSE l_shipdate END AS opens, CASE WHEN l_linenumber = 7 AND l_tax > 0.05 THEN NULL
+ WHEN l_tax = 0 THEN l_shipdate - INTERVAL 1 DAY ELSE l_shipdate + to_days(CAST(l_quantity AS INTEGER)) END AS closes, l_quantity AS held FROM lineitem"""
+
+
+@query("interval_join", sql_with(f"SELECT a.l_suppkey, count(*) AS n_held, {r('sum(b.held)', 'quantity')}, {r('sum(a.l_discount)', 'discount', 2)} FROM lineitem a JOIN windows b ON a.l_suppkey = b.l_suppkey AND (b.opens IS NULL OR a.l_shipdate >= b.opens) AND (b.closes IS NULL OR a.l_shipdate <= b.closes) "
+                                "WHERE b.opens IS NULL OR b.closes IS NULL OR b.opens <= b.closes GROUP BY 1", windows=_WINDOWS))
+def interval_join(spark, folder):
+    """Line items against intervals from a table: overlapping, empty and open ones, per supplier."""
+    li = v.table(spark, folder, "lineitem")
+    day = F.col("l_shipdate")
+    windows = li.select(
+        "l_suppkey", F.when((F.col("l_linenumber") == 7) & (F.col("l_tax") < 0.03), F.lit(None)).otherwise(day).alias("opens"),
+        F.when((F.col("l_linenumber") == 7) & (F.col("l_tax") > 0.05), F.lit(None)).when(F.col("l_tax") == 0, day - F.expr("INTERVAL 1 DAY")).otherwise(
+            day + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("closes"), F.col("l_quantity").alias("held"))
+    points = li.select("l_suppkey", "l_shipdate", "l_discount", "l_orderkey", "l_linenumber")
+    met = al.interval_join(points, windows, ["l_suppkey"], "l_shipdate", "opens", "closes")
+    out = met.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_held"), F.sum("held").alias("quantity"), F.sum("l_discount").alias("discount"))
+    return rounded(out.withColumn("discount", F.round("discount", 2)))
+
+
 _ASOF = """SELECT f.series, f.date, f.y, a.v FROM daily_region f ASOF LEFT JOIN {rel} a ON f.series=a.series AND f.date >= a.release_date"""
 _FIRST = "SELECT m.* FROM monthly_region m JOIN (SELECT series, min(date) AS lo FROM daily_region GROUP BY 1) b ON m.series=b.series AND m.release_date >= b.lo"
 

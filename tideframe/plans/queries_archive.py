@@ -217,9 +217,18 @@ def source_report(spark, folder):
     return ct.source_status(live, cached)
 
 
+_DATED = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+
+
+@query("table_facts", " UNION ALL ".join(f"SELECT '{n}' AS input, count(*) AS n_rows, CAST(min({t}) AS DATE) AS first_date, CAST(max({t}) AS DATE) AS last_date FROM {n}" for n, t in _DATED.items()))
+def table_facts(spark, folder):
+    """Rows and dates of the inputs that a manifest lists."""
+    return tb.table_facts({n: (v.table(spark, folder, n), t) for n, t in _DATED.items()})
+
+
 @query("manifest")
 def manifest(spark, folder):
-    names = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+    names = _DATED
     out = tb.manifest(spark, {n: f"{folder}/{n}.parquet" for n in names}, {n: (v.table(spark, folder, n), t) for n, t in names.items()})
     return out.drop("path")
 

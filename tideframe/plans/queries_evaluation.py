@@ -105,6 +105,14 @@ def interval_coverage(spark, folder):
     return rounded(sc.interval_coverage(forecasts(spark, folder), ["series", "model", "horizon"], *_LEVELS))
 
 
+@query("coverage_by_level", fc_sql("SELECT series, model, horizon, n_forecasts, nominal, " + ", ".join([r("coverage", "coverage"), r("width", "width"), r("nominal - coverage", "shortfall")]) + " FROM (" + " UNION ALL ".join(
+    f"SELECT series, model, horizon, count(*) AS n_forecasts, CAST({q} AS DOUBLE) AS nominal, avg(CASE WHEN actual BETWEEN lo{q} AND hi{q} THEN 100.0 ELSE 0.0 END) FILTER (lo{q} IS NOT NULL AND hi{q} IS NOT NULL AND actual IS NOT NULL) AS coverage,"
+    f" avg(hi{q}-lo{q}) AS width FROM fc GROUP BY 1,2,3" for q in (90, 95)) + ")"))
+def coverage_by_level(spark, folder):
+    groups = ["series", "model", "horizon"]
+    return rounded(sc.coverage_by_level(sc.interval_coverage(forecasts(spark, folder), groups, *_LEVELS), groups, (90, 95)))
+
+
 @query("convergence_rate", fc_sql(
     f"SELECT model, horizon, count(*) AS n_fits, count(pred) AS n_ok, {r('count(pred)*100.0/count(*)','ok_pct')} FROM fc GROUP BY 1,2"))
 def convergence_rate(spark, folder):
@@ -234,6 +242,25 @@ def dm_statistic(spark, folder):
     return rounded(at.diebold_mariano(pairs, ["series"], HORIZONS, p_values=False), 5)
 
 
+RIVALS = ("naive", "ar1", "direct")
+_RIVAL = "SELECT a.series, a.origin_date, a.horizon, a.actual, a.model AS model_a, b.model AS model_b, a.pred AS pred_a, b.pred AS pred_b FROM fc a JOIN fc b USING (series, origin_date, horizon) WHERE a.model = 'drift' AND b.model IN " + repr(RIVALS)
+
+
+@query("rivals_statistics", fc_sql("SELECT series, model_a, horizon, " + ", ".join(
+    r(f"max(dm_{k}) FILTER (model_b = '{m}')", f"{m}_dm_{k}", 5) for m in RIVALS for k in ("squared", "absolute")) + " FROM dm GROUP BY 1,2,3", **_dm_sql(_RIVAL, _PG)))
+def rivals_statistics(spark, folder):
+    """One arm against three rivals under both losses, one row per region and horizon."""
+    pairs = at.against_rivals(forecasts(spark, folder), ["series"], "drift", RIVALS)
+    return rounded(at.rivals_report(at.diebold_mariano(pairs, ["series"], HORIZONS, p_values=False), ["series"], RIVALS), 5)
+
+
+@query("rivals_report")
+def rivals_report(spark, folder):
+    """The same with p-values, flags and how many rivals are beaten; SQL has no Student tail."""
+    pairs = at.against_rivals(forecasts(spark, folder), ["series"], "drift", RIVALS)
+    return rounded(at.rivals_report(at.diebold_mariano(pairs, ["series"], HORIZONS), ["series"], RIVALS), 5)
+
+
 @query("dm_p_values")
 def dm_p_values(spark, folder):
     """With Student tails, flags and verdict; SQL has no such tail, so no twin."""
@@ -410,7 +437,7 @@ def distribution_quantiles(spark, folder):
 
 
 @query("coverage_disclosure", fc_sql("""
-SELECT series, 'realized coverage is ' || string_agg(printf('%.1f', c), '/' ORDER BY horizon) || '% at h=' || string_agg(CAST(horizon AS VARCHAR), '/' ORDER BY horizon) || ' against a 90% nominal target' AS disclosure
+SELECT series, 'bands of 90% held ' || string_agg(printf('%.1f', c), '/' ORDER BY horizon) || '% of the outcomes at horizons ' || string_agg(CAST(horizon AS VARCHAR), '/' ORDER BY horizon) AS disclosure
 FROM (SELECT series, horizon, avg(CASE WHEN actual BETWEEN lo90 AND hi90 THEN 100.0 ELSE 0.0 END) FILTER (lo90 IS NOT NULL AND hi90 IS NOT NULL AND actual IS NOT NULL) AS c FROM fc WHERE model='drift' GROUP BY 1,2) GROUP BY 1"""))
 def coverage_disclosure(spark, folder):
     cov = sc.interval_coverage(forecasts(spark, folder).filter("model = 'drift'"), ["series", "horizon"], *_LEVELS)

@@ -97,22 +97,26 @@ def write_mapping(mapping: DataFrame, path: str, start: str, end: str) -> int:
 def manifest(spark: SparkSession, files: Mapping[str, str], tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Per input: path, bytes, sha256 of each file, row count and date range.
 
-    ``files`` maps a name to a path or glob; ``tables`` maps it to a frame and its date column.
-    Hashing reads each file in one task, so keep input files at usual sizes.
+    ``files`` maps a name to a path, folder or glob; ``tables`` maps it to a frame and its date column. Files are hashed in
+    pieces, one task per file.
     """
-    parts = []
-    for name, path in files.items():
-        raw = spark.read.format("binaryFile").load(path)
-        parts.append(raw.select(F.lit(name).alias("input"), F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
-    hashed = parts[0]
-    for p in parts[1:]:
-        hashed = hashed.unionByName(p)
+    from tideframe.sources.digests import data_files, file_digests
+
+    listed = {name: data_files(spark, path) for name, path in files.items()}
+    names = spark.createDataFrame([(n, p) for n, paths in listed.items() for p in paths], "input string, path string")
+    hashed = names.join(file_digests(spark, sorted({p for paths in listed.values() for p in paths})), "path").select("input", "path", "bytes", "sha256")
+    stats = table_facts(tables)
+    return hashed.join(stats, "input", "left")
+
+
+def table_facts(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Per input: row count and date range."""
     stats = None
     for name, (df, time) in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.col(time)).cast("date").alias("first_date"), F.max(F.col(time)).cast("date").alias("last_date"))
         one = one.select(F.lit(name).alias("input"), "*")
         stats = one if stats is None else stats.unionByName(one)
-    return hashed.join(stats, "input", "left")
+    return stats
 
 
 def write_report(report: DataFrame, path: str) -> None:
