@@ -1,9 +1,12 @@
 """Language identification, quality rules, importance resampling."""
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from helpers import frame, odd_rows, prose, rng
 
 from tideframe.llm import importance_sampling, language_id, quality_rules
@@ -36,6 +39,20 @@ def test_language_of_unsure_texts_is_rejected(spark):
     assert all(got[i].lang_pred != "und" and got[i].score > 0.5 and not got[i].accepted for i in (900, 902))
     assert all(got[i].accepted for i in range(160))
     assert not {900, 902} & {r.doc_id for r in language_id.in_known_language(docs).collect()}
+    # Rows without an id are judged one by one.
+    unnamed = docs.withColumn("doc_id", F.when(F.col("doc_id") < 900, F.col("doc_id")))
+    kept = language_id.in_known_language(unnamed)
+    assert kept.columns == docs.columns and kept.count() == 160 + got[901].accepted
+
+
+def test_held_out_documents_leave_the_model_unchanged(spark):
+    rows = bilingual(120)
+    docs = frame(spark, rows)
+    out = {r.doc_id for r in docs.select("doc_id", language_id.held_out().alias("h")).filter("h").collect()}
+    assert out == {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    other = frame(spark, [(i, "qqq www" if i in out else t, "xx" if i in out else lang) for i, t, lang in rows])
+    a, b = language_id.fit(docs), language_id.fit(other)
+    assert a.languages == b.languages and a.threshold == b.threshold and np.array_equal(a.weights, b.weights)
 
 
 def test_language_threshold():
@@ -95,6 +112,10 @@ def test_forest_rejects_what_labels_call_bad(spark):
     assert np.mean([got[i] == (i % 5 > 0) for i in range(200, 400)]) > 0.97
     kept = quality_rules.passing_rules(frame(spark, rows), labels)
     assert kept.columns == frame(spark, rows).columns and {x.doc_id for x in kept.collect()} == {i for i in got if got[i]}
+    # Rows without an id are judged one by one, and the stage says what the table of verdicts says.
+    unnamed = frame(spark, [(None if i < 100 else i, t) for i, t in rows])
+    said = quality_rules.quality_rules(unnamed, labels).filter("doc_id is null and kept").count()
+    assert 0 < said < 100 and quality_rules.passing_rules(unnamed, labels).filter("doc_id is null").count() == said
     unlabelled = quality_rules.quality_rules(frame(spark, rows), labels.filter("false")).collect()
     assert all(x.kept != x.base_failed for x in unlabelled)
     assert quality_rules.quality_rules(frame(spark, rows).filter("false"), labels).count() == 0
@@ -125,3 +146,9 @@ def test_importance_weights_and_draw(spark):
     k = round(0.6 * len(rows))
     assert {x.doc_id for x in got if x.kept} == {x.doc_id for x in got if x.gumbel_key >= keys[k - 1]} and sum(x.kept for x in got) == k
     assert importance_sampling.importance_sample(frame(spark, rows).filter("false"), labels).count() == 0
+    # By default the labels say how many: as few as hold 99 % of the good ones.
+    drawn = importance_sampling.importance_sample(frame(spark, rows), labels, keep_good=0.9).collect()
+    good = sorted((x.gumbel_key for x in drawn if x.doc_id in {i for i in range(0, 90, 2) if i % 3}), reverse=True)
+    last = good[math.ceil(0.9 * len(good)) - 1]
+    assert {x.doc_id for x in drawn if x.kept} == {x.doc_id for x in drawn if x.gumbel_key >= last} and any(not x.kept for x in drawn)
+    assert all(x.kept for x in importance_sampling.importance_sample(frame(spark, rows), labels.filter("false")).collect())

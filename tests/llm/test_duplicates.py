@@ -131,6 +131,14 @@ def test_similar_documents_odd_rows(spark):
     assert jaccard_join.jaccard_join(frame(spark, odd_rows()).filter("false")).count() == 0
 
 
+def test_rows_without_an_id_are_told_apart(spark):
+    rows = near_copies()
+    words = [t for i, t in rows if i in (0, 70)]
+    unnamed = [(None, words[0]), (None, prose(rng(77), words=60)), (None, None), (None, "!!"), (None, words[1] + " more")]
+    kept = jaccard_join.one_of_each_group(frame(spark, rows + unnamed)).filter("doc_id is null").collect()
+    assert {r.text for r in kept} == {unnamed[1][1], None, "!!"}
+
+
 def plain_vectors(rows, threshold=0.9):
     sound = {}
     for i, v in rows:
@@ -166,6 +174,18 @@ def test_vectors(spark, monkeypatch, block):
     assert embedding_dedup.embedding_dedup(df.filter("false")).count() == 0
 
 
+def test_many_cells_in_the_registered_form(spark):
+    g = np.random.default_rng(14)
+    centres = g.normal(size=(60, 32))
+    rows = [(i, (centres[i % 60] + 0.2 * g.normal(size=32)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_dedup(df, cells=40).collect()}
+    want = plain_vectors(rows)
+    found, there = (sum(x[0] for x in y.values()) for y in (got, want))
+    assert 0.98 * there <= found <= there and all(got[i][0] <= want[i][0] for i in got)
+    assert sum(got[i][1] == want[i][1] for i in got) >= 0.98 * len(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (103, 100)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

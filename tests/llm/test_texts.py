@@ -114,6 +114,17 @@ def test_pieces_equal_the_library(spark):
     assert [model.decode(i) for i in ids] == [model.library.decode(i) for i in ids]
 
 
+def test_models_of_another_kind_are_refused(tmp_path):
+    raw = open(sentence_pieces.default_model(), "rb").read()
+    assert sentence_pieces.model_kind(raw) == "bpe"
+    piece, settings = b"\x0a\x03\x0a\x01a", lambda kind: b"\x12\x02\x18" + bytes([kind])
+    assert [sentence_pieces.model_kind(piece + settings(k)) for k in (1, 2, 3, 4)] == ["unigram", "bpe", "word", "char"]
+    assert sentence_pieces.model_kind(piece) == "unigram"
+    (tmp_path / "u.model").write_bytes(piece + settings(1))
+    with pytest.raises(ValueError, match="unigram"):
+        sentence_pieces.PieceModel(str(tmp_path / "u.model"))
+
+
 def test_pieces_round_trip(spark):
     rows = odd_rows() + [(20, prose(rng(13))), (21, "zwei\nZeilen")]
     docs = frame(spark, rows)
@@ -194,6 +205,41 @@ def test_license_finds(spark):
     assert license_scan.scan_licenses(docs.filter("false")).count() == 0
 
 
+def plain_common(a, b):
+    """Longest common subsequence over all positions."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_banded_alignment_equals_a_full_one(spark):
+    r = rng(41)
+    rows, templates = [], [t for t in license_scan.TEMPLATES if len(t[2].split()) > 25]
+    for i in range(40):
+        own = r.choice(templates)[2].split()
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(own))
+            own[at : at + r.randint(0, 2)] = prose(r, words=r.randint(0, 2)).split()
+        rows.append((i, prose(r, words=r.randint(0, 20)) + " " + " ".join(own) + " " + prose(r, words=10)))
+    got = license_scan.scan_licenses(frame(spark, rows)).collect()
+    words = {i: WORDS.findall(t.lower()) for i, t in rows}
+    names = {t[1]: WORDS.findall(t[2].lower()) for t in license_scan.TEMPLATES}
+    for x in got:
+        assert x.n_matched == plain_common(names[x.template], words[x.doc_id][x.first_word : x.last_word + 1])
+    full = {(i, n) for i in words for n, own in names.items() if len(own) > 25 and plain_common(own, words[i]) >= 0.9 * len(own)}
+    assert full <= {(x.doc_id, x.template) for x in got}
+
+
+def test_the_whole_license_is_the_best_find(spark):
+    text = dict((t[1], t[2]) for t in license_scan.TEMPLATES)
+    rows = [(1, "Copyright me. " + text["bsd-3-full"]), (2, text["mit-permission"]), (3, text["mit-full"] + " and " + text["isc-full"])]
+    got = license_scan.scan_licenses(frame(spark, rows)).filter("best").collect()
+    assert {(x.doc_id, x.template) for x in got} == {(1, "bsd-3-full"), (2, "mit-permission"), (3, "mit-full"), (3, "isc-full")}
+
+
 def test_license_with_edits(spark):
     words = license_scan.TEMPLATES[3][2].split()
     edited = words[:20] + ["really"] + words[20:40] + words[43:]

@@ -57,6 +57,20 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterabl
     return df.mapInArrow(run, schema)
 
 
+def rows_where(docs: DataFrame, judge: Callable[[list[str]], Iterable[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text the judge keeps, decided where each row stands: nothing moves, and rows that share an id,
+    or have none, are judged one by one. A null text counts as empty."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kept = judge([t or "" for t in batch.column(at).cast(pa.string()).to_pylist()])
+                yield batch.filter(pa.array([bool(k) for k in kept], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def rows_with(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose key is among ``ids`` (null meets null), with just their own columns."""
     own = f"_{uuid.uuid4().hex}"

@@ -20,6 +20,8 @@ from tideframe.session import stored
 
 #: Rows of a block; a task holds two blocks.
 BLOCK = 8192
+#: Rows whose distances to all centres are held at a time.
+SLICE = 1000
 #: Vectors per cell, and the most cells that are fitted; larger cells are compared in more blocks.
 CELL_ROWS, MAX_CELLS = 1000, 2048
 
@@ -74,8 +76,8 @@ def _assigned(nodes: DataFrame, centres: np.ndarray, slack: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
                 home, visits = _visits(np.stack(batch.column("unit").to_numpy(zero_copy_only=False)), centres, slack)
                 visits[np.arange(len(home)), home] = True
                 row, cell = np.nonzero(visits)
@@ -96,7 +98,9 @@ def _links(assigned: DataFrame, centres: np.ndarray, slack: float, threshold: fl
         unit = np.stack(group.column("unit").to_numpy())
         side, node, copies = (group.column(n).to_numpy() for n in ("side", "node", "copies"))
         cell, one_block = group.column("cell")[0].as_py(), group.column("bi")[0].as_py() == group.column("bj")[0].as_py()
-        home, visits = _visits(unit, centres, slack)
+        # Slice by slice, since a row meets every centre.
+        parts = [_visits(unit[lo : lo + SLICE], centres, slack) for lo in range(0, len(unit), SLICE)]
+        home, visits = (np.concatenate(x) for x in zip(*parts))
         at_home = home == cell
         left, right = [], []
         for lo in range(0, len(unit), 256):

@@ -7,6 +7,8 @@ proportion to their weights by adding Gumbel noise and taking the top k.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,12 +79,13 @@ def log_weights(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return map_batches(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("noise_seed")), run, "doc_id long, n_grams long, log_weight double, noise_seed long")
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, share: float = 0.95, seed: int = 17) -> DataFrame:
+def importance_sample(docs: DataFrame, labels: DataFrame, share: float | None = None, keep_good: float = 0.99, seed: int = 17) -> DataFrame:
     """One row per document: ``doc_id, n_grams, log_weight, gumbel_key, kept``.
 
-    ``share`` of all rows is drawn; how many to draw is the user's choice, not the data's. Rows whose keys tie with the last one drawn are drawn
-    too, so rows that repeat id and text stay together. Null and empty texts have log weight 0. With share 1 all rows are kept; without labels
-    the noise alone decides; an empty table gives none.
+    How many rows are drawn follows from the labels: as few as hold ``keep_good`` of the good labelled documents. ``share`` sets
+    the share of all rows instead. Rows whose keys tie with the last one drawn are drawn too, so rows that repeat id and text
+    stay together. Null and empty texts have log weight 0. With share 1, or without good labels, all rows are kept; an empty
+    table gives none.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     weights = log_weights(base, gram_counts(base, labels))
@@ -90,11 +93,13 @@ def importance_sample(docs: DataFrame, labels: DataFrame, share: float = 0.95, s
     bits = F.shiftrightunsigned(F.xxhash64("noise_seed", F.lit(seed)), 11).cast("double")
     noise = -F.log(-F.log((bits + 0.5) / float(2**53)))
     keyed = stored(weights.withColumn("gumbel_key", F.col("log_weight") + noise).drop("noise_seed"), "weights")
-    n = keyed.count()
-    k = min(n, round(n * share))
-    if k in (0, n):
-        return keyed.withColumn("kept", F.lit(k > 0))
-    rows = keyed.select(F.lit(0).alias("all"), (-F.col("gumbel_key")).alias("v"))
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    pool, part = (keyed.join(good, "doc_id", "left_semi"), keep_good) if share is None else (keyed, share)
+    n = pool.count()
+    k = min(n, math.ceil(n * part) if share is None else round(n * part))
+    if k == n if share is None else k in (0, n):
+        return keyed.withColumn("kept", F.lit(n == 0 or k > 0))
+    rows = pool.select(F.lit(0).alias("all"), (-F.col("gumbel_key")).alias("v"))
     rank = keyed.sparkSession.range(1).select(F.lit(0).alias("all"), F.lit("k").alias("label"), F.lit(k).cast("long").alias("rank"))
     last = pick_ranks(rows, ["all"], "v", rank).first()["value"]
     return keyed.withColumn("kept", -F.col("gumbel_key") <= F.lit(float(last)))

@@ -11,12 +11,14 @@ What the runs link forms candidate groups, and inside each group all pairs are c
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideframe.llm.common import HASH_BASE, HASH_MIX, block_pairs, components, hashed_words, map_batches, mixed, roots, rows_with, slices
 from tideframe.session import stored
@@ -313,6 +315,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.999)
     are kept. Rows that repeat an id are copies that count each, and are kept or dropped together. A class of null ids only
     has a null ``class_id``. Columns beside ``doc_id`` and ``text`` are not read.
     """
+    return _judged(docs, threshold, target).drop("node")
+
+
+def _judged(docs: DataFrame, threshold: float, target: float) -> DataFrame:
+    """The join's rows with the ``node`` of their text."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(sketches(base), "sketches")
     worded = rows.filter("node is not null")
@@ -331,7 +338,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, target: float = 0.999)
     final = known.join(lead, "class_node").select("node", "copies", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     judged = rows.select("doc_id", "node").join(final, "node", "left")
     return judged.select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), (F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
@@ -349,6 +356,23 @@ def _own_texts(texts: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = 0.8, target: float = 0.999) -> DataFrame:
-    """The documents that the join keeps, with all their columns."""
-    verdict = jaccard_join(docs, threshold, target).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
-    return rows_with(docs, verdict.filter("kept"))
+    """The documents that the join keeps, with all their columns.
+
+    Rows that share an id are kept or dropped together. Rows without an id are told apart by their words: they are kept if they
+    link with no document that has an id.
+    """
+    verdict = stored(_judged(docs, threshold, target), "verdict")
+    named = verdict.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    print_ = f"_{uuid.uuid4().hex}"
+
+    def with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
+            prints = [int(p) for lo, hi in slices([len(t) for t in texts]) for p in shingle_hashes(texts[lo:hi])[2].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, print_])
+
+    at = docs.columns.index("text")
+    unnamed = docs.filter("doc_id is null")
+    unnamed = unnamed.mapInArrow(with_print, T.StructType([*docs.schema.fields, T.StructField(print_, T.LongType())]))
+    own = verdict.filter("doc_id is null and kept").select(F.coalesce("node", F.lit(0).cast("long")).alias(print_)).distinct()
+    return rows_with(docs.filter("doc_id is not null"), named.filter("kept")).unionByName(unnamed.join(own, print_, "left_semi").drop(print_))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import map_batches, rows_with, slices, starts_of
+from tideframe.llm.common import map_batches, rows_where, slices, starts_of
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -164,6 +164,20 @@ def _calibrate(logits: np.ndarray, y: np.ndarray, target: float, weight: np.ndar
     return float(temperature), float(np.floor(best[order][enough[-1]] * 1e9) / 1e9) if len(enough) else np.inf
 
 
+def predictions(texts: list[str], model: LanguageModel | None) -> tuple[list[str], np.ndarray, list[bool]]:
+    """(language, score, accepted) of each text."""
+    names, scores, letters = [UNKNOWN] * len(texts), np.zeros(len(texts)), _letters()
+    for lo, hi in slices([4 * len(t) for t in texts]) if model else ():
+        buckets, owner = _subwords(texts[lo:hi], letters)
+        n = np.bincount(owner, minlength=hi - lo)
+        sums = np.stack([np.bincount(owner, model.weights[buckets, k], minlength=hi - lo) for k in range(len(model.languages))], axis=1)
+        p = _softmax((sums / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
+        for i in np.flatnonzero(n):
+            k = int(p[i].argmax())
+            names[lo + i], scores[lo + i] = model.languages[k], min(1.0, float(p[i, k]))
+    return names, scores, [bool(model) and x != UNKNOWN and s >= model.threshold for x, s in zip(names, scores)]
+
+
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, accepted`` per row of ``docs``.
 
@@ -172,17 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
 
     def run(c: dict[str, list]) -> dict:
-        texts = [t or "" for t in c["text"]]
-        names, scores, letters = [UNKNOWN] * len(texts), np.zeros(len(texts)), _letters()
-        for lo, hi in slices([4 * len(t) for t in texts]) if model else ():
-            buckets, owner = _subwords(texts[lo:hi], letters)
-            n = np.bincount(owner, minlength=hi - lo)
-            sums = np.stack([np.bincount(owner, model.weights[buckets, k], minlength=hi - lo) for k in range(len(model.languages))], axis=1)
-            p = _softmax((sums / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
-            for i in np.flatnonzero(n):
-                k = int(p[i].argmax())
-                names[lo + i], scores[lo + i] = model.languages[k], min(1.0, float(p[i, k]))
-        accepted = [x != UNKNOWN and s >= model.threshold for x, s in zip(names, scores)] if model else [False] * len(texts)
+        names, scores, accepted = predictions([t or "" for t in c["text"]], model)
         return {"doc_id": c["doc_id"], "held_out": c["held_out"], "lang_pred": names, "score": scores, "accepted": accepted}
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -195,6 +199,6 @@ def language_id(docs: DataFrame, **options) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose language is recognised with enough confidence, with all their columns."""
-    verdict = language_id(docs, **options).groupBy("doc_id").agg(F.bool_and("accepted").alias("accepted"))
-    return rows_with(docs, verdict.filter("accepted"))
+    """The documents whose language is recognised with enough confidence, with all their columns. Each row is judged by its text."""
+    model = fit(docs, **options)
+    return rows_where(docs, lambda texts: predictions(texts, model)[2])

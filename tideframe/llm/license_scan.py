@@ -13,7 +13,7 @@ WINDOW = 2
 BAND = 8
 MIN_COVERAGE = 0.8
 
-# Published license notices, as their licences word them.
+# Published license notices and whole short licenses, as they are worded.
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("Apache-2.0", "apache-line", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "apache-notice", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
@@ -37,6 +37,55 @@ can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("CC-BY-4.0", "cc-by-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "cc-by-sa-notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC0-1.0", "cc0-notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("MIT", "mit-full", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-2-Clause", "bsd-2-full", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", "bsd-3-full", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", "isc-full", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN
+NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Zlib", "zlib-full", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising
+from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("Unlicense", "unlicense-full", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We
+make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 )
 
 
@@ -105,8 +154,11 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     return best
 
 
-def _matches(text: np.ndarray, index, band: int, least: float) -> list[tuple[int, int, int, int]]:
-    """(template, matched, first, last) in the hashed words of one text; overlapping finds of one template are one."""
+def _matches(text: np.ndarray, index, band: int, least: float) -> list[tuple[int, int, int, int, bool]]:
+    """(template, matched, first, last, best) in the hashed words of one text; overlapping finds of one template are one.
+
+    A find is the best where it stands if no overlapping find of any template matches more words, the first template of equals.
+    """
     hashes, owners, places, templates = index
     h, at = fingerprints(text, np.zeros(len(text), np.int64))
     lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
@@ -131,19 +183,20 @@ def _matches(text: np.ndarray, index, band: int, least: float) -> list[tuple[int
             if all(x[0] < matched for x in clash):
                 done = [x for x in done if x not in clash] + [(matched, a, b)]
         found += [(t, m, a, b) for m, a, b in done]
-    return sorted(found, key=lambda x: (x[2], x[0]))
+    best = lambda x: not any(y is not x and y[2] <= x[3] and x[2] <= y[3] and (-y[1], y[0]) < (-x[1], x[0]) for y in found)
+    return sorted(((*x, best(x)) for x in found), key=lambda x: (x[2], x[0]))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, band: int = BAND, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """One row per find: ``doc_id, license, template, n_template, n_matched, coverage, first_word, last_word, start, stop``.
+    """One row per find: ``doc_id, license, template, n_template, n_matched, coverage, first_word, last_word, start, stop, best``.
 
-    Words are compared in lower case without marks. ``start`` and ``stop`` count characters of the text where lower case keeps
+    ``best`` is false where an overlapping find matches more words, as a notice does inside its whole license. Words are compared in lower case without marks. ``start`` and ``stop`` count characters of the text where lower case keeps
     lengths. Whole texts are scanned; null and empty texts, and texts without a find, give no row. Repeated rows give their finds each.
     """
 
     def run(c: dict[str, list]) -> dict:
         index = template_index(templates)
-        out: dict[str, list] = {k: [] for k in ("doc_id", "license", "template", "n_template", "n_matched", "coverage", "first_word", "last_word", "start", "stop")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "license", "template", "n_template", "n_matched", "coverage", "first_word", "last_word", "start", "stop", "best")}
         texts = [t or "" for t in c["text"]]
         for lo, hi in slices([len(t) for t in texts]):
             words, owner, bounds, start, stop = hashed_words(texts[lo:hi])
@@ -153,12 +206,12 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, band: int = BAND, min_co
             for i in np.unique(owner[at[np.isin(h, index[0])]]).tolist():
                 a, b = bounds[i], bounds[i + 1]
                 raw = plain_bytes(texts[lo + i])
-                for t, matched, first, last in _matches(words[a:b], index, band, min_coverage):
+                for t, matched, first, last, best in _matches(words[a:b], index, band, min_coverage):
                     n = len(index[3][t])
                     chars = [len(raw[:x].decode("utf-8", "replace")) for x in (int(start[a + first]), int(stop[a + last]))]
-                    for name, value in zip(out, (c["doc_id"][lo + i], templates[t][0], templates[t][1], n, matched, matched / n, first, last, *chars)):
+                    for name, value in zip(out, (c["doc_id"][lo + i], templates[t][0], templates[t][1], n, matched, matched / n, first, last, *chars, best)):
                         out[name].append(value)
         return out
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(chosen, run, "doc_id long, license string, template string, n_template int, n_matched int, coverage double, first_word int, last_word int, start int, stop int")
+    return map_batches(chosen, run, "doc_id long, license string, template string, n_template int, n_matched int, coverage double, first_word int, last_word int, start int, stop int, best boolean")

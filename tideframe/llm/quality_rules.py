@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import SPACES, bounded_sample, map_batches, rows_with
+from tideframe.llm.common import SPACES, bounded_sample, map_batches, rows_where
 from tideframe.session import stored
 
 SYMBOLS = "#*$%&|<>"
@@ -191,6 +191,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def passing_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with all their columns; of rows that share an id all must pass."""
-    verdict = quality_rules(docs, labels, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
-    return rows_with(docs, verdict.filter("kept"))
+    """The documents that the rules keep, with all their columns. Each row is judged by its text.
+
+    The texts are counted once to fit the model and once more where they are judged, so that no text has to move.
+    """
+    model = fit(stored(rule_statistics(docs), "rule-statistics"), labels, **options)
+
+    def judge(texts: list[str]) -> np.ndarray:
+        c = {k: np.asarray(x, float) for k, x in zip(COUNTS, zip(*map(_counts, texts)))}
+        failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+        return ~failed & (path_scores(_features(c), model.feature, model.cut, model.depth) < model.threshold)
+
+    return rows_where(docs, judge)

@@ -30,12 +30,51 @@ def default_model() -> str:
     return path("piece_bpe_32k.model")
 
 
+def _fields(raw: bytes):
+    """(number, value) of each field of a serialised message; nested messages are bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield tag >> 3, raw[at : at + size]
+        at += size
+
+
+def model_kind(raw: bytes) -> str:
+    """What kind of model a file holds, by the public message format: field 3 of the trainer's settings, which are field 2."""
+    # The kinds of the format; a file that does not name one is of the first.
+    kinds = {1: "unigram", 2: "bpe", 3: "word", 4: "char"}
+    settings = b"".join(value for number, value in _fields(raw) if number == 2)
+    return kinds.get(next((value for number, value in _fields(settings) if number == 3), 1), "unknown")
+
+
 class PieceModel:
-    """Pieces, scores and byte pieces of a model file, with the encoder's memory."""
+    """Pieces, scores and byte pieces of a model file, with the encoder's memory. Only merging models are encoded this way;
+    a file of another kind is refused."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        with open(path, "rb") as file:
+            kind = model_kind(file.read())
+        if kind != "bpe":
+            raise ValueError(f"{path} holds a {kind} model; this encoder follows merges")
         self.library = SentencePieceProcessor(model_file=path)
         n = self.library.get_piece_size()
         pieces = [self.library.id_to_piece(i) for i in range(n)]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import bounded_sample, map_batches
@@ -203,9 +203,7 @@ def _visited(queries: DataFrame, visits: DataFrame, index: DataFrame, k: int) ->
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """``query, best``: the k best so far as an array of (-score, vec_id), at most k from each task before the shuffle."""
-    from pyspark.sql import Window
-
+    """``query, rank, vec_id, score``: the k best of each query."""
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "vec_id", "score")
 
