@@ -221,21 +221,24 @@ def fdr_adjust(df: DataFrame, p: str, alias: str, groups: Sequence[str] = ()) ->
 def fdr_two_tiers(tests: DataFrame, family: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Adjust over the whole family and within each horizon; significance needs a positive statistic.
 
-    The result table is stored first, since both tiers read it several times.
+    Both tiers are ranked in one pass: a p-value stands in the family of all horizons and in that of its own. The result table is
+    stored first, since it is read twice.
     """
     out = stored(tests.withColumn("_p", F.when(~F.col("insufficient_sample"), F.col("cw_p_value"))), "tests")
-    out = fdr_adjust(out, "_p", "p_adj_global", family)
-    out = fdr_adjust(out, "_p", "p_adj_horizon", [*family, "horizon"])
-    return out.drop("_p").withColumns({
+    tier = F.explode(F.array(F.struct(F.lit("global").alias("_tier"), F.lit(None).cast("long").alias("_of")), F.struct(F.lit("horizon").alias("_tier"), F.col("horizon").cast("long").alias("_of")))).alias("_t")
+    rows = out.filter(F.col("_p").isNotNull()).select(*family, "horizon", "_p", tier).select(*family, "horizon", "_p", "_t.*")
+    ranked = fdr_adjust(rows, "_p", "_adjusted", [*family, "_tier", "_of"])
+    both = ranked.groupBy(*family, "horizon", "_p").agg(*[F.max(F.when(F.col("_tier") == t, F.col("_adjusted"))).alias(f"p_adj_{t}") for t in ("global", "horizon")])
+    return null_safe_join(out, both, [*family, "horizon", "_p"], "left").drop("_p").withColumns({
         f"significant_fdr_{tier}": F.coalesce((F.col(f"p_adj_{tier}") <= alpha) & (F.col("cw_stat") > 0), F.lit(False))
         for tier in ("global", "horizon")})
 
 
 def regime_report(
-    tagged: DataFrame, groups: Sequence[str], metrics: DataFrame, alpha: float = 0.05
+    tagged: DataFrame, groups: Sequence[str], metrics: DataFrame, alpha: float = 0.05, longest: int | None = None
 ) -> DataFrame:
     """Metrics and test per regime; the test is shown only where n >= 5h, groups with n < 3 are dropped."""
-    tests = clark_west(tagged, groups, alpha)
+    tests = clark_west(tagged, groups, alpha, longest=longest)
     on = [*groups, "horizon"]
     shown = metrics.filter("n_forecasts >= 3").join(
         tests.drop("n_forecasts", "insufficient_sample"), on)

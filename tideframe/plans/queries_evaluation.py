@@ -295,7 +295,7 @@ _NOTNAIVE = "(SELECT * FROM fc WHERE model <> 'naive')"
 
 
 def cw_tests(spark, folder):
-    return at.clark_west(forecasts(spark, folder).filter("model <> 'naive'"), ["series", "model"])
+    return at.clark_west(forecasts(spark, folder).filter("model <> 'naive'"), ["series", "model"], longest=MAX_H)
 
 
 @query("clark_west_statistic", fc_sql(
@@ -334,7 +334,7 @@ def test_battery(spark, folder):
     """Common origins of all arms, then the test per arm and horizon, corrected within each family."""
     shared = sc.common_origins(uneven(spark, folder), ["series"]).filter("model <> 'naive'")
     family = F.when(F.col("model") == "direct", "sensitivity").otherwise("primary")
-    tests = at.clark_west(shared.withColumn("family", family), ["series", "model", "family"])
+    tests = at.clark_west(shared.withColumn("family", family), ["series", "model", "family"], longest=MAX_H)
     out = at.fdr_two_tiers(tests, ["family"])
     return rounded(out.select("series", "model", "horizon", "family", "n_forecasts", "cw_stat", "cw_p_value", "p_adj_global", "p_adj_horizon"), 5)
 
@@ -375,10 +375,10 @@ SELECT m.series, m.model, m.regime, m.horizon, m.n_forecasts, {r('m.rmse','rmse'
 FROM met m LEFT JOIN cw c USING (series, model, regime, horizon) WHERE m.n_forecasts >= 3""",
     tagged=_REG, tagged2="SELECT * FROM tagged WHERE regime IS NOT NULL", met=_MET.format(g="series, model, regime, horizon", src="tagged2"), **_cw_sql("tagged2", "series, model, regime, horizon")))
 def regime_metrics(spark, folder):
-    tagged = sc.tag_regime(forecasts(spark, folder).filter("model <> 'naive'"), REGIMES, "origin_date")
+    tagged = stored(sc.tag_regime(forecasts(spark, folder).filter("model <> 'naive'"), REGIMES, "origin_date"), "tagged")
     groups = ["series", "model", "regime"]
     metrics = sc.error_metrics(tagged, [*groups, "horizon"])
-    out = at.regime_report(tagged, groups, metrics)
+    out = at.regime_report(tagged, groups, metrics, longest=MAX_H)
     return rounded(out.select(*groups, "horizon", "n_forecasts", "rmse", "naive_rmse", "rmse_improvement_pct", "insufficient_sample", "r2_oos", "cw_stat", "cw_p_value"), 5)
 
 
@@ -404,7 +404,7 @@ SELECT m.series, m.horizon, best_rmse_model, {r('best_rmse','best_rmse')}, best_
     **_cw_sql(_NOTNAIVE, _CWG), b1=_bh_sql("cw", "", "p_adj_global"), b2=_bh_sql("b1", "horizon", "p_adj_horizon")))
 def decision_summary(spark, folder):
     f = stored(forecasts(spark, folder).filter("model <> 'naive'"), "forecasts")
-    tests = at.fdr_two_tiers(at.clark_west(f, ["series", "model"]))
+    tests = at.fdr_two_tiers(at.clark_west(f, ["series", "model"], longest=MAX_H))
     out = sc.decision_summary(sc.error_metrics(f, ["series", "model", "horizon"]), tests, ["series", "horizon"])
     return rounded(rounded(out.withColumn("p5", F.col("strongest_p"))).withColumn("strongest_p", F.round("p5", 5) + 0.0).drop("p5"))
 
