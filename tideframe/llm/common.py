@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +65,10 @@ def rows_where(docs: DataFrame, judge: Callable[[list[str]], Iterable[bool]]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                kept = judge([t or "" for t in batch.column(at).cast(pa.string()).to_pylist()])
-                yield batch.filter(pa.array([bool(k) for k in kept], pa.bool_()))
+            texts = batch.column(at).cast(pa.string())
+            for lo, hi in slices([n or 0 for n in pc.binary_length(texts).to_pylist()]):
+                kept = judge([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+                yield batch.slice(lo, hi - lo).filter(pa.array([bool(k) for k in kept], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
