@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import map_batches, rows_where, slices, starts_of
+from tideframe.llm.common import map_batches, rows_where, rows_with, slices, starts_of
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -199,6 +199,9 @@ def language_id(docs: DataFrame, **options) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose language is recognised with enough confidence, with all their columns. Each row is judged by its text."""
+    """The documents whose language is recognised with enough confidence, with all their columns; of rows that share an id all
+    must be. Rows without an id are judged one by one."""
     model = fit(docs, **options)
-    return rows_where(docs, lambda texts: predictions(texts, model)[2])
+    verdict = identify(docs.filter("doc_id is not null"), model).groupBy("doc_id").agg(F.bool_and("accepted").alias("accepted"))
+    named = rows_with(docs.filter("doc_id is not null"), verdict.filter("accepted"))
+    return named.unionByName(rows_where(docs.filter("doc_id is null"), lambda texts: predictions(texts, model)[2]))

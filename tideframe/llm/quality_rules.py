@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import SPACES, bounded_sample, map_batches, rows_where
+from tideframe.llm.common import SPACES, bounded_sample, map_batches, rows_where, rows_with
 from tideframe.session import stored
 
 SYMBOLS = "#*$%&|<>"
@@ -178,6 +178,11 @@ def fit(statistics: DataFrame, labels: DataFrame, sample_rows: int = 4096, trees
     return QualityModel(*forest, best / 1000.0 if gain[best] > 0 else 2.0)
 
 
+def _judged(statistics: DataFrame, model: QualityModel) -> DataFrame:
+    judged = score(statistics, model).withColumn("base_failed", base_failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(float(model.threshold))))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document: counts, ``base_failed``, ``anomaly`` and ``kept``.
 
@@ -185,21 +190,20 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     alike. Other columns of ``docs`` are not read, whatever their names. An empty table gives no rows.
     """
     statistics = stored(rule_statistics(docs), "rule-statistics")
-    model = fit(statistics, labels, **options)
-    judged = score(statistics, model).withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(float(model.threshold))))
+    return _judged(statistics, fit(statistics, labels, **options))
 
 
 def passing_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with all their columns. Each row is judged by its text.
-
-    The texts are counted once to fit the model and once more where they are judged, so that no text has to move.
-    """
-    model = fit(stored(rule_statistics(docs), "rule-statistics"), labels, **options)
+    """The documents that the rules keep, with all their columns; of rows that share an id all must pass. Rows without an id are
+    judged one by one."""
+    statistics = stored(rule_statistics(docs), "rule-statistics")
+    model = fit(statistics, labels, **options)
+    verdict = _judged(statistics.filter("doc_id is not null"), model).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
 
     def judge(texts: list[str]) -> np.ndarray:
         c = {k: np.asarray(x, float) for k, x in zip(COUNTS, zip(*map(_counts, texts)))}
         failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
         return ~failed & (path_scores(_features(c), model.feature, model.cut, model.depth) < model.threshold)
 
-    return rows_where(docs, judge)
+    named = rows_with(docs.filter("doc_id is not null"), verdict.filter("kept"))
+    return named.unionByName(rows_where(docs.filter("doc_id is null"), judge))
