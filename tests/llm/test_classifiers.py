@@ -152,3 +152,18 @@ def test_importance_weights_and_draw(spark):
     last = good[math.ceil(0.9 * len(good)) - 1]
     assert {x.doc_id for x in drawn if x.kept} == {x.doc_id for x in drawn if x.gumbel_key >= last} and any(not x.kept for x in drawn)
     assert all(x.kept for x in importance_sampling.importance_sample(frame(spark, rows), labels.filter("false")).collect())
+
+
+def test_importance_sampling_moves_grams_not_texts(spark):
+    r = rng(8)
+    texts = [prose(r, "en", r.randint(0, 400)) for _ in range(40)] + ["", "!!", "word " * 3000]
+    bucket, owner = importance_sampling.gram_buckets(texts)
+    packed = importance_sampling.packed_grams(bucket, owner, len(texts))
+    got_bucket, got_owner = importance_sampling.unpacked_grams(packed)
+    assert sorted(zip(owner.tolist(), bucket.tolist())) == list(zip(got_owner.tolist(), got_bucket.tolist()))
+    assert sum(map(len, packed)) < 0.5 * sum(map(len, texts)) and importance_sampling.packed_grams(bucket[:0], owner[:0], 2) == [b"", b""]
+    # Small labels take the same plan as large ones, so that the cost at small sizes tells the cost at large ones.
+    ids = spark.range(10).withColumnRenamed("id", "doc_id")
+    joined = importance_sampling.labelled(importance_sampling.grams_of(frame(spark, list(enumerate(texts)))), ids)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.columns == ["doc_id", "noise_seed", "grams"] and "SortMergeJoin" in plan and "Broadcast" not in plan and joined.count() == 10

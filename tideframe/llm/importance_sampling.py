@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import HASH_BASE, hashed_words, map_batches, mixed, slices
+from tideframe.llm.common import HASH_BASE, hashed_words, map_batches, mixed, slices, starts_of
 from tideframe.operators.order_statistics import pick_ranks
 from tideframe.session import stored
 
@@ -29,33 +29,71 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (grams % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([owner, owner[pair]])
 
 
-def gram_counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+def packed_grams(bucket: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+    """The buckets of each of ``n`` texts in rising order, as the bytes of their gaps; a byte of 255 adds to the next one."""
+    cell = np.sort(owner * BUCKETS + bucket)
+    owner, bucket = np.divmod(cell, BUCKETS)
+    new = np.diff(owner, prepend=-1) != 0
+    more, rest = np.divmod(np.where(new, bucket, np.diff(bucket, prepend=0)), 255)
+    ends = np.cumsum(more + 1)
+    data = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    data[ends - 1] = rest
+    sizes = np.bincount(owner, more + 1, n).astype(np.int64)
+    raw, cuts = data.tobytes(), starts_of(sizes)
+    return [raw[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def unpacked_grams(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of every gram, by text and rising."""
+    data = np.frombuffer(b"".join(packed), np.uint8)
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed))
+    total = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+    at = np.flatnonzero(data != 255)
+    owner = np.repeat(np.arange(len(packed)), sizes)[at]
+    return total[at + 1] - total[starts_of(sizes)[:-1]][owner], owner
+
+
+def grams_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, noise_seed, grams`` of each whole text: what the later steps need of it, in a fraction of its bytes."""
+
+    def run(c: dict[str, list]) -> dict:
+        texts, grams = c["text"], []
+        for lo, hi in slices([len(t) for t in texts]):
+            grams += packed_grams(*gram_buckets(texts[lo:hi]), hi - lo)
+        return {"doc_id": c["doc_id"], "noise_seed": c["noise_seed"], "grams": grams}
+
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("noise_seed")), run, "doc_id long, noise_seed long, grams binary")
+
+
+def labelled(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is among ``ids``. Both sides are dealt by id whatever their sizes: the list of labels grows with
+    the documents, so a broadcast of it would only serve small tables."""
+    return rows.join(ids.hint("merge"), "doc_id", "left_semi")
+
+
+def gram_counts(grams: DataFrame, labels: DataFrame) -> np.ndarray:
     """Counts per bucket (raw, target), from *all* documents and *all* labelled good ones.
 
     Each batch sends its sums per bucket; the driver gets ``BUCKETS`` rows whatever the input. A document labelled more than once is good if it always was.
     """
     good = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter("quality > 0")
-    marked = docs.join(good, "doc_id", "left").select("text", F.col("quality").isNotNull().alias("good"))
 
     def count(c: dict[str, list]) -> dict:
-        sums = np.zeros((2, BUCKETS), np.int64)
-        texts, target = [t or "" for t in c["text"]], np.asarray(c["good"], bool)
-        for lo, hi in slices([len(t) for t in texts]):
-            bucket, owner = gram_buckets(texts[lo:hi])
-            sums[0] += np.bincount(bucket, minlength=BUCKETS)
-            sums[1] += np.bincount(bucket[target[lo:hi][owner]], minlength=BUCKETS)
-        used = np.flatnonzero(sums[0])
-        return {"bucket": used, "n_raw": sums[0, used], "n_target": sums[1, used]}
+        sums = np.zeros(BUCKETS, np.int64)
+        for lo, hi in slices([8 * len(g) for g in c["grams"]]):
+            sums += np.bincount(unpacked_grams(c["grams"][lo:hi])[0], minlength=BUCKETS)
+        used = np.flatnonzero(sums)
+        return {"bucket": used, "n": sums[used]}
 
-    rows = map_batches(marked, count, "bucket int, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw").alias("r"), F.sum("n_target").alias("t")).collect()
     counts = np.zeros((2, BUCKETS))
-    for row in rows:
-        counts[:, row["bucket"]] = row["r"], row["t"]
+    for k, rows in enumerate((grams, labelled(grams, good.select("doc_id")))):
+        for row in map_batches(rows.select("grams"), count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            counts[k, row["bucket"]] = row["n"]
     return counts
 
 
-def log_weights(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``doc_id, n_grams, log_weight, noise_seed`` of each whole text; a text without words has weight 0 in logs.
+def log_weights(grams: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``doc_id, n_grams, log_weight, noise_seed`` of each row of grams; a text without words has weight 0 in logs.
 
     A document's own grams are left out of the raw model, else rare words would count against every text
     outside the target. Counts are smoothed by one per bucket. Without target grams all weights are 0.
@@ -65,18 +103,19 @@ def log_weights(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     log_target = np.log((target + 1) / (target.sum() + BUCKETS))
 
     def run(c: dict[str, list]) -> dict:
-        texts = [t or "" for t in c["text"]]
-        sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for lo, hi in slices([len(t) for t in texts]):
-            bucket, owner = gram_buckets(texts[lo:hi])
-            cell, own = np.unique(owner * BUCKETS + bucket, return_counts=True)
-            owner, bucket = np.divmod(cell, BUCKETS)
+        held = c["grams"]
+        sums, n = np.zeros(len(held)), np.zeros(len(held), np.int64)
+        for lo, hi in slices([8 * len(g) for g in held]):
+            bucket, owner = unpacked_grams(held[lo:hi])
+            cell = owner * BUCKETS + bucket
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            own, owner, bucket = np.diff(first, append=len(cell)), owner[first], bucket[first]
             n[lo:hi] = np.bincount(owner, own, hi - lo).astype(np.int64)
             log_raw = np.log(raw[bucket] - own + 1) - np.log(n_raw - n[lo:hi][owner] + BUCKETS)
             sums[lo:hi] = np.bincount(owner, own * (log_target[bucket] - log_raw), hi - lo) if known else 0.0
         return {"doc_id": c["doc_id"], "n_grams": n, "log_weight": sums, "noise_seed": c["noise_seed"]}
 
-    return map_batches(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("noise_seed")), run, "doc_id long, n_grams long, log_weight double, noise_seed long")
+    return map_batches(grams, run, "doc_id long, n_grams long, log_weight double, noise_seed long")
 
 
 def importance_sample(docs: DataFrame, labels: DataFrame, share: float | None = None, keep_good: float = 0.99, seed: int = 17) -> DataFrame:
@@ -88,13 +127,14 @@ def importance_sample(docs: DataFrame, labels: DataFrame, share: float | None =
     table gives none.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    weights = log_weights(base, gram_counts(base, labels))
+    grams = stored(grams_of(base), "grams")
+    weights = log_weights(grams, gram_counts(grams, labels))
     # Noise from a hash of the row: the same on every attempt of a task.
     bits = F.shiftrightunsigned(F.xxhash64("noise_seed", F.lit(seed)), 11).cast("double")
     noise = -F.log(-F.log((bits + 0.5) / float(2**53)))
     keyed = stored(weights.withColumn("gumbel_key", F.col("log_weight") + noise).drop("noise_seed"), "weights")
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    pool, part = (keyed.join(good, "doc_id", "left_semi"), keep_good) if share is None else (keyed, share)
+    pool, part = (stored(labelled(keyed.select("doc_id", "gumbel_key"), good), "pool"), keep_good) if share is None else (keyed, share)
     n = pool.count()
     k = min(n, math.ceil(n * part) if share is None else round(n * part))
     if k == n if share is None else k in (0, n):
