@@ -167,3 +167,17 @@ def test_importance_sampling_moves_grams_not_texts(spark):
     joined = importance_sampling.labelled(importance_sampling.grams_of(frame(spark, list(enumerate(texts)))), ids)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert joined.columns == ["doc_id", "noise_seed", "grams"] and "SortMergeJoin" in plan and "Broadcast" not in plan and joined.count() == 10
+
+
+def test_language_is_learnt_from_all_labelled_documents(spark):
+    r = rng(9)
+    rows = [(i, prose(r, "en" if i % 2 else "de"), "en" if i % 2 else "de") for i in range(400)]
+    # A few documents are in words that the twelve drawn ones do not hold.
+    rows += [(1000 + i, " ".join(r.choices("krzw pljm vgdr xhtq bnyf".split(), k=60)), "de") for i in range(30)]
+    docs = frame(spark, rows)
+    model, again = language_id.fit(docs, sample_rows=12), language_id.fit(docs.repartition(7), sample_rows=12)
+    assert np.array_equal(model.weights, again.weights) and (model.temperature, model.threshold) == (again.temperature, again.threshold)
+    lone = np.unique(language_id._subwords(["krzw pljm vgdr xhtq bnyf"], language_id._letters())[0])
+    assert (model.weights[lone, 0] - model.weights[lone, 1]).min() > 0.2
+    got = {x.doc_id: x for x in language_id.identify(docs, model).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
