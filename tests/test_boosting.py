@@ -129,3 +129,23 @@ def test_shapley_values_by_subsets(spark):
     np.testing.assert_allclose([r.pred for r in sorted(sums, key=lambda r: r.number)], bo.predict(bo.load_trees(fitted, [0])[0], x), atol=1e-9)
     gains = bo.split_gains(fitted, NAMES).toPandas()
     assert gains["importance"].sum() == pytest.approx(1.0) and set(gains["feature"]) == set(NAMES)
+
+
+def test_lockstep_writes_its_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(bo, "TASK_ROWS", 10)
+    written, stored = [], bo.stored
+    monkeypatch.setattr(bo, "stored", lambda df, label="stage": written.append(label) or stored(df, label))
+    x, y = sample()
+    fitted = bo.fit_trees(frame(spark, x, y), [bo.Setting(trees=2, depth=2, rate=0.3)])
+    assert fitted.count() == 3 and written == ["training", "trees"]
+
+
+def test_columns_become_matrices_without_objects():
+    import pyarrow as pa
+
+    lists = pa.array([[9.0, 9.0], [1.0, None], [3.0, 4.0]], pa.list_(pa.float64())).slice(1)
+    np.testing.assert_array_equal(bo._matrix(lists), [[1.0, np.nan], [3.0, 4.0]])
+    assert bo._matrix(pa.array([b"zz", b"ab", b"cd"]).slice(1)).tolist() == [[97, 98], [99, 100]]
+    assert bo._matrix(pa.chunked_array([pa.array([b"ab"]), pa.array([b"cd"])])).tolist() == [[97, 98], [99, 100]]
+    assert bo._bytes(np.array([[97, 98], [99, 100]], np.uint8)).to_pylist() == [b"ab", b"cd"]
+    assert bo._lists(np.array([[1.0, 2.0], [3.0, 4.0]])).to_pylist() == [[1.0, 2.0], [3.0, 4.0]]

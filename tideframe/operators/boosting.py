@@ -199,7 +199,7 @@ def binned(df: DataFrame, names: Sequence[str], cuts: Sequence[Sequence[float]])
             columns = [np.where(np.isnan(x), 0, np.searchsorted(e, x, "left")) for n, e in zip(names, edges)
                        for x in [batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False)]]
             bins = np.stack(columns, axis=1).astype(np.uint8) if columns else np.zeros((batch.num_rows, 0), np.uint8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b.tobytes() for b in bins], pa.binary())], names=[*batch.schema.names, "bins"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes(bins)], names=[*batch.schema.names, "bins"])
 
     return df.mapInArrow(run, schema)
 
@@ -213,11 +213,32 @@ def marks(uses: Sequence[tuple[Column, Column]]) -> Column:
 
 
 def _matrix(column) -> np.ndarray:
-    """Bytes of equal length, or lists of equal length, as a matrix."""
-    raw = column.to_pylist()
-    if raw and not isinstance(raw[0], bytes):
-        return np.asarray(raw)
-    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    """Bytes of equal length, or lists of equal length, as a matrix, read from Arrow's buffers; nulls in lists are NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    rows = len(column)
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        wide = pa.types.is_large_binary(column.type)
+        ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + rows + 1]
+        held = column.buffers()[2]
+        data = np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if held is not None and rows else np.zeros(0, np.uint8)
+        return data.reshape(rows, len(data) // rows if rows else 0)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(rows, len(values) // rows if rows else 0)
+
+
+def _bytes(matrix: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    rows, width = matrix.shape
+    ends = np.arange(rows + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(matrix, np.uint8).tobytes())])
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    """Rows of numbers as a column of lists."""
+    rows, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(width)), pa.array(matrix.ravel()))
 
 
 def _as_rows(model: int, trees: Sequence[Tree]) -> list[tuple]:
@@ -272,7 +293,8 @@ def _fit_in_lockstep(rows: DataFrame, settings: Sequence[Setting]) -> DataFrame:
         base = Tree.empty(0)
         base.value[0], base.cover[0] = means[f"m{m}"] or 0.0, means[f"n{m}"]
         made.append([base])
-    state = stored(rows.withColumn("pred", F.array(*[F.lit(float(t[0].value[0])) for t in made])), "boosting")
+    # Until the first trees are written down a prediction is its model's mean, which needs no second copy of the rows.
+    state = rows.withColumn("pred", F.array(*[F.lit(float(t[0].value[0])) for t in made]))
     recent: list[list[Tree]] = [[] for _ in settings]
     width = len(rows.select("bins").first()["bins"])
     for t in range(max(s.trees for s in settings)):
@@ -304,11 +326,11 @@ def _advanced(state: DataFrame, recent: Sequence[Sequence[Tree]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = _matrix(batch.column("bins"))
-            pred = np.asarray(batch.column("pred").to_pylist(), float).reshape(len(bins), -1)
+            pred = _matrix(batch.column("pred")).astype(float)
             for m, trees in enumerate(recent):
                 pred[:, m] += predict(trees, bins)
             at = batch.schema.get_field_index("pred")
-            yield batch.set_column(at, "pred", pa.array(pred.tolist(), pa.list_(pa.float64())))
+            yield batch.set_column(at, "pred", _lists(pred))
 
     return state.mapInArrow(run, state.schema)
 
@@ -319,13 +341,14 @@ def _splits(state: DataFrame, settings, live, growing, recent, columns, t: int,
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             bins, use = _matrix(batch.column("bins")), _matrix(batch.column("use"))
-            pred = np.asarray(batch.column("pred").to_pylist(), float).reshape(len(bins), -1)
-            targets, number = batch.column("targets").to_pylist(), batch.column("number").to_numpy()
+            pred, targets, number = _matrix(batch.column("pred")), _matrix(batch.column("targets")), batch.column("number").to_numpy()
             for m in live:
                 s = settings[m]
                 own = np.flatnonzero(use[:, s.mark] == TRAIN)
-                y = np.asarray([targets[i][s.target] for i in own.tolist()], float)
+                y = targets[own, s.target].astype(float)
                 own, y = own[np.isfinite(y)], y[np.isfinite(y)]
                 rows, node = _level_rows(growing[m], level, bins[own], drawn_rows(number[own], s.rows, s.seed, t))
                 if len(rows):
