@@ -130,6 +130,19 @@ def test_interval_join(spark, hot):
     assert sorted((r.i, r.s) for r in got.collect()) == want and got.columns == ["k", "i", "at", "s", "start", "stop"]
 
 
+def test_interval_join_moves_each_side_once(spark):
+    from tideframe.operators.align import interval_join
+
+    points = spark.range(40).selectExpr("id % 3 AS k", "id AS i", "date_add(DATE '2020-01-01', int(id)) AS at")
+    spans = spark.range(9).selectExpr("id % 3 AS k", "id AS s", "date_add(DATE '2020-01-01', int(3 * id)) AS start", "date_add(DATE '2020-01-01', int(5 * id)) AS stop")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = interval_join(points, spans, ["k"], "at", "start", "stop")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_one_to_one_join_keeps_null_keys(spark):
     left = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, v string")
     right = spark.createDataFrame([(None, 2.0), (3, 3.0), (4, 4.0)], "k int, w double")

@@ -150,19 +150,25 @@ def interval_join(
     Intervals are dealt to the buckets of ``days`` days they touch and meet the points of a bucket in an equi-join; the dates
     decide inside. A null end is open and reaches to the last bucket that has points. An interval that stops before it starts
     holds nothing, and a null date lies in none. Null keys meet null keys. A bucket with more than ``hot`` points is split by
-    a hash of its points, and its intervals are copied to each part. Columns of the intervals that points have too, keys aside, must be renamed before.
+    a hash of its points, and its intervals are copied to each part. Hot buckets are few (rows / ``hot`` at most), so neither side
+    moves to learn of them: points and intervals move once, to meet. Columns of the intervals that points have too, keys aside, must be renamed before.
     """
     bucket = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / days)
     dated = points.filter(F.col(at).isNotNull()).withColumn("_bucket", bucket(at))
     on = [*keys, "_bucket"]
-    sizes = stored(dated.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("_parts")), "bucket-sizes")
-    span = sizes.agg(F.min("_bucket").alias("low"), F.max("_bucket").alias("high")).first()
+    span = dated.agg(F.min("_bucket").alias("low"), F.max("_bucket").alias("high")).first()
     low, high = (F.lit(span[k] if span[k] is not None else 0).cast("long") for k in ("low", "high"))
+    parts = stored(dated.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("_parts")).filter("_parts > 1"), "hot-buckets")
     own = intervals.withColumns({"_first": F.greatest(F.coalesce(bucket(start), low), low), "_last": F.least(F.coalesce(bucket(stop), high), high)})
     own = own.filter((F.col("_first") <= F.col("_last")) & F.coalesce(F.col(start) <= F.col(stop), F.lit(True)))
-    dealt = null_safe_join(own.withColumn("_bucket", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last"), sizes, on)
-    dealt = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    placed = null_safe_join(dated, sizes, on).withColumn("_part", F.pmod(F.xxhash64(*points.columns), F.col("_parts")).cast("int")).drop("_parts")
-    met = null_safe_join(placed, dealt, [*on, "_part"])
+    dealt = own.withColumn("_bucket", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    if parts.isEmpty():
+        placed = dated
+    else:
+        of = F.coalesce("_parts", F.lit(1))
+        dealt = null_safe_join(dealt, parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), of - 1))).drop("_parts")
+        placed = null_safe_join(dated, parts, on, "left").withColumn("_part", F.pmod(F.xxhash64(*points.columns), of).cast("int")).drop("_parts")
+        on = [*on, "_part"]
+    met = null_safe_join(placed, dealt, on)
     inside = F.coalesce(F.col(at) >= F.col(start), F.lit(True)) & F.coalesce(F.col(at) <= F.col(stop), F.lit(True))
     return met.filter(inside).drop("_bucket", "_part")
