@@ -237,15 +237,14 @@ def _refined(marked: DataFrame, start: LanguageModel, documents: dict[str, int],
     held = stored(map_batches(rows.filter("back").select("text", "lang"), measure, "y int, z array<double>, n long").filter("n > 0").select("y", "z"), "kept-back")
     grid = [(float(a), float(t)) for a in STEPS for t in np.geomspace(0.05, 20, 40)]
 
-    def matrix(c: dict[str, list], length: float) -> tuple[np.ndarray, np.ndarray]:
+    def matrices(c: dict[str, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         z = np.asarray(c["z"], float).reshape(-1, 2 * width)
-        return z[:, :width] + length * z[:, width:], np.asarray(c["y"], np.int64)
+        return z[:, :width], z[:, width:], np.asarray(c["y"], np.int64)
 
     def losses(c: dict[str, list]) -> dict:
-        out = []
+        (begin, way, y), out = matrices(c), []
         for length, t in grid:
-            z, y = matrix(c, length)
-            out.append(int(np.rint(-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12) * 2.0**20).sum()))
+            out.append(int(np.rint(-np.log(_softmax((begin + length * way) / t)[np.arange(len(y)), y] + 1e-12) * 2.0**20).sum()))
         return {"candidate": range(len(grid)), "loss": out}
 
     found = map_batches(held, losses, "candidate int, loss long").groupBy("candidate").agg(F.sum("loss").alias("loss")).collect()
@@ -255,8 +254,8 @@ def _refined(marked: DataFrame, start: LanguageModel, documents: dict[str, int],
         length, temperature = grid[min(found, key=lambda r: (r["loss"], r["candidate"]))["candidate"]]
 
     def sorted_in(c: dict[str, list]) -> dict:
-        z, y = matrix(c, length)
-        p = _softmax(z / temperature)
+        begin, way, y = matrices(c)
+        p = _softmax((begin + length * way) / temperature)
         return {"bin": np.minimum(p.max(1) * BINS, BINS - 1).astype(np.int32), "right": p.argmax(1) == y}
 
     bins = map_batches(held, sorted_in, "bin int, right boolean").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("right").alias("right")).collect()
