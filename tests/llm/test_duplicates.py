@@ -139,6 +139,15 @@ def test_rows_without_an_id_are_told_apart(spark):
     assert {r.text for r in kept} == {unnamed[1][1], None, "!!"}
 
 
+def test_a_text_moves_once_to_its_spans(spark, monkeypatch):
+    seen, marked = [], suffix_dedup.spans_by_document
+    monkeypatch.setattr(suffix_dedup, "spans_by_document", lambda docs: (seen.append(docs.schema), marked(docs))[1])
+    docs = frame(spark, passages())
+    got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs).select("doc_id", "text").collect()}
+    assert "text" in seen[0].names and "text" not in seen[0]["row"].dataType.names
+    assert set(got) == {i for i, _ in passages()} and got[60] is None and got[66] == "a" * 99
+
+
 def plain_vectors(rows, threshold=0.9):
     sound = {}
     for i, v in rows:

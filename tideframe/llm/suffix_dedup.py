@@ -404,13 +404,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A cut may leave parts of a character at a span's edge; those bytes are dropped. ``n_chars`` follows the text.
     """
     names, types = docs.columns, dict(docs.dtypes)
-    # The caller's columns travel in one struct, so that none clashes with ours.
-    whole = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+    # The caller's other columns travel in one struct, so that none clashes with ours; the text moves once.
+    others = [n for n in names if n != "text"]
+    whole = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{n}`") for n in others]).alias("row"))
     marked = spans_by_document(whole).select("text", "spans", "row")
 
     def run(c: dict[str, list]) -> dict:
         texts = [t if t is None or not s else _keep(t.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore") for t, s in zip(c["text"], c["spans"])]
-        out = {n: [row[n] for row in c["row"]] for n in names} | {"text": texts}
+        out = {n: [row[n] for row in c["row"]] for n in others} | {"text": texts}
         if "n_chars" in out:
             out["n_chars"] = [n if not s else len(t) for n, t, s in zip(out["n_chars"], texts, c["spans"])]
         return out
