@@ -139,6 +139,12 @@ def test_rows_without_an_id_are_told_apart(spark):
     assert {r.text for r in kept} == {unnamed[1][1], None, "!!"}
 
 
+def test_stars_that_share_a_node_become_one_group(spark):
+    links = spark.createDataFrame([(10, 1), (11, 1), (11, 2), (12, 2), (2, 13), (31, 30)], "u long, v long")
+    got = {r.node: r.component for r in jaccard_join._contracted(links).collect()}
+    assert got == {**dict.fromkeys((1, 2, 10, 11, 12, 13), 1), 30: 30, 31: 30}
+
+
 def test_a_text_moves_once_to_its_spans(spark, monkeypatch):
     seen, marked = [], suffix_dedup.spans_by_document
     monkeypatch.setattr(suffix_dedup, "spans_by_document", lambda docs: (seen.append(docs.schema), marked(docs))[1])

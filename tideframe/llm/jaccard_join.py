@@ -28,8 +28,8 @@ COORDINATES = 64
 #: Nodes up to this size are compared by brute force; larger ones are split while ``MAX_DEPTH`` allows.
 SMALL = 256
 MAX_DEPTH = 4
-#: Runs before the first contraction.
-FIRST_RUNS = 2
+#: Runs before the contraction. More than one path must meet a large group: a path ends by chance where no coordinate is drawn.
+FIRST_RUNS = 4
 #: Rows of a block where a node or group too large for one task is dealt in pairs of blocks.
 NODE_BLOCK, GROUP_BLOCK = 4096, 512
 #: Rows compared at a time in one task.
@@ -224,13 +224,27 @@ def _met(nodes: DataFrame, groups: DataFrame | None, runs: range, threshold: flo
     return stored(_candidate_links(ready.join(nodes.select("node", "brief"), "node"), least, ["path", "bi", "bj"]), "met")
 
 
-def _contracted(links: DataFrame) -> DataFrame:
-    """``node, component`` of linked nodes: two steps towards the smallest neighbour. Nodes of one component are connected; those
-    of two may be as well, which only costs comparisons."""
-    low = stored(links.groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("low")), "contracted")
+def _lowered(links: DataFrame) -> DataFrame:
+    """``node, component`` after two steps towards the smallest neighbour; nodes without a smaller one are absent."""
+    low = stored(links.groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("low")), "lowered")
     lower = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-    moved = low.join(lower, "low", "left").select("node", F.coalesce("lower", "low").alias("component"))
-    return stored(moved.union(moved.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component")), "contracted-groups")
+    return low.join(lower, "low", "left").select("node", F.coalesce("lower", "low").alias("component"))
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """``node, component`` of linked nodes: two steps towards the smallest neighbour, and two more between the groups these made.
+
+    Nodes of one component are connected; those of two may be as well, which only costs comparisons. One round leaves a large
+    group in parts, one for each smallest node of its stars, and each path of the group would be split for the smaller parts.
+    """
+    first = stored(_lowered(links), "contracted")
+    named = links
+    for end in ("u", "v"):
+        named = named.join(first.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+    across = named.filter("u_in <> v_in").select(F.col("u_in").alias("u"), F.col("v_in").alias("v")).distinct()
+    wider = _lowered(across).select(F.col("node").alias("own"), F.col("component").alias("wider"))
+    own = named.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("u_in").alias("own")), F.struct(F.col("v").alias("node"), F.col("v_in").alias("own")))).alias("x")).select("x.*").distinct()
+    return stored(own.join(wider, "own", "left").select("node", F.coalesce("wider", "own").alias("component")), "contracted-groups")
 
 
 def candidate_groups(nodes: DataFrame, threshold: float, target: float) -> DataFrame:
