@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -181,3 +182,28 @@ def test_language_is_learnt_from_all_labelled_documents(spark):
     assert (model.weights[lone, 0] - model.weights[lone, 1]).min() > 0.2
     got = {x.doc_id: x for x in language_id.identify(docs, model).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang in rows)
+
+
+def test_language_sample_reaches_the_driver_packed(spark):
+    r = rng(10)
+    rows = [(i, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(400)), "en" if i % 2 else "de") for i in range(120)]
+    rows += [(200 + i, rows[0][1], "de") for i in range(6)]
+    marked = language_id._labelled(frame(spark, rows))
+    language_id._sample(marked, 2)  # imports
+    tracemalloc.start()
+    try:
+        got, counts = language_id._sample(marked, 2000)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    chosen = {i: (t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    entries = sum(len(x[1]) for x in got)
+    assert len(got) == len(chosen) == sum(counts.values()) and entries > 150_000
+    assert peak < 24 * entries  # Python's own numbers in lists take over 70 bytes for each
+    letters = language_id._letters()
+    want = [(lang, *(x.tolist() for x in np.unique(language_id._subwords([t], letters)[0], return_counts=True))) for t, lang in chosen.values()]
+    assert [(x[0], x[1].tolist(), x[2].tolist()) for x in got] == sorted(want)
+    # Copies stand as they were drawn.
+    drawn = marked.filter(F.col("text") == rows[0][1]).orderBy("draw").collect()
+    copies = [x[3] for x in got if x[0] == "de" and x[1].tolist() == np.unique(language_id._subwords([rows[0][1]], letters)[0]).tolist()]
+    assert len(drawn) > 2 and copies == [x.back for x in drawn]

@@ -88,10 +88,12 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return marked.withColumn("back", F.pmod(F.xxhash64("draw"), F.lit(KEPT_BACK)) == 0)
 
 
-def _sample(marked: DataFrame, sample_rows: int) -> tuple[list, dict[str, int]]:
-    """Language and subword counts of at most ``sample_rows`` labelled documents (one per language at least), whole texts.
+def _sample(marked: DataFrame, sample_rows: int) -> tuple[list[tuple[str, np.ndarray, np.ndarray, bool]], dict[str, int]]:
+    """Language, subword buckets and their counts, kept back or not, of at most ``sample_rows`` labelled documents (one per language
+    at least), whole texts; ordered by language and buckets, copies as they are drawn.
 
-    Drawn per language, so that no language is missing; with the number of documents of each language.
+    Drawn per language, so that no language is missing; with the number of documents of each language. The driver gets six
+    bytes for each different subword of a text.
     """
     counts = {r["lang"]: r["count"] for r in marked.groupBy("lang").count().collect()}
     if not counts:
@@ -102,18 +104,20 @@ def _sample(marked: DataFrame, sample_rows: int) -> tuple[list, dict[str, int]]:
     of = lambda k: F.create_map(*[F.lit(x) for p in pairs for x in (p[0], p[k])])[F.col("lang")]
     thinned = marked.filter(F.pmod("draw", F.lit(1 << 30)) < of(2) * F.lit(1 << 30))
     ranked = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "mark")))
-    chosen = ranked.filter(F.col("rank") <= of(1)).select("lang", "text", "back")
+    chosen = ranked.filter(F.col("rank") <= of(1)).select("lang", "text", "draw", "back")
 
     def count(c: dict[str, list]) -> dict:
         letters, ids, counts = _letters(), [], []
         for t in c["text"]:
             b, n = np.unique(_subwords([t], letters)[0], return_counts=True)
-            ids.append(b.astype(np.int32))
-            counts.append(n.astype(np.float32))
-        return {"lang": c["lang"], "ids": ids, "counts": counts, "back": c["back"]}
+            # Big-endian, so that the bytes sort as the buckets do.
+            ids.append(b.astype(">u2").tobytes())
+            counts.append(n.astype(">f4").tobytes())
+        return {"lang": c["lang"], "ids": ids, "draw": c["draw"], "counts": counts, "back": c["back"]}
 
-    found = map_batches(chosen.repartition(8, F.xxhash64("text")), count, "lang string, ids array<int>, counts array<float>, back boolean").orderBy("lang", "ids").collect()
-    return found, counts
+    found = map_batches(chosen.repartition(8, F.xxhash64("text")), count, "lang string, ids binary, draw long, counts binary, back boolean").toArrow()
+    rows = sorted(zip(*(c.to_pylist() for c in found.columns)))
+    return [(lang, np.frombuffer(ids, ">u2").astype(np.uint16), np.frombuffer(n, ">f4").astype(np.float32), back) for lang, ids, _, n, back in rows], counts
 
 
 def fit(docs: DataFrame, sample_rows: int = 2000, width: int = 16, epochs: int = 6, rate: float = 0.5, target_precision: float = 0.995, seed: int = 5) -> LanguageModel | None:
@@ -127,8 +131,8 @@ def fit(docs: DataFrame, sample_rows: int = 2000, width: int = 16, epochs: int =
     marked = _labelled(docs)
     sample, documents = _sample(marked, sample_rows)
     more = sum(documents.values()) > len(sample)
-    rows = [(r["lang"], np.asarray(r["ids"], np.int64), np.asarray(r["counts"], np.float32)) for r in sample if len(r["ids"])]
-    kept_back = [r["back"] for r in sample if len(r["ids"])]
+    rows = [r[:3] for r in sample if len(r[1])]
+    kept_back = [r[3] for r in sample if len(r[1])]
     if not rows:
         return None
     rng = np.random.default_rng(seed)
