@@ -207,3 +207,25 @@ def test_language_sample_reaches_the_driver_packed(spark):
     drawn = marked.filter(F.col("text") == rows[0][1]).orderBy("draw").collect()
     copies = [x[3] for x in got if x[0] == "de" and x[1].tolist() == np.unique(language_id._subwords([rows[0][1]], letters)[0]).tolist()]
     assert len(drawn) > 2 and copies == [x.back for x in drawn]
+
+
+def test_quality_stage_moves_no_texts(spark):
+    r = rng(11)
+    bad = lambda: " ".join(w + "###" for w in prose(r).split())
+    rows = [(i, prose(r) if i % 5 else bad()) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = quality_rules.passing_rules(frame(spark, rows), labels)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and 200 < kept.count() < 300
+        # Of rows that share an id all must pass, whichever of them would.
+        shared = frame(spark, rows + [(201, bad()), (202, prose(r)), (None, prose(r)), (None, bad())])
+        said = quality_rules.quality_rules(shared, labels).collect()
+        lost = {x.doc_id for x in said if x.doc_id is not None and not x.kept}
+        kept = quality_rules.passing_rules(shared, labels)
+        assert 201 in lost and 202 not in lost and kept.columns == shared.columns
+        assert Counter(x.doc_id for x in kept.collect()) == Counter(x.doc_id for x in said if x.kept and x.doc_id not in lost)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
