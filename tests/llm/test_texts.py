@@ -1,6 +1,11 @@
 """Packing, SentencePiece, WARC, license scans, and the pipeline."""
 
 import gzip
+import os
+import re
+import sys
+import types
+import uuid
 import zlib
 from collections import Counter
 
@@ -10,7 +15,7 @@ from helpers import WORDS, frame, odd_rows, prose, rng
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideframe.llm import license_scan, packing, sentence_pieces, warc
+from tideframe.llm import common, license_scan, packing, sentence_pieces, warc
 
 
 def tokenizer():
@@ -281,3 +286,37 @@ def test_every_query_runs_on_the_smallest_tables(spark, table):
     n = spark.read.parquet(f"{folder}/{table}.parquet").count()
     for name in ("op1_language_id", "op2_suffix_dedup", "op3_importance_sampling", "op5_sentence_pieces", "op6_quality_rules", "op9_jaccard_join"):
         assert queries.QUERIES[name](spark, folder).count() == n
+
+
+def test_what_a_worker_keeps_ends_with_its_stage(spark):
+    def name(c):
+        value = common.once_per_worker("probe", lambda: uuid.uuid4().hex)
+        return {"pid": [os.getpid()] * len(c["id"]), "value": [value] * len(c["id"])}
+
+    first, second = (common.map_batches(spark.range(64, numPartitions=32), name, "pid long, value string").distinct().collect() for _ in range(2))
+    for rows in (first, second):
+        assert len(rows) == len({r["pid"] for r in rows})  # made once for all tasks of a stage in a worker
+    assert {r["pid"] for r in first} & {r["pid"] for r in second}, "no worker was used again"
+    assert not {r["value"] for r in first} & {r["value"] for r in second}
+
+
+def test_workers_hand_back_what_a_step_has_freed(spark):
+    def own_mb():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Anonymous: +([0-9]+)", f.read())[1]) / 1024
+
+    def take(c):
+        rows = [bytes(2000) for _ in range(150_000)]
+        sys.modules["_pinned"] = types.SimpleNamespace(row=rows[-1])  # the end of the heap stays in use
+        del rows
+        return {"pid": [os.getpid()] * len(c["id"]), "mb": [own_mb()] * len(c["id"])}
+
+    def look(c):
+        return {"pid": [os.getpid()] * len(c["id"]), "mb": [own_mb()] * len(c["id"])}
+
+    held = dict(common.map_batches(spark.range(8, numPartitions=8), take, "pid long, mb double").collect())
+    after = dict(common.map_batches(spark.range(8, numPartitions=8), look, "pid long, mb double").collect())
+    again = held.keys() & after.keys()
+    assert again, "no worker was used again"
+    for pid in again:
+        assert held[pid] > 300 and after[pid] < held[pid] - 200, (held[pid], after[pid])

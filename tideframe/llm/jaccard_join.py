@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideframe.llm.common import HASH_BASE, HASH_MIX, block_pairs, components, hashed_words, map_batches, mixed, roots, rows_with, slices
+from tideframe.llm.common import HASH_BASE, HASH_MIX, block_pairs, components, hashed_words, map_batches, mixed, roots, rows_with, slices, tidy
 from tideframe.session import stored
 
 SHINGLE = 5
@@ -163,7 +163,7 @@ def _candidate_links(buckets: DataFrame, least: int, keys: list[str]) -> DataFra
             pairs = np.unique(np.sort(np.stack([node[mine], node[root[mine]]], axis=1), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return buckets.repartition(*keys).sortWithinPartitions(*keys, "known", "node").mapInArrow(run, "u long, v long")
+    return buckets.repartition(*keys).sortWithinPartitions(*keys, "known", "node").mapInArrow(tidy(run), "u long, v long")
 
 
 def runs_needed(threshold: float, target: float, least: int) -> int:
@@ -292,7 +292,7 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
                 out += [(int(node[lo + i]), int(node[lo + root[i]]), int(count[i])) for i in np.flatnonzero(count)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["u", "v", "n_u"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long, n_u long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "u long, v long, n_u long")
 
 
 def _similar_pairs(texts: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -387,6 +387,6 @@ def one_of_each_group(docs: DataFrame, threshold: float = 0.8, target: float = 0
 
     at = docs.columns.index("text")
     unnamed = docs.filter("doc_id is null")
-    unnamed = unnamed.mapInArrow(with_print, T.StructType([*docs.schema.fields, T.StructField(print_, T.LongType())]))
+    unnamed = unnamed.mapInArrow(tidy(with_print), T.StructType([*docs.schema.fields, T.StructField(print_, T.LongType())]))
     own = verdict.filter("doc_id is null and kept").select(F.coalesce("node", F.lit(0).cast("long")).alias(print_)).distinct()
     return rows_with(docs.filter("doc_id is not null"), named.filter("kept")).unionByName(unnamed.join(own, print_, "left_semi").drop(print_))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import map_batches, rows_where, rows_with, slices, starts_of
+from tideframe.llm.common import map_batches, rows_where, rows_with, slices, starts_of, tidy
 from tideframe.session import stored
 
 BUCKETS = 1 << 16
@@ -204,7 +204,7 @@ def _gradient(rows: DataFrame, model: LanguageModel, weight: np.ndarray) -> tupl
         used = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(total[used, k]) for k in range(width + 1)]], names=["bucket", *names])
 
-    parts = rows.select("text", "lang").mapInArrow(run, "bucket int, " + ", ".join(f"{c} long" for c in names))
+    parts = rows.select("text", "lang").mapInArrow(tidy(run), "bucket int, " + ", ".join(f"{c} long" for c in names))
     found = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
     sums = np.zeros((BUCKETS + 1, width + 1))
     sums[found.column("bucket").to_numpy()] = np.stack([found.column(c).to_numpy() for c in names], axis=1) / UNITS

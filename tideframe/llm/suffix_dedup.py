@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import map_batches, slices, starts_of
+from tideframe.llm.common import map_batches, slices, starts_of, tidy_group
 from tideframe.session import stored
 
 LENGTH = 100
@@ -343,7 +343,7 @@ def repeats(runs: DataFrame) -> DataFrame:
         rows = group.drop_columns(["part"]).to_pylist()
         return pa.table([pa.array(x, pa.int64()) for x in _repeats(rows)], schema=arrow)
 
-    return runs.groupBy("part").applyInArrow(merge, _SPAN_SCHEMA)
+    return runs.groupBy("part").applyInArrow(tidy_group(merge), _SPAN_SCHEMA)
 
 
 def _keep(raw: bytes, spans: list[int]) -> tuple[bytes, list[tuple[int, int]]]:
