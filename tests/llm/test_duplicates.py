@@ -154,6 +154,35 @@ def test_a_text_moves_once_to_its_spans(spark, monkeypatch):
     assert set(got) == {i for i, _ in passages()} and got[60] is None and got[66] == "a" * 99
 
 
+@pytest.mark.parametrize("kind", ["copies", "phrases"])
+def test_only_strings_that_may_repeat_move_to_the_merge(spark, monkeypatch, kind):
+    seen, runs = [], suffix_dedup.sorted_runs
+    monkeypatch.setattr(suffix_dedup, "sorted_runs", lambda *a: (seen.append(runs(*a)), seen[-1])[1])
+    r = rng(31)
+    if kind == "copies":
+        texts = [prose(r, words=400) for _ in range(6)]
+        rows = [(10 * k + i, t if k % 2 else prose(r, words=3) + t + prose(r, words=3)) for k in range(20) for i, t in enumerate(texts)]
+    else:
+        rows = [(i, f"{prose(r, words=30)} as many said in those days, and often {prose(r, words=30)}") for i in range(200)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup_suffixes(frame(spark, rows)).collect()}
+    assert got == plain_repeats(rows)
+    assert (sum(x[1] for x in got.values()) > 0) == (kind == "copies")
+    moved = sum(len(x.rests) + len(x.lefts) for x in seen[0].select("rests", "lefts").collect())
+    assert moved < 0.15 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("form", [suffix_dedup.dedup_suffixes, suffix_dedup.without_repeats])
+def test_both_joins_read_one_exchange_of_the_texts(spark, form):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = form(frame(spark, passages()))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("ReusedExchange" in x and "text" in x and "hashpartitioning(doc_key" in x for x in plan.splitlines()), plan
+
+
 def plain_vectors(rows, threshold=0.9):
     sound = {}
     for i, v in rows:

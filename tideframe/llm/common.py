@@ -90,8 +90,8 @@ def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.T
     return around
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]], schema: str) -> DataFrame:
-    """Run ``fn`` on the columns of each Arrow batch; it returns the columns of the result."""
+def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]], schema: str, names: list[str] | None = None) -> DataFrame:
+    """Run ``fn`` on the columns of each Arrow batch, or those of ``names``; it returns the columns of the result."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -102,7 +102,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterabl
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            out = fn({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns)})
+            out = fn({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns) if names is None or n in names})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(tidy(run), schema)
