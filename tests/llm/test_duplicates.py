@@ -46,6 +46,17 @@ def test_repeated_strings(spark, monkeypatch, hot):
     assert got == plain_repeats(rows)
 
 
+def test_grams_with_too_many_places_go_to_the_merge_at_once(spark, monkeypatch):
+    rows = passages()
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 1)
+    monkeypatch.setattr(suffix_dedup, "MEET_HOT", 3)
+    docs = frame(spark, rows + rows[20:23])
+    hot = suffix_dedup._hot_grams(docs.selectExpr("doc_id", "text", "xxhash64(doc_id, text) as doc_key"))
+    assert len(hot) > 5
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_suffixes(docs).collect()}
+    assert got == plain_repeats(rows)
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = passages()
     twice = [rows[5], rows[20], rows[20], (64, "é" * 130), (None, "z" * 40 + rows[7][1])]

@@ -40,9 +40,13 @@ SECTION = 1 << 20
 #: A string starts this many bytes or more before its anchor, or it holds more than LENGTH - SIDE bytes from the anchor on.
 SIDE = 40
 #: Anchors whose equal reaches a task folds at a time; a document is not cut.
-FOLD_ROWS = 1_000_000
+FOLD_ROWS = 500_000
 #: Bytes of text whose anchors meet in one task, on average.
 MEET_BYTES = 1 << 24
+#: A gram with about this many places in unequal reaches does not meet in one task: the merge gets its single strings.
+MEET_HOT = 4_000_000
+#: One document in so many is looked at to find such grams; this decides only the way they go.
+HOT_SHARE = 4_096
 #: Suffixes that a task sorts into runs at a time.
 RUN_ROWS = 100_000
 #: Suffixes that one range holds on average.
@@ -189,11 +193,23 @@ def _joined(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return begin >> 32, begin & (2**32 - 1), end & (2**32 - 1)
 
 
-def _fold(ids: np.ndarray, keys: np.ndarray, found: tuple[np.ndarray, ...], fold: int, parts: int) -> Iterator[dict]:
+def _hot_grams(docs: DataFrame) -> np.ndarray:
+    """Grams with too many places for one task, as sorted hashes."""
+
+    def run(c: dict[str, list]) -> dict:
+        found = [anchors(c["text"][lo:hi]) for lo, hi in slices([len(t) for t in c["text"]])]
+        return {name: np.concatenate([f[k] for f in found]).view(np.int64) for name, k in (("gram", 1), ("reach", 5))}
+
+    some = docs.filter((F.pmod(F.col("doc_key"), F.lit(HOT_SHARE)) == 0) & F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"))
+    places = map_batches(some, run, "gram long, reach long").distinct().groupBy("gram").count()
+    return np.sort(np.asarray([r.gram for r in places.filter(F.col("count") >= F.lit(MEET_HOT // HOT_SHARE)).collect()], np.int64).view(np.uint64))
+
+
+def _fold(ids: np.ndarray, keys: np.ndarray, found: tuple[np.ndarray, ...], fold: int, parts: int, hot: np.ndarray) -> Iterator[dict]:
     """A row for each task that places of these documents go to, and a last one with the documents.
 
     Of equal reaches only the earliest place is sent, and the first ones of other documents with the same id, which only
-    the merge can order; the other places repeat in full.
+    the merge can order; the other places repeat in full. Those of hot grams are left to the merge at once.
     """
     by_id = np.argsort(ids, kind="stable")
     ids, keys = ids[by_id], keys[by_id]
@@ -210,6 +226,8 @@ def _fold(ids: np.ndarray, keys: np.ndarray, found: tuple[np.ndarray, ...], fold
     rest = order[~sent]
     spans = _joined(doc[rest], first[rest], last[rest] + LENGTH)
     sent = np.sort(order[sent])
+    is_hot = np.isin(gram[sent], hot)
+    led, sent = sent[is_hot], sent[~is_hot]
     part = (gram[sent] % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     sent, part = sent[order], part[order]
@@ -218,12 +236,13 @@ def _fold(ids: np.ndarray, keys: np.ndarray, found: tuple[np.ndarray, ...], fold
         s = sent[lo:hi]
         columns = ((gram[s] >> np.uint64(32)).astype("<u4"), reach[s], left[s], right[s], _steps(doc[s]).astype("<u4"), _steps(ids[doc[s]]), at[s].astype("<u4"), (at[s] - first[s]).astype("u1"), (at[s] - last[s]).astype("u1"))
         yield {"part": int(part[lo]), "fold": fold, "n": hi - lo, "data": _packed(*columns), "n_spans": 0, "spans": b"", "n_leads": 0, "leads": b""}
+    leads = _packed(_steps(doc[led]).astype("<u4"), at[led].astype("<u4"), (at[led] - first[led]).astype("u1"), (at[led] - last[led]).astype("u1"), np.ones(len(led), "u1"))
     doc, start, stop = spans
     packed = _packed(_steps(doc).astype("<u4"), start.astype("<u4"), (stop - start).astype("<u4"))
-    yield {"part": -1 - fold, "fold": fold, "n": len(keys), "data": _packed(keys), "n_spans": len(doc), "spans": packed, "n_leads": 0, "leads": b""}
+    yield {"part": -1 - fold, "fold": fold, "n": len(keys), "data": _packed(keys), "n_spans": len(doc), "spans": packed, "n_leads": len(led), "leads": leads}
 
 
-def _folded(docs: DataFrame, parts: int) -> DataFrame:
+def _folded(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     """The folds of each task's documents (``doc_key, doc_id, text``): rows of ``_MEET_SCHEMA`` and the ``part`` each goes to."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -236,7 +255,7 @@ def _folded(docs: DataFrame, parts: int) -> DataFrame:
         ids, keys, found, n_docs, held = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(_fold(np.concatenate(ids), np.concatenate(keys), tuple(map(np.concatenate, zip(*found))), fold, parts))
+            rows = list(_fold(np.concatenate(ids), np.concatenate(keys), tuple(map(np.concatenate, zip(*found))), fold, parts, hot))
             for x in (ids, keys, found):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in arrow], schema=arrow)
@@ -344,7 +363,7 @@ def meetings(docs: DataFrame) -> DataFrame:
         lists = [pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(x, pa.int64())) for b, x in (leads, early)]
         return pa.table([pa.array(keys, pa.int64()), pa.array(weight, pa.int64()), *(x.cast(found.field(n).type) for x, n in zip(lists, ("leads", "early")))], schema=found)
 
-    folded = _folded(docs, max(1, size // MEET_BYTES))
+    folded = _folded(docs, max(1, size // MEET_BYTES), _hot_grams(docs))
     heard = folded.groupBy("part").applyInArrow(tidy_group(meet), _MEET_SCHEMA)
     # Rows that repeat id and text hear the same; their places are one.
     return heard.groupBy("fold").applyInArrow(tidy_group(answer), _FOUND_SCHEMA).dropDuplicates(["doc_key"])
